@@ -22,8 +22,6 @@ from ..sources import readers as R
 from . import compare as P
 
 C = F.col
-#: order and line are no key of lineitem, so the identifier takes part, supplier and quantity too
-ID = (((C("l_orderkey") * 8 + C("l_linenumber")) * 20011 + C("l_partkey")) * 1009 + C("l_suppkey")) * 53 + C("l_quantity").cast("bigint")
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -44,8 +42,10 @@ def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = read(spark, sf_dir, "lineitem")
+    # order and line are no key of lineitem, so the identifier takes part, supplier and quantity too
+    key = (((C("l_orderkey") * 8 + C("l_linenumber")) * 20011 + C("l_partkey")) * 1009 + C("l_suppkey")) * 53 + C("l_quantity").cast("bigint")
     return t.select(
-        ID.alias("id"), C("l_suppkey").alias("contig"), C("l_partkey").alias("b"), (C("l_partkey") + C("l_quantity").cast("bigint")).alias("e"), C("l_orderkey").alias("read"),
+        key.alias("id"), C("l_suppkey").alias("contig"), C("l_partkey").alias("b"), (C("l_partkey") + C("l_quantity").cast("bigint")).alias("e"), C("l_orderkey").alias("read"),
         C("l_returnflag").alias("strand"), C("l_linestatus").alias("status"), F.round(C("l_discount") * 600).cast("bigint").alias("mapq"), C("l_linenumber").cast("bigint").alias("line"),
     )
 
