@@ -138,6 +138,34 @@ def shift_search(df: DataFrame, id_col: str, left: str, right: str, span: str, r
     return best.groupBy(id_col, "shift").agg(F.count("*").alias("votes")).groupBy(id_col).agg(F.min_by("shift", F.struct(-F.col("votes"), "shift")).alias("shift"))
 
 
+def shift_by_kmers(df: DataFrame, id_col: str, left: str, right: str, span: str, ratios: int = 19, sizes: tuple[int, ...] = tuple(range(5, 36, 2))) -> DataFrame:
+    """``id_col, shift``: as :func:`shift_search`, but flanks are compared by their k-mers of several sizes."""
+    at = F.explode(F.transform(F.sequence(F.lit(1), F.lit(ratios)), lambda i: i / (ratios + 1))).alias("ratio")
+    tried = df.select(id_col, left, right, span, at).withColumn("shift", (F.col("ratio") * F.col(span)).cast("bigint"))
+    cut = lambda c: flank(F.col(c), F.col("shift").cast("int"), (F.col("shift") + F.col(span)).cast("int"))
+    tried = tried.select(id_col, "shift", cut(left).alias("a"), cut(right).alias("b"), F.explode(F.array(*map(F.lit, sizes))).alias("k"))
+    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - F.col("k") + 1, F.lit(1))), lambda i: F.substring(c, i, F.col("k")))
+    per = tried.where(F.least(F.length("a"), F.length("b")) >= F.col("k")).groupBy(id_col, "k", "shift").agg(F.max(jaccard(grams(F.col("a")), grams(F.col("b")))).alias("s"))
+    votes = per.groupBy(id_col, "k").agg(F.min_by("shift", F.struct(-F.col("s"), "shift")).alias("shift"))
+    return votes.groupBy(id_col, "shift").agg(F.count("*").alias("n")).groupBy(id_col).agg(F.min_by("shift", F.struct(-F.col("n"), "shift")).alias("shift"))
+
+
+def cluster_similarity(members: DataFrame, keys: list[str], id_col: str, seq: str, k: int = 5, least_cv: float = 0.1) -> DataFrame:
+    """``keys, similarity``: mean k-mer similarity of the pairs of a cluster's sequences.
+
+    Where the lengths vary by ``least_cv`` or more, only the larger of the two length groups
+    takes part. For clusters of bounded size (their depth is limited on admission).
+    """
+    from ..operators.aggregate import split_in_two
+
+    rows = split_in_two(members.select(*keys, id_col, F.col(seq).alias("_s"), F.length(seq).alias("_n")), keys, "_n")
+    cv = F.coalesce(F.stddev_pop("_n") / F.avg("_n"), F.lit(0.0))
+    stat = rows.groupBy(*keys).agg(cv.alias("_cv"), F.when(F.count_if(F.col("side") == 1) > F.count_if(F.col("side") == 0), 1).otherwise(0).alias("_keep"))
+    rows = rows.join(stat, keys).where((F.col("_cv") < least_cv) | (F.col("side") == F.col("_keep"))).select(*keys, id_col, kmers(F.col("_s"), k).alias("g"))
+    a, b = rows.select(*keys, F.col(id_col).alias("_a"), F.col("g").alias("_ga")), rows.select(*keys, F.col(id_col).alias("_b"), F.col("g").alias("_gb"))
+    return a.join(b, keys).where("_a < _b").groupBy(*keys).agg(F.avg(jaccard(F.col("_ga"), F.col("_gb"))).alias("similarity"))
+
+
 def max_subarray(values: Column) -> Column:
     """Largest sum of a contiguous non-empty part of an array of doubles (null for an empty one)."""
     first = F.element_at(values, 1).cast("double")

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import sequence as S
 from ..operators import aggregate as A
+from ..operators import annotate as N
 from ..operators import breakpoints as B
 from ..operators import cluster as K
 from ..operators import dominance as D
@@ -405,6 +406,50 @@ def split_in_two(spark, sf_dir):
     return A.split_in_two(iv, ["contig"], "size").groupBy("contig", "side").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"))
 
 
+@query(f"WITH {_IV} SELECT c.id, count(DISTINCT a.read) AS depth FROM iv c JOIN iv a ON a.contig = c.contig AND a.b < c.e AND c.b < a.e GROUP BY c.id")
+def depth_by_names(spark, sf_dir):
+    iv = intervals(spark, sf_dir)
+    return N.depth_by_names(iv, iv, ["contig"], "id", "b", "e", "read", "b", "e")
+
+
+@query(f"""WITH {_IV}, h AS (SELECT c.id, s.strand AS t, s.e - s.b AS n, s.read FROM iv c JOIN iv s ON s.contig = c.contig AND s.b < c.e AND c.b < s.e WHERE c.strand = 'N' AND s.strand IN ('A', 'R')),
+  m AS (SELECT id, max(n) FILTER (t = 'A') AS max_i, max(n) FILTER (t = 'R') AS max_d, count(DISTINCT read) AS reads FROM h GROUP BY id)
+  SELECT m.id, m.max_i, m.max_d, m.reads, count(*) FILTER (t = 'A' AND n >= max_i - 10) AS near_i, count(*) FILTER (t = 'R' AND n >= max_d - 10) AS near_d FROM h JOIN m ON m.id = h.id GROUP BY ALL""")
+def indel_lengths(spark, sf_dir):
+    iv = intervals(spark, sf_dir)
+    sig = iv.where("strand <> 'N'").select("contig", F.when(C("strand") == "A", "I").otherwise("D").alias("sig_type"), C("b").alias("start"), C("e").alias("stop"), "read")
+    return N.indel_lengths(iv.where("strand = 'N'"), sig, ["contig"], "id", "b", "e", 10)
+
+
+@query(f"""WITH {_IV}, h AS (SELECT p.id, a.read, a.b < p.b - 2 OR a.e > p.e + 2 AS far FROM iv p JOIN iv a ON a.contig = p.contig AND a.b < p.e AND p.b < a.e AND a.e - a.b > 1.5 * (p.e - p.b)),
+  g AS (SELECT id FROM h GROUP BY id HAVING count(DISTINCT read) >= 4 AND count(*) FILTER (far) = 0) SELECT id FROM iv WHERE id NOT IN (SELECT id FROM g)""")
+def spanning_guard(spark, sf_dir):
+    iv = intervals(spark, sf_dir)
+    return N.spanning_guard(iv, iv, ["contig"], "id", "b", "e", "read", "b", "e", slack=2).select("id")
+
+
+@query(f"""WITH {_IV} SELECT DISTINCT c.id FROM iv c JOIN iv r ON c.contig = r.contig AND c.strand = 'A' AND r.strand = 'R' AND c.b < r.e AND r.b < c.e
+  WHERE abs((c.b + c.e) / 2.0 - (r.b + r.e) // 2) <= 3 AND ((c.b >= r.b AND c.e <= r.e) OR (abs(c.b - r.b) + abs(c.e - r.e)) / 2.0 < 3)""")
+def palindrome_lookup(spark, sf_dir):
+    iv = intervals(spark, sf_dir)
+    rep = iv.where("strand = 'R'").select("contig", C("b").alias("pos1"), C("e").alias("pos2"), F.lit(3).alias("size"), F.floor((C("b") + C("e")) / 2).alias("center"))
+    return N.in_palindrome(iv.where("strand = 'A'"), rep, "id", "b", "e")
+
+
+@query(f"""WITH {_IV}, h AS (SELECT c.id, r.b, r.e, row_number() OVER (PARTITION BY c.id ORDER BY r.e - r.b DESC, r.b, r.e) AS k FROM iv c JOIN iv r ON c.contig = r.contig AND c.strand = 'A' AND r.strand = 'R' AND c.b < r.e AND r.b < c.e
+  AND abs(r.b - c.b) <= 20 AND abs(r.e - c.e) <= 20) SELECT id, b AS r_begin, e AS r_end FROM h WHERE k = 1""")
+def tandem_lookup(spark, sf_dir):
+    iv = intervals(spark, sf_dir)
+    rep = iv.where("strand = 'R'").select("contig", C("b").alias("pos1"), C("e").alias("pos2"), (C("e") - C("b")).alias("size"))
+    return N.tandem_bounds(iv.where("strand = 'A'"), rep, "id", "b", "e", 20)
+
+
+@query()
+def cluster_similarity(spark, sf_dir):
+    t = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
+    return S.cluster_similarity(t, ["conv_id"], "turn", "text")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals that no other dominates, with their depth and genotypes."""
     iv = intervals(spark, sf_dir).withColumns({"size": C("e") - C("b"), "support": F.lit(1).cast("bigint")})

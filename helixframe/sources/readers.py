@@ -107,3 +107,8 @@ def read_signal_rows(spark: SparkSession, path: str, sample: str = "sample") ->
         F.lit(sample).alias("sample"), g(0).alias("contig"), "sig_type", F.col("t")[0].cast("bigint").alias("start"), F.col("t")[1].cast("bigint").alias("stop"), F.when(F.col("sig_type") == "I", F.col("t")[3]).alias("seq"),
         F.element_at("t", -1).cast("bigint").alias("qpos"), F.when(F.col("sig_type") == "L", g(2)).when(F.col("sig_type") == "R", g(1)).cast("bigint").alias("other"), g(9).alias("read"), "hash", g(6).cast("int").alias("mapq"), (g(7) == "1").alias("is_reverse"), (g(8) == "1").alias("is_supplementary"), g(5).cast("bigint").alias("q_len"),
     )
+
+
+def read_sequence(spark: SparkSession, path: str) -> DataFrame:
+    """The first line of a text file as a one-row ``contig, seq`` table."""
+    return spark.read.text(path).limit(1).select(F.lit("seq").alias("contig"), F.trim("value").alias("seq"))
