@@ -262,6 +262,8 @@ def _indexed(texts: DataFrame, p: int) -> DataFrame:
         t = pa.Table.from_batches(rows).combine_chunks()
         key, doc, lo = (t.column(c).to_numpy() for c in ("key", "doc_id", "lo"))
         order = np.lexsort((lo, doc, key))
+        k, d, a = key[order], doc[order], lo[order]
+        order = order[np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (a[1:] != a[:-1])])]  # repeated rows
         body = t.column("body").take(pa.array(order)).to_pylist()
         key, doc, lo = key[order], doc[order], lo[order]
         starts, lens = runs(key)
