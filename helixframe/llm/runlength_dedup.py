@@ -33,7 +33,7 @@ from .common import Packer, materialize, mix, parts, runs, unpack
 LENGTH, GRAM = 100, 32
 WINDOWS = LENGTH - GRAM + 1
 INDEX_CLASSES = 20_000
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 17
 _R = 0x9E6C63D0876A9A47 | 1
 _TABLE = mix(np.arange(256, dtype=np.uint64), 77)
 _POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
@@ -123,7 +123,7 @@ class RunLengthIndex:
 
     @staticmethod
     def _ranked(code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(code, kind="stable")
+        order = np.argsort(code)
         rank = np.empty(len(code), np.int32)
         rank[order] = np.concatenate([[0], np.cumsum(np.diff(code[order]) != 0)])
         return order, rank
