@@ -9,9 +9,10 @@ their odd positions. Candidates pass a dense sketch's Hamming bound, then the ex
 sets decide.
 
 Equal sets are one class throughout (a hash of the set), so copies cost nothing. In
-a block's bucket every class is tried against the smallest one (a star, linear);
-only classes that the verified links leave in different components are compared
-with each other afterwards, in blocks of bounded size, behind the Hamming bound.
+a block's bucket every class is tried against the smallest one (a star, linear), and,
+where the verified links leave several components, against further pivots (a few
+linear rounds). Only classes that are in different components even then are compared
+with each other, in blocks of bounded size, behind the Hamming bound.
 """
 
 from __future__ import annotations
@@ -26,6 +27,8 @@ from .common import Packer, components, materialize, mix, parts, runs, unpack
 
 WORDS, NUM, DEN = 5, 75, 100
 BLOCK_MEMBERS = 1024
+#: Rounds that try every open member against another pivot of its bucket before all pairs across components.
+PIVOT_ROUNDS = 4
 _MUL = np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -246,6 +249,13 @@ def _crossing(members: DataFrame, p: int) -> DataFrame:
     return dealt.repartition(p, "code", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
 
+def _open_members(rest: DataFrame, comp: DataFrame) -> DataFrame:
+    """``code, cls, label`` of the buckets whose members lie in several components."""
+    named = rest.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("code", "cls", F.coalesce("component", "cls").alias("label"))
+    open_codes = named.groupBy("code").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("code")
+    return named.join(open_codes, "code", "left_semi")
+
+
 def jaccard_components(docs: DataFrame, make=shingle_set) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per input row; documents link at Jaccard >= 0.75.
 
@@ -264,10 +274,18 @@ def jaccard_components(docs: DataFrame, make=shingle_set) -> DataFrame:
     links = materialize(_verify(tried, docs, classes, make), "parity-links")
     first = materialize(components(links), "parity-first")
 
-    label = lambda df: df.join(first.withColumnRenamed("node", "cls"), "cls", "left").withColumn("label", F.coalesce("component", "cls")).drop("component")
-    rest = label(buckets.where("cls <> pivot").select("code", "cls"))
-    open_codes = rest.groupBy("code").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("code")
-    members = rest.join(open_codes, "code", "left_semi").join(classes.select("cls", "n", "sketch"), "cls")
+    rest = buckets.where("cls <> pivot").select("code", "cls")
+    for r in range(PIVOT_ROUNDS):
+        members = _open_members(rest, first)
+        pivots = members.groupBy("code").agg(F.min_by(F.struct("cls", "label"), F.xxhash64("code", "cls", F.lit(r))).alias("p"))
+        pairs = members.join(pivots, "code").where(F.col("label") != F.col("p.label"))
+        tried = materialize(_sketch_filter(pairs.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct(), classes), "parity-pairs")
+        new = materialize(_verify(tried, docs, classes, make), "parity-links")
+        if not new.limit(1).count():
+            break
+        links = links.union(new)
+        first = materialize(components(links), "parity-first")
+    members = _open_members(rest, first).join(classes.select("cls", "n", "sketch"), "cls")
     crossing = materialize(_crossing(members, p), "parity-crossing")
     more = _verify(crossing, docs, classes, make)
     linked = components(links.union(more))
