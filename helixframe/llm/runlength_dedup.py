@@ -86,7 +86,7 @@ def segments(data: bytes) -> tuple[np.ndarray, ...]:
     a, w = runs(low)
     edge = np.zeros(WINDOWS - 1, np.uint64)
     at = np.flatnonzero(_slide(np.concatenate([edge, low, edge]), WINDOWS, np.maximum) == h)
-    twice = np.flatnonzero((h[at[1:]] == h[at[:-1]]) & (np.diff(at) < WINDOWS))
+    twice = np.flatnonzero((h[at[1:]] == h[at[:-1]]) & (np.diff(at) <= WINDOWS))
     again = np.zeros(len(a), bool)
     again[np.searchsorted(a, np.minimum(at[twice], len(low) - 1), side="right") - 1] = True
     return low[a], span_hash(prefix_hash(data), a, a + w + LENGTH - 1), a, w, again

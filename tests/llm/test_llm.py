@@ -43,6 +43,18 @@ def test_dedup(spark, real):
         assert got == brute.dedup(docs)
 
 
+def test_dedup_every_period(spark):
+    rng = np.random.default_rng(11)
+    docs = []
+    for period in range(60, 111):
+        for around in (0, 40, 300):
+            junk = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+            docs.append((len(docs), junk(around) + (junk(period) * 6)[: 100 + 2 * period] + junk(around)))
+    docs.append((len(docs), ("".join(map(chr, rng.integers(97, 123, 68))) + "\n") * 3))
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in runlength_dedup.dedup_digests(frame(spark, docs)).collect()}
+    assert got == brute.dedup(docs)
+
+
 def test_dedup_full_keys_match_the_index(spark, real, monkeypatch):
     docs = frame(spark, real[:120])
     rows = lambda: sorted(map(tuple, runlength_dedup.dedup_digests(docs).collect()))
