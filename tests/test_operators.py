@@ -161,6 +161,37 @@ def test_duplication_rules(spark):
     assert [r for r in df.select("*", v.alias("v")).collect() if r.v.ok != r.want] == []
 
 
+def test_duplication_reads_all_evidence(spark):
+    rng = np.random.default_rng(4)
+    pairs = [(k, 10_000 * k + 1000, 10_000 * k + 1000 + int(n)) for k, n in enumerate(rng.integers(40, 7000, 30))]
+    clusters = []
+    for k, b, e in pairs:
+        for _ in range(int(rng.integers(0, 40)) if k else 0):
+            at, n = int(rng.integers(b - 150, e + 150)), int(rng.integers(30, 400))
+            clusters.append(("D" if rng.random() < 0.4 else "I", at, at + n, n, int(rng.integers(1, 9))))
+    p = spark.createDataFrame([("s", "c", *r, float(r[2] - r[1])) for r in pairs], "sample string, contig string, pair_id long, begin long, end long, size double")
+    c = spark.createDataFrame([("s", "c", *r) for r in clusters], "sample string, contig string, sig_type string, start_mode long, stop_mode long, svlen_mode long, support long")
+    got = {r.pair_id: r for r in V.nearby_evidence(p, c, "begin", "end", "size").collect()}
+    for k, b, e in pairs:
+        hits = [x for x in clusters if x[1] < e + 150 and b - 150 < x[2]]
+        one = {t: [x for x in hits if x[0] == t] for t in "DI"}
+        near = lambda a, share: min(((y[1] - x[1], x[1], y[1]) for x in a for y in a if x[4] > 3 and y[4] > 3 and y[1] - x[1] > share * (e - b)), default=None)  # noqa: B023, E731
+        want = (len(one["D"]), len(one["I"]), *(max((x[3] for x in one[t]), default=None) for t in "DI"), near(one["I"], 0.2), near(hits, 0.3))
+        r = got[k]
+        assert (r.n_d, r.n_i, r.x_d, r.x_i, r.near_i and tuple(r.near_i), r.near_id and tuple(r.near_id)) == want
+
+
+def test_duplication_counts_the_twelfth_cluster(spark):
+    """A long insertion to the right of eleven short ones rejects the pair."""
+    row = ("s", "c", 1, 1000, 2000, 1000.0)
+    p = spark.createDataFrame([row], "sample string, contig string, pair_id long, begin long, end long, size double")
+    c = [("s", "c", "I", 1000 + 10 * k, 1040 + 10 * k, 40, 2) for k in range(11)] + [("s", "c", "I", 1900, 3500, 1600, 9)]
+    c = spark.createDataFrame(c, "sample string, contig string, sig_type string, start_mode long, stop_mode long, svlen_mode long, support long")
+    e = {k: F.col(k) for k in ("n_i", "n_d", "x_i", "x_d", "one", "near_i", "near_id")}
+    v = V.duplication_verdict(F.lit(1000.0), F.col("size"), F.lit(False), F.lit(5), e, F.lit(0.0), F.lit(10), F.col("begin"), F.col("end"))
+    assert not V.nearby_evidence(p, c, "begin", "end", "size").select(v.alias("v")).first().v.ok
+
+
 def test_compare(spark):
     schema = "contig string, pos1 long, pos2 long, svlen long, svtype string, gt string, line string"
     base = [("1", 1000, 2000, 1000, "DEL", "1/1", "b1"), ("1", 50_000, 51_000, 1000, "DEL", "1/1", "b2"), ("2", 10, 20, 100, "INS", "1/1", "b3")]
