@@ -192,6 +192,34 @@ def test_duplication_counts_the_twelfth_cluster(spark):
     assert not V.nearby_evidence(p, c, "begin", "end", "size").select(v.alias("v")).first().v.ok
 
 
+def test_duplication_needs_one_strong_side(spark):
+    """Without a flag the stronger side decides first; the weaker one only where there is no evidence."""
+    rows = [(3, 5, 1, 900.0, True), (3, 3, 1, 900.0, False), (3, 5, 0, None, False), (4, 4, 0, None, True), (3, 5, 0, 900.0, True), (3, 5, 0, 1001.0, False)]
+    df = spark.createDataFrame(rows, "lo long, hi long, n_i long, x_i double, want boolean")
+    e = {k: F.col(k) for k in ("n_i", "x_i")} | {"n_d": F.lit(0), "x_d": F.lit(None).cast("double")}
+    e |= {"one": F.struct(F.lit(0).alias("b"), F.lit(40).alias("len"))} | dict.fromkeys(("near_i", "near_id"), F.lit(None).cast("struct<d:bigint,b:bigint,e:bigint>"))
+    v = V.duplication_verdict(F.lit(1000.0), F.lit(1000.0), F.lit(False), F.col("lo"), e, F.lit(0.0), F.lit(10), F.lit(0), F.lit(1000), F.col("hi"))
+    assert [r for r in df.select("*", v.alias("v")).collect() if r.v.ok != r.want] == []
+
+
+def test_duplication_long_reads(spark):
+    rows = [([(2500, 1000)] * 2, [(990, 1000)] * 9, True), ([(2000, 1501)] * 2, [(1000, 1501)] * 2, False), ([(2010, 1501)] * 2, [(990, 1501)] * 2, False), ([(2011, 1501)] * 2, [(990, 1501)] * 2, True), ([(2000, 1501)] * 2, [(989, 9)] + [(1000, 1501)] * 2, True), ([(2000, 1501)] * 3, [(1000, 1500)] * 3, True)]
+    t = "array<struct<other:bigint,q_len:bigint>>"
+    df = spark.createDataFrame(rows, f"l {t}, r {t}, want boolean").withColumn("ok", V.long_reads_fit(F.col("l"), F.col("r"), F.lit(1000), F.lit(2000)))
+    assert [r for r in df.collect() if r.ok != r.want] == []
+
+
+def test_duplication_raw_lengths(spark):
+    p = spark.createDataFrame([("s", "c", 1, 1000, 2000), ("s", "c", 2, 9000, 9500)], "sample string, contig string, pair_id long, begin long, end long")
+    a = spark.createDataFrame([("s", "c", "a", "r1", 500, 2500), ("s", "c", "b", "r1", 1900, 4000), ("s", "c", "x", "r2", 2000, 4000), ("s", "c", "y", "r3", 9400, 9900)], "sample string, contig string, hash string, read string, ref_start int, ref_end int")
+    sig = [("a", "I", 900, 1000), ("a", "I", 850, 950), ("a", "D", 800, 900), ("a", "D", 600, 799), ("b", "I", 2300, 2600), ("b", "I", 3000, 3999), ("b", "D", 2150, 2300), ("x", "I", 1990, 2990), ("b", "L", 1, 9999)]
+    sig = spark.createDataFrame(sig, "hash string, sig_type string, start long, stop long")
+    got = {r.pair_id: (r.n_reads, r.x_d, r.x_i) for r in V.raw_evidence(p, sig, a, "begin", "end").collect()}
+    want = {1: (1, 150.0, 300.0), 2: (1, None, None)}
+    want[1] = (1, max(n for n, b, e in ((100, 800, 900), (199, 600, 799), (150, 2150, 2300)) if 1000 - n <= b <= 2000 + n or 1000 - n <= e <= 2000 + n), 300.0)
+    assert got == want
+
+
 def test_compare(spark):
     schema = "contig string, pos1 long, pos2 long, svlen long, svtype string, gt string, line string"
     base = [("1", 1000, 2000, 1000, "DEL", "1/1", "b1"), ("1", 50_000, 51_000, 1000, "DEL", "1/1", "b2"), ("2", 10, 20, 100, "INS", "1/1", "b3")]
