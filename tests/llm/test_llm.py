@@ -1,5 +1,8 @@
 """The corpus operators against brute force, on whole small tables and on edge cases."""
 
+import pathlib
+import re
+
 import numpy as np
 import public_tokenizers
 import pytest
@@ -214,6 +217,24 @@ def test_chat(spark):
     assert chat_prefix.conversation_digests(chat_prefix.format_examples(turns.limit(0))).count() == 0
 
 
+def test_license_full_texts(spark):
+    at = pathlib.Path("/usr/share/common-licenses")
+    names = {
+        "Apache-2.0": "Apache-2.0", "Artistic": "Artistic-1.0-Perl", "BSD": "BSD-3-Clause", "CC0-1.0": "CC0-1.0", "GFDL-1.2": "GFDL-1.2-only", "GFDL-1.3": "GFDL-1.3-only", "GPL-1": "GPL-1.0-only", "GPL-2": "GPL-2.0-only",
+        "GPL-3": "GPL-3.0-only", "LGPL-2": "LGPL-2.0-only", "LGPL-2.1": "LGPL-2.1-only", "LGPL-3": "LGPL-3.0-only", "MPL-1.1": "MPL-1.1", "MPL-2.0": "MPL-2.0",
+    }
+    texts = [((at / f).read_text(), name) for f, name in names.items() if (at / f).exists()]
+    if not texts:
+        pytest.skip("no licence texts here")
+    docs, want = [], []
+    for t, name in texts:
+        for form in (t, "  " + t.replace("\n", "\r\n") + "\n", t.split("END OF TERMS AND CONDITIONS")[0], re.sub(r"(?<=\S)[ \t]*\n[ \t]*(?=\S)", " ", t), t + "more"):
+            docs.append((len(docs), form))
+            want.append(None if form.endswith("more") else name)
+    got = {r.doc_id: r.license for r in license_digest.scan(frame(spark, docs)).collect()}
+    assert [got[k] for k in range(len(docs))] == want
+
+
 def test_license(spark):
     mit = license_digest._MIT
     docs = [(1, "MIT License\n\nCopyright (c) 2020 Somebody\n\n" + mit), (2, mit.upper().replace(",", " ,")), (3, mit + " more"), (4, None), (5, ""), (6, "x\nReleased under the MIT Licence!\ny\nLicensed under CC BY-NC 4.0")]
