@@ -108,19 +108,38 @@ class Graph:
         return [j for s, j in self._near(q, self._descend(q, 0), beam, 0, floor) if s >= floor]
 
 
-def _search_block(graph: Graph, x: np.ndarray, q: np.ndarray, least: float) -> list[np.ndarray]:
+def _audited(x: np.ndarray, q: np.ndarray, least: float, reps: np.ndarray, own: np.ndarray) -> list[tuple[int, set[int]]]:
+    """Up to ``AUDIT`` queries that have a partner other than themselves in the shard, with all of these partners.
+
+    Queries are tried in a fixed random order until enough are found, so fewer mean that there are no more.
+    """
+    found: list[tuple[int, set[int]]] = []
+    order = np.random.default_rng(len(q)).permutation(len(q))
+    for at in range(0, len(q), 256):
+        tried = order[at : at + 256]
+        hit = x @ q[tried].T >= least - 1e-9
+        hit &= reps[:, None] != own[tried][None, :]
+        found += [(int(tried[k]), set(np.flatnonzero(hit[:, k]).tolist())) for k in np.flatnonzero(hit.any(axis=0))]
+        if len(found) >= AUDIT:
+            break
+    return found[:AUDIT]
+
+
+def _search_block(graph: Graph, x: np.ndarray, q: np.ndarray, least: float, reps: np.ndarray, own: np.ndarray) -> list[np.ndarray]:
     """Verified neighbours (cosine in double) of every query, with the beam that passed the audit.
 
-    The audit takes evenly spaced queries; at a beam as wide as the shard the search
-    is exhaustive along the graph, and then brute force takes over.
+    The audit takes queries with partners in the shard, and where no query has one, nothing is
+    to be found. At a beam as wide as the shard the search is exhaustive along the graph, and
+    then brute force takes over.
     """
     q32, floor = q.astype(np.float32), least - 1e-5
-    sample = np.unique(np.linspace(0, len(q) - 1, min(AUDIT, len(q))).astype(int))
-    truth = [set(np.flatnonzero(x @ q[i] >= least).tolist()) for i in sample]
+    truth = _audited(x, q, least, reps, own)
+    if not truth:
+        return [np.empty(0, np.int64)] * len(q)
     beam = BEAM
     while beam < len(x):
-        hit = sum(len(t & set(graph.search(q32[i], beam, floor))) for i, t in zip(sample, truth))
-        if hit >= RECALL * sum(map(len, truth)):
+        hit = sum(len(t & set(graph.search(q32[i], beam, floor))) for i, t in truth)
+        if hit >= RECALL * sum(len(t) for _, t in truth):
             break
         beam *= 2
     out = []
@@ -234,7 +253,7 @@ def near_duplicates(vectors: DataFrame, least: float = THRESHOLD) -> DataFrame:
                 g, x = load(r)
                 q = np.frombuffer(r["q_xs"]).reshape(len(r["q_reps"]) // 8, -1)
                 reps, copies, own = np.frombuffer(r["reps"], np.int64), np.frombuffer(r["copies"], np.int64), np.frombuffer(r["q_reps"], np.int64)
-                found = _search_block(g, x, q, least)
+                found = _search_block(g, x, q, least, reps, own)
                 n = np.array([int(copies[c].sum()) - int(copies[c][reps[c] == own[i]].sum()) for i, c in enumerate(found)], np.int64)
                 a = np.concatenate([np.full(len(c), i) for i, c in enumerate(found)] or [np.empty(0, np.int64)]).astype(np.int64)
                 c = np.concatenate(found or [np.empty(0, np.int64)])

@@ -302,6 +302,38 @@ def test_embeddings(spark, sf):
     assert got[9001].component_id == rows[0][0] and not got[9001].kept and got[9002].kept
 
 
+def test_embedding_audit_needs_true_partners():
+    class Narrow:
+        """Finds a query itself at any beam, and others from a beam of 100 on."""
+
+        def search(self, q, beam, floor):
+            hits = np.flatnonzero(x @ q >= floor)
+            return [j for j in hits if beam >= 100 or x[j] @ q > 0.9999]
+
+    x = np.eye(400)
+    x[101] = 0.95 * x[100] + np.sqrt(1 - 0.95**2) * x[101]
+    ids = np.arange(400)
+    own = embed_hnsw._search_block(Narrow(), x, x, 0.93, ids, ids)
+    assert {100, 101} == set(own[100].tolist()) == set(own[101].tolist())
+    other = embed_hnsw._search_block(Narrow(), x, np.concatenate([np.roll(np.eye(400), 1, 1)[:100] * -1, x[101:102]]), 0.93, ids, ids[:101] + 1000)
+    assert set(other[100].tolist()) == {100, 101} and not any(len(c) for c in other[:100])
+
+
+def test_embeddings_over_small_shards(spark, monkeypatch):
+    monkeypatch.setattr(embed_hnsw, "SHARD", 60)
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(450, 24))
+    near = base[:150] + 0.2 * rng.normal(size=(150, 24))
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(np.concatenate([base, near]))]
+    got = {r.vec_id: r for r in embed_hnsw.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int")).collect()}
+    x = np.array([v for _, v, _ in rows], np.float32).astype(float)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    links = (x @ x.T >= 0.93).sum(axis=1) - 1
+    found = sum(got[i].n_links for i in range(len(x)))
+    print("links", links.sum(), "found", found)
+    assert all(got[i].n_links <= n for i, n in enumerate(links)) and found >= 0.98 * links.sum() > 200
+
+
 def test_registered_queries_run(spark, sf):
     from __spark_entry__ import queries as every
 
