@@ -25,26 +25,37 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Fixed value: Spark's switch for deleting an execution's shuffle files when it ends.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Cut lineage: write ``df`` as a table in the shared folder and read it back.
 
     A lost executor costs nothing then, and both passes of a two-pass operator
-    see the same rows in the same order.
+    see the same rows in the same order. The shuffle files of the write go when it ends,
+    not when the driver happens to collect its garbage.
     """
-    path = f"{shared_root(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    spark = df.sparkSession
+    path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
+    before = spark.conf.get(_CLEAN)
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
+    out = spark.read.schema(df.schema).parquet(path)
     out._helix_path = path
     return out
 
 
-def release(df: DataFrame) -> None:
-    """Delete a table made by :func:`materialize` that no later plan reads."""
-    path = getattr(df, "_helix_path", None)
-    if path:
-        jvm = df.sparkSession._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+def release(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`materialize` that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_helix_path", None)
+        if path:
+            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def parts(spark: SparkSession) -> int:
@@ -110,11 +121,12 @@ class Packer:
 
     A task hands over numpy columns; when ``limit`` records have gathered they are
     dealt by ``key mod buckets`` and leave as a few large binary rows, so the
-    shuffle moves bytes and not one JVM row for each record.
+    shuffle moves bytes and not one JVM row for each record. ``split(cols)`` may set records
+    aside; those are dealt by their second column, under negative bucket numbers.
     """
 
-    def __init__(self, buckets: int, limit: int = 1_000_000, distinct: bool = False):
-        self.buckets, self.limit, self.distinct, self.held, self.n = buckets, limit, distinct, [], 0
+    def __init__(self, buckets: int, limit: int = 1_000_000, distinct: bool = False, split=None):
+        self.buckets, self.limit, self.distinct, self.split, self.held, self.n = buckets, limit, distinct, split, [], 0
 
     def add(self, *cols: np.ndarray):
         self.held.append(cols)
@@ -133,7 +145,15 @@ class Packer:
             keep = np.ones(len(order), bool)
             keep[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in cols])
             cols = [c[keep] for c in cols]
-        b = (cols[0] % np.uint64(self.buckets)).astype(np.int32)
+        aside = []
+        if self.split:
+            cols, aside = self.split(cols)
+        yield from self._deal((cols[0] % np.uint64(self.buckets)).astype(np.int32), cols)
+        if aside:
+            yield from self._deal(-1 - (mix(aside[1].view(np.uint64)) % np.uint64(self.buckets)).astype(np.int32), aside)
+
+    @staticmethod
+    def _deal(b: np.ndarray, cols: list[np.ndarray]):
         order = np.argsort(b, kind="stable")
         starts, lens = runs(b[order])
         cols = [c[order] for c in cols]
@@ -156,3 +176,25 @@ def unpack(batches, dtypes: list) -> list[np.ndarray]:
         for k in range(len(dtypes)):
             cols[k].extend(batch.column(f"c{k}").to_pylist())
     return [np.frombuffer(b"".join(c), dt) for c, dt in zip(cols, dtypes)]
+
+
+def key_groups(batches, keys: list[str]):
+    """Row groups of equal ``keys`` from batches that are sorted by them, one table at a time."""
+    held: list[pa.RecordBatch] = []
+    last = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        cut = np.flatnonzero(np.logical_or.reduce([c[1:] != c[:-1] for c in cols])) + 1
+        if held and tuple(c[0] for c in cols) != last:
+            yield pa.Table.from_batches(held)
+            held = []
+        at = 0
+        for x in cut:
+            yield pa.Table.from_batches([*held, b.slice(at, x - at)])
+            held, at = [], x
+        held.append(b.slice(at))
+        last = tuple(c[-1] for c in cols)
+    if held:
+        yield pa.Table.from_batches(held)

@@ -4,15 +4,19 @@ A document's set of 5-word shingles toggles bits of a sketch, so the Hamming
 distance of two sketches is at most the symmetric difference of the sets. With
 Jaccard >= 0.75 that difference is at most a seventh of both sizes together. Per band of set
 sizes the (wide, sparse) sketch is cut into more blocks than that, so two linked
-sets agree in a block that is not empty; blocks are joined by a 64-bit XOR code of
-their odd positions. Candidates pass a dense sketch's Hamming bound, then the exact
-sets decide.
-
-Equal sets are one class throughout (a hash of the set), so copies cost nothing. In
-a block's bucket every class is tried against the smallest one (a star, linear), and,
-where the verified links leave several components, against further pivots (a few
-linear rounds). Only classes that are in different components even then are compared
-with each other, in blocks of bounded size, behind the Hamming bound.
+sets agree in a block; a block's key is a 64-bit XOR code of its odd positions. A set
+emits its fullest blocks, one more than may differ: the order depends on a block's content
+only, so the prefixes of two linked sets meet, and blocks of several shingles seldom
+agree by chance.
+
+1. Buckets of equal codes become groups: all that share a bucket with its smallest class
+   are one group. A code that is frequent in a task already is a group of its own, so its
+   members never gather in one task. Equal sets are one class throughout, so copies cost
+   nothing.
+2. Star: every member of a group is tried against the group's smallest class (Hamming
+   bound of dense sketches, then the exact sets). Verified links are contracted.
+3. Members of a group that lie in different components even then are compared with each
+   other, in tiles of bounded size, behind the Hamming bound; the exact sets decide.
 """
 
 from __future__ import annotations
@@ -23,18 +27,24 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Packer, components, materialize, mix, parts, runs, unpack
+from .common import Packer, components, key_groups, materialize, mix, parts, release, runs
 
 WORDS, NUM, DEN = 5, 75, 100
-BLOCK_MEMBERS = 1024
-#: Rounds that try every open member against another pivot of its bucket before all pairs across components.
-PIVOT_ROUNDS = 4
+#: Members of one side of a tile of sketches, and of a tile of sets.
+TILE, SET_TILE = 256, 128
+#: Members of one code among the records of one flush from which the code is a group of its own.
+HOT = 64
+#: Candidate ids up to which they are broadcast to the texts; beyond it the texts are shuffled.
+BROADCAST_ROWS = 200_000
+#: Blocks a band has at least, so that small sets have more blocks with content than may differ.
+MIN_BLOCKS = 64
 _MUL = np.uint64(0xD6E8FEB86659FD93)
+_EMPTY_GROUP = np.uint64(0x51ED270B)
 
 
 class Words(dict):
     def __missing__(self, w: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 250_000:
             self.clear()
         v = self[w] = xxhash.xxh3_64_intdigest(w)
         return v
@@ -54,11 +64,10 @@ def shingle_set(text: str | None, memo: dict, k: int = WORDS) -> np.ndarray:
     return np.unique(mix(h))
 
 
-def class_hash(s: np.ndarray) -> int:
-    if not len(s):
-        return 0
-    h = mix(np.array([mix(s, 1).sum(dtype=np.uint64) ^ np.bitwise_xor.reduce(mix(s, 2)), len(s)], np.uint64), 3)
-    return int((h[:1] ^ (h[1:] << np.uint64(1)))[0]) | 1
+def class_hash(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, as two signed longs; the first is never 0."""
+    h = xxhash.xxh3_128_intdigest(s.tobytes())
+    return int(np.uint64(h & ((1 << 64) - 1)).astype(np.int64)) or 1, int(np.uint64(h >> 64).astype(np.int64))
 
 
 def band(n: int) -> int:
@@ -66,8 +75,8 @@ def band(n: int) -> int:
 
 
 def sketch_bits(n: int) -> int:
-    """Bits of the dense sketch of a set of n: a power of two, at least twice the band's largest size."""
-    return max(64, 4 << band(n))
+    """Bits of the dense sketch of a set of n: a power of two, at least four times the band's largest size."""
+    return max(64, 8 << band(n))
 
 
 def dense_sketch(s: np.ndarray) -> bytes:
@@ -83,15 +92,15 @@ def block_codes(s: np.ndarray) -> np.ndarray:
     g = band(n)
     for b in (g, g + 1) if NUM * (2 << g) <= DEN * n else (g,):
         top = (2 << b) - 1
-        blocks = (5 * (2 * top // 7 + 1)) // 4 + 1
+        blocks = max(MIN_BLOCKS, (5 * (2 * top // 7 + 1)) // 4 + 1)
         most = (n + min(top, DEN * n // NUM)) // 7
         part = (mix(s, 10 + b) % np.uint64(blocks)).astype(np.int64)
         order = np.argsort(part)
-        starts, _ = runs(part[order])
+        starts, sizes = runs(part[order])
         code = np.bitwise_xor.reduceat(mix(s, 100)[order], starts)
         keys = mix(code + part[order][starts].astype(np.uint64) * _MUL, 200 + b)
-        if len(keys) > most:  # enough blocks with content: the smallest codes of both sets must meet
-            out.append(np.partition(keys, most)[: most + 1] if len(keys) > most + 1 else keys)
+        if len(keys) > most:  # enough blocks with content: the fullest of both sets must meet
+            out.append(keys[np.lexsort((keys, -sizes))[: most + 1]] if len(keys) > most + 1 else keys)
         else:  # agreement may be in blocks that are empty in both
             empty = np.setdiff1d(np.arange(blocks), part)
             out += [keys, mix(empty.astype(np.uint64) * _MUL, 200 + b)]
@@ -99,54 +108,92 @@ def block_codes(s: np.ndarray) -> np.ndarray:
 
 
 def _sets(docs: DataFrame, make) -> DataFrame:
-    """``doc_id, n, cls, sketch``: set size, class (0: empty set) and dense sketch of every row."""
+    """``doc_id, n, h1, h2, sketch``: set size, class and dense sketch of every row."""
 
     def run(batches):
         memo = Words()
         for b in batches:
-            n, c, sk = [], [], []
+            n, h1, h2, sk = [], [], [], []
             for t in b.column(1).to_pylist():
                 s = make(t, memo)
                 n.append(len(s))
-                c.append(np.uint64(class_hash(s)).astype(np.int64))
+                x, y = class_hash(s)
+                h1.append(x)
+                h2.append(y)
                 sk.append(dense_sketch(s) if len(s) else b"")
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(c, pa.int64()), pa.array(sk, pa.binary())], ["doc_id", "n", "cls", "sketch"])
+            longs = [pa.array(c, pa.int64()) for c in (n, h1, h2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), *longs, pa.array(sk, pa.binary())], ["doc_id", "n", "h1", "h2", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, cls long, sketch binary")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch binary")
 
 
-def _buckets(docs: DataFrame, make) -> DataFrame:
-    """``code, cls, pivot``: members of buckets with two classes or more; pivot: the smallest class."""
-    spark = docs.sparkSession
-    p = parts(spark)
+def _hot(cols: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Splits sorted distinct (code, class) records: those that stay, with a mark (class 0) for
+    every code that is frequent here, and the members of such codes."""
+    starts, lens = runs(cols[0])
+    many = lens > HOT
+    if not many.any():
+        return cols, []
+    inside = np.repeat(many, lens)
+    marks = cols[0][starts[many]]
+    stay = [np.concatenate([cols[0][~inside], marks]), np.concatenate([cols[1][~inside], np.zeros(len(marks), np.int64)])]
+    return stay, [c[inside] for c in cols]
+
+
+def _group_of(code: np.ndarray) -> np.ndarray:
+    return mix(code ^ _EMPTY_GROUP, 7).view(np.int64)
+
+
+def _groups(docs: DataFrame, make) -> DataFrame:
+    """``g, h``: distinct members of groups; two classes that share a bucket are in one group, or both in its star."""
+    p = parts(docs.sparkSession)
 
     def deal(batches):
-        memo, pack = Words(), Packer(4 * p, distinct=True)
+        memo, pack = Words(), Packer(4 * p, limit=600_000, distinct=True, split=_hot)
         for b in batches:
             for t in b.column(0).to_pylist():
                 s = make(t, memo)
                 if len(s):
                     k = block_codes(s)
-                    yield from pack.add(k, np.full(len(k), class_hash(s), np.uint64))
+                    yield from pack.add(k, np.full(len(k), class_hash(s)[0], np.int64))
         yield from pack.flush()
 
+    def send(g, h):
+        for i in range(0, len(g), 100_000):
+            yield pa.RecordBatch.from_arrays([pa.array(g[i : i + 100_000]), pa.array(h[i : i + 100_000])], ["g", "h"])
+
     def meet(batches):
-        k, c = unpack(batches, [np.uint64, np.uint64])
+        kept: list[list[bytes]] = [[], []]
+        for b in batches:
+            for bucket, x, y in zip(*(b.column(k).to_pylist() for k in ("bucket", "c0", "c1"))):
+                if bucket < 0:  # members of codes that are groups of their own
+                    yield from send(_group_of(np.frombuffer(x, np.uint64)), np.frombuffer(y, np.int64))
+                else:
+                    kept[0].append(x)
+                    kept[1].append(y)
+        k, c = np.frombuffer(b"".join(kept[0]), np.uint64), np.frombuffer(b"".join(kept[1]), np.int64)
+        kept.clear()
+        if not len(k):
+            return
         order = np.lexsort((c, k))
         k, c = k[order], c[order]
-        if len(k):
-            keep = np.ones(len(k), bool)
-            keep[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
-            k, c = k[keep], c[keep]
+        keep = np.ones(len(k), bool)
+        keep[1:] = (k[1:] != k[:-1]) | (c[1:] != c[:-1])
+        k, c = k[keep], c[keep]
         starts, lens = runs(k)
-        many = np.repeat(lens > 1, lens)
-        pivot = np.repeat(c[starts], lens) if len(k) else c
-        k, c, pivot = k[many], c[many], pivot[many]
-        for i in range(0, len(k), 100_000):
-            yield pa.RecordBatch.from_arrays([pa.array(x[i : i + 100_000].view(np.int64)) for x in (k, c, pivot)], ["code", "cls", "pivot"])
+        marked = np.bincount(np.repeat(np.arange(len(starts)), lens)[c == 0], minlength=len(starts)) > 0
+        own = np.repeat(marked, lens)
+        yield from send(_group_of(k[own & (c != 0)]), c[own & (c != 0)])
+        many = np.repeat(~marked & (lens > 1), lens)
+        g, h = np.repeat(c[starts], lens)[many], c[many]
+        order = np.lexsort((h, g))
+        g, h = g[order], h[order]
+        keep = np.ones(len(g), bool)
+        keep[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1])
+        yield from send(g[keep], h[keep])
 
     dealt = docs.select(F.col("text").cast("string")).mapInArrow(deal, Packer.schema(2))
-    return dealt.repartition(p, "bucket").mapInArrow(meet, "code long, cls long, pivot long")
+    return dealt.repartition(p, "bucket").mapInArrow(meet, "g long, h long").distinct()
 
 
 def _fold(sketches: list[bytes], size: int) -> np.ndarray:
@@ -165,95 +212,148 @@ def may_link(na, nb, distance) -> np.ndarray:
     return (DEN * (na + nb - distance) >= NUM * union2) & (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb))
 
 
-def _sketch_filter(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs ``a, b`` of classes that pass the Hamming bound."""
-    side = lambda x: classes.select(F.col("cls").alias(x), F.col("n").alias(f"n{x}"), F.col("sketch").alias(f"s{x}"))
+def near_pairs(n: np.ndarray, sketches: list[bytes], left: np.ndarray, allowed) -> list[tuple[int, np.ndarray]]:
+    """``(x, others)`` that pass the Hamming bound, x in ``left``; ``allowed(x, others)`` is a mask.
+
+    Linked sets differ by less than a third in size, so their sketches are of one length or
+    one is twice the other, which is then folded once.
+    """
+    size = np.array([len(s) for s in sketches])
+    found = []
+    for length in np.unique(size):
+        for other_length in (length, 2 * length):
+            same = other_length == length
+            rows, cols = np.flatnonzero(size == length), np.flatnonzero(size == other_length)
+            if not len(rows) or not len(cols):
+                continue
+            f = _fold([sketches[i] for i in cols], int(length))
+            mine = f if same else _fold([sketches[i] for i in rows], int(length))
+            for k, x in enumerate(rows):
+                ok = np.flatnonzero(allowed(x, cols) & (left[x] | left[cols]) & ((cols > x) if same else True))
+                if len(ok):
+                    d = np.bitwise_count(f[ok] ^ mine[k]).sum(1).astype(np.int64)
+                    ok = ok[may_link(n[cols[ok]], n[x], d)]
+                    if len(ok):
+                        found.append((int(x), cols[ok]))
+    return found
+
+
+_PAIRS = "a long, b long, la long, lb long, g long"
+
+
+def _send_pairs(g: int, rep: np.ndarray, label: np.ndarray, found):
+    if found:
+        x = np.concatenate([np.full(len(o), i) for i, o in found])
+        y = np.concatenate([o for _, o in found])
+        x, y = np.where(rep[x] <= rep[y], x, y), np.where(rep[x] <= rep[y], y, x)
+        keep = rep[x] != rep[y]
+        cols = [rep[x], rep[y], label[x], label[y], np.full(len(x), g)]
+        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["a", "b", "la", "lb", "g"])
+
+
+def _once(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("a", "b", "la", "lb").agg(F.min("g").alias("g"))
+
+
+def _tile_of(x: str, count) -> F.Column:
+    return F.pmod(F.xxhash64(x), count).cast("int")
+
+
+def _star(members: DataFrame, p: int) -> DataFrame:
+    """Pairs of a group's first class and another member that pass the Hamming bound."""
+    tiles = F.ceil(F.col("m") / TILE).cast("int")
+    rest = members.where("h <> top").select("g", _tile_of("rep", tiles).alias("i"), F.lit(1).alias("kind"), "rep", "n", "sketch")
+    tops = members.where("h = top").select("g", F.explode(F.sequence(F.lit(0), tiles - 1)).alias("i"), F.lit(0).alias("kind"), "rep", "n", "sketch")
+
+    def run(batches):
+        for t in key_groups(batches, ["g", "i"]):
+            kind, rep, n = (t.column(c).to_numpy() for c in ("kind", "rep", "n"))
+            top = kind == 0
+            found = near_pairs(n, t.column("sketch").to_pylist(), top, lambda x, o: top[x] != top[o])
+            yield from _send_pairs(t.column("g")[0].as_py(), rep, rep, found)
+
+    dealt = rest.union(tops).repartition(p, "g", "i").sortWithinPartitions("g", "i")
+    return _once(dealt.mapInArrow(run, _PAIRS))
+
+
+def _crossing(members: DataFrame, comp: DataFrame, p: int) -> DataFrame:
+    """Pairs of a group across components that pass the Hamming bound, from tiles of bounded size."""
+    named = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+    named = named.select("g", "m", "rep", "label", "n", "sketch")
+    still = named.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
+    tiles = F.ceil(F.col("m") / TILE).cast("int")
+    dealt = named.join(still, "g", "left_semi").withColumn("i", _tile_of("rep", tiles)).withColumn("j", F.explode(F.sequence(F.lit(0), tiles - 1)))
+    dealt = dealt.select("g", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "rep", "label", "n", "sketch")
+
+    def run(batches):
+        for t in key_groups(batches, ["g", "lo", "hi"]):
+            rep, label, n, i = (t.column(c).to_numpy() for c in ("rep", "label", "n", "i"))
+            own = t.column("lo")[0] == t.column("hi")[0]
+            if label.min() == label.max():
+                continue
+            cross = lambda x, o: (label[o] != label[x]) & (own | (i[o] != i[x]))
+            found = near_pairs(n, t.column("sketch").to_pylist(), np.ones(len(n), bool), cross)
+            yield from _send_pairs(t.column("g")[0].as_py(), rep, label, found)
+
+    return _once(dealt.repartition(p, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi").mapInArrow(run, _PAIRS))
+
+
+def _sets_of(pairs: DataFrame, docs: DataFrame, make, had: DataFrame | None = None) -> DataFrame:
+    """``rep, set`` of the documents in ``pairs`` that ``had`` has not; only their texts are read again."""
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    wanted = materialize(wanted if had is None else wanted.join(had.select("rep"), "rep", "left_anti"), "parity-wanted")
 
     def run(batches):
-        for t in batches:
-            na, nb = t.column(2).to_numpy(), t.column(4).to_numpy()
-            keep = DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb)
-            t = t.filter(pa.array(keep))
-            d = []
-            for x, y in zip(t.column(3).to_pylist(), t.column(5).to_pylist()):
-                f = _fold([x, y], min(len(x), len(y)))
-                d.append(int(np.bitwise_count(f[0] ^ f[1]).sum()))
-            ok = may_link(t.column(2).to_numpy(), t.column(4).to_numpy(), np.array(d, np.int64))
-            t = t.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"])
-
-    both = pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "na", "sa", "nb", "sb")
-    return both.mapInArrow(run, "a long, b long")
-
-
-def _verify(pairs: DataFrame, docs: DataFrame, reps: DataFrame, make) -> DataFrame:
-    """Pairs of classes whose exact sets reach the threshold. Only texts in a pair are read again."""
-    wanted = pairs.select(F.col("a").alias("cls")).union(pairs.select(F.col("b").alias("cls"))).distinct().join(reps.select("cls", "rep"), "cls")
-
-    def sets(batches):
         memo = Words()
         for t in batches:
-            yield pa.RecordBatch.from_arrays([t.column(0), pa.array([make(x, memo).tobytes() for x in t.column(1).to_pylist()], pa.binary())], ["cls", "set"])
+            yield pa.RecordBatch.from_arrays([t.column(0), pa.array([make(x, memo).tobytes() for x in t.column(1).to_pylist()], pa.binary())], ["rep", "set"])
 
-    def check(batches):
-        for t in batches:
-            ok = []
-            for x, y in zip(t.column(2).to_pylist(), t.column(3).to_pylist()):
-                a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                both = len(np.intersect1d(a, b, assume_unique=True))
-                ok.append(DEN * both >= NUM * (len(a) + len(b) - both))
-            t = t.filter(pa.array(ok, pa.bool_()))
-            yield pa.RecordBatch.from_arrays([t.column(0), t.column(1)], ["a", "b"])
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(wanted, "rep")
-    found = materialize(texts.select("cls", "text").mapInArrow(sets, "cls long, set binary"), "parity-sets")
-    side = lambda x: found.select(F.col("cls").alias(x), F.col("set").alias(f"s{x}"))
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "sa", "sb").mapInArrow(check, "a long, b long").distinct()
-
-
-def _crossing(members: DataFrame, p: int) -> DataFrame:
-    """Pairs across components inside a bucket, from blocks of bounded size, that pass the Hamming bound."""
-    size = members.groupBy("code").agg(F.count("*").alias("m"))
-    blocks = members.join(size, "code").withColumn("nb", F.ceil(F.col("m") / BLOCK_MEMBERS).cast("int"))
-    blocks = blocks.withColumn("i", F.pmod(F.xxhash64("cls"), F.col("nb")).cast("int"))
-    dealt = blocks.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)))
-    dealt = dealt.select("code", F.least("i", "j").alias("lo"), F.greatest("i", "j").alias("hi"), "i", "cls", "label", "n", "sketch")
+    small = wanted.count() <= BROADCAST_ROWS
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(F.broadcast(wanted) if small else wanted, "rep")
+    out = materialize(texts.select("rep", "text").mapInArrow(run, "rep long, set binary"), "parity-sets")
+    release(wanted)
+    return out
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, p: int) -> DataFrame:
+    """``a, b``: labels of the pairs whose exact sets reach the threshold.
+
+    Pairs of a group are dealt to tiles, so a set travels once for each tile and not for each pair.
+    """
+    ends = lambda t: t.withColumn("x", F.explode(F.array("a", "b")))
+    size = ends(pairs).select("g", "x").distinct().groupBy("g").agg(F.ceil(F.count("*") / SET_TILE).cast("int").alias("tiles"))
+    tiled = pairs.join(size, "g").withColumn("i", _tile_of("a", F.col("tiles"))).withColumn("j", _tile_of("b", F.col("tiles")))
+    no = F.lit(None).cast("long")
+    carried = ends(tiled).select("g", "i", "j", "x").distinct().join(sets.withColumnRenamed("rep", "x"), "x")
+    rows = carried.select("g", "i", "j", F.lit(0).alias("kind"), F.col("x").alias("a"), no.alias("b"), no.alias("la"), no.alias("lb"), "set")
+    rows = rows.union(tiled.select("g", "i", "j", F.lit(1), "a", "b", "la", "lb", F.lit(None).cast("binary")))
 
     def run(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows)
-        key = np.zeros(t.num_rows, np.uint64)
-        for c in ("code", "lo", "hi"):
-            key = mix(key ^ t.column(c).to_numpy().astype(np.int64).view(np.uint64))
-        order = np.argsort(key, kind="stable")
-        i, cls, label, n = (t.column(c).to_numpy()[order] for c in ("i", "cls", "label", "n"))
-        lo, hi = t.column("lo").to_numpy()[order], t.column("hi").to_numpy()[order]
-        sk = t.column("sketch").take(pa.array(order)).to_pylist()
-        a_out, b_out = [], []
-        for s, m in zip(*runs(key[order])):
-            g = slice(s, s + m)
-            f = _fold(sk[g], min(map(len, sk[g])))
-            for x in range(m):
-                other = np.arange(x + 1, m) if lo[s] == hi[s] else (np.flatnonzero(i[g] == hi[s]) if i[s + x] == lo[s] else np.empty(0, np.int64))
-                other = other[label[g][other] != label[s + x]]
-                if len(other):
-                    d = np.bitwise_count(f[other] ^ f[x]).sum(1).astype(np.int64)
-                    other = other[may_link(n[g][other], n[s + x], d)]
-                    a_out.append(np.minimum(cls[g][other], cls[s + x]))
-                    b_out.append(np.maximum(cls[g][other], cls[s + x]))
-        if a_out:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a_out)), pa.array(np.concatenate(b_out))], ["a", "b"])
-
-    return dealt.repartition(p, "code", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
-
-
-def _open_members(rest: DataFrame, comp: DataFrame) -> DataFrame:
-    """``code, cls, label`` of the buckets whose members lie in several components."""
-    named = rest.join(comp.withColumnRenamed("node", "cls"), "cls", "left").select("code", "cls", F.coalesce("component", "cls").alias("label"))
-    open_codes = named.groupBy("code").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("code")
-    return named.join(open_codes, "code", "left_semi")
+        for t in key_groups(batches, ["g", "i", "j"]):
+            kind = t.column("kind").to_numpy()
+            held: dict[int, set[bytes]] = {}
+            own = t.filter(pa.array(kind == 0))
+            for x, s in zip(own.column("a").to_pylist(), own.column("set").to_pylist()):
+                held.setdefault(x, set()).add(s)
+            arrays = {x: [np.frombuffer(s, np.uint64) for s in v] for x, v in held.items()}
+            linked = set()
+            for a, b, la, lb in zip(*(t.filter(pa.array(kind == 1)).column(c).to_pylist() for c in ("a", "b", "la", "lb"))):
+                if (la, lb) not in linked and any(reaches(u, v) for u in arrays[a] for v in arrays[b]):
+                    linked.add((la, lb))
+            if linked:
+                u, v = zip(*linked)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
+
+    dealt = rows.repartition(p, "g", "i", "j").sortWithinPartitions("g", "i", "j", "kind")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
+
+
+def reaches(a: np.ndarray, b: np.ndarray) -> bool:
+    """Jaccard of two sorted distinct sets is at least NUM / DEN."""
+    if not len(a) or not len(b) or DEN * min(len(a), len(b)) < NUM * max(len(a), len(b)):
+        return False
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
 def jaccard_components(docs: DataFrame, make=shingle_set) -> DataFrame:
@@ -261,39 +361,42 @@ def jaccard_components(docs: DataFrame, make=shingle_set) -> DataFrame:
 
     component_id is the smallest doc_id reachable by links. Null, empty and blank texts
     have an empty set and link with nothing; fewer than five words are one shingle;
-    repeated rows are copies of each other. A row without doc_id gets a null component.
+    repeated rows are copies of each other. Rows that share a doc_id are one document, which
+    links wherever one of its texts does. A row without doc_id gets a null component and
+    links with nothing. Columns other than ``doc_id`` and ``text`` are not read.
     ``make(text, memo)`` builds another set (sorted distinct uint64) than word shingles.
     """
     p = parts(docs.sparkSession)
     sets = materialize(_sets(docs, make), "parity-rows")
-    live = sets.where("cls <> 0 and doc_id is not null")
-    classes = materialize(live.groupBy("cls").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "parity-classes")
-    buckets = materialize(_buckets(docs.where(F.col("doc_id").isNotNull()), make), "parity-buckets")
-    star = buckets.where("cls <> pivot").select(F.col("cls").alias("a"), F.col("pivot").alias("b")).distinct()
-    tried = materialize(_sketch_filter(star, classes), "parity-pairs")
-    links = materialize(_verify(tried, docs, classes, make), "parity-links")
+    live = sets.where("n > 0 and doc_id is not null")
+    classes = materialize(live.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "parity-classes")
+    rows = live.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep")
+    several = rows.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
+    shared = rows.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
+
+    groups = materialize(_groups(docs.where(F.col("doc_id").isNotNull()), make), "parity-groups")
+    size = groups.groupBy("g").agg(F.count("*").alias("m"), F.min("h").alias("top"))
+    known = classes.select(F.col("h1").alias("h"), "rep", "n", "sketch")
+    members = materialize(groups.join(size, "g").join(known, "h").select("g", "m", "top", "h", "rep", "n", "sketch"), "parity-members")
+    release(groups)
+
+    pairs = materialize(_star(members, p), "parity-pairs")
+    exact = _sets_of(pairs, docs, make)
+    links = materialize(_verified(pairs, exact, p).union(shared), "parity-links")
     first = materialize(components(links), "parity-first")
 
-    rest = buckets.where("cls <> pivot").select("code", "cls")
-    for r in range(PIVOT_ROUNDS):
-        members = _open_members(rest, first)
-        pivots = members.groupBy("code").agg(F.min_by(F.struct("cls", "label"), F.xxhash64("code", "cls", F.lit(r))).alias("p"))
-        pairs = members.join(pivots, "code").where(F.col("label") != F.col("p.label"))
-        tried = materialize(_sketch_filter(pairs.select(F.least("cls", "p.cls").alias("a"), F.greatest("cls", "p.cls").alias("b")).distinct(), classes), "parity-pairs")
-        new = materialize(_verify(tried, docs, classes, make), "parity-links")
-        if not new.limit(1).count():
-            break
-        links = links.union(new)
-        first = materialize(components(links), "parity-first")
-    members = _open_members(rest, first).join(classes.select("cls", "n", "sketch"), "cls")
-    crossing = materialize(_crossing(members, p), "parity-crossing")
-    more = _verify(crossing, docs, classes, make)
-    linked = components(links.union(more))
-
-    named = classes.select("cls", "rep").join(linked.withColumnRenamed("node", "cls"), "cls")
-    smallest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
-    final = named.join(smallest, "component").select("cls", "component_id")
-    final = classes.select("cls", "rep").join(final, "cls", "left").select("cls", F.coalesce("component_id", "rep").alias("component_id"))
-    return sets.select("doc_id", "n", "cls").join(final, "cls", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.when(F.col("cls") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id"))).alias("component_id")
-    )
+    crossing = materialize(_crossing(members, first, p), "parity-crossing")
+    release(members, pairs)
+    further = _sets_of(crossing, docs, make, exact)
+    more = materialize(_verified(crossing, exact.union(further), p), "parity-links")
+    release(exact, further, crossing)
+    second = materialize(components(more), "parity-second")
+
+    label = classes.select("h1", "h2", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
+    label = label.drop("component").join(second.withColumnRenamed("node", "label"), "label", "left")
+    label = label.select("h1", "h2", F.coalesce("component", "label").alias("component_id"))
+    found = sets.select("doc_id", F.col("n").alias("n_shingles"), "h1", "h2").join(label, ["h1", "h2"], "left")
+    own = F.when(F.col("n_shingles") == 0, F.col("doc_id")).otherwise(F.when(F.col("doc_id").isNotNull(), F.col("component_id")))
+    out = materialize(found.select("doc_id", "n_shingles", own.alias("component_id")), "parity-result")
+    release(sets, classes, links, more, first, second)
+    return out

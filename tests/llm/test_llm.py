@@ -91,8 +91,12 @@ def test_jaccard(spark, real):
         assert got == brute.jaccard_components(docs)
 
 
-def test_jaccard_near_copies_in_one_bucket(spark, monkeypatch):
-    monkeypatch.setattr(parity_join, "BLOCK_MEMBERS", 4)
+@pytest.mark.parametrize("hot", [3, 64])
+def test_jaccard_near_copies_in_one_bucket(spark, monkeypatch, hot):
+    """Tiles of a few members; with hot = 3 frequent codes become groups of their own."""
+    monkeypatch.setattr(parity_join, "TILE", 4)
+    monkeypatch.setattr(parity_join, "SET_TILE", 3)
+    monkeypatch.setattr(parity_join, "HOT", hot)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(120)]
     docs = []
@@ -110,6 +114,20 @@ def test_jaccard_repeated_rows_and_null_ids(spark):
     assert sorted((r.doc_id or 0, r.component_id or 0) for r in got) == [(0, 0), (0, 0), (4, 4), (5, 4), (5, 4)]
 
 
+def test_jaccard_shared_passage_and_texts_of_one_id(spark, monkeypatch):
+    monkeypatch.setattr(parity_join, "HOT", 5)
+    rng = np.random.default_rng(8)
+    words = lambda n: " ".join(f"u{x}" for x in rng.integers(0, 10**6, n))
+    passage = words(60)
+    docs = [(k, f"{words(30)} {passage} {words(30 if k % 3 else 2)}") for k in range(40)]
+    docs += [(k, passage + " " + words(5 + k % 7)) for k in range(40, 60)]
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in parity_join.jaccard_components(frame(spark, docs)).collect()}
+    assert got == brute.jaccard_components(docs)
+    x, y = words(50), words(50)
+    got = parity_join.jaccard_components(frame(spark, [(7, x), (7, y), (3, x + " more"), (5, y), (9, y + " even more")])).collect()
+    assert {(r.doc_id, r.component_id) for r in got} == {(d, 3) for d in (3, 5, 7, 9)}
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.integers(1, 400), st.integers(0, 60), st.integers(0, 60), st.integers(0, 10**6))
 def test_linked_sets_share_a_code(n, drop, add, seed):
