@@ -30,8 +30,8 @@ from pyspark.sql import functions as F
 from .common import Packer, components, key_groups, materialize, mix, parts, release, runs
 
 WORDS, NUM, DEN = 5, 75, 100
-#: Members of one side of a tile of sketches, and of a tile of sets.
-TILE, SET_TILE = 256, 128
+#: Members of one side of a tile of sketches, and of a tile of sets: a group is copied once for each tile of a side.
+TILE, SET_TILE = 2048, 128
 #: Members of one code among the records of one flush from which the code is a group of its own.
 HOT = 64
 #: Candidate ids up to which they are broadcast to the texts; beyond it the texts are shuffled.
