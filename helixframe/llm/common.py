@@ -49,13 +49,25 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
+def release_path(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+
+
 def release(*tables: DataFrame) -> None:
     """Delete tables made by :func:`materialize` that no later plan reads."""
     for df in tables:
         path = getattr(df, "_helix_path", None)
         if path:
-            p = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(df.sparkSession._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+            release_path(df.sparkSession, path)
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """``name``, lengthened until it clashes with no column (Spark's names ignore case)."""
+    low = {c.lower() for c in taken}
+    while name.lower() in low:
+        name += "_"
+    return name
 
 
 def parts(spark: SparkSession) -> int:

@@ -127,11 +127,11 @@ def _sets(docs: DataFrame, make) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch binary")
 
 
-def _hot(cols: list[np.ndarray]) -> tuple[list[np.ndarray], list[np.ndarray]]:
+def _hot(cols: list[np.ndarray], limit: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
     """Splits sorted distinct (code, class) records: those that stay, with a mark (class 0) for
     every code that is frequent here, and the members of such codes."""
     starts, lens = runs(cols[0])
-    many = lens > HOT
+    many = lens > limit
     if not many.any():
         return cols, []
     inside = np.repeat(many, lens)
@@ -146,10 +146,10 @@ def _group_of(code: np.ndarray) -> np.ndarray:
 
 def _groups(docs: DataFrame, make) -> DataFrame:
     """``g, h``: distinct members of groups; two classes that share a bucket are in one group, or both in its star."""
-    p = parts(docs.sparkSession)
+    p, hot = parts(docs.sparkSession), HOT
 
     def deal(batches):
-        memo, pack = Words(), Packer(4 * p, limit=600_000, distinct=True, split=_hot)
+        memo, pack = Words(), Packer(4 * p, limit=600_000, distinct=True, split=lambda cols: _hot(cols, hot))
         for b in batches:
             for t in b.column(0).to_pylist():
                 s = make(t, memo)

@@ -13,10 +13,12 @@ so all that can match meets under one key, wherever it lies.
    Streaming over the text, each position takes its matching statistic (the place and
    length of its match) from the nearest sample before it. Matches of 100 bytes or more
    chain equal windows; every window but the earliest of its chain is marked.
+   A key under which more than ``INDEX_CLASSES`` texts meet is split first: its texts are
+   segmented again by another minimizer, as often as needed, so an index is always small.
 3. A document's marked intervals are merged and cut out of its bytes.
 
-Keys with more than ``INDEX_CLASSES`` different texts skip the index; their windows are
-grouped by a 128-bit hash with a combinable minimum, which is exact as well.
+Copies are combined in each task before the shuffle: of a content that is frequent there
+only the earliest travels by its key. Contents are told apart by 128 bits.
 """
 
 from __future__ import annotations
@@ -28,25 +30,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Packer, materialize, mix, parts, runs, unpack
+from .common import Packer, fresh, materialize, mix, parts, release, runs, unpack
 
 LENGTH, GRAM = 100, 32
 WINDOWS = LENGTH - GRAM + 1
-INDEX_CLASSES = 20_000
+#: Texts of a key from which it is split by a further minimizer.
+INDEX_CLASSES = 1000
+#: Records of a key in one flush from which its copies are combined there, and different texts from which it is split.
+COMBINE, SPLIT = 16, 256
+#: Splits of a key; what is left then is indexed whatever its size.
+LEVELS = 16
 CHUNK_BYTES = 1 << 17
-_R = 0x9E6C63D0876A9A47 | 1
-_TABLE = mix(np.arange(256, dtype=np.uint64), 77)
-_POWERS = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Two independent polynomial hashes: multiplier and byte table.
+_BASES = (0x9E6C63D0876A9A47 | 1, 0xC2B2AE3D27D4EB4F | 1)
+_TABLES = (mix(np.arange(256, dtype=np.uint64), 77), mix(np.arange(256, dtype=np.uint64), 78))
+_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_POWERS[0]) < n:
+def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
+    if which not in _POWERS or len(_POWERS[which][0]) < n:
         size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_R, pow(_R, -1, 1 << 64))):
+        made = []
+        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
             steps = np.full(size, base, np.uint64)
             steps[0] = 1
-            _POWERS[k] = np.cumprod(steps, dtype=np.uint64)
-    return _POWERS[0], _POWERS[1]
+            made.append(np.cumprod(steps, dtype=np.uint64))
+        _POWERS[which] = (made[0], made[1])
+    return _POWERS[which]
 
 
 def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
@@ -59,29 +69,28 @@ def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
     return op(a[:-rest], a[rest:]) if rest else a
 
 
-def prefix_hash(data: bytes) -> np.ndarray:
-    v = np.zeros(len(data) + 1, np.uint64)
-    power, _ = _powers(len(data) + 1)
-    np.cumsum(_TABLE[np.frombuffer(data, np.uint8)] * power[: len(data)], out=v[1:])
-    return v
+def span_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
+    """Two independent 64-bit hashes of byte spans."""
+    raw, n, out = np.frombuffer(data, np.uint8), len(data), []
+    for which in (0, 1):
+        power, inverse = _powers(n + 1, which)
+        prefix = np.zeros(n + 1, np.uint64)
+        np.cumsum(_TABLES[which][raw] * power[:n], out=prefix[1:])
+        out.append(mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64)))
+    return out
 
 
-def span_hash(prefix: np.ndarray, start: np.ndarray, end: np.ndarray, salt: int = 0) -> np.ndarray:
-    _, inverse = _powers(len(prefix))
-    return mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64), salt)
-
-
-def segments(data: bytes) -> tuple[np.ndarray, ...]:
-    """key, content hash, start, number of windows, and whether a window may repeat inside."""
+def segments(data: bytes, level: int = 0) -> tuple[np.ndarray, ...]:
+    """key, two content hashes, start, number of windows, and whether a window may repeat inside."""
     n = len(data)
     if n < LENGTH:
         e = np.empty(0, np.uint64)
-        return e, e, e.astype(np.int64), e.astype(np.int64), e.astype(bool)
-    h, s = _TABLE[np.frombuffer(data, np.uint8)], 1
+        return e, e, e, e.astype(np.int64), e.astype(np.int64), e.astype(bool)
+    h, s = _TABLES[0][np.frombuffer(data, np.uint8)], 1
     while s < GRAM:
-        h = h[:-s] * np.uint64(pow(_R, s, 1 << 64)) + h[s:]
+        h = h[:-s] * np.uint64(pow(_BASES[0], s, 1 << 64)) + h[s:]
         s *= 2
-    h = mix(h, 5)
+    h = mix(h, 5 + level)
     low = _slide(h, WINDOWS, np.minimum)
     a, w = runs(low)
     edge = np.zeros(WINDOWS - 1, np.uint64)
@@ -89,7 +98,7 @@ def segments(data: bytes) -> tuple[np.ndarray, ...]:
     twice = np.flatnonzero((h[at[1:]] == h[at[:-1]]) & (np.diff(at) <= WINDOWS))
     again = np.zeros(len(a), bool)
     again[np.searchsorted(a, np.minimum(at[twice], len(low) - 1), side="right") - 1] = True
-    return low[a], span_hash(prefix_hash(data), a, a + w + LENGTH - 1), a, w, again
+    return low[a], *span_hashes(data, a, a + w + LENGTH - 1), a, w, again
 
 
 class RunLengthIndex:
@@ -190,49 +199,90 @@ def _intervals(starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts[np.concatenate([[0], cut + 1])], starts[np.append(cut, len(starts) - 1)] + LENGTH
 
 
+def _classes(cols: list[np.ndarray]) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """Records ``key, h1, h2, doc, start, windows`` sorted; which are the first of their content, which
+    only repeat the first's place (repeated rows), and the number of contents of the record's key."""
+    key, h1, h2, doc, a, w = cols
+    order = np.lexsort((a, doc, h2, h1, key))
+    key, h1, h2, doc, a, w = cols = [c[order] for c in cols]
+    new_key = np.concatenate([[True], key[1:] != key[:-1]])
+    first = new_key.copy()
+    first[1:] |= (h1[1:] != h1[:-1]) | (h2[1:] != h2[:-1])
+    group = np.cumsum(new_key) - 1
+    lead = np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))
+    same = ~first & (doc == doc[lead]) & (a == a[lead])
+    return cols, first, same, np.bincount(group, first & (w > 0))[group].astype(np.int64)
+
+
+def _combine(cols: list[np.ndarray], often_from: int, split_from: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """Of contents that are frequent in a flush the earliest stays; the others are covered by it (set aside
+    with key 0). A key with too many contents leaves a mark (no windows) and is set aside whole."""
+    order = np.argsort(cols[0], kind="stable")
+    starts, lens = runs(cols[0][order])
+    often = np.repeat(lens > often_from, lens)
+    if not often.any():
+        return cols, []
+    rare = [c[order[~often]] for c in cols]
+    some, first, same, classes = _classes([c[order[often]] for c in cols])
+    covered, split = ~first & ~same, first & (classes > split_from)
+    stay = [np.concatenate([r, c[first & ~split]]) for r, c in zip(rare, some)]
+    marks = np.unique(some[0][split])
+    zero = np.zeros(len(marks), np.uint64)
+    stay = [np.concatenate([c, m.astype(c.dtype)]) for c, m in zip(stay, (marks, zero, zero, zero, zero, zero))]
+    out = covered | split
+    aside = [c[out] for c in some]
+    aside[0] = np.where(covered[out], np.uint64(0), aside[0])
+    aside[1] = aside[3].view(np.uint64)  # dealt by document
+    return stay, aside if out.any() else []
+
+
+_RECORD = [np.uint64, np.uint64, np.uint64, np.int64, np.uint32, np.uint32]
+
+
 def _found(docs: DataFrame, p: int) -> DataFrame:
-    """``doc_id, lo, hi, key, kind``: 0 covered bytes, 1 texts for the index, 2 texts of keys too full for it."""
+    """``doc_id, lo, hi, key, kind``: 0 covered bytes, 1 texts for the index, 2 texts of keys to be split."""
+
+    bounds = COMBINE, SPLIT
 
     def deal(batches):
-        pack = Packer(4 * p)
+        pack = Packer(4 * p, split=lambda cols: _combine(cols, *bounds))
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                key, content, a, w, again = segments((text or "").encode())
+                key, h1, h2, a, w, again = segments((text or "").encode())
                 if len(key):
-                    yield from pack.add(key, content, np.full(len(key), doc, np.int64), a.astype(np.uint32), (w.astype(np.uint32) << np.uint32(1)) | again.astype(np.uint32))
+                    yield from pack.add(key, h1, h2, np.full(len(key), doc, np.int64), a.astype(np.uint32), (w.astype(np.uint32) << np.uint32(1)) | again.astype(np.uint32))
         yield from pack.flush()
 
+    def send(key, doc, a, w, kind):
+        for i in range(0, len(doc), 100_000):
+            o = slice(i, i + 100_000)
+            lo = a[o].astype(np.int64)
+            hi = lo + (w[o] >> np.uint32(1)) + LENGTH - 1
+            yield pa.RecordBatch.from_arrays([pa.array(doc[o]), pa.array(lo), pa.array(hi), pa.array(key[o].view(np.int64)), pa.array(kind[o])], ["doc_id", "lo", "hi", "key", "kind"])
+
     def meet(batches):
-        key, content, doc, a, w = unpack(batches, [np.uint64, np.uint64, np.int64, np.uint32, np.uint32])
-        if not len(key):
+        kept = []
+        for b in batches:
+            own = b.column("bucket").to_numpy() >= 0
+            aside = b.filter(pa.array(~own))
+            if aside.num_rows:
+                key, _, _, doc, a, w = unpack([aside], _RECORD)
+                yield from send(key, doc, a, w, np.where(key == 0, 0, 2).astype(np.int32))
+            kept.append(b.filter(pa.array(own)))
+        cols = unpack(kept, _RECORD)
+        if not len(cols[0]):
             return
-        order = np.lexsort((a, doc, content, key))
-        key, content, doc, a, w = (x[order] for x in (key, content, doc, a, w))
-        new_key = np.concatenate([[True], key[1:] != key[:-1]])
-        first = new_key.copy()
-        first[1:] |= content[1:] != content[:-1]
-        again = np.concatenate([[False], ~first[1:] & (doc[1:] == doc[:-1]) & (a[1:] == a[:-1])])  # repeated rows
-        group = np.cumsum(new_key) - 1
-        classes = np.bincount(group, first)[group]
-        kind = np.full(len(key), -1, np.int8)
-        kind[~first & ~again] = 0
-        same_as_first = ~first & (doc == doc[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))]) & (a == a[np.maximum.accumulate(np.where(first, np.arange(len(key)), 0))])
-        kind[same_as_first] = -1
+        (key, _, _, doc, a, w), first, same, classes = _classes(cols)
+        marked = np.isin(key, np.unique(key[w == 0]))
+        kind = np.full(len(key), -1, np.int32)
+        kind[~first & ~same] = 0
         kind[first & ((classes > 1) | (w & 1 == 1))] = 1
-        kind[(kind == 1) & (classes > INDEX_CLASSES)] = 2
-        out = np.flatnonzero(kind >= 0)
-        for i in range(0, len(out), 100_000):
-            o = out[i : i + 100_000]
-            lo = a[o].astype(np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(doc[o]), pa.array(lo), pa.array(lo + (w[o] >> 1) + LENGTH - 1), pa.array(key[o].view(np.int64)), pa.array(kind[o].astype(np.int32))], ["doc_id", "lo", "hi", "key", "kind"]
-            )
+        kind[first & ((classes > INDEX_CLASSES) | marked)] = 2
+        out = np.flatnonzero((kind >= 0) & (w > 0))
+        yield from send(key[out], doc[out], a[out], w[out], kind[out])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(deal, Packer.schema(5)).repartition(p, "bucket").mapInArrow(meet, "doc_id long, lo long, hi long, key long, kind int")
-
-
-_LIST = "array<struct<lo:bigint,hi:bigint,key:bigint,kind:int>>"
+    return rows.mapInArrow(deal, Packer.schema(6)).repartition(p, "bucket").mapInArrow(meet, "doc_id long, lo long, hi long, key long, kind int")
 
 
 def _texts(docs: DataFrame, found: DataFrame) -> DataFrame:
@@ -290,21 +340,29 @@ def _indexed(texts: DataFrame, p: int) -> DataFrame:
     return texts.where("kind = 1").select("key", "doc_id", "lo", "body").repartition(p, "key").mapInArrow(run, "doc_id long, lo long, hi long")
 
 
-def _hashed(texts: DataFrame) -> DataFrame:
-    """The same for keys with very many texts: windows by hash, all but the earliest are marked."""
+def _split(texts: DataFrame, level: int) -> DataFrame:
+    """``key, kind, doc_id, lo, body`` of texts segmented again by another minimizer; kinds as in :func:`_found`."""
 
     def run(batches):
         for b in batches:
-            for doc, lo, body in zip(*(b.column(k).to_pylist() for k in range(3))):
-                pre, a = prefix_hash(body), np.arange(len(body) - LENGTH + 1)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(span_hash(pre, a, a + LENGTH, s).view(np.int64)) for s in (1, 2)] + [pa.array(np.full(len(a), doc)), pa.array(a + lo)], ["h1", "h2", "doc_id", "lo"]
-                )
-
-    rows = texts.where("kind = 2").select("doc_id", "lo", "body").mapInArrow(run, "h1 long, h2 long, doc_id long, lo long")
-    first = rows.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "lo")).alias("first"))
-    late = rows.join(first, ["h1", "h2"]).where((F.col("doc_id") != F.col("first.doc_id")) | (F.col("lo") != F.col("first.lo")))
-    return late.select("doc_id", "lo", (F.col("lo") + LENGTH).alias("hi"))
+            cols, bodies = [], []
+            for key, doc, lo, body in zip(*(b.column(k).to_pylist() for k in range(4))):
+                k, h1, h2, a, w, again = segments(body, level)
+                k = mix(k ^ mix(np.array([key], np.int64).view(np.uint64), level))
+                cols.append((k.view(np.int64), h1.view(np.int64), h2.view(np.int64), np.full(len(k), doc), a + lo, again))
+                bodies += [body[x : x + y + LENGTH - 1] for x, y in zip(a, w)]
+            if bodies:
+                yield pa.RecordBatch.from_arrays([*(pa.array(np.concatenate(c)) for c in zip(*cols)), pa.array(bodies, pa.binary())], ["key", "h1", "h2", "doc_id", "lo", "again", "body"])
+
+    parts_ = materialize(texts.select("key", "doc_id", "lo", "body").mapInArrow(run, "key long, h1 long, h2 long, doc_id long, lo long, again boolean, body binary"), "dedup-split")
+    first = parts_.groupBy("key", "h1", "h2").agg(F.min(F.struct("doc_id", "lo")).alias("first"))
+    size = first.groupBy("key").agg(F.count("*").alias("classes"))
+    rows = parts_.join(first, ["key", "h1", "h2"]).join(size, "key")
+    late = (F.col("doc_id") != F.col("first.doc_id")) | (F.col("lo") != F.col("first.lo"))
+    kind = F.when(late, 0).when((F.col("classes") > INDEX_CLASSES) & F.lit(level < LEVELS), 2).when((F.col("classes") > 1) | F.col("again"), 1)
+    out = materialize(rows.select("key", kind.alias("kind"), "doc_id", "lo", "body").where("kind is not null"), "dedup-texts")
+    release(parts_)
+    return out
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
@@ -312,10 +370,20 @@ def removed_spans(docs: DataFrame) -> DataFrame:
     p = parts(docs.sparkSession)
     found = materialize(_found(docs, p), "dedup-found")
     texts = materialize(_texts(docs, found), "dedup-texts")
-    marks = found.where("kind = 0").select("doc_id", "lo", "hi").union(_indexed(texts, p))
-    if texts.where("kind = 2").limit(1).count():
-        marks = marks.union(_hashed(texts))
-    return materialize(marks, "dedup-marks").groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
+    marks, made = found.where("kind = 0").select("doc_id", "lo", "hi"), [found, texts]
+    for level in range(1, LEVELS + 1):
+        marks = marks.union(_indexed(texts, p))
+        rest = texts.where("kind = 2")
+        if not rest.limit(1).count():
+            break
+        texts = _split(rest, level)
+        made.append(texts)
+        marks = marks.union(texts.where("kind = 0").select("doc_id", "lo", (F.col("lo") + F.length("body")).alias("hi")))
+    else:
+        marks = marks.union(_indexed(texts, p))
+    marks = materialize(marks, "dedup-marks")
+    release(*made)
+    return marks.groupBy("doc_id").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
 
 
 def cut_spans(data: bytes, spans: list[dict] | None) -> tuple[bytes, list[tuple[int, int]]]:
@@ -366,16 +434,17 @@ def dedup_texts(docs: DataFrame) -> DataFrame:
     A character of which a cut leaves only some bytes is dropped. Null texts stay null.
     """
     cols = docs.columns
-    at, doc_at = cols.index("text"), len(cols)
+    at, last = cols.index("text"), len(cols)
+    doc, spans = fresh(cols, "doc"), fresh(cols, "spans")
 
     def run(batches):
         for b in batches:
-            texts, spans = b.column(at).to_pylist(), b.column(doc_at).to_pylist()
-            new = [t if t is None or not s else cut_spans(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, spans)]
+            texts, cuts = b.column(at).to_pylist(), b.column(last).to_pylist()
+            new = [t if t is None or not s else cut_spans(t.encode(), s)[0].decode("utf-8", "ignore") for t, s in zip(texts, cuts)]
             arrays = [pa.array(new, pa.string()) if k == at else pa.array([None if t is None else len(t) for t in new], pa.int64()) if c == "n_chars" else b.column(k) for k, c in enumerate(cols)]
             yield pa.RecordBatch.from_arrays(arrays, cols)
 
-    spans = removed_spans(docs).withColumnsRenamed({"doc_id": "_doc", "spans": "_spans"})
-    out = docs.join(spans, docs["doc_id"].cast("long") == spans["_doc"], "left").select(*cols, "_spans")
-    schema = docs.select(*[F.col(c).cast("long").alias(c) if c == "n_chars" else c for c in cols]).schema
+    cut = removed_spans(docs).withColumnsRenamed({"doc_id": doc, "spans": spans})
+    out = docs.join(cut, docs["doc_id"].cast("long") == cut[doc], "left").select(*[F.col(f"`{c}`") for c in cols], spans)
+    schema = docs.select(*[F.col(f"`{c}`").cast("long").alias(c) if c == "n_chars" else F.col(f"`{c}`") for c in cols]).schema
     return out.mapInArrow(run, schema)
