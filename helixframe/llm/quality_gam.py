@@ -17,7 +17,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Documented bound: the model is fitted on at most this many labelled rows, chosen by hash.
 TRAIN_ROWS = 20_000
@@ -214,18 +213,31 @@ def train(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> dict:
     return fit(x, got["y"].to_numpy(float))
 
 
+def _scored(batch, at: int, model: dict) -> np.ndarray:
+    return score(model, np.array([features(t) for t in batch.column(at).to_pylist()]).reshape(-1, len(FEATURES)))
+
+
 def score_documents(docs: DataFrame, model: dict) -> DataFrame:
-    """``docs`` with the columns ``held_out``, ``score`` and ``predicted`` behind; one row per input row."""
-    cols = docs.columns
-    at = cols.index("text")
-    new = ["held_out", "score", "predicted"]
-    src = docs.select(*cols, held_out().alias("held_out")) if "held_out" not in cols else docs
+    """``doc_id, held_out, score, predicted``, one row per input row.
+
+    Null and empty texts have a score too; without doc_id ``held_out`` is null. Other columns are not read.
+    """
+
+    def run(batches):
+        for b in batches:
+            s = _scored(b, 2, model)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
+
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out().alias("held_out"), F.col("text").cast("string").alias("text"))
+    return rows.mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_good(docs: DataFrame, model: dict) -> DataFrame:
+    """The rows of ``docs`` that the model accepts, with all their columns, whatever their names."""
+    at = docs.columns.index("text")
 
     def run(batches):
         for b in batches:
-            texts = b.column(at).to_pylist()
-            s = score(model, np.array([features(t) for t in texts]).reshape(-1, len(FEATURES)))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(s), pa.array((s >= THRESHOLD).astype(np.int32))], [*cols, *new])
+            yield b.filter(pa.array(_scored(b, at, model) >= THRESHOLD))
 
-    schema = T.StructType([*src.schema.fields, T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
-    return src.mapInArrow(run, schema)
+    return docs.mapInArrow(run, docs.schema)

@@ -37,7 +37,7 @@ def op4_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_quality_gam(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
-    return quality_gam.score_documents(docs, model).select("doc_id", "held_out", "score", "predicted")
+    return quality_gam.score_documents(docs, model)
 
 
 def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

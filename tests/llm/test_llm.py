@@ -58,12 +58,24 @@ def test_dedup_every_period(spark):
     assert got == brute.dedup(docs)
 
 
-def test_dedup_full_keys_match_the_index(spark, real, monkeypatch):
-    docs = frame(spark, real[:120])
-    rows = lambda: sorted(map(tuple, runlength_dedup.dedup_digests(docs).collect()))
-    one = rows()
-    monkeypatch.setattr(runlength_dedup, "INDEX_CLASSES", 1)
-    assert rows() == one
+@pytest.mark.parametrize("combine, split, classes", [(0, 10**6, 10**6), (0, 1, 10**6), (0, 3, 2), (10**6, 10**6, 1)])
+def test_dedup_splits_full_keys(spark, real, monkeypatch, combine, split, classes):
+    """Copies combined in the tasks, and keys split there or where they meet."""
+    for name, value in (("COMBINE", combine), ("SPLIT", split), ("INDEX_CLASSES", classes)):
+        monkeypatch.setattr(runlength_dedup, name, value)
+    rng = np.random.default_rng(2)
+    line = "this very line of boilerplate stands in each and every one of them. "
+    noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    docs = real[:60] + [(10**6 + k, noise(int(rng.integers(40, 200))) + line * int(rng.integers(1, 4)) + noise(int(rng.integers(0, 150)))) for k in range(30)]
+    docs += [(10**7 + k, docs[k % 7][1]) for k in range(20)]
+    got = {r.doc_id: tuple(r)[1:] for r in runlength_dedup.dedup_digests(frame(spark, docs)).collect()}
+    assert got == brute.dedup(docs)
+
+
+def test_dedup_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, LONG * 2, 7, "a"), (2, LONG * 2, 8, None), (3, None, 9, "c")], "doc_id long, text string, _doc int, spans string")
+    got = sorted(map(tuple, runlength_dedup.dedup_texts(docs).collect()))
+    assert [(r[0], r[2], r[3]) for r in got] == [(1, 7, "a"), (2, 8, None), (3, 9, "c")] and got[1][1] == "" and got[2][1] is None
 
 
 def test_dedup_repeats_and_nulls(spark):
@@ -220,6 +232,110 @@ def test_pii_bootstraps_and_redacts(spark):
     assert out[0].text == "Please write to [EMAIL] for help today" and out[51].text == docs[7][1] and out[52].text is None
 
 
+def test_pii_long_texts(spark):
+    """Linear in the hits of a text; long tokens and contexts take part; no overflow of the pattern matcher."""
+    import time
+
+    docs = [
+        (1, "12345 " * 100_000), (2, "a@b" + ".c" * 50_000), (3, "x " + "w" * 30_000 + " 4111 1111 1111 1111, " + "1.2.3.4 " * 3000), (4, "+1 " * 20_000 + "!" * 30_000 + "1"),
+    ] + [(10 + i, f"token {'k' * 300}{i}@mail.example.org today") for i in range(4)] + [(20, f"token {'q' * 300}7 today")]
+    t = time.time()
+    got = {r.doc_id: r for r in pii_bootstrap.find(frame(spark, docs)).collect()}
+    for d, text in docs:
+        n, spans = brute.pii(text)
+        assert [got[d].n_email, got[d].n_ip, got[d].n_card, got[d].n_phone] == n and got[d].base_sha256 == brute.sha(",".join(spans).encode())
+    assert got[20].spans == "email:6:307"  # four of the five tokens behind "token" are e-mail addresses
+    out = {r.doc_id: r.text for r in pii_bootstrap.redact(frame(spark, docs)).collect()}
+    assert out[1] == docs[0][1] and out[2] == "[EMAIL]" and out[3].count("[IP]") == 3000 and out[3].startswith("x www") and "[CARD]" in out[3]
+    assert time.time() - t < 120
+
+
+def _brute_redaction(text, spans):
+    out, at = [], 0
+    for kind, b, e in spans:
+        if b >= at:
+            out += [text[at:b], f"[{kind.upper()}]"]
+        at = max(at, e)
+    return "".join(out) + text[at:]
+
+
+def test_pii_redaction_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(pii_bootstrap, "BLOCK", 3)
+    rng = np.random.default_rng(3)
+    bits = ["a.b@c.de", "1.2.3.4", "4111 1111 1111 1111", "+1 (415) 555-2671", "word", "x", ",", "+49 30 1.2.3.4", "é日"]
+    docs = [(k, " ".join(bits[j] for j in rng.integers(0, len(bits), int(rng.integers(0, 40))))) for k in range(60)]
+    found = {r.doc_id: r.spans for r in pii_bootstrap.find(frame(spark, docs)).collect()}
+    out = {r.doc_id: r.text for r in pii_bootstrap.redact(frame(spark, docs)).collect()}
+    for d, t in docs:
+        spans = [(k, int(b), int(e)) for k, b, e in (s.split(":") for s in found[d].split(",") if s)]
+        assert set(brute.pii(t)[1]) <= set(found[d].split(",") + [""]) and out[d] == _brute_redaction(t, spans)
+
+
+def _brute_discovery(docs, rounds=3, min_seeds=3, min_pattern=0.8, min_instance=0.8):
+    """The pattern-instance graph in plain Python."""
+    kinds, rows = pii_bootstrap.KINDS, []
+    for d, t in docs:
+        base = [(k, int(b), int(e)) for k, b, e in (s.split(":") for s in brute.pii(t)[1])]
+        for m in re.finditer(r"(?<!\S)(?=\S*[0-9@])\S+", t):
+            lead = len(re.match(r"[\"'(\[{<]*", m[0])[0])
+            v = re.sub(r"[\"')\]}>.,;:!?]+$", "", m[0][lead:])
+            b = m.start() + lead
+            before = t[: m.start()]
+            last = max((x.end() for x in re.finditer(r"(?<!\S)(?=\S*[0-9@])\S+", before)), default=0)
+            ctx = " ".join(before[last:].lower().split()[-2:])
+            if len(v) >= 4 and ctx:
+                own = next((kinds.index(k) for k, x, y in base if b <= x < b + len(v)), None)
+                rows.append((d, b, b + len(v), v, ctx, own, any(x < b + len(v) and y > b for _, x, y in base)))
+    graph = {}
+    for _, _, _, v, ctx, own, hit in rows:
+        o, h = graph.get((ctx, v), (None, False))
+        graph[ctx, v] = (max((x for x in (o, own) if x is not None), default=None), h or hit)
+    seeds = {(v, o): 1.0 for (_, v), (o, _) in graph.items() if o is not None}
+    believed = dict(seeds)
+    for i in range(rounds):
+        patterns = {}
+        for ctx in {c for c, _ in graph}:
+            own = [v for c, v in graph if c == ctx]
+            for k in range(len(kinds)):
+                conf = [believed[v, k] for v in own if (v, k) in believed]
+                if len(conf) >= min_seeds and sum(conf) / len(own) >= 0.5:
+                    patterns[ctx, k] = sum(conf) / len(own)
+        fresh = {}
+        for (ctx, v), (_, hit) in graph.items():
+            for k in range(len(kinds)):
+                if not hit and (ctx, k) in patterns:
+                    fresh[v, k] = fresh.get((v, k), 1.0) * (1.0001 - patterns[ctx, k])
+        believed = dict(seeds)
+        for key, miss in fresh.items():
+            if 1 - miss >= min_instance:
+                believed[key] = max(believed.get(key, 0), 1 - miss)
+    best = {}
+    for (ctx, k), s in sorted(patterns.items(), key=lambda x: (-x[1], x[0][1])):
+        if s >= min_pattern:
+            best.setdefault(ctx, k)
+    return {(d, kinds[best[ctx]], b, e) for d, b, e, _, ctx, _, hit in rows if not hit and ctx in best}
+
+
+def test_pii_discovery_like_brute_force(spark):
+    rng = np.random.default_rng(6)
+    docs = []
+    for k in range(120):
+        who = f"user{rng.integers(0, 40)}"
+        s = ["please write to", "mail me at", "server address is", "call us on"][rng.integers(0, 4)]
+        good = {"please write to": f"{who}@mail.example.com", "mail me at": f"({who}@x.org),", "server address is": f"10.0.{rng.integers(0, 9)}.{rng.integers(0, 300)}", "call us on": f"+49 30 {rng.integers(10**6, 10**7)}"}[s]
+        odd = f"{who}@intranet" if rng.random() < 0.2 else f"id{rng.integers(0, 99)}-x4" if rng.random() < 0.1 else good
+        docs.append((k, f"Hello, {s} {odd} or later. {s} {good} then"))
+    got = {r.doc_id: r for r in pii_bootstrap.find(frame(spark, docs)).collect()}
+    more = {(d, *(int(x) if x.isdigit() else x for x in s.split(":"))) for d, t in docs for s in set(got[d].spans.split(",")) - set(brute.pii(t)[1]) if s}
+    assert more == _brute_discovery(docs) and more
+
+
+def test_pii_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "mail a@b.de now", "n", 5, 1), (None, None, "m", 6, None)], "doc_id long, text string, new string, _new int, n_chars long")
+    got = sorted(map(tuple, pii_bootstrap.redact(docs).collect()), key=str)
+    assert got == [(1, "mail [EMAIL] now", "n", 5, 16), (None, None, "m", 6, None)]
+
+
 def test_chat(spark):
     rows = [(1, 1, "assistant", "</s>[INST] <|x|> & &amp;"), (1, 0, "user", None), (2, 0, None, "only"), (2, 0, None, "only"), (3, 0, "assistant", ""), (3, 1, "user|>\n", "tail"), (None, 0, "user", "u")]
     turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
@@ -272,6 +388,14 @@ def test_quality(spark, sf):
     assert quality_gam.score_documents(frame(spark, EDGE[:1]), quality_gam.train(docs.limit(0), labels)).first().score > 0.99
 
 
+def test_quality_keeps_columns_of_any_name(spark, sf):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").selectExpr("doc_id", "text", "1 as score", "'x' as predicted", "2 as held_out")
+    model = quality_gam.train(docs, spark.read.parquet(f"{sf}/labels.parquet"))
+    kept = quality_gam.keep_good(docs, model)
+    good = {r.doc_id for r in quality_gam.score_documents(docs, model).collect() if r.predicted == 1}
+    assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == good and kept.first().score == 1
+
+
 def test_gam_learns_an_interaction():
     x = np.random.default_rng(0).random((4000, 3))
     y = ((x[:, 0] > 0.5) ^ (x[:, 1] > 0.5)).astype(float)
