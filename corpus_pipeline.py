@@ -13,21 +13,30 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from helixframe.llm import concat_packing, parity_join, pii_bootstrap, quality_gam, runlength_dedup
-from helixframe.llm.common import shared_root, table
+from helixframe.llm.common import fresh, release_path, shared_root, table
 from helixframe.llm.queries import PATTERN, RANKS
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops the documents that the quality classifier rejects."""
     model = quality_gam.train(docs, table(spark, sf_dir, "labels"))
-    return quality_gam.score_documents(docs, model).where("predicted = 1").select(*docs.columns)
+    return quality_gam.keep_good(docs, model)
 
 
 def keep_one_of_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest doc_id of each group of near copies, and rows without doc_id."""
-    found = parity_join.jaccard_components(docs).where("doc_id = component_id").select("doc_id").distinct()
-    one = docs.where(F.col("doc_id").isNotNull()).join(found, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.union(docs.where(F.col("doc_id").isNull())).select(*docs.columns)
+    """Keeps the document with the smallest doc_id of each group of near copies, and rows without doc_id.
+
+    Of rows that repeat a doc_id the one with the smallest text stays (null first).
+    """
+    cols, key = [F.col(f"`{c}`") for c in docs.columns], fresh(docs.columns, "key")
+    found = parity_join.jaccard_components(docs)
+    ids = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias(key)).agg(F.count("*").alias("rows"))
+    kept = docs.join(ids, docs["doc_id"].cast("long") == ids[key], "inner")
+    alone = kept.where(ids["rows"] == 1).select(*cols)
+    several = kept.where(ids["rows"] > 1).select(*cols)
+    order = F.struct(F.col("text"), *[c.cast("string") for c in cols])
+    one = several.groupBy("doc_id").agg(F.min_by(F.struct(*cols), order).alias(key)).select(f"{key}.*")
+    return alone.union(one).union(docs.where(F.col("doc_id").isNull()).select(*cols))
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -66,5 +75,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{base}/{k}")
+        if k:  # the stage before it is not read any more
+            release_path(spark, f"{base}/{k - 1}")
         docs = spark.read.parquet(f"{base}/{k}")
     return docs
