@@ -16,7 +16,9 @@ agree by chance.
 2. Star: every member of a group is tried against the group's smallest class (Hamming
    bound of dense sketches, then the exact sets). Verified links are contracted.
 3. Members of a group that lie in different components even then are compared with each
-   other, in tiles of bounded size, behind the Hamming bound; the exact sets decide.
+   other, in tiles of bounded size: those with a partner within the Hamming bound are dealt
+   again with their exact sets, which decide. Pairs are never written out, so a large group
+   near the threshold costs comparisons, not rows.
 """
 
 from __future__ import annotations
@@ -144,17 +146,17 @@ def _group_of(code: np.ndarray) -> np.ndarray:
     return mix(code ^ _EMPTY_GROUP, 7).view(np.int64)
 
 
-def _groups(docs: DataFrame, make) -> DataFrame:
+def _groups(docs: DataFrame, make, codes) -> DataFrame:
     """``g, h``: distinct members of groups; two classes that share a bucket are in one group, or both in its star."""
     p, hot = parts(docs.sparkSession), HOT
 
     def deal(batches):
-        memo, pack = Words(), Packer(4 * p, limit=600_000, distinct=True, split=lambda cols: _hot(cols, hot))
+        memo, pack = Words(), Packer(4 * p, limit=300_000, distinct=True, split=lambda cols: _hot(cols, hot))
         for b in batches:
             for t in b.column(0).to_pylist():
                 s = make(t, memo)
                 if len(s):
-                    k = block_codes(s)
+                    k = codes(s)
                     yield from pack.add(k, np.full(len(k), class_hash(s)[0], np.int64))
         yield from pack.flush()
 
@@ -193,7 +195,7 @@ def _groups(docs: DataFrame, make) -> DataFrame:
         yield from send(g[keep], h[keep])
 
     dealt = docs.select(F.col("text").cast("string")).mapInArrow(deal, Packer.schema(2))
-    return dealt.repartition(p, "bucket").mapInArrow(meet, "g long, h long").distinct()
+    return dealt.repartitionById(p, F.pmod("bucket", F.lit(p))).mapInArrow(meet, "g long, h long").distinct()
 
 
 def _fold(sketches: list[bytes], size: int) -> np.ndarray:
@@ -238,23 +240,6 @@ def near_pairs(n: np.ndarray, sketches: list[bytes], left: np.ndarray, allowed)
     return found
 
 
-_PAIRS = "a long, b long, la long, lb long, g long"
-
-
-def _send_pairs(g: int, rep: np.ndarray, label: np.ndarray, found):
-    if found:
-        x = np.concatenate([np.full(len(o), i) for i, o in found])
-        y = np.concatenate([o for _, o in found])
-        x, y = np.where(rep[x] <= rep[y], x, y), np.where(rep[x] <= rep[y], y, x)
-        keep = rep[x] != rep[y]
-        cols = [rep[x], rep[y], label[x], label[y], np.full(len(x), g)]
-        yield pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in cols], ["a", "b", "la", "lb", "g"])
-
-
-def _once(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("a", "b", "la", "lb").agg(F.min("g").alias("g"))
-
-
 def _tile_of(x: str, count) -> F.Column:
     return F.pmod(F.xxhash64(x), count).cast("int")
 
@@ -270,14 +255,31 @@ def _star(members: DataFrame, p: int) -> DataFrame:
             kind, rep, n = (t.column(c).to_numpy() for c in ("kind", "rep", "n"))
             top = kind == 0
             found = near_pairs(n, t.column("sketch").to_pylist(), top, lambda x, o: top[x] != top[o])
-            yield from _send_pairs(t.column("g")[0].as_py(), rep, rep, found)
+            if found:
+                x, y = np.concatenate([np.full(len(o), i) for i, o in found]), np.concatenate([o for _, o in found])
+                a, b = np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
+                cols = [c[a != b] for c in (a, b, np.full(len(x), t.column("g")[0].as_py()))]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in cols], ["a", "b", "g"])
 
     dealt = rest.union(tops).repartition(p, "g", "i").sortWithinPartitions("g", "i")
-    return _once(dealt.mapInArrow(run, _PAIRS))
+    return dealt.mapInArrow(run, "a long, b long, g long").groupBy("a", "b").agg(F.min("g").alias("g"))
+
+
+_TILED = "g long, lo int, hi int, i int, rep long, label long, n long, sketch binary"
+
+
+def _in_tiles(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list]:
+    """Members and labels of a tile, and its pairs across components that pass the Hamming bound."""
+    rep, label, n, i = (t.column(c).to_numpy() for c in ("rep", "label", "n", "i"))
+    own = t.column("lo")[0] == t.column("hi")[0]
+    if label.min() == label.max():
+        return rep, label, []
+    cross = lambda x, o: (label[o] != label[x]) & (own | (i[o] != i[x]))
+    return rep, label, near_pairs(n, t.column("sketch").to_pylist(), np.ones(len(n), bool), cross)
 
 
 def _crossing(members: DataFrame, comp: DataFrame, p: int) -> DataFrame:
-    """Pairs of a group across components that pass the Hamming bound, from tiles of bounded size."""
+    """Members of tiles of bounded size with a partner of another component within the Hamming bound."""
     named = members.join(comp.withColumnRenamed("node", "rep"), "rep", "left").withColumn("label", F.coalesce("component", "rep"))
     named = named.select("g", "m", "rep", "label", "n", "sketch")
     still = named.groupBy("g").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("g")
@@ -287,20 +289,47 @@ def _crossing(members: DataFrame, comp: DataFrame, p: int) -> DataFrame:
 
     def run(batches):
         for t in key_groups(batches, ["g", "lo", "hi"]):
-            rep, label, n, i = (t.column(c).to_numpy() for c in ("rep", "label", "n", "i"))
-            own = t.column("lo")[0] == t.column("hi")[0]
-            if label.min() == label.max():
-                continue
-            cross = lambda x, o: (label[o] != label[x]) & (own | (i[o] != i[x]))
-            found = near_pairs(n, t.column("sketch").to_pylist(), np.ones(len(n), bool), cross)
-            yield from _send_pairs(t.column("g")[0].as_py(), rep, label, found)
+            _, _, found = _in_tiles(t)
+            if found:
+                wanted = np.unique(np.concatenate([[x for x, _ in found], *(o for _, o in found)]))
+                yield from t.take(pa.array(wanted)).to_batches()
+
+    return dealt.repartition(p, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi").mapInArrow(run, _TILED)
 
-    return _once(dealt.repartition(p, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi").mapInArrow(run, _PAIRS))
 
+def _linked(tiled: DataFrame, sets: DataFrame, p: int) -> DataFrame:
+    """``a, b``: labels that are linked by the exact sets of two members of a tile (a spanning forest of each tile)."""
 
-def _sets_of(pairs: DataFrame, docs: DataFrame, make, had: DataFrame | None = None) -> DataFrame:
-    """``rep, set`` of the documents in ``pairs`` that ``had`` has not; only their texts are read again."""
-    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select(F.col("b").alias("rep"))).distinct()
+    def run(batches):
+        for t in key_groups(batches, ["g", "lo", "hi"]):
+            rep, label, found = _in_tiles(t)
+            raw = t.column("set").to_pylist()
+            root = {int(x): int(x) for x in np.unique(label)}
+
+            def find(x: int) -> int:
+                while root[x] != x:
+                    root[x] = root[root[x]]
+                    x = root[x]
+                return x
+
+            links = []
+            for x, others in found:
+                for y in others.tolist():
+                    u, v = find(int(label[x])), find(int(label[y]))
+                    if u != v and reaches(np.frombuffer(raw[x], np.uint64), np.frombuffer(raw[y], np.uint64)):
+                        root[max(u, v)] = min(u, v)
+                        links.append((u, v))
+            if links:
+                u, v = zip(*links)
+                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
+
+    dealt = tiled.join(sets, "rep").select("g", "lo", "hi", "i", "rep", "label", "n", "sketch", "set")
+    return dealt.repartition(p, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
+
+
+def _sets_of(reps: DataFrame, docs: DataFrame, make, had: DataFrame | None = None) -> DataFrame:
+    """``rep, set`` of the documents ``rep`` that ``had`` has not; only their texts are read again."""
+    wanted = reps.distinct()
     wanted = materialize(wanted if had is None else wanted.join(had.select("rep"), "rep", "left_anti"), "parity-wanted")
 
     def run(batches):
@@ -316,33 +345,26 @@ def _sets_of(pairs: DataFrame, docs: DataFrame, make, had: DataFrame | None = No
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, p: int) -> DataFrame:
-    """``a, b``: labels of the pairs whose exact sets reach the threshold.
+    """``a, b`` of the pairs whose exact sets reach the threshold.
 
     Pairs of a group are dealt to tiles, so a set travels once for each tile and not for each pair.
     """
     ends = lambda t: t.withColumn("x", F.explode(F.array("a", "b")))
     size = ends(pairs).select("g", "x").distinct().groupBy("g").agg(F.ceil(F.count("*") / SET_TILE).cast("int").alias("tiles"))
     tiled = pairs.join(size, "g").withColumn("i", _tile_of("a", F.col("tiles"))).withColumn("j", _tile_of("b", F.col("tiles")))
-    no = F.lit(None).cast("long")
     carried = ends(tiled).select("g", "i", "j", "x").distinct().join(sets.withColumnRenamed("rep", "x"), "x")
-    rows = carried.select("g", "i", "j", F.lit(0).alias("kind"), F.col("x").alias("a"), no.alias("b"), no.alias("la"), no.alias("lb"), "set")
-    rows = rows.union(tiled.select("g", "i", "j", F.lit(1), "a", "b", "la", "lb", F.lit(None).cast("binary")))
+    rows = carried.select("g", "i", "j", F.lit(0).alias("kind"), F.col("x").alias("a"), F.lit(None).cast("long").alias("b"), "set")
+    rows = rows.union(tiled.select("g", "i", "j", F.lit(1), "a", "b", F.lit(None).cast("binary")))
 
     def run(batches):
         for t in key_groups(batches, ["g", "i", "j"]):
             kind = t.column("kind").to_numpy()
-            held: dict[int, set[bytes]] = {}
-            own = t.filter(pa.array(kind == 0))
+            own, asked = t.filter(pa.array(kind == 0)), t.filter(pa.array(kind == 1))
+            held: dict[int, list[np.ndarray]] = {}
             for x, s in zip(own.column("a").to_pylist(), own.column("set").to_pylist()):
-                held.setdefault(x, set()).add(s)
-            arrays = {x: [np.frombuffer(s, np.uint64) for s in v] for x, v in held.items()}
-            linked = set()
-            for a, b, la, lb in zip(*(t.filter(pa.array(kind == 1)).column(c).to_pylist() for c in ("a", "b", "la", "lb"))):
-                if (la, lb) not in linked and any(reaches(u, v) for u in arrays[a] for v in arrays[b]):
-                    linked.add((la, lb))
-            if linked:
-                u, v = zip(*linked)
-                yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["a", "b"])
+                held.setdefault(x, []).append(np.frombuffer(s, np.uint64))
+            ok = [any(reaches(u, v) for u in held[a] for v in held[b]) for a, b in zip(asked.column("a").to_pylist(), asked.column("b").to_pylist())]
+            yield from asked.filter(pa.array(ok, pa.bool_())).select(["a", "b"]).to_batches()
 
     dealt = rows.repartition(p, "g", "i", "j").sortWithinPartitions("g", "i", "j", "kind")
     return dealt.mapInArrow(run, "a long, b long").distinct()
@@ -356,7 +378,7 @@ def reaches(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def jaccard_components(docs: DataFrame, make=shingle_set) -> DataFrame:
+def jaccard_components(docs: DataFrame, make=shingle_set, codes=block_codes) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per input row; documents link at Jaccard >= 0.75.
 
     component_id is the smallest doc_id reachable by links. Null, empty and blank texts
@@ -364,7 +386,8 @@ def jaccard_components(docs: DataFrame, make=shingle_set) -> DataFrame:
     repeated rows are copies of each other. Rows that share a doc_id are one document, which
     links wherever one of its texts does. A row without doc_id gets a null component and
     links with nothing. Columns other than ``doc_id`` and ``text`` are not read.
-    ``make(text, memo)`` builds another set (sorted distinct uint64) than word shingles.
+    ``make(text, memo)`` builds another set (sorted distinct uint64) than word shingles; ``codes(set)``
+    gives other bucket keys, of which two linked sets must share one.
     """
     p = parts(docs.sparkSession)
     sets = materialize(_sets(docs, make), "parity-rows")
@@ -374,21 +397,21 @@ def jaccard_components(docs: DataFrame, make=shingle_set) -> DataFrame:
     several = rows.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     shared = rows.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
 
-    groups = materialize(_groups(docs.where(F.col("doc_id").isNotNull()), make), "parity-groups")
+    groups = materialize(_groups(docs.where(F.col("doc_id").isNotNull()), make, codes), "parity-groups")
     size = groups.groupBy("g").agg(F.count("*").alias("m"), F.min("h").alias("top"))
     known = classes.select(F.col("h1").alias("h"), "rep", "n", "sketch")
     members = materialize(groups.join(size, "g").join(known, "h").select("g", "m", "top", "h", "rep", "n", "sketch"), "parity-members")
     release(groups)
 
     pairs = materialize(_star(members, p), "parity-pairs")
-    exact = _sets_of(pairs, docs, make)
+    exact = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")), docs, make)
     links = materialize(_verified(pairs, exact, p).union(shared), "parity-links")
     first = materialize(components(links), "parity-first")
 
     crossing = materialize(_crossing(members, first, p), "parity-crossing")
     release(members, pairs)
-    further = _sets_of(crossing, docs, make, exact)
-    more = materialize(_verified(crossing, exact.union(further), p), "parity-links")
+    further = _sets_of(crossing.select("rep"), docs, make, exact)
+    more = materialize(_linked(crossing, exact.union(further), p), "parity-links")
     release(exact, further, crossing)
     second = materialize(components(more), "parity-second")
 

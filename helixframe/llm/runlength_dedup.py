@@ -245,7 +245,7 @@ def _found(docs: DataFrame, p: int) -> DataFrame:
     bounds = COMBINE, SPLIT
 
     def deal(batches):
-        pack = Packer(4 * p, split=lambda cols: _combine(cols, *bounds))
+        pack = Packer(4 * p, limit=500_000, split=lambda cols: _combine(cols, *bounds))
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 key, h1, h2, a, w, again = segments((text or "").encode())
@@ -282,7 +282,7 @@ def _found(docs: DataFrame, p: int) -> DataFrame:
         yield from send(key[out], doc[out], a[out], w[out], kind[out])
 
     rows = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return rows.mapInArrow(deal, Packer.schema(6)).repartition(p, "bucket").mapInArrow(meet, "doc_id long, lo long, hi long, key long, kind int")
+    return rows.mapInArrow(deal, Packer.schema(6)).repartitionById(p, F.pmod("bucket", F.lit(p))).mapInArrow(meet, "doc_id long, lo long, hi long, key long, kind int")
 
 
 def _texts(docs: DataFrame, found: DataFrame) -> DataFrame:
