@@ -18,10 +18,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, parts
+from .common import components, materialize, parts, release
 
 THRESHOLD = 0.93
 SHARD = 2000
+#: Query blocks that meet a graph in one task.
+CHUNK = 8
 DEGREE, BUILD_BEAM, BEAM = 12, 40, 24
 AUDIT, RECALL = 24, 0.98
 
@@ -210,12 +212,12 @@ def near_duplicates(vectors: DataFrame, least: float = THRESHOLD) -> DataFrame:
         if not rows:
             return
         t = pa.Table.from_batches(rows).to_pandas().sort_values(["label", "shard", "rep"])
-        for (label, shard), g in t.groupby(["label", "shard"], sort=False):
+        for (label, shard, shards), g in t.groupby(["label", "shard", "shards"], sort=False):
             yield pa.RecordBatch.from_pydict(
-                {"label": [label], "shard": pa.array([shard], pa.int32()), "reps": [g["rep"].to_numpy(np.int64).tobytes()], "copies": [g["copies"].to_numpy(np.int64).tobytes()], "xs": [b"".join(g["x"])]}
+                {"label": [label], "shard": pa.array([shard], pa.int32()), "shards": pa.array([shards], pa.int32()), "reps": [g["rep"].to_numpy(np.int64).tobytes()], "copies": [g["copies"].to_numpy(np.int64).tobytes()], "xs": [b"".join(g["x"])]}
             )
 
-    blocks = dealt.select("label", "shard", "rep", "copies", "x").repartition(p, "label", "shard").mapInArrow(pack, "label string, shard int, reps binary, copies binary, xs binary")
+    blocks = dealt.select("label", "shard", "shards", "rep", "copies", "x").repartition(p, "label", "shard").mapInArrow(pack, "label string, shard int, shards int, reps binary, copies binary, xs binary")
     blocks = materialize(blocks, "hnsw-shards")
 
     def build(batches):
@@ -225,11 +227,11 @@ def near_duplicates(vectors: DataFrame, least: float = THRESHOLD) -> DataFrame:
                 g = Graph(np.frombuffer(r["xs"]).reshape(n, -1).astype(np.float32))
                 flat = [np.array([len(l) for i in range(n) for l in g.links[i]], np.int32), np.array([j for i in range(n) for l in g.links[i] for j in l], np.int32)]
                 yield pa.RecordBatch.from_pydict(
-                    {"label": [r["label"]], "shard": pa.array([r["shard"]], pa.int32()), "entry": pa.array([g.entry], pa.int32()), "level": [g.level.astype(np.int32).tobytes()], "sizes": [flat[0].tobytes()], "links": [flat[1].tobytes()], "reps": [r["reps"]], "copies": [r["copies"]], "xs": [r["xs"]]}
+                    {"label": [r["label"]], "shard": pa.array([r["shard"]], pa.int32()), "shards": pa.array([r["shards"]], pa.int32()), "entry": pa.array([g.entry], pa.int32()), "level": [g.level.astype(np.int32).tobytes()], "sizes": [flat[0].tobytes()], "links": [flat[1].tobytes()], "reps": [r["reps"]], "copies": [r["copies"]], "xs": [r["xs"]]}
                 )
 
     graphs = materialize(
-        blocks.repartition(4 * p, "label", "shard").mapInArrow(build, "label string, shard int, entry int, level binary, sizes binary, links binary, reps binary, copies binary, xs binary"), "hnsw-graphs"
+        blocks.repartition(4 * p, "label", "shard").mapInArrow(build, "label string, shard int, shards int, entry int, level binary, sizes binary, links binary, reps binary, copies binary, xs binary"), "hnsw-graphs"
     )
 
     def load(r) -> tuple[Graph, np.ndarray]:
@@ -248,30 +250,49 @@ def near_duplicates(vectors: DataFrame, least: float = THRESHOLD) -> DataFrame:
         return g, x
 
     def search(batches):
+        g = x = r = None
         for b in batches:
-            for r in b.to_pylist():
-                g, x = load(r)
-                q = np.frombuffer(r["q_xs"]).reshape(len(r["q_reps"]) // 8, -1)
-                reps, copies, own = np.frombuffer(r["reps"], np.int64), np.frombuffer(r["copies"], np.int64), np.frombuffer(r["q_reps"], np.int64)
+            for row in b.to_pylist():
+                if row["kind"] == 0:
+                    r = row
+                    g, x = load(r)
+                    reps, copies = np.frombuffer(r["reps"], np.int64), np.frombuffer(r["copies"], np.int64)
+                    continue
+                q = np.frombuffer(row["xs"]).reshape(len(row["reps"]) // 8, -1)
+                own, own_copies = np.frombuffer(row["reps"], np.int64), np.frombuffer(row["copies"], np.int64)
                 found = _search_block(g, x, q, least, reps, own)
-                n = np.array([int(copies[c].sum()) - int(copies[c][reps[c] == own[i]].sum()) for i, c in enumerate(found)], np.int64)
                 a = np.concatenate([np.full(len(c), i) for i, c in enumerate(found)] or [np.empty(0, np.int64)]).astype(np.int64)
-                c = np.concatenate(found or [np.empty(0, np.int64)])
+                c = np.concatenate(found or [np.empty(0, np.int64)]).astype(np.int64)
+                if row["q_shard"] == r["shard"]:  # each pair once, from whichever side it was found
+                    pair = np.unique(np.stack([np.minimum(a, c), np.maximum(a, c)], 1)[a != c], axis=0)
+                    a, c = pair[:, 0], pair[:, 1]
+                # a link counts for both of its ends, however it was found
+                n_own, n_reps = np.bincount(a, copies[c], len(own)).astype(np.int64), np.bincount(c, own_copies[a], len(reps)).astype(np.int64)
                 every, code = np.unique(np.concatenate([own, reps]), return_inverse=True)
                 kept = _forest(len(every), code[a], code[len(own) + c])
-                yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(own), pa.array(n)], ["a", "b", "n"])
+                for ids, n in ((own, n_own), (reps, n_reps)):
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[n > 0]), pa.array(ids[n > 0]), pa.array(n[n > 0])], ["a", "b", "n"])
                 if kept:
                     yield pa.RecordBatch.from_arrays([pa.array(own[a[kept]]), pa.array(reps[c[kept]]), pa.array(np.zeros(len(kept), np.int64))], ["a", "b", "n"])
 
-    asked = blocks.select("label", F.col("shard").alias("q_shard"), F.col("reps").alias("q_reps"), F.col("xs").alias("q_xs"))
-    work = graphs.join(asked, "label").repartition(4 * p, "label", "shard", "q_shard")
+    # Two shards meet once: the blocks of the lower one query the graph of the higher one. A graph travels once for CHUNK blocks.
+    key = ["label", "shard", "chunk"]
+    chunks = F.sequence(F.lit(0), F.floor(F.col("shard") / CHUNK).cast("int"))
+    own = [c for c in graphs.columns if c not in ("label", "shard", "shards")]
+    held = graphs.select("label", "shard", F.explode(chunks).alias("chunk"), F.lit(0).alias("kind"), F.lit(-1).alias("q_shard"), *own)
+    asked = blocks.select("label", F.explode(F.sequence("shard", F.col("shards") - 1)).alias("shard"), F.floor(F.col("shard") / CHUNK).cast("int").alias("chunk"), F.lit(1).alias("kind"), F.col("shard").alias("q_shard"), "reps", "copies", "xs")
+    work = held.unionByName(asked, allowMissingColumns=True).repartition(4 * p, *key).sortWithinPartitions(*key, "kind", "q_shard")
     hits = materialize(work.mapInArrow(search, "a long, b long, n long"), "hnsw-hits")
+    release(blocks, graphs)
     near = hits.where("a = b").groupBy("a").agg(F.sum("n").alias("n")).withColumnRenamed("a", "rep")
     comp = components(hits.where("a <> b").select("a", "b")).withColumnRenamed("node", "rep")
     final = members.join(near, "rep", "left").join(comp, "rep", "left").select(
         F.col("vid"), (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "rep").alias("component_id")
     )
     out = src.select("vec_id").join(final, F.col("vec_id") == F.col("vid"), "left")
-    return out.select(
+    out = out.select(
         "vec_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"), F.coalesce(F.col("component_id") == F.col("vec_id"), F.lit(True)).alias("kept")
     )
+    out = materialize(out, "hnsw-result")
+    release(classes, hits)
+    return out
