@@ -1,14 +1,17 @@
 """Document fingerprints by spot signatures.
 
 A signature is a common word (the anchor) with the chain of the next content words
-behind it. A document's set of signatures is its fingerprint; sets are compared by
-Jaccard, pruned by their lengths first. Near-duplicate search partitions documents
-by set length (see :func:`near_duplicates`).
+behind it. A document's set of signatures is its fingerprint. Sets are partitioned by
+length, so that two sets of Jaccard 0.75 lie in one partition or in neighbours; in a
+partition an index over each set's first signatures gives the candidates, whose lengths
+are checked before any signature is compared. Jaccard of two fingerprints is pruned by
+their lengths in the same way.
 """
 
 from __future__ import annotations
 
 import hashlib
+from bisect import bisect_right
 
 import numpy as np
 import pyarrow as pa
@@ -16,10 +19,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mix, parts
+from .common import M64, mix, parts
 from .parity_join import jaccard_components
 
 CHAIN = 3
+#: Likeness below which set lengths alone decide: such pairs are not compared and count as 0.
+LEAST = 0.1
+#: Jaccard from which documents are near duplicates, as a fraction.
+NUM, DEN = 3, 4
 #: Anchors, frequent words of the corpus's languages.
 ANCHORS = frozenset(
     "the of and a in to is that it for on was with be as by this are at from "
@@ -28,6 +35,7 @@ ANCHORS = frozenset(
     "el los y se las del por con su una".split()
 )
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_=+/\\"
+_PARTITION = 0xA24BAED4963EE407
 _KEY, _ANCHOR, _CONTENT = np.uint64(~3 & ((1 << 64) - 1)), np.uint64(1), np.uint64(2)
 
 
@@ -85,6 +93,32 @@ def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
     return both / (small + large - both)
 
 
+def _edges() -> list[int]:
+    """Smallest lengths of the partitions: a set and any that it can be linked with differ by one partition at most."""
+    edges = [1]
+    while edges[-1] < 1 << 40:
+        edges.append(max(edges[-1] + 1, (edges[-1] - 1) * DEN // NUM + 1))
+    return edges
+
+
+_EDGES = _edges()
+
+
+def partition(n: int) -> int:
+    return bisect_right(_EDGES, n) - 1
+
+
+def index_keys(s: np.ndarray) -> np.ndarray:
+    """Index entries of a set: its first signatures, in its own partition and, as the shorter set, in the next.
+
+    Two sets of Jaccard 0.75 share more of their signatures than a quarter of either leaves out,
+    so one of the first quarter (and one more) is common to both.
+    """
+    first = s[: len(s) * (DEN - NUM) // DEN + 1]
+    k = partition(len(s))
+    return np.concatenate([mix(first + np.uint64((k + d) * _PARTITION & M64), 21) for d in (0, 1)])
+
+
 def _wide(text: str | None, memo: dict) -> np.ndarray:
     spots = getattr(memo, "spots", None)
     if spots is None:
@@ -95,42 +129,55 @@ def _wide(text: str | None, memo: dict) -> np.ndarray:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_signatures, component_id``: documents whose signature sets have Jaccard >= 0.75, linked.
 
-    Exact: sets are partitioned by length, candidates are pruned by length and a
-    bound of the symmetric difference, then the sets are compared.
+    Exact: candidates come from the index of each length partition, are pruned by their lengths and a bound
+    of the symmetric difference, then the sets are compared. Blank texts link with nothing; rows are treated as
+    in :func:`parity_join.jaccard_components`.
     """
-    return jaccard_components(docs, _wide).withColumnRenamed("n_shingles", "n_signatures")
+    return jaccard_components(docs, _wide, index_keys).withColumnRenamed("n_shingles", "n_signatures")
+
+
+_LOW = int(np.iinfo(np.int64).min)
 
 
-def _ordered(docs: DataFrame) -> DataFrame:
-    """Rows dealt to ranges of falling doc_id, with each range's successor as a last row (``tail``).
+def _ordered(docs: DataFrame, near: DataFrame) -> DataFrame:
+    """Rows dealt to ranges of the order, with each range's successor as a last row (``tail``).
 
-    The driver sees one boundary for each range. Ties of doc_id are ordered by text
-    hash; rows without doc_id come last.
+    The order is falling doc_id, then rows without doc_id; ties follow the hash of the text. Ranges
+    hold equal numbers of ids (rows without doc_id are cut by hash), a partition each; the driver sees one
+    boundary and one first row for each range. ``near`` (doc_id, component_id) comes as rows without text
+    (kind 0) before the texts of its doc_id.
     """
-    spark = docs.sparkSession
-    p = parts(spark)
-    low = np.iinfo(np.int64).min
-    rows = docs.select(F.col("doc_id").cast("long"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    ids = rows.select(F.coalesce("doc_id", F.lit(int(low))).alias("id"))
-    bounds = np.array(ids.agg(F.percentile_approx("id", [k / p for k in range(1, p)] or [0.5], 10_000).alias("q")).first()["q"] or [], np.int64)
-    bounds = np.unique(bounds)
+    p = parts(docs.sparkSession)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("h", F.xxhash64("text"))
+    bounds = rows.agg(F.percentile_approx("doc_id", [k / p for k in range(1, p)] or [0.5], 10_000).alias("q")).first()["q"]
+    bounds = np.unique(np.array(bounds or [], np.int64))
+    n, step = len(bounds) + 1, (1 << 64) // p + 1
 
     def place(batches):
         for b in batches:
-            x = b.column(0).fill_null(int(low)).to_numpy(zero_copy_only=False)
-            part = (len(bounds) - np.searchsorted(bounds, x, side="left")).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part)], ["doc_id", "text", "part"])
-
-    placed = rows.mapInArrow(place, "doc_id long, text string, part int")
-    tops = ids.select(F.col("id").alias("doc_id")).mapInArrow(lambda bs: (pa.RecordBatch.from_arrays([b.column(0), pa.array((len(bounds) - np.searchsorted(bounds, b.column(0).to_numpy(), side="left")).astype(np.int32))], ["id", "part"]) for b in bs), "id long, part int")
-    top = sorted((r["part"], r["id"]) for r in tops.groupBy("part").agg(F.max("id").alias("id")).collect())
-    before = {i: top[k - 1][0] for k, (_, i) in enumerate(top)}
-    target = F.create_map(*[F.lit(x) for kv in before.items() for x in kv]) if before else F.create_map(F.lit(0), F.lit(0))
-    key = F.coalesce("doc_id", F.lit(int(low)))
-    tails = placed.where(key.isin(*before)).select("doc_id", "text", target[key].alias("part"), F.lit(1).alias("tail")) if before else None
-    every = placed.select("doc_id", "text", "part", F.lit(0).alias("tail"))
-    every = every.union(tails) if tails is not None else every
-    return every.repartition(p, "part").sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), F.xxhash64("text"))
+            ids, h = b.column(0), b.column(1).to_numpy()
+            known = len(bounds) - np.searchsorted(bounds, ids.fill_null(_LOW).to_numpy(zero_copy_only=False), side="left")
+            without = n + ((h.view(np.uint64) ^ np.uint64(1 << 63)) // np.uint64(step)).astype(np.int64)
+            part = np.where(ids.is_null().to_numpy(zero_copy_only=False), without, known).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(part)], [*b.schema.names, "part"])
+
+    placed = rows.select("doc_id", "h", "text").mapInArrow(place, "doc_id long, h long, text string, part int")
+    heads = rows.select("doc_id", "h").mapInArrow(place, "doc_id long, h long, part int")
+    # falling doc_id as a rising number; rows without doc_id are in parts of their own
+    first = heads.groupBy("part").agg(F.min(F.struct(F.bitwise_not(F.coalesce("doc_id", F.lit(_LOW))).alias("id"), "h")).alias("x")).select("part", "x.id", "x.h")
+    first = sorted(map(tuple, first.collect()))
+    before = [(first[k - 1][0], part, ~key if part < n else None, h) for k, (part, key, h) in enumerate(first)]
+    spark = docs.sparkSession
+    want = F.broadcast(spark.createDataFrame(before, "to int, part int, id long, hash long"))  # a row for each range
+    same = (placed["part"] == want["part"]) & placed["doc_id"].eqNullSafe(want["id"]) & (placed["h"] == want["hash"])
+    tails = placed.join(want, same).select("doc_id", "h", "text", F.col("to").alias("part")).dropDuplicates(["part"])
+    no = F.lit(None)
+    comp = near.where("doc_id is not null").select("doc_id", F.lit(0).cast("long").alias("h"), no.cast("string").alias("text"), "component_id").mapInArrow(place, "doc_id long, h long, text string, component_id long, part int")
+    every = placed.select("part", F.lit(0).alias("tail"), "doc_id", F.lit(1).alias("kind"), "h", "text", no.cast("long").alias("component_id"))
+    every = every.union(tails.select("part", F.lit(1), "doc_id", F.lit(1), "h", "text", no.cast("long")))
+    every = every.union(comp.select("part", F.lit(0), "doc_id", F.lit(0), "h", "text", "component_id"))
+    return every.repartitionById(n + p, "part").sortWithinPartitions("part", "tail", F.col("doc_id").desc_nulls_last(), "kind", "h")
 
 
 def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
@@ -145,33 +192,42 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string, n_signatures long")
 
 
-def compare_with_edits(docs: DataFrame) -> DataFrame:
+def compare_with_edits(docs: DataFrame, least: float = LEAST) -> DataFrame:
     """Every document's fingerprint beside that of its edited text and of the next document.
 
     The edit replaces the last third of the code points by the beginning of the next
     document (falling doc_id; after the last one comes the first). One shuffle of the
-    texts; each text is fingerprinted once as itself and once edited.
+    texts; each text is fingerprinted once as itself and once edited. A likeness that lengths
+    rule out to reach ``least`` is 0. ``component_id``: smallest doc_id that is linked by near
+    duplicates (see :func:`near_duplicates`).
+
+    Null texts count as empty. Rows without doc_id come last and have no component. Rows of one doc_id
+    follow each other by the hash of their text; equal rows stay as many. Other columns are not read.
     """
-    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
+    names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "component_id"]
+    kinds = [pa.int64()] * 2 + [pa.string()] * 3 + [pa.float64()] * 2 + [pa.int64()]
 
     def run(batches):
         memo = Spots()
-        held = None  # part, doc_id, text, signatures of the row that waits for its successor
+        held = comp = None  # held: part, doc_id, text, signatures, component of the row that waits for its successor
         for b in batches:
             out = []
-            for doc, text, part, tail in zip(*(b.column(k).to_pylist() for k in range(4))):
-                if tail and (held is None or held[0] != part):
+            for part, tail, doc, kind, text, component in zip(*(b.column(c).to_pylist() for c in ("part", "tail", "doc_id", "kind", "text", "component_id"))):
+                if kind == 0:
+                    comp = (doc, component)
                     continue
                 own = signatures(text, memo)
                 if held is not None and held[0] == part:
-                    _, h_doc, h_text, h_own = held
+                    _, h_doc, h_text, h_own, h_comp = held
                     cut = len(h_text) // 3
                     edited = h_text[: len(h_text) - cut] + text[:cut]
                     e = signatures(edited, memo)
-                    out.append((h_doc, len(h_text), hashlib.sha256(edited.encode()).hexdigest(), to_text(h_own), to_text(e), likeness(h_own, e), likeness(h_own, own)))
-                held = None if tail else (part, doc, text, own)
-            cols = list(zip(*out)) if out else [[]] * 7
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, [pa.int64()] * 2 + [pa.string()] * 3 + [pa.float64()] * 2)], names)
-
-    ordered = _ordered(docs).select("doc_id", "text", "part", "tail")
-    return ordered.mapInArrow(run, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+                    digest = hashlib.sha256(edited.encode()).hexdigest()
+                    out.append((h_doc, len(h_text), digest, to_text(h_own), to_text(e), likeness(h_own, e, least), likeness(h_own, own, least), h_comp))
+                held = None if tail else (part, doc, text, own, comp[1] if comp and comp[0] == doc else None)
+            cols = list(zip(*out)) if out else [[]] * len(names)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
+
+    near = near_duplicates(docs).groupBy("doc_id").agg(F.min("component_id").alias("component_id"))
+    schema = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, component_id long"
+    return _ordered(docs, near).mapInArrow(run, schema)

@@ -1,5 +1,6 @@
 """Brute-force versions of the corpus operators, over lists of (doc_id, text)."""
 
+import bisect
 import hashlib
 import re
 import zlib
@@ -100,3 +101,40 @@ def check_packing(pieces, docs, window=1024):
             assert p["offset"] == at
             at += p["length"]
         assert at == window or (s == max(by_seq) and at < window)
+
+
+def spots(text):
+    """The signature set of a text as tuples of words."""
+    from helixframe.llm.spotsigs import _EDGE, ANCHORS
+
+    words = [w.strip(_EDGE) for w in text.lower().split()]
+    content = [i for i, w in enumerate(words) if w and w not in ANCHORS]
+
+    def chains(starts):
+        out = set()
+        for i in starts:
+            k = bisect.bisect_right(content, i)
+            after = content[k : k + 3]
+            if len(after) == 3:
+                out.add((words[i], *(words[j] for j in after)))
+        return out
+
+    return chains([i for i, w in enumerate(words) if w in ANCHORS]) or chains(content) or {text}
+
+
+def spot_components(docs):
+    sets = {d: spots(t) for d, t in docs if t and t.strip()}
+    root = {d: d for d, _ in docs}
+
+    def find(d):
+        while root[d] != d:
+            d = root[d]
+        return d
+
+    for i, a in enumerate(ids := sorted(sets)):
+        for b in ids[i + 1 :]:
+            x, y = sets[a], sets[b]
+            if 4 * min(len(x), len(y)) >= 3 * max(len(x), len(y)) and 4 * len(x & y) >= 3 * len(x | y):
+                p, q = sorted((find(a), find(b)))
+                root[q] = p
+    return {d: find(d) for d in root}

@@ -408,22 +408,56 @@ def test_spotsigs(spark, real):
         texts = {d: t or "" for d, t in docs}
         ids = sorted(texts, reverse=True)
         assert len(got) == len(docs)
+        linked = brute.spot_components(docs)
         for a, b in zip(ids, ids[1:] + ids[:1]):
             k = len(texts[a]) // 3
-            r = got[a]
-            assert (r.n_chars, r.edited_sha256) == (len(texts[a]), brute.sha((texts[a][: len(texts[a]) - k] + texts[b][:k]).encode()))
-            x, y = (spotsigs.from_text(f) for f in (r.fingerprint, got[b].fingerprint))
-            assert r.near_next == spotsigs.likeness(x, y) and r.near_edited == spotsigs.likeness(x, spotsigs.from_text(r.edited_fingerprint))
+            r, edited = got[a], texts[a][: len(texts[a]) - k] + texts[b][:k]
+            assert (r.n_chars, r.edited_sha256) == (len(texts[a]), brute.sha(edited.encode()))
+            x, y, z = (brute.spots(t) for t in (texts[a], edited, texts[b]))
+            assert len(r.fingerprint) == 8 * len(x) and len(r.edited_fingerprint) == 8 * len(y)
+            for found, other in ((r.near_edited, y), (r.near_next, z)):
+                want = len(x & other) / len(x | other) if min(len(x), len(other)) >= spotsigs.LEAST * max(len(x), len(other)) else 0.0
+                assert found == pytest.approx(want)
+            assert r.component_id == linked[a]
     assert spotsigs.likeness(np.array([1, 2], np.uint32), np.array([1], np.uint32), 0.75) == 0.0
 
 
-def test_spotsigs_near_duplicates(spark, real):
-    memo = spotsigs.Spots()
-    docs = real[:80] + [(9000 + d, t + " end") for d, t in real[:20]]
+def test_spotsigs_repeated_and_null_ids(spark):
+    docs = [(3, LONG), (3, LONG), (None, LONG * 2), (None, None), (1, "x y"), (3, "other words of the text here")]
+    out = spotsigs.compare_with_edits(frame(spark, docs)).collect()
+    assert sorted((r.doc_id or 0, r.n_chars) for r in out) == sorted((d or 0, len(t or "")) for d, t in docs)
+    assert all((r.component_id is None) == (r.doc_id is None) for r in out)
+    # the row behind the last one with doc_id 1 is one without
+    follow = {r.n_chars: r for r in out if r.doc_id == 1}[3]
+    assert follow.edited_sha256 in {brute.sha(("x " + t[:1]).encode()) for t in (LONG * 2, "")}
+
+
+def test_spotsigs_near_duplicates(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = ["the", "of", "and", "a", "in", "to", *(f"w{i}" for i in range(60))]
+    docs = []
+    for k in range(30):
+        words = [vocabulary[i] for i in rng.integers(0, len(vocabulary), int(rng.integers(2, 160)))]
+        for c in range(int(rng.integers(1, 5))):
+            edited = list(words)
+            for i in rng.integers(0, len(words), int(rng.integers(0, max(1, len(words) // 12)))):
+                edited[i] = f"x{rng.integers(0, 30)}"
+            docs.append((100 * k + c, " ".join(edited)))
     got = {r.doc_id: r.component_id for r in spotsigs.near_duplicates(frame(spark, docs)).collect()}
-    sets = {d: spotsigs.signatures(t, memo) for d, t in docs}
-    for d, t in real[:20]:
-        assert (got[9000 + d] == got[d]) or spotsigs.likeness(sets[d], sets[9000 + d]) < 0.75
+    want = brute.spot_components(docs)
+    assert got == want and len(set(want.values())) < len(docs)
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 300), st.integers(0, 60), st.integers(0, 60), st.integers(0, 10**6))
+def test_linked_signature_sets_share_an_entry(n, drop, add, seed):
+    rng = np.random.default_rng(seed)
+    a = np.unique(rng.integers(0, 2**63, n, dtype=np.uint64))
+    b = np.union1d(a[min(drop, len(a) - 1) :], rng.integers(0, 2**63, add, dtype=np.uint64))
+    both = len(np.intersect1d(a, b))
+    if 4 * both >= 3 * (len(a) + len(b) - both):
+        assert abs(spotsigs.partition(len(a)) - spotsigs.partition(len(b))) <= 1
+        assert len(np.intersect1d(spotsigs.index_keys(a), spotsigs.index_keys(b)))
 
 
 def test_embeddings(spark, sf):
