@@ -27,17 +27,35 @@ def with_revcomp(s: Column) -> Column:
     return F.concat(s, F.lit("X"), revcomp(s))
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+#: k-mers cut from one piece of a sequence, so that no substring walks a long sequence.
+PIECE = 1024
+
+
 def kmers(s: Column, k: int, step: int = 1) -> Column:
     """All k-mers at every ``step``; none for shorter sequences."""
-    n = F.length(s) - k + 1
-    at = F.when(n >= 1, F.sequence(F.lit(1), F.greatest(n, F.lit(1)), F.lit(step)))
-    return F.coalesce(F.transform(at, lambda i: F.substring(s, i, F.lit(k))), F.array().cast("array<string>"))
+    n, piece = F.length(s) - k + 1, max(1, PIECE // step) * step
+
+    def cut(at: Column) -> Column:
+        inside = F.sequence(F.lit(1), F.least(n - at, F.lit(piece)), F.lit(step))
+        return _let(F.substring(s, at + 1, F.lit(piece + k - 1)), lambda t: F.transform(inside, lambda i: F.substring(t, i, F.lit(k))))
+
+    starts = F.when(n >= 1, F.sequence(F.lit(0), F.greatest(n - 1, F.lit(0)), F.lit(piece)))
+    return F.coalesce(F.flatten(F.transform(starts, cut)), F.array().cast("array<string>"))
 
 
 def jaccard(a: Column, b: Column) -> Column:
     """Jaccard of two arrays as sets; 0 for two empty ones."""
-    union = F.size(F.array_union(a, b))
-    return F.when(union > 0, F.size(F.array_intersect(a, b)) / union).otherwise(0.0)
+
+    def ratio(p: Column) -> Column:
+        both = F.size(F.array_intersect(p["a"], p["b"]))
+        return _let(F.struct(both.alias("both"), (F.size(p["a"]) + F.size(p["b"])).alias("sum")), lambda x: F.when(x["sum"] > 0, x["both"] / (x["sum"] - x["both"])).otherwise(0.0))
+
+    return _let(F.struct(F.array_distinct(a).alias("a"), F.array_distinct(b).alias("b")), ratio)
 
 
 def kmer_jaccard(a: Column, b: Column, k: int) -> Column:
@@ -45,18 +63,31 @@ def kmer_jaccard(a: Column, b: Column, k: int) -> Column:
 
 
 def kmer_profile_similarity(df: DataFrame, id_col: str, a: str, b: str, k: int) -> DataFrame:
-    """``id_col, similarity``: shared k-mer occurrences (sum of the smaller counts) over the shorter profile."""
-    count = lambda c, n: df.select(id_col, F.explode(kmers(F.col(c), k)).alias("kmer")).groupBy(id_col, "kmer").agg(F.count("*").alias(n))
-    both = count(a, "na").join(count(b, "nb"), [id_col, "kmer"], "full")
-    got = both.groupBy(id_col).agg(F.sum(F.least(F.coalesce("na", F.lit(0)), F.coalesce("nb", F.lit(0)))).alias("s"), F.least(F.sum(F.coalesce("na", F.lit(0))), F.sum(F.coalesce("nb", F.lit(0)))).alias("m"))
-    return df.select(id_col).join(got, id_col, "left").select(id_col, F.when(F.col("m") > 0, F.col("s") / F.col("m")).otherwise(0.0).alias("similarity"))
+    """``id_col, similarity``: sum of the smaller relative frequency of every shared k-mer; 0 without any."""
+
+    def shares(c: str, name: str) -> DataFrame:
+        grams = kmers(F.col(c), k)
+        rows = df.select(id_col, F.explode(grams).alias("kmer")).groupBy(id_col, "kmer").agg(F.count("*").alias("n"))
+        return rows.join(df.select(id_col, F.greatest(F.length(c) - k + 1, F.lit(0)).alias("total")), id_col).select(id_col, "kmer", (F.col("n") / F.col("total")).alias(name))
+
+    both = shares(a, "fa").join(shares(b, "fb"), [id_col, "kmer"]).groupBy(id_col).agg(F.sum(F.least("fa", "fb")).alias("similarity"))
+    return df.select(id_col).join(both, id_col, "left").select(id_col, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
 
 
 def dominant_kmer_ratio(s: Column, k: int = 17) -> Column:
     """Share of the most frequent of the non-overlapping k-mers."""
-    parts = kmers(s, k, k)
-    most = F.array_max(F.transform(F.array_distinct(parts), lambda x: F.size(F.filter(parts, lambda y: x == y))))
-    return F.when(F.size(parts) > 0, most / F.size(parts)).otherwise(0.0)
+
+    def most(parts: Column) -> Column:
+        # equal neighbours after sorting: the longest run, in one pass
+        run = F.struct(F.lit(None).cast("string").alias("x"), F.lit(0).alias("n"), F.lit(0).alias("best"))
+
+        def step(r, x):
+            n = F.when(r["x"] == x, r["n"] + 1).otherwise(1)
+            return F.struct(x.alias("x"), n.alias("n"), F.greatest(r["best"], n).alias("best"))
+
+        return F.when(F.size(parts) > 0, F.aggregate(parts, run, step, lambda r: r["best"]) / F.size(parts)).otherwise(0.0)
+
+    return _let(F.array_sort(kmers(s, k, k)), most)
 
 
 def flank(s: Column, begin: Column, end: Column) -> Column:
@@ -150,20 +181,30 @@ def shift_by_kmers(df: DataFrame, id_col: str, left: str, right: str, span: str,
     return votes.groupBy(id_col, "shift").agg(F.count("*").alias("n")).groupBy(id_col).agg(F.min_by("shift", F.struct(-F.col("n"), "shift")).alias("shift"))
 
 
-def cluster_similarity(members: DataFrame, keys: list[str], id_col: str, seq: str, k: int = 5, least_cv: float = 0.1) -> DataFrame:
-    """``keys, similarity``: mean k-mer similarity of the pairs of a cluster's sequences.
+def cluster_similarity(members: DataFrame, keys: list[str], id_col: str, seq: str, k: int = 5, least_cv: float = 0.1, target: str | None = None) -> DataFrame:
+    """``keys, similarity, n, cv``: k-mer profile similarities of the pairs of a cluster's sequences, summed, over the number of sequences.
 
-    Where the lengths vary by ``least_cv`` or more, only the larger of the two length groups
-    takes part. For clusters of bounded size (their depth is limited on admission).
+    Where the lengths vary by more than ``least_cv``, only the length group whose mean is nearer to
+    ``target`` (a column; the mean length if not given; ties: the shorter group) takes part. Clusters
+    are of bounded size, as their depth is limited on admission.
     """
     from ..operators.aggregate import split_in_two
 
-    rows = split_in_two(members.select(*keys, id_col, F.col(seq).alias("_s"), F.length(seq).alias("_n")), keys, "_n")
-    cv = F.coalesce(F.stddev_pop("_n") / F.avg("_n"), F.lit(0.0))
-    stat = rows.groupBy(*keys).agg(cv.alias("_cv"), F.when(F.count_if(F.col("side") == 1) > F.count_if(F.col("side") == 0), 1).otherwise(0).alias("_keep"))
-    rows = rows.join(stat, keys).where((F.col("_cv") < least_cv) | (F.col("side") == F.col("_keep"))).select(*keys, id_col, kmers(F.col("_s"), k).alias("g"))
-    a, b = rows.select(*keys, F.col(id_col).alias("_a"), F.col("g").alias("_ga")), rows.select(*keys, F.col(id_col).alias("_b"), F.col("g").alias("_gb"))
-    return a.join(b, keys).where("_a < _b").groupBy(*keys).agg(F.avg(jaccard(F.col("_ga"), F.col("_gb"))).alias("similarity"))
+    length = F.length(seq)
+    rows = members.select(*keys, id_col, F.col(seq).alias("_seq"), length.alias("_len"), (F.col(target) if target else F.lit(None)).cast("double").alias("_aim"))
+    rows = split_in_two(rows, keys, "_len")
+    mean = lambda side: F.avg(F.when(F.col("side") == side, F.col("_len")))
+    cv = F.coalesce(F.stddev_pop("_len") / F.avg("_len"), F.lit(0.0))
+    aim = F.coalesce(F.max("_aim"), F.avg("_len"))
+    nearer = F.abs(mean(1) - aim) < F.abs(mean(0) - aim)
+    stat = rows.groupBy(*keys).agg(cv.alias("cv"), F.when(nearer, 1).otherwise(0).alias("_keep"))
+    rows = rows.join(stat, keys).where((F.col("cv") <= least_cv) | (F.col("side") == F.col("_keep"))).select(*keys, "cv", id_col, "_seq", "_len")
+    total = F.greatest(F.col("_len") - k + 1, F.lit(0))
+    grams = rows.select(*keys, id_col, total.alias("_total"), F.explode(kmers(F.col("_seq"), k)).alias("_g")).groupBy(*keys, id_col, "_total", "_g").agg((F.count("*") / F.col("_total")).alias("_f"))
+    side = lambda t: grams.select(*keys, "_g", F.col(id_col).alias(f"_i{t}"), F.col("_f").alias(f"_f{t}"))
+    shared = side("a").join(side("b"), [*keys, "_g"]).where("_ia < _ib").groupBy(*keys).agg(F.sum(F.least("_fa", "_fb")).alias("_sum"))
+    size = rows.groupBy(*keys).agg(F.count("*").alias("n"), F.first("cv").alias("cv"))
+    return size.join(shared, keys, "left").select(*keys, (F.coalesce("_sum", F.lit(0.0)) / F.col("n")).alias("similarity"), "n", "cv")
 
 
 def max_subarray(values: Column) -> Column:

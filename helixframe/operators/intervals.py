@@ -1,9 +1,12 @@
 """Interval relations as equi joins.
 
-Every interval [b, e) enters the bins of its own length level and of all coarser
-ones; a pair meets on the coarser level of the two, where at least one of them is at
-home, and is kept in exactly one bin. An interval of any length has a bounded number of
-rows, short intervals never meet in coarse bins, and no inequality join is left.
+Every interval [b, e) enters the bins of its own length level, and those of the coarser
+levels that the other side uses; a pair meets on the coarser level of the two, where at
+least one of them is at home, and is kept in exactly one bin. An interval of any length has a
+bounded number of rows, short intervals never meet in coarse bins, and no inequality join is
+left. Which levels a side uses is known where its intervals have one length, and else counts as
+all, or is measured by a scalar subquery of the same plan (one number; for plans that are
+cheap to compute twice).
 """
 
 from __future__ import annotations
@@ -29,23 +32,46 @@ def _level(b: Column, e: Column) -> Column:
     return level
 
 
-def _binned(df: DataFrame, begin: str, end: str, tag: str, meets: tuple[list[int], list[int]]) -> DataFrame:
-    """Rows exploded to bins; ``meets`` gives the kinds of meeting on the own and on the coarser levels."""
-    b, e = F.col(begin).cast("bigint"), F.greatest(F.col(end).cast("bigint"), F.col(begin).cast("bigint") + 1)
-    own = _level(b, e)
-    kinds = lambda lv: F.when(lv == own, F.array(*map(F.lit, meets[0]))).otherwise(F.array(*map(F.lit, meets[1])))
-    at = lambda lv: F.transform(F.sequence(_floor_div(b, _size(lv)), _floor_div(e - 1, _size(lv))), lambda x: F.struct(lv.alias("level"), x.alias("bin"), _floor_div(b, _size(lv)).alias("first"), kinds(lv).alias("kinds")))
-    rows = df.withColumn("_x", F.explode(F.flatten(F.transform(F.sequence(own, F.lit(LEVELS - 1)), at))))
-    return rows.select(*df.columns, F.col("_x.level").alias("_level"), F.col("_x.bin").alias("_bin"), F.col("_x.first").alias(f"_first{tag}"), F.explode("_x.kinds").alias("_meet"))
+def _used(df: DataFrame, begin: str, end: str, length: int | None, measure: bool) -> Column:
+    """Bits of the levels that a side's intervals have."""
+    if length is not None:
+        return F.lit(1 << next(k for k in range(LEVELS) if k == LEVELS - 1 or length <= BIN * FACTOR**k))
+    if not measure:
+        return F.lit((1 << LEVELS) - 1)
+    bit = F.element_at(F.array(*[F.lit(1 << k) for k in range(LEVELS)]), _level(*_bounds(begin, end)) + 1)
+    return F.coalesce(df.select(F.bit_or(bit).alias("_used")).scalar(), F.lit(0))
+
 
+def _bounds(begin: str, end: str) -> tuple[Column, Column]:
+    b = F.col(begin).cast("bigint")
+    return b, F.greatest(F.col(end).cast("bigint"), b + 1)
 
-def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], lb: str, le: str, rb: str, re: str) -> DataFrame:
+
+def _binned(df: DataFrame, begin: str, end: str, tag: str, used: Column, kinds: tuple[int, int]) -> DataFrame:
+    """Rows exploded to bins. ``used``: levels of the other side; ``kinds``: the kind of meeting with
+    shorter intervals of the other side on the own level, and with longer ones on theirs."""
+    b, e = _bounds(begin, end)
+    own = _level(b, e)
+    has = lambda lv: F.get(F.col("_has"), lv)
+    shorter = F.exists(F.sequence(F.lit(0), own), lambda lv: (lv < own) & has(lv))
+    at_home = F.filter(F.array(F.when(has(own), 0), F.when(shorter, kinds[0])), lambda k: k.isNotNull())
+    meets = lambda lv: F.when(lv == own, at_home).otherwise(F.when(has(lv), F.array(F.lit(kinds[1]))).otherwise(F.array().cast("array<int>")))
+    bins = lambda lv: F.sequence(_floor_div(b, _size(lv)), _floor_div(e - 1, _size(lv)))
+    at = lambda lv: F.flatten(F.transform(meets(lv), lambda k: F.transform(bins(lv), lambda x: F.struct(lv.alias("level"), x.alias("bin"), _floor_div(b, _size(lv)).alias("first"), k.alias("kind")))))
+    rows = df.withColumn("_used", used).withColumn("_has", F.array(*[F.col("_used").bitwiseAND(F.lit(1 << k)) != 0 for k in range(LEVELS)]))
+    rows = rows.withColumn("_x", F.explode(F.flatten(F.transform(F.sequence(own, F.lit(LEVELS - 1)), at))))
+    return rows.select(*df.columns, F.col("_x.level").alias("_level"), F.col("_x.bin").alias("_bin"), F.col("_x.first").alias(f"_first{tag}"), F.col("_x.kind").alias("_meet"))
+
+
+def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], lb: str, le: str, rb: str, re: str, lengths: tuple[int | None, int | None] = (None, None), measure: bool = False) -> DataFrame:
     """Inner join of overlapping half-open intervals with equal ``keys``; other columns must differ in name.
 
-    An empty interval counts as one position. Rows with a null key or bound do not join.
+    An empty interval counts as one position. Rows with a null key or bound do not join. ``lengths``: the
+    one length of all intervals of a side, if it is known; ``measure``: look up the used levels of the others.
     """
     # kinds of meeting: 0 both on their own level, 1 only the left one, 2 only the right one
-    a, b = _binned(left, lb, le, "l", ([0, 1], [2])), _binned(right, rb, re, "r", ([0, 2], [1]))
+    a = _binned(left, lb, le, "l", _used(right, rb, re, lengths[1], measure), (1, 2))
+    b = _binned(right, rb, re, "r", _used(left, lb, le, lengths[0], measure), (2, 1))
     both = a.join(b, [*keys, "_level", "_bin", "_meet"])
     le_, re_ = F.greatest(F.col(le), F.col(lb) + 1), F.greatest(F.col(re), F.col(rb) + 1)
     hit = (F.col(lb) < re_) & (F.col(rb) < le_)
@@ -53,35 +79,35 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], lb: str, le
     return both.where(hit & once).drop("_level", "_bin", "_meet", "_firstl", "_firstr")
 
 
-def matched_ids(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, lb: str, le: str, rb: str, re: str, where: Column | None = None) -> DataFrame:
+def matched_ids(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, lb: str, le: str, rb: str, re: str, where: Column | None = None, measure: bool = False) -> DataFrame:
     """Distinct ``left_id`` of rows with a partner that also satisfies ``where``."""
-    pairs = overlap_join(left, right, keys, lb, le, rb, re)
+    pairs = overlap_join(left, right, keys, lb, le, rb, re, measure=measure)
     return (pairs if where is None else pairs.where(where)).select(left_id).distinct()
 
 
-def semi_overlap(left: DataFrame, right: DataFrame, keys, left_id, lb, le, rb, re, where=None) -> DataFrame:
-    return left.join(matched_ids(left, right, keys, left_id, lb, le, rb, re, where), left_id, "left_semi")
+def semi_overlap(left: DataFrame, right: DataFrame, keys, left_id, lb, le, rb, re, where=None, measure=False) -> DataFrame:
+    return left.join(matched_ids(left, right, keys, left_id, lb, le, rb, re, where, measure), left_id, "left_semi")
 
 
-def anti_overlap(left: DataFrame, right: DataFrame, keys, left_id, lb, le, rb, re, where=None) -> DataFrame:
-    return left.join(matched_ids(left, right, keys, left_id, lb, le, rb, re, where), left_id, "left_anti")
+def anti_overlap(left: DataFrame, right: DataFrame, keys, left_id, lb, le, rb, re, where=None, measure=False) -> DataFrame:
+    return left.join(matched_ids(left, right, keys, left_id, lb, le, rb, re, where, measure), left_id, "left_anti")
 
 
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], lpos: str, rpos: str, width: int) -> DataFrame:
     """Pairs of points with equal keys at most ``width`` apart."""
     a = left.withColumn("_b", F.col(lpos) - width).withColumn("_e", F.col(lpos) + width + 1)
     b = right.withColumn("_p", F.col(rpos)).withColumn("_q", F.col(rpos) + 1)
-    return overlap_join(a, b, keys, "_b", "_e", "_p", "_q").drop("_b", "_e", "_p", "_q")
+    return overlap_join(a, b, keys, "_b", "_e", "_p", "_q", (2 * width + 1, 1)).drop("_b", "_e", "_p", "_q")
 
 
-def stab_depth(clusters: DataFrame, alignments: DataFrame, keys: list[str], id_col: str, start: str, stop: str, a_id: str, ab: str, ae: str, pad: int = 100, fallback: str | None = None) -> DataFrame:
+def stab_depth(clusters: DataFrame, alignments: DataFrame, keys: list[str], id_col: str, start: str, stop: str, a_id: str, ab: str, ae: str, pad: int = 100, fallback: str | None = None, measure: bool = False) -> DataFrame:
     """``id_col, depth``: alignments that cover ``start - pad`` or ``stop + pad`` (each counts once).
 
     With ``fallback`` a depth of zero becomes that column.
     """
     probes = clusters.select(*keys, F.col(id_col).alias("_id"), F.explode(F.array(F.col(start) - pad, F.col(stop) + pad)).alias("_p")).withColumn("_q", F.col("_p") + 1)
     a = alignments.select(*keys, F.col(a_id).alias("_a"), F.col(ab).alias("_ab"), F.col(ae).alias("_ae"))
-    n = overlap_join(probes, a, keys, "_p", "_q", "_ab", "_ae").groupBy("_id").agg(F.count_distinct("_a").alias("depth"))
+    n = overlap_join(probes, a, keys, "_p", "_q", "_ab", "_ae", (1, None), measure).groupBy("_id").agg(F.count_distinct("_a").alias("depth"))
     base = clusters.select(F.col(id_col), F.col(fallback or id_col).alias("_fb")).join(n.withColumnRenamed("_id", id_col), id_col, "left")
     zero = F.col("_fb").cast("bigint") if fallback else F.lit(0).cast("bigint")
     return base.select(id_col, F.coalesce("depth", zero).alias("depth"))

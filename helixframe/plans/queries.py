@@ -70,7 +70,7 @@ def _as(df: DataFrame, t: str) -> DataFrame:
 @query(f"WITH {_IV} SELECT a.id, count(*) AS n FROM iv a JOIN iv b ON a.contig = b.contig AND a.b < b.e AND b.b < a.e AND a.id <> b.id GROUP BY a.id")
 def interval_overlap(spark, sf_dir):
     iv = intervals(spark, sf_dir)
-    pairs = I.overlap_join(_as(iv, "l"), _as(iv, "r"), ["contig"], "b_l", "e_l", "b_r", "e_r")
+    pairs = I.overlap_join(_as(iv, "l"), _as(iv, "r"), ["contig"], "b_l", "e_l", "b_r", "e_r", measure=True)
     return pairs.where("id_l <> id_r").groupBy(C("id_l").alias("id")).agg(F.count("*").alias("n"))
 
 
@@ -78,7 +78,7 @@ def interval_overlap(spark, sf_dir):
   AND ((a.b <= c.b - 5 AND c.b - 5 < a.e) OR (a.b <= c.e + 5 AND c.e + 5 < a.e)) GROUP BY c.id""")
 def interval_stab_depth(spark, sf_dir):
     iv = intervals(spark, sf_dir)
-    return I.stab_depth(iv.withColumn("support", F.lit(1)), iv, ["contig"], "id", "b", "e", "id", "b", "e", 5, "support")
+    return I.stab_depth(iv.withColumn("support", F.lit(1)), iv, ["contig"], "id", "b", "e", "id", "b", "e", 5, "support", measure=True)
 
 
 @query(f"WITH {_IV} SELECT a.id, count(*) AS n FROM iv a JOIN iv b ON a.contig = b.contig AND a.strand = 'A' AND b.strand = 'R' AND abs(a.b - b.b) <= 15 GROUP BY a.id")
@@ -92,14 +92,14 @@ def band_match(spark, sf_dir):
 def anti_overlap(spark, sf_dir):
     iv = intervals(spark, sf_dir)
     other = iv.where("strand = 'R'").select("contig", C("b").alias("ob"), C("e").alias("oe"))
-    return I.anti_overlap(iv.where("strand = 'N'"), other, ["contig"], "id", "b", "e", "ob", "oe").select("id", "contig", "b", "e")
+    return I.anti_overlap(iv.where("strand = 'N'"), other, ["contig"], "id", "b", "e", "ob", "oe", measure=True).select("id", "contig", "b", "e")
 
 
 @query(f"WITH {_IV} SELECT a.id, a.contig, a.b, a.e FROM iv a WHERE a.strand = 'N' AND EXISTS (SELECT 1 FROM iv b WHERE b.strand = 'R' AND a.contig = b.contig AND a.b < b.e AND b.b < a.e)")
 def semi_overlap(spark, sf_dir):
     iv = intervals(spark, sf_dir)
     other = iv.where("strand = 'R'").select("contig", C("b").alias("ob"), C("e").alias("oe"))
-    return I.semi_overlap(iv.where("strand = 'N'"), other, ["contig"], "id", "b", "e", "ob", "oe").select("id", "contig", "b", "e")
+    return I.semi_overlap(iv.where("strand = 'N'"), other, ["contig"], "id", "b", "e", "ob", "oe", measure=True).select("id", "contig", "b", "e")
 
 
 def _sets(spark, sf_dir):
@@ -274,14 +274,15 @@ def set_union(spark, sf_dir):
     return read(spark, sf_dir, "orders").select(C("o_custkey").alias("k")).union(read(spark, sf_dir, "customer").select("c_custkey")).distinct()
 
 
-@query("(SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders) UNION ALL (SELECT o_custkey FROM orders EXCEPT SELECT c_custkey FROM customer)")
+@query("(SELECT c_custkey AS k FROM customer EXCEPT SELECT l_partkey FROM lineitem) UNION ALL (SELECT l_partkey FROM lineitem EXCEPT SELECT c_custkey FROM customer)")
 def set_symmetric_difference(spark, sf_dir):
-    return D.symmetric_difference(read(spark, sf_dir, "customer").select(C("c_custkey").alias("k")), read(spark, sf_dir, "orders").select(C("o_custkey").alias("k")))
+    return D.symmetric_difference(read(spark, sf_dir, "customer").select(C("c_custkey").alias("k")), read(spark, sf_dir, "lineitem").select(C("l_partkey").alias("k")))
 
 
-@query("SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders")
+@query("SELECT l_partkey AS k FROM lineitem EXCEPT SELECT l_suppkey FROM lineitem")
 def set_except(spark, sf_dir):
-    return read(spark, sf_dir, "customer").select(C("c_custkey").alias("k")).subtract(read(spark, sf_dir, "orders").select(C("o_custkey").alias("k")))
+    t = read(spark, sf_dir, "lineitem")
+    return t.select(C("l_partkey").alias("k")).subtract(t.select(C("l_suppkey").alias("k")))
 
 
 @query(f"""WITH {_IV}, h AS (SELECT DISTINCT contig, b, strand FROM iv WHERE strand IN ('A', 'R')) SELECT contig, b, CASE WHEN count(*) = 1 THEN '0/1' ELSE '1/1' END AS gt FROM h GROUP BY 1, 2""")
@@ -328,10 +329,17 @@ def kmer_jaccard(spark, sf_dir):
     return _turn_pairs(spark, sf_dir).select("conv_id", "turn", F.round(S.kmer_jaccard(C("text"), C("next"), 5), 6).alias("similarity"))
 
 
-@query()
+_GRAMS = lambda c: f"CASE WHEN length({c}) >= 5 THEN list_transform(range(1, length({c}) - 3), lambda i: substring({c}, i, 5)) ELSE [] END"
+
+
+@query(f"""WITH p AS (SELECT a.conv_id, a.turn, a.text, b.text AS nxt FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1),
+  x AS (SELECT conv_id, turn, k, count(*) / any_value(t) AS f FROM (SELECT conv_id, turn, unnest({_GRAMS('text')}) AS k, length(text) - 4 AS t FROM p) GROUP BY 1, 2, 3),
+  y AS (SELECT conv_id, turn, k, count(*) / any_value(t) AS f FROM (SELECT conv_id, turn, unnest({_GRAMS('nxt')}) AS k, length(nxt) - 4 AS t FROM p) GROUP BY 1, 2, 3),
+  z AS (SELECT x.conv_id, x.turn, sum(least(x.f, y.f)) AS s FROM x JOIN y ON x.conv_id = y.conv_id AND x.turn = y.turn AND x.k = y.k GROUP BY 1, 2)
+  SELECT p.conv_id, p.turn, round(coalesce(z.s, 0), 6) AS similarity FROM p LEFT JOIN z ON p.conv_id = z.conv_id AND p.turn = z.turn""")
 def kmer_profile(spark, sf_dir):
     p = _turn_pairs(spark, sf_dir).withColumn("id", F.struct("conv_id", "turn"))
-    return S.kmer_profile_similarity(p, "id", "text", "next", 5).select("id.conv_id", "id.turn", "similarity")
+    return S.kmer_profile_similarity(p, "id", "text", "next", 5).select("id.conv_id", "id.turn", F.round("similarity", 6).alias("similarity"))
 
 
 @query("""SELECT doc_id, md5(reverse(translate(regexp_replace(translate(text, 'acgtn', 'ACGTN'), '[^ATCGN]', 'N', 'g'), 'ATCGN', 'TAGCN'))) AS digest, length(text) AS n FROM documents""")
@@ -380,6 +388,47 @@ def sv_calls(spark, sf_dir):
     return found.select("sample", "contig", "pos", "stop", "svtype", "svlen", "support", "depth", "gt1", "gt2")
 
 
+def _hand_made(spark):
+    """Alignments with a deletion, an insertion and a deletion by clips (chr1), a tandem duplication (chr2) and inversions: plain
+    (chr3), with a right side that is clipped hard (chr4), and so short that its sides merge (chr5)."""
+    import re
+
+    from ..schema import ALIGNMENT
+
+    rows = []
+
+    def add(read, contig, start, cigar, reverse=False, supplementary=False):
+        ops = [("MIDNSHP=X".index(o), int(n)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+        size = lambda kinds: sum(n for o, n in ops if o in kinds)
+        lead = ops[0][1] if ops[0][0] == 4 else 0
+        rows.append(("s", contig, start, start + size((0, 2, 3, 7, 8)), lead, lead + size((0, 1, 7, 8)), size((0, 1, 4, 5, 7, 8)), 60, reverse, supplementary, read, ops, None))
+
+    for k in range(12):
+        add(f"d{k}", "chr1", 8000 + 10 * k, f"{2000 - 10 * k}M200D3000M")
+        add(f"i{k}", "chr1", 48_000 + 10 * k, f"{2000 - 10 * k}M150I3000M")
+    for k in range(8):
+        add(f"p{k}", "chr1", 89_500, "2500M2500S")
+        add(f"p{k}", "chr1", 95_000, "2500S2500M", supplementary=True)
+        add(f"t{k}", "chr2", 8000, "3500M3000S")
+        add(f"t{k}", "chr2", 10_000, "3500S3000M", supplementary=True)
+        for contig, begin, size, tail in (("chr3", 20_000, 2000, "2000S"), ("chr4", 20_000, 2000, "2000H"), ("chr5", 30_000, 120, "2000S")):
+            add(f"{contig}-{k}", contig, begin - 2000, f"2000M{size + 2000}S")
+            add(f"{contig}-{k}", contig, begin, f"2000S{size}M{tail}", True, True)
+            add(f"{contig}-{k}", contig, begin + size, f"{size + 2000}S2000M", False, True)
+        add(f"whole{k}", "chr1", 1000, "30S5000M30S")
+    return spark.createDataFrame(rows, ALIGNMENT)
+
+
+@query("""SELECT * FROM (VALUES ('chr1', 10000, 10200, 'DEL', 200, 12), ('chr1', 92000, 95000, 'DEL', 3000, 8), ('chr1', 50000, 50001, 'INS', 150, 12), ('chr2', 10000, 11500, 'DUP', 1500, 8),
+  ('chr3', 20000, 22000, 'INV', 2000, 8), ('chr4', 20000, 22000, 'INV', 2000, 8), ('chr5', 30000, 30120, 'INV', 120, 8)) t(contig, pos, stop, svtype, svlen, support)""")
+def hand_made_calls(spark, sf_dir):
+    """The callers with their own settings over hand-made alignments; the tables are not read."""
+    from .caller import call
+
+    cols = [C(c).cast("int").alias(c) for c in ("pos", "stop", "svlen", "support")]
+    return call(_hand_made(spark)).calls.select("contig", cols[0], cols[1], "svtype", cols[2], cols[3])
+
+
 @query()
 def repeat_scan(spark, sf_dir):
     bases = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
@@ -400,7 +449,12 @@ def mean_difference(spark, sf_dir):
     return A.mean_difference(iv, ["contig"], "size", "strand", ("A", "R")).where("t is not null").select("contig", F.round("t", 6).alias("t"), "df")
 
 
-@query()
+_CUT = lambda k: f"""u AS (SELECT *, sum(c) OVER w AS n, sum(s) OVER w AS t, sum(c) OVER (PARTITION BY {k}) AS nn, sum(s) OVER (PARTITION BY {k}) AS tt FROM v WINDOW w AS (PARTITION BY {k} ORDER BY size)),
+  g AS (SELECT {k}, size, row_number() OVER (PARTITION BY {k} ORDER BY CAST(t AS DOUBLE) * t / n + CAST(tt - t AS DOUBLE) * (tt - t) / (nn - n) DESC, size) AS r FROM u WHERE nn > n), cut AS (SELECT {k}, size AS cut FROM g WHERE r = 1)"""
+
+
+@query(f"""WITH {_IV}, v AS (SELECT contig, e - b AS size, count(*) AS c, sum(e - b) AS s FROM iv GROUP BY 1, 2), {_CUT('contig')}
+  SELECT iv.contig, CASE WHEN cut.cut IS NULL OR e - b <= cut.cut THEN 0 ELSE 1 END AS side, count(*) AS n, min(e - b) AS lo, max(e - b) AS hi FROM iv LEFT JOIN cut ON iv.contig = cut.contig GROUP BY 1, 2""")
 def split_in_two(spark, sf_dir):
     iv = intervals(spark, sf_dir).select("contig", (C("e") - C("b")).alias("size"))
     return A.split_in_two(iv, ["contig"], "size").groupBy("contig", "side").agg(F.count("*").alias("n"), F.min("size").alias("lo"), F.max("size").alias("hi"))
@@ -444,10 +498,16 @@ def tandem_lookup(spark, sf_dir):
     return N.tandem_bounds(iv.where("strand = 'A'"), rep, "id", "b", "e", 20)
 
 
-@query()
+@query(f"""WITH c AS (SELECT conv_id, turn, text, length(text) AS size FROM conversations), v AS (SELECT conv_id, size, count(*) AS c, sum(size) AS s FROM c GROUP BY 1, 2), {_CUT('conv_id')},
+  m AS (SELECT c.*, CASE WHEN cut.cut IS NULL OR c.size <= cut.cut THEN 0 ELSE 1 END AS side FROM c LEFT JOIN cut ON c.conv_id = cut.conv_id),
+  q AS (SELECT conv_id, coalesce(stddev_pop(size) / avg(size), 0) AS cv, CASE WHEN abs(avg(size) FILTER (side = 1) - avg(size)) < abs(avg(size) FILTER (side = 0) - avg(size)) THEN 1 ELSE 0 END AS keep FROM m GROUP BY 1),
+  r AS (SELECT m.conv_id, m.turn, m.text, q.cv FROM m JOIN q ON m.conv_id = q.conv_id WHERE q.cv <= 0.1 OR m.side = q.keep),
+  x AS (SELECT conv_id, turn, k, count(*) / any_value(t) AS f FROM (SELECT conv_id, turn, unnest({_GRAMS('text')}) AS k, length(text) - 4 AS t FROM r) GROUP BY 1, 2, 3),
+  y AS (SELECT a.conv_id, sum(least(a.f, b.f)) AS s FROM x a JOIN x b ON a.conv_id = b.conv_id AND a.k = b.k AND a.turn < b.turn GROUP BY 1), n AS (SELECT conv_id, count(*) AS n, any_value(cv) AS cv FROM r GROUP BY 1)
+  SELECT n.conv_id, round(coalesce(y.s, 0) / n.n, 6) AS similarity, n.n, round(n.cv, 6) AS cv FROM n LEFT JOIN y ON n.conv_id = y.conv_id""")
 def cluster_similarity(spark, sf_dir):
     t = read(spark, sf_dir, "conversations").select("conv_id", "turn", "text")
-    return S.cluster_similarity(t, ["conv_id"], "turn", "text")
+    return S.cluster_similarity(t, ["conv_id"], "turn", "text").withColumns({"similarity": F.round("similarity", 6), "cv": F.round("cv", 6)})
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -11,7 +11,7 @@ def vcf_info(extra: dict[str, Column] | None = None) -> Column:
     r = lambda c: F.bround(F.col(c), 3).cast("string")
     fields = {
         "SVTYPE": F.col("svtype"), "SVLEN": F.col("svlen").cast("string"), "END": F.col("stop").cast("string"), "SUPPORT": F.col("support").cast("string"), "AF": r("af"), "STD_POS1": r("pos1_std"), "STD_POS2": r("pos2_std"),
-        "STD_SVLEN": r("svlen_std"), "mapQ_mean": r("mapq_mean"), "mapQ_std": r("mapq_std"), "RNAMES": F.array_join("reads", ","),
+        "STD_SVLEN": r("svlen_std"), "mapQ_mean": r("mapq_mean"), "mapQ_std": r("mapq_std"), "MEDIAN_SVLEN": F.col("svlen_median").cast("string"), "READNAMES": F.array_join("reads", "|"), "RNAMES": F.lit("NULL"),
     } | (extra or {})
     return F.concat_ws(";", *[F.when(v.isNotNull(), F.concat(F.lit(k + "="), v)) for k, v in fields.items()])
 

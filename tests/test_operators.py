@@ -294,7 +294,7 @@ def test_readers_and_sinks(spark, tmp_path):
     assert sorted((r.svtype, r.svlen, r.gt) for r in readers.read_truth(spark, str(tmp_path / "h1"), str(tmp_path / "h2")).collect()) == [("DEL", 10, "1/1"), ("INS", 3, "0/1")]
     (tmp_path / "s.bed").write_text("chr1\t1000\t6000\t0\t5000\t5200\t60\t0\t1\tr1\t2000,2080,2,1000\t6000,6200,4,5000\t3000,3002,3,AC,77\n")
     assert sorted((r.sig_type, r.start, r.stop, r.qpos, r.seq, r.is_supplementary) for r in readers.read_signal_rows(spark, str(tmp_path / "s.bed")).collect()) == [("D", 2000, 2080, 1000, None, True), ("I", 3000, 3002, 77, "AC", True), ("R", 6000, 6200, 5000, None, True)]
-    calls = spark.createDataFrame([("s", "c", 5, 105, "DEL", 100, None, 9, 10, 1, 0.9, "1/1", "1/1", 1.2345, 0.5, 0.25, 60.0, 0.0, ["a", "b"])], __import__("helixframe.schema", fromlist=["CALL"]).CALL)
+    calls = spark.createDataFrame([("s", "c", 5, 105, "DEL", 100, None, 9, 10, 1, 0.9, "1/1", "1/1", 1.2345, 0.5, 0.25, 60.0, 0.0, 100.0, ["a", "b"])], __import__("helixframe.schema", fromlist=["CALL"]).CALL)
     sinks.write_vcf(calls, str(tmp_path / "v"))
     (r,) = readers.read_vcf(spark, str(tmp_path / "v")).collect()
     assert (r.contig, r.pos1, r.pos2, r.svlen, r.svtype, r.gt) == ("c", 5, 105, 100, "DEL", "1/1") and "STD_POS1=1.234;" in r.line
@@ -316,6 +316,54 @@ def test_end_to_end(spark):
     assert caller.bnd_candidates(out.candidates).count() == 0
 
 
+def test_one_alignment_is_no_split_read(spark):
+    """Two clips of one alignment make no pair; two alignments with signals of any type do."""
+    rows = [alignment("a", "chr1", 1000, "30S5000M30S"), alignment("b", "chr1", 1000, "2500M2500S"), alignment("b", "chr1", 9000, "2500M100D2500M", supplementary=True)]
+    points = caller.breakpoint_points(spark.createDataFrame(rows, ALIGNMENT)).collect()
+    assert [(p.read, p.gpos, p.rl) for p in points] == [("b", 3500, 4)]
+    assert caller.call(spark.createDataFrame(rows[:1], ALIGNMENT)).calls.count() == 0
+
+
+def test_raw_sides(spark):
+    rows = [alignment("a", "c", 500, "600M"), alignment("b", "c", 400, "610M"), alignment("b", "c", 450, "650M"), alignment("x", "c", 1000, "500M"), alignment("y", "c", 100, "500M")]
+    df = spark.createDataFrame(rows, ALIGNMENT)
+    df = df.withColumn("hash", G.record_hash(df))
+    sites = spark.createDataFrame([("s", "c", 1, 1090)], "sample string, contig string, cand long, pos long")
+    (r,) = V.raw_sides(sites, df, "R", True).collect()
+    assert (r.start_mode_r, r.support_r, r.n_r, r.positions_r, r.reads_r) == (1100, 2, 2, [1100, 1100], ["a", "b"])
+    (r,) = V.raw_sides(sites, df, "R", False).collect()
+    assert (r.n_r, r.reads_r, r.query_starts_r["b"].qpos) == (1, ["b"], 650)
+    assert V.raw_sides(sites, df, "L", True).count() == 1  # the alignment that starts at 1000
+
+
+def test_unplaced_pairs(spark):
+    rows = []
+    for k in range(8):
+        rows += [alignment(f"t{k}", "c", 8000, "402000M3000S"), alignment(f"t{k}", "c", 10_000, "402000S3000M", supplementary=True)]
+    out = caller.call(spark.createDataFrame(rows, ALIGNMENT))
+    (r,) = V.unplaced_pairs(out.candidates, out.clusters).collect()
+    assert (r.contig, r.pos1, r.pos2, r.svtype, r.source, r.support) == ("c", 10_000, 410_000, "BND", "DUP", 8) and out.calls.count() == 0
+
+
+def test_kmers_of_long_sequences(spark):
+    s = "".join("ACGT"[i] for i in np.random.default_rng(1).integers(0, 4, 5000)) + "é日"
+    df = spark.createDataFrame([(s, s[17:], 0), ("abc", "", 1)], "a string, b string, id int")
+    r = df.where("id = 0").select(S.kmers(F.col("a"), 7).alias("k"), S.kmers(F.col("a"), 7, 7).alias("m"), S.kmer_jaccard(F.col("a"), F.col("b"), 7).alias("j"), S.dominant_kmer_ratio(F.col("a"), 2).alias("d")).first()
+    grams = lambda x, k, step=1: [x[i : i + k] for i in range(0, len(x) - k + 1, step)]
+    assert r.k == grams(s, 7) and r.m == grams(s, 7, 7)
+    x, y = set(grams(s, 7)), set(grams(s[17:], 7))
+    assert r.j == pytest.approx(len(x & y) / len(x | y))
+    two = grams(s, 2, 2)
+    assert r.d == pytest.approx(max(map(two.count, set(two))) / len(two))
+    assert df.where("id = 1").select(S.kmers(F.col("a"), 7).alias("k"), S.kmer_jaccard(F.col("a"), F.col("b"), 7).alias("j")).first() == ([], 0.0)
+
+
+def test_profile_similarity(spark):
+    df = spark.createDataFrame([(1, "AAAA", "AAAAAAAT"), (2, "ACGT", "TTTT"), (3, "A", "ACGT")], "id int, a string, b string")
+    got = {r.id: r.similarity for r in S.kmer_profile_similarity(df, "id", "a", "b", 2).collect()}
+    assert got == pytest.approx({1: 6 / 7, 2: 0.0, 3: 0.0})
+
+
 def test_streams(spark, sf):
     schema = spark.read.parquet(f"{sf}/events.parquet").schema
     src = lambda: spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf).withColumn("ts", F.col("ts").cast("timestamp"))
