@@ -119,6 +119,23 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> _S31)
 
 
+def _unshift(x: np.ndarray, s: np.uint64) -> np.ndarray:
+    """Inverse of ``x ^ (x >> s)``."""
+    out, step = x, s
+    while step < 64:
+        out = out ^ (out >> step)
+        step = step * np.uint64(2)
+    return out
+
+
+def unmix(x: np.ndarray, salt: int = 0) -> np.ndarray:
+    """Inverse of :func:`mix`."""
+    with np.errstate(over="ignore"):
+        x = _unshift(x, _S31) * np.uint64(pow(int(_C), -1, 1 << 64))
+        x = _unshift(x, _S27) * np.uint64(pow(int(_B), -1, 1 << 64))
+        return _unshift(x, _S30) - np.uint64((salt * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & M64)
+
+
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal neighbours."""
     n = len(sorted_values)

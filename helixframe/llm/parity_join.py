@@ -109,13 +109,14 @@ def block_codes(s: np.ndarray) -> np.ndarray:
     return np.concatenate(out)
 
 
-def _sets(docs: DataFrame, make) -> DataFrame:
-    """``doc_id, n, h1, h2, sketch``: set size, class and dense sketch of every row."""
+def _sets(docs: DataFrame, make, pack) -> DataFrame:
+    """``doc_id, n, h1, h2, sketch``: set size, class and dense sketch of every row; with ``pack`` its ``set`` too."""
+    names = ["doc_id", "n", "h1", "h2", "sketch"] + ["set"] * bool(pack)
 
     def run(batches):
         memo = Words()
         for b in batches:
-            n, h1, h2, sk = [], [], [], []
+            n, h1, h2, sk, kept = [], [], [], [], []
             for t in b.column(1).to_pylist():
                 s = make(t, memo)
                 n.append(len(s))
@@ -123,10 +124,13 @@ def _sets(docs: DataFrame, make) -> DataFrame:
                 h1.append(x)
                 h2.append(y)
                 sk.append(dense_sketch(s) if len(s) else b"")
+                if pack:
+                    kept.append(pack(s))
             longs = [pa.array(c, pa.int64()) for c in (n, h1, h2)]
-            yield pa.RecordBatch.from_arrays([b.column(0), *longs, pa.array(sk, pa.binary())], ["doc_id", "n", "h1", "h2", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column(0), *longs, pa.array(sk, pa.binary()), *([pa.array(kept, pa.binary())] if pack else [])], names)
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, n long, h1 long, h2 long, sketch binary")
+    schema = "doc_id long, n long, h1 long, h2 long, sketch binary" + (", set binary" if pack else "")
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, schema)
 
 
 def _hot(cols: list[np.ndarray], limit: int) -> tuple[list[np.ndarray], list[np.ndarray]]:
@@ -146,15 +150,18 @@ def _group_of(code: np.ndarray) -> np.ndarray:
     return mix(code ^ _EMPTY_GROUP, 7).view(np.int64)
 
 
-def _groups(docs: DataFrame, make, codes) -> DataFrame:
-    """``g, h``: distinct members of groups; two classes that share a bucket are in one group, or both in its star."""
-    p, hot = parts(docs.sparkSession), HOT
+def _groups(rows: DataFrame, make, codes, unpacked) -> DataFrame:
+    """``g, h``: distinct members of groups; two classes that share a bucket are in one group, or both in its star.
+
+    ``rows``: texts, or packed sets that ``unpacked`` reads.
+    """
+    p, hot = parts(rows.sparkSession), HOT
 
     def deal(batches):
         memo, pack = Words(), Packer(4 * p, limit=300_000, distinct=True, split=lambda cols: _hot(cols, hot))
         for b in batches:
             for t in b.column(0).to_pylist():
-                s = make(t, memo)
+                s = unpacked(t) if unpacked else make(t, memo)
                 if len(s):
                     k = codes(s)
                     yield from pack.add(k, np.full(len(k), class_hash(s)[0], np.int64))
@@ -194,7 +201,7 @@ def _groups(docs: DataFrame, make, codes) -> DataFrame:
         keep[1:] = (g[1:] != g[:-1]) | (h[1:] != h[:-1])
         yield from send(g[keep], h[keep])
 
-    dealt = docs.select(F.col("text").cast("string")).mapInArrow(deal, Packer.schema(2))
+    dealt = rows.mapInArrow(deal, Packer.schema(2))
     return dealt.repartitionById(p, F.pmod("bucket", F.lit(p))).mapInArrow(meet, "g long, h long").distinct()
 
 
@@ -327,19 +334,20 @@ def _linked(tiled: DataFrame, sets: DataFrame, p: int) -> DataFrame:
     return dealt.repartition(p, "g", "lo", "hi").sortWithinPartitions("g", "lo", "hi").mapInArrow(run, "a long, b long").distinct()
 
 
-def _sets_of(reps: DataFrame, docs: DataFrame, make, had: DataFrame | None = None) -> DataFrame:
-    """``rep, set`` of the documents ``rep`` that ``had`` has not; only their texts are read again."""
+def _sets_of(reps: DataFrame, rows: DataFrame, make, unpacked, had: DataFrame | None = None) -> DataFrame:
+    """``rep, set`` of the documents ``rep`` that ``had`` has not, from ``rows`` of doc_id and text or packed set."""
     wanted = reps.distinct()
     wanted = materialize(wanted if had is None else wanted.join(had.select("rep"), "rep", "left_anti"), "parity-wanted")
 
     def run(batches):
         memo = Words()
         for t in batches:
-            yield pa.RecordBatch.from_arrays([t.column(0), pa.array([make(x, memo).tobytes() for x in t.column(1).to_pylist()], pa.binary())], ["rep", "set"])
+            sets = [(unpacked(x) if unpacked else make(x, memo)).tobytes() for x in t.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([t.column(0), pa.array(sets, pa.binary())], ["rep", "set"])
 
     small = wanted.count() <= BROADCAST_ROWS
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("string")).join(F.broadcast(wanted) if small else wanted, "rep")
-    out = materialize(texts.select("rep", "text").mapInArrow(run, "rep long, set binary"), "parity-sets")
+    found = rows.withColumnRenamed("doc_id", "rep").join(F.broadcast(wanted) if small else wanted, "rep")
+    out = materialize(found.select("rep", rows.columns[1]).mapInArrow(run, "rep long, set binary"), "parity-sets")
     release(wanted)
     return out
 
@@ -378,7 +386,7 @@ def reaches(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def jaccard_components(docs: DataFrame, make=shingle_set, codes=block_codes) -> DataFrame:
+def jaccard_components(docs: DataFrame, make=shingle_set, codes=block_codes, packing=None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per input row; documents link at Jaccard >= 0.75.
 
     component_id is the smallest doc_id reachable by links. Null, empty and blank texts
@@ -387,30 +395,34 @@ def jaccard_components(docs: DataFrame, make=shingle_set, codes=block_codes) ->
     links wherever one of its texts does. A row without doc_id gets a null component and
     links with nothing. Columns other than ``doc_id`` and ``text`` are not read.
     ``make(text, memo)`` builds another set (sorted distinct uint64) than word shingles; ``codes(set)``
-    gives other bucket keys, of which two linked sets must share one.
+    gives other bucket keys, of which two linked sets must share one. ``packing`` (set to bytes, bytes to
+    set) keeps the sets in a table, for sets that are small beside their texts; without it texts are read again.
     """
     p = parts(docs.sparkSession)
-    sets = materialize(_sets(docs, make), "parity-rows")
+    pack, unpacked = packing or (None, None)
+    sets = materialize(_sets(docs, make, pack), "parity-rows")
+    texts = (sets if packing else docs).where(F.col("doc_id").isNotNull())
+    texts = texts.select("doc_id", "set") if packing else texts.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     live = sets.where("n > 0 and doc_id is not null")
     classes = materialize(live.groupBy("h1", "h2").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.first("sketch").alias("sketch")), "parity-classes")
     rows = live.select("doc_id", "h1", "h2").join(classes.select("h1", "h2", "rep"), ["h1", "h2"]).select("doc_id", "rep")
     several = rows.groupBy("doc_id").agg(F.min("rep").alias("a"), F.max("rep").alias("z")).where("a <> z").select("doc_id", "a")
     shared = rows.join(several, "doc_id").where("rep <> a").select("a", F.col("rep").alias("b"))
 
-    groups = materialize(_groups(docs.where(F.col("doc_id").isNotNull()), make, codes), "parity-groups")
+    groups = materialize(_groups(texts.select(texts.columns[1]), make, codes, unpacked), "parity-groups")
     size = groups.groupBy("g").agg(F.count("*").alias("m"), F.min("h").alias("top"))
     known = classes.select(F.col("h1").alias("h"), "rep", "n", "sketch")
     members = materialize(groups.join(size, "g").join(known, "h").select("g", "m", "top", "h", "rep", "n", "sketch"), "parity-members")
     release(groups)
 
     pairs = materialize(_star(members, p), "parity-pairs")
-    exact = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")), docs, make)
+    exact = _sets_of(pairs.select(F.explode(F.array("a", "b")).alias("rep")), texts, make, unpacked)
     links = materialize(_verified(pairs, exact, p).union(shared), "parity-links")
     first = materialize(components(links), "parity-first")
 
     crossing = materialize(_crossing(members, first, p), "parity-crossing")
     release(members, pairs)
-    further = _sets_of(crossing.select("rep"), docs, make, exact)
+    further = _sets_of(crossing.select("rep"), texts, make, unpacked, exact)
     more = materialize(_linked(crossing, exact.union(further), p), "parity-links")
     release(exact, further, crossing)
     second = materialize(components(more), "parity-second")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M64, mix, parts
+from .common import M64, mix, parts, unmix
 from .parity_join import jaccard_components
 
 CHAIN = 3
@@ -51,16 +51,32 @@ class Spots(dict):
         return v
 
 
-def signatures(text: str | None, memo: dict, chain: int = CHAIN) -> np.ndarray:
-    """Sorted distinct 32-bit signatures of a whole text.
+def tokens(text: str, memo: dict) -> np.ndarray:
+    """The words of a text in order, as :class:`Spots` has them."""
+    words = text.lower().split()
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+
+
+def edited_tokens(text: str, v: np.ndarray, keep: int, more: str, w: np.ndarray, cut: int, memo: dict) -> np.ndarray:
+    """Words of ``text[:keep] + more[:cut]`` from those of both texts; only words at the cuts are looked up again."""
+    a, b = text[:keep], more[:cut]
+    left, right = a.split(), b.split()
+    seam = left[-1:] + right[:1]
+    if len(seam) == 2 and not a[-1].isspace() and not b[0].isspace():
+        seam = ["".join(seam)]
+    edge = lambda words: tokens(" ".join(words), memo)
+    return np.concatenate([v[: max(0, len(left) - 1)], edge(seam), w[1 : max(1, len(right) - 1)], edge(right[1:][-1:])])
+
+
+def signatures(text: str | None, memo: dict, chain: int = CHAIN, v: np.ndarray | None = None) -> np.ndarray:
+    """Sorted distinct 32-bit signatures of a whole text (``v``: its words, if they are known).
 
     Where no common word starts a full chain, every content word is an anchor. A text
     without any chain has one signature, a hash of all of it, so that it is like equal
     texts only; the empty text too.
     """
     text = text or ""
-    words = text.lower().split()
-    v = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+    v = tokens(text, memo) if v is None else v
     at, body = np.flatnonzero(v & _ANCHOR), np.flatnonzero(v & _CONTENT)
     first = np.searchsorted(body, at)
     full = first + chain <= len(body)
@@ -119,11 +135,20 @@ def index_keys(s: np.ndarray) -> np.ndarray:
     return np.concatenate([mix(first + np.uint64((k + d) * _PARTITION & M64), 21) for d in (0, 1)])
 
 
-def _wide(text: str | None, memo: dict) -> np.ndarray:
+def _set(text: str | None, memo: dict) -> np.ndarray:
     spots = getattr(memo, "spots", None)
     if spots is None:
         spots = memo.spots = Spots()
-    return np.sort(mix(signatures(text, spots).astype(np.uint64), 9)) if text and text.strip() else np.empty(0, np.uint64)
+    return _wide(signatures(text, spots).tobytes()) if text and text.strip() else np.empty(0, np.uint64)
+
+
+def _wide(raw: bytes) -> np.ndarray:
+    """Signatures as a sorted set of 64-bit values: a bijection of the 32-bit ones."""
+    return np.sort(mix(np.frombuffer(raw, np.uint32).astype(np.uint64), 9))
+
+
+def _narrow(s: np.ndarray) -> bytes:
+    return unmix(s, 9).astype(np.uint32).tobytes()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -133,7 +158,7 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     of the symmetric difference, then the sets are compared. Blank texts link with nothing; rows are treated as
     in :func:`parity_join.jaccard_components`.
     """
-    return jaccard_components(docs, _wide, index_keys).withColumnRenamed("n_shingles", "n_signatures")
+    return jaccard_components(docs, _set, index_keys, (_narrow, _wide)).withColumnRenamed("n_shingles", "n_signatures")
 
 
 _LOW = int(np.iinfo(np.int64).min)
@@ -209,22 +234,24 @@ def compare_with_edits(docs: DataFrame, least: float = LEAST) -> DataFrame:
 
     def run(batches):
         memo = Spots()
-        held = comp = None  # held: part, doc_id, text, signatures, component of the row that waits for its successor
+        held = comp = None  # held: part, doc_id, text, words, signatures, component of the row that waits for its successor
         for b in batches:
             out = []
             for part, tail, doc, kind, text, component in zip(*(b.column(c).to_pylist() for c in ("part", "tail", "doc_id", "kind", "text", "component_id"))):
                 if kind == 0:
                     comp = (doc, component)
                     continue
-                own = signatures(text, memo)
+                v = tokens(text, memo)
+                own = signatures(text, memo, v=v)
                 if held is not None and held[0] == part:
-                    _, h_doc, h_text, h_own, h_comp = held
+                    _, h_doc, h_text, h_v, h_own, h_comp = held
                     cut = len(h_text) // 3
-                    edited = h_text[: len(h_text) - cut] + text[:cut]
-                    e = signatures(edited, memo)
+                    keep = len(h_text) - cut
+                    edited = h_text[:keep] + text[:cut]
+                    e = signatures(edited, memo, v=edited_tokens(h_text, h_v, keep, text, v, cut, memo))
                     digest = hashlib.sha256(edited.encode()).hexdigest()
                     out.append((h_doc, len(h_text), digest, to_text(h_own), to_text(e), likeness(h_own, e, least), likeness(h_own, own, least), h_comp))
-                held = None if tail else (part, doc, text, own, comp[1] if comp and comp[0] == doc else None)
+                held = None if tail else (part, doc, text, v, own, comp[1] if comp and comp[0] == doc else None)
             cols = list(zip(*out)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
 

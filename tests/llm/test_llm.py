@@ -422,6 +422,21 @@ def test_spotsigs(spark, real):
     assert spotsigs.likeness(np.array([1, 2], np.uint32), np.array([1], np.uint32), 0.75) == 0.0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="aB. \n\u03a3\u0130\x85", max_size=30), st.text(alphabet="cD the \n\u03a3", max_size=30))
+def test_edited_words(text, more):
+    memo = spotsigs.Spots()
+    cut = len(text) // 3
+    keep = len(text) - cut
+    got = spotsigs.edited_tokens(text, spotsigs.tokens(text, memo), keep, more, spotsigs.tokens(more, memo), cut, memo)
+    assert got.tolist() == spotsigs.tokens(text[:keep] + more[:cut], memo).tolist()
+
+
+def test_signatures_widen_and_narrow():
+    s = np.unique(np.random.default_rng(0).integers(0, 2**32, 1000, dtype=np.uint64)).astype(np.uint32)
+    assert np.sort(np.frombuffer(spotsigs._narrow(spotsigs._wide(s.tobytes())), np.uint32)).tolist() == s.tolist()
+
+
 def test_spotsigs_repeated_and_null_ids(spark):
     docs = [(3, LONG), (3, LONG), (None, LONG * 2), (None, None), (1, "x y"), (3, "other words of the text here")]
     out = spotsigs.compare_with_edits(frame(spark, docs)).collect()
