@@ -89,7 +89,11 @@ def admitted(clusters: DataFrame, max_sure: int = 200, max_depth: int = 120) ->
 def shared_table(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp()
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not root:
+        if spark.sparkContext.master.partition("[")[0] != "local":
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
+        root = "file://" + tempfile.mkdtemp(prefix="helixframe-")  # one process does all: tests
     path = f"{root.rstrip('/')}/cluster-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
