@@ -277,8 +277,13 @@ def repeats_in(seq: str, min_size: int, min_dist: int) -> list[tuple[str, int, i
 
 def repeat_scan(seqs: DataFrame, contig: str, seq: str, window: int = 100_000, step: int = 50_000, min_size: int = 1, min_dist: int = 5) -> DataFrame:
     """Repeats of every sliding window: ``contig, kind, pos1, pos2, size`` in contig coordinates, distinct."""
-    at = F.explode(F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0)), F.lit(step))).alias("at")
-    cut = seqs.where(F.col(seq).isNotNull()).select(F.col(contig).cast("string").alias("contig"), at, F.col(seq).alias("_s")).select("contig", "at", F.substring("_s", F.col("at") + 1, F.lit(window)).alias("win"))
+    # blocks of many windows first, so that no substring walks a long sequence for each window
+    block = 64 * step
+    starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0)), F.lit(block))).alias("base")
+    rows = seqs.where(F.col(seq).isNotNull()).select(F.col(contig).cast("string").alias("contig"), F.col(seq).alias("_s"), starts)
+    rows = rows.select("contig", "base", F.substring("_s", F.col("base") + 1, F.lit(block + window - 1)).alias("_s"))
+    inside = F.explode(F.sequence(F.lit(0), F.greatest(F.least(F.length("_s"), F.lit(block)) - 1, F.lit(0)), F.lit(step))).alias("at")
+    cut = rows.select("contig", "base", "_s", inside).select("contig", (F.col("base") + F.col("at")).alias("at"), F.substring("_s", F.col("at") + 1, F.lit(window)).alias("win"))
 
     def run(batches):
         for b in batches:

@@ -275,6 +275,15 @@ def test_repeat_scan_and_merge(spark):
     assert [(r.pos1, r.pos2, r["size"]) for r in dup.collect()] == [(0, 32, 12)] and "center" in inv.columns
 
 
+def test_repeat_scan_windows(spark):
+    """Windows of a sequence of several blocks are those of plain slicing."""
+    text = "".join("ACGT"[i] for i in np.random.default_rng(9).integers(0, 4, 1500))
+    seqs = spark.createDataFrame([("c", text), ("e", ""), ("n", None)], "contig string, seq string")
+    got = {(r.kind, r.pos1, r.pos2, r["size"]) for r in S.repeat_scan(seqs, "contig", "seq", 40, 10, 6, 5).collect()}
+    want = {(x[0], a + x[1], a + x[2], x[3]) for a in range(0, len(text), 10) for x in S.repeats_in(text[a : a + 40], 6, 5)}
+    assert got == want and got
+
+
 def test_shift_search(spark):
     df = spark.createDataFrame([(1, "A" * 10 + "CCCCC" + "A" * 10, "G" * 10 + "CCCCC" + "G" * 10, 5)], "id long, l string, r string, n int")
     assert S.shift_search(df, "id", "l", "r", "n").count() == 1
