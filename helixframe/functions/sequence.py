@@ -218,6 +218,11 @@ def max_subarray(values: Column) -> Column:
     return F.when(F.size(values) > 0, best)
 
 
+def descending_above(values: Column, least: int) -> Column:
+    """Distinct values above ``least``, falling."""
+    return F.reverse(F.array_sort(F.array_distinct(F.filter(values, lambda x: x > least))))
+
+
 def suffix_ranks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Suffix array and ranks of an integer array, by prefix doubling."""
     n, h = len(codes), 1

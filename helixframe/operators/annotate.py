@@ -67,6 +67,16 @@ def spanning_guard(pairs: DataFrame, alignments: DataFrame, keys: list[str], id_
     return pairs.join(n.where((C("_n") >= least) & (C("_out") == 0)).select(id_col), id_col, "left_anti")
 
 
+def reads_over(regions: DataFrame, alignments: DataFrame, keys: list[str], id_col: str, reads: str, begin: str, end: str, read: str, ab: str, ae: str) -> DataFrame:
+    """Alignments of a region's own reads that overlap it: ``id_col`` and the columns of ``alignments`` but ``keys``.
+
+    An equi join on the read, as a region knows its reads; no interval join is needed.
+    """
+    r = regions.select(*keys, id_col, C(begin).alias("_b"), C(end).alias("_e"), F.explode(F.array_distinct(reads)).alias(read))
+    hit = r.join(alignments, [*keys, read]).where((C(ab) < C("_e")) & (C("_b") < C(ae)))
+    return hit.drop("_b", "_e", *keys)
+
+
 def type_totals(df: DataFrame, keys: list[str], kind: str = "sig_type") -> DataFrame:
     """Rows of each type per window or other key."""
     return df.groupBy(*keys, kind).agg(F.count("*").alias("n"))

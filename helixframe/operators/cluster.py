@@ -86,6 +86,12 @@ def admitted(clusters: DataFrame, max_sure: int = 200, max_depth: int = 120) ->
     return clusters.where((F.col("sure_reads") <= max_sure) & (F.col("depth") >= F.col("n")) & (F.col("depth") <= max_depth))
 
 
+def admitted_by_reads(clusters: DataFrame, max_sure: int = 150, max_reads: int = 75) -> DataFrame:
+    """The older admission: few reads of high quality (``sure_reads``), few reads at all (``support``), and for D and I some depth."""
+    deep = ~F.col("sig_type").isin("D", "I") | (F.col("depth") != 0)
+    return clusters.where((F.col("sure_reads") <= max_sure) & (F.col("support") <= max_reads) & deep)
+
+
 def shared_table(df: DataFrame) -> DataFrame:
     """``df`` written to the shared folder and read back."""
     spark = df.sparkSession

@@ -510,6 +510,83 @@ def cluster_similarity(spark, sf_dir):
     return S.cluster_similarity(t, ["conv_id"], "turn", "text").withColumns({"similarity": F.round("similarity", 6), "cv": F.round("cv", 6)})
 
 
+@query(f"WITH {_IV} SELECT contig, strand, count(*) AS n FROM iv GROUP BY 1, 2")
+def type_totals(spark, sf_dir):
+    return N.type_totals(intervals(spark, sf_dir), ["contig"], "strand")
+
+
+_GATE = """c AS (SELECT contig, strand, count(*) AS n, stddev_pop(b) AS start_std, stddev_pop(e) AS stop_std, avg(abs(e - b)) AS svlen_avg FROM iv GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_IV}, {_GATE} SELECT contig, strand, n FROM c WHERE svlen_avg > 0 AND (start_std + stop_std) / 2 / svlen_avg / n < 20")
+def emission_gate(spark, sf_dir):
+    return K.emission_gate(A.cluster_stats(intervals(spark, sf_dir), ["contig", "strand"], "b", "e"), 20.0).select("contig", "strand", "n")
+
+
+_READS = """r AS (SELECT contig, CASE strand WHEN 'A' THEN 'D' WHEN 'R' THEN 'I' ELSE 'L' END AS sig_type, count(DISTINCT read) AS support, count(DISTINCT CASE WHEN mapq >= 45 THEN read END) AS sure_reads,
+  count(*) FILTER (status = 'O') AS depth FROM iv GROUP BY 1, 2)"""
+
+
+@query(f"WITH {_IV}, {_READS} SELECT contig, sig_type FROM r WHERE sure_reads <= 5 AND support <= 150 AND (sig_type NOT IN ('D', 'I') OR depth <> 0)")
+def admission_by_reads(spark, sf_dir):
+    kind = F.when(C("strand") == "A", "D").when(C("strand") == "R", "I").otherwise("L")
+    c = intervals(spark, sf_dir).groupBy("contig", kind.alias("sig_type")).agg(
+        F.count_distinct("read").alias("support"), F.count_distinct(F.when(C("mapq") >= 45, C("read"))).alias("sure_reads"), F.count_if(C("status") == "O").alias("depth")
+    )
+    return K.admitted_by_reads(c, 5, 150).select("contig", "sig_type")
+
+
+@query("SELECT l_orderkey, l_linenumber, least(l_partkey, l_suppkey) AS pos1, CASE WHEN l_partkey = l_suppkey THEN l_suppkey + 1 ELSE greatest(l_partkey, l_suppkey) END AS pos2 FROM lineitem")
+def normalised_bounds(spark, sf_dir):
+    t = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", C("l_partkey").alias("pos1"), C("l_suppkey").alias("pos2"))
+    return B.normalise(t)
+
+
+@query("SELECT DISTINCT user_id, event_type FROM events")
+def unique_rows(spark, sf_dir):
+    return G.unique_rows(read(spark, sf_dir, "events").select("user_id", "event_type"), "user_id", "event_type")
+
+
+_AMOUNTS = "v AS (SELECT o_custkey, list(CAST(floor(o_totalprice) AS BIGINT) % 2001 - 1000 ORDER BY o_orderkey) AS amounts FROM orders GROUP BY 1)"
+
+
+def _amounts(spark, sf_dir):
+    t = read(spark, sf_dir, "orders").select("o_custkey", F.struct("o_orderkey", (F.floor("o_totalprice") % 2001 - 1000).alias("x")).alias("s"))
+    return t.groupBy("o_custkey").agg(F.transform(F.array_sort(F.collect_list("s")), lambda s: s["x"]).alias("amounts"))
+
+
+@query(f"WITH {_AMOUNTS} SELECT o_custkey, array_to_string(list_reverse_sort(list_distinct(list_filter(amounts, lambda x: x > 0))), ',') AS amounts FROM v")
+def descending_above(spark, sf_dir):
+    return _amounts(spark, sf_dir).select("o_custkey", F.array_join(S.descending_above(C("amounts"), 0).cast("array<string>"), ",").alias("amounts"))
+
+
+@query("""WITH x AS (SELECT o_custkey, o_orderkey, CAST(floor(o_totalprice) AS BIGINT) % 2001 - 1000 AS x FROM orders), p AS (SELECT o_custkey, o_orderkey, sum(x) OVER w AS upto, sum(x) OVER w - x AS before FROM x WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING)),
+  m AS (SELECT o_custkey, upto - min(before) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING) AS s FROM p) SELECT o_custkey, CAST(max(s) AS DOUBLE) AS best FROM m GROUP BY 1""")
+def max_subarray(spark, sf_dir):
+    return _amounts(spark, sf_dir).select("o_custkey", S.max_subarray(C("amounts").cast("array<double>")).alias("best"))
+
+
+@query("""WITH k AS (SELECT doc_id, unnest(CASE WHEN length(text) >= 17 THEN list_transform(range(1, length(text) - 15, 17), lambda i: substring(text, i, 17)) ELSE [] END) AS k FROM documents),
+  c AS (SELECT doc_id, k, count(*) AS n FROM k GROUP BY 1, 2), r AS (SELECT doc_id, max(n) / sum(n) AS ratio FROM c GROUP BY 1) SELECT d.doc_id, round(coalesce(r.ratio, 0), 6) AS ratio FROM documents d LEFT JOIN r ON d.doc_id = r.doc_id""")
+def dominant_kmer(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.round(S.dominant_kmer_ratio(F.coalesce("text", F.lit(""))), 6).alias("ratio"))
+
+
+@query(f"""WITH {_IV}, m AS (SELECT contig, b, e, e - b AS n, lag(b) OVER w AS prev FROM iv WINDOW w AS (PARTITION BY contig ORDER BY b, e, e - b)),
+  g AS (SELECT *, sum(CASE WHEN b - prev <= 20 THEN 0 ELSE 1 END) OVER (PARTITION BY contig ORDER BY b, e, n ROWS UNBOUNDED PRECEDING) AS k FROM m), r AS (SELECT *, row_number() OVER (PARTITION BY contig, k ORDER BY n DESC, e - b DESC, b, e) AS x FROM g) SELECT contig, b, e, n FROM r WHERE x = 1""")
+def greedy_chain_by_gap(spark, sf_dir):
+    iv = intervals(spark, sf_dir).select("contig", "b", "e", (C("e") - C("b")).alias("n"))
+    return D.greedy_chain(iv, ["contig"], "b", "e", "n", 20)
+
+
+@query(f"""WITH {_IV}, c AS (SELECT contig, min(b) AS cb, min(b) + 500 AS ce, list(DISTINCT read) FILTER (strand = 'A') AS reads FROM iv GROUP BY 1)
+  SELECT iv.contig, count(*) AS n, CAST(sum(iv.b) AS BIGINT) AS total FROM c JOIN iv ON c.contig = iv.contig AND list_contains(c.reads, iv.read) AND iv.b < c.ce AND c.cb < iv.e GROUP BY 1""")
+def reads_over(spark, sf_dir):
+    iv = intervals(spark, sf_dir)
+    regions = iv.groupBy("contig").agg(F.min("b").alias("cb"), (F.min("b") + 500).alias("ce"), F.collect_set(F.when(C("strand") == "A", C("read"))).alias("reads")).withColumn("region", C("contig"))
+    return N.reads_over(regions, iv, ["contig"], "region", "reads", "cb", "ce", "read", "b", "e").groupBy(C("region").alias("contig")).agg(F.count("*").alias("n"), F.sum("b").alias("total"))
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Intervals that no other dominates, with their depth and genotypes."""
     iv = intervals(spark, sf_dir).withColumns({"size": C("e") - C("b"), "support": F.lit(1).cast("bigint")})
