@@ -7,52 +7,84 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import band_join
 
 
+#: Positions in a bin of :func:`regions`.
+REGION_BIN = 1 << 16
+
+
+def regions(df: DataFrame, keys: list[str], lo: Column, hi: Column, reach: int, size: int | None = None) -> DataFrame:
+    """Adds ``_region``: rows of a later region of a key begin ``reach`` or more behind all before.
+
+    No chain or cluster that needs nearer neighbours crosses a region, so each is folded by itself and no
+    task has to hold a whole key. Cuts are looked for at the borders of bins, from one row for each bin.
+    """
+    at = lo.cast("bigint")
+    n = F.lit(size or REGION_BIN).cast("bigint")
+    rows = df.withColumn("_bin", ((at - F.pmod(at, n)) / n).cast("bigint"))
+    bins = rows.groupBy(*keys, "_bin").agg(F.min(lo).alias("_a"), F.max(hi).alias("_z"))
+    w = Window.partitionBy(*keys).orderBy("_bin")
+    far = F.max("_z").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    bins = bins.withColumn("_cut", F.when(F.col("_a") - far < reach, 0).otherwise(1))
+    bins = bins.withColumn("_region", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
+    return rows.join(bins.select(*keys, "_bin", "_region"), [*keys, "_bin"]).drop("_bin")
+
+
+def _numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
+    """Numbers that begin at 1 in each region become numbers along the key."""
+    most = rows.groupBy(*keys, "_region").agg(F.max(name).alias("_most"))
+    w = Window.partitionBy(*keys).orderBy("_region").rowsBetween(Window.unboundedPreceding, -1)
+    before = most.select(*keys, "_region", F.coalesce(F.sum("_most").over(w), F.lit(0)).cast("bigint").alias("_before"))
+    return rows.join(before, [*keys, "_region"]).withColumn(name, F.col(name) + F.col("_before")).drop("_region", "_before")
+
+
 def islands(df: DataFrame, keys: list[str], pos: str, eps: int, order: str | None = None) -> DataFrame:
     """1-D density clusters with two members at least enough: adds ``island``, numbered from 1 along each key."""
-    w = Window.partitionBy(*keys).orderBy(pos, *([order] if order else []))
+    w = Window.partitionBy(*keys, "_region").orderBy(pos, *([order] if order else []))
     new = F.when(F.col(pos) - F.lag(pos).over(w) <= eps, 0).otherwise(1)
-    return df.withColumn("_new", new).withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("_new")
+    rows = regions(df, keys, F.col(pos), F.col(pos), eps + 1).withColumn("_new", new)
+    rows = rows.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("_new")
+    return _numbered(rows, keys, "island").select(*df.columns, "island")
 
 
-def _fold(df: DataFrame, keys: list[str], order: list[str], member) -> DataFrame:
-    """Numbers rows by a sequential rule: ``member(head, row)`` says whether a row joins the open cluster.
+def _fold(df: DataFrame, keys: list[str], order: list[str], member, reads: list[str]) -> DataFrame:
+    """Numbers rows of every ``_region`` by a sequential rule: ``member(*head, *row)`` says, from the columns
+    ``reads``, whether a row joins the open cluster.
 
-    Rows of a key are sorted on the executors and streamed through one task in batches,
-    so only the open cluster's head is held, whatever the size of a key.
+    Rows of a region are sorted on the executors and streamed through one task in batches,
+    so only the open cluster's head is held, whatever the size of a region.
     """
-    cols = df.columns
-    at_keys, names = [cols.index(k) for k in keys], cols
+    cols, by = df.columns, [*keys, "_region"]
 
     def run(batches):
         key, head, number = None, None, 0
         for b in batches:
-            rows = list(zip(*(c.to_pylist() for c in b.columns)))
-            out = np.empty(len(rows), np.int64)
+            at = list(zip(*(b.column(k).to_pylist() for k in by)))
+            rows = zip(*(b.column(k).to_pylist() for k in reads))
+            out = np.empty(len(at), np.int64)
             for i, r in enumerate(rows):
-                k = tuple(r[j] for j in at_keys)
-                if k != key:
-                    key, head, number = k, None, 0
-                v = dict(zip(names, r))
-                if head is None or not member(head, v):
-                    head, number = v, number + 1
+                if at[i] != key:
+                    key, head, number = at[i], None, 0
+                if head is None or not member(*head, *r):
+                    head, number = r, number + 1
                 out[i] = number
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*cols, "cluster"])
 
     from pyspark.sql import types as T
 
     schema = T.StructType([*df.schema.fields, T.StructField("cluster", T.LongType())])
-    return df.repartition(*keys).sortWithinPartitions(*keys, *order).mapInArrow(run, schema)
+    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
 def leader_1d(df: DataFrame, keys: list[str], pos: str, distance: int, order: str) -> DataFrame:
     """Leader clustering: a row joins while it is less than ``distance`` from the head of the open cluster."""
-    return _fold(df, keys, [pos, order], lambda h, r: abs(r[pos] - h[pos]) < distance)
+    rows = regions(df, keys, F.col(pos), F.col(pos), distance)
+    folded = _fold(rows, keys, [pos, order], lambda h, r: abs(r - h) < distance, [pos])
+    return _numbered(folded, keys, "cluster").select(*df.columns, "cluster")
 
 
 def leader_2d(df: DataFrame, keys: list[str], start: str, stop: str, distance: int, order: str) -> DataFrame:
@@ -60,11 +92,10 @@ def leader_2d(df: DataFrame, keys: list[str], start: str, stop: str, distance: i
 
     A row joins when the centre distance is not 0 and the overlap with the head exceeds half
     of the longer one, or the centres are closer than ``distance``, the lengths' variation is
-    below 0.3 and the starts are closer than the shorter one.
+    below 0.3 and the starts are closer than the shorter one. So it overlaps the head.
     """
 
-    def member(h, r):
-        a, b, c, d = h[start], h[stop], r[start], r[stop]
+    def member(a, b, c, d):
         la, lb = abs(b - a), abs(d - c)
         dist = abs((a + b) / 2 - (c + d) / 2)
         overlap = min(b, d) - max(a, c)
@@ -72,7 +103,9 @@ def leader_2d(df: DataFrame, keys: list[str], start: str, stop: str, distance: i
         cv = abs(la - lb) / 2 / mean if mean else 0.0
         return (dist != 0 and overlap > 0.5 * max(la, lb)) or (dist < distance and cv < 0.3 and abs(a - c) < min(la, lb))
 
-    return _fold(df, keys, [start, stop, order], member)
+    rows = regions(df, keys, F.least(start, stop), F.greatest(start, stop) + F.abs(F.col(stop) - F.col(start)), 1)
+    folded = _fold(rows, keys, [start, stop, order], member, [start, stop])
+    return _numbered(folded, keys, "cluster").select(*df.columns, "cluster")
 
 
 def emission_gate(clusters: DataFrame, limit: float, n: str = "n") -> DataFrame:

@@ -115,11 +115,14 @@ def stab_depth(clusters: DataFrame, alignments: DataFrame, keys: list[str], id_c
 
 def merge_intervals(df: DataFrame, keys: list[str], begin: str, end: str, gap: int = 0) -> DataFrame:
     """Maximal chains of intervals at most ``gap`` apart: ``keys, begin, end, n``."""
-    w = Window.partitionBy(*keys).orderBy(begin, end)
+    from .cluster import regions
+
+    rows = regions(df.select(*keys, begin, end), keys, F.col(begin), F.col(end), gap + 1)
+    w = Window.partitionBy(*keys, "_region").orderBy(begin, end)
     far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = df.select(*keys, begin, end, F.when(F.col(begin) <= far + gap, 0).otherwise(1).alias("_new"))
+    marked = rows.withColumn("_new", F.when(F.col(begin) <= far + gap, 0).otherwise(1))
     grouped = marked.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(*keys, "_g").agg(F.min(begin).alias(begin), F.max(end).alias(end), F.count("*").alias("n")).drop("_g")
+    return grouped.groupBy(*keys, "_region", "_g").agg(F.min(begin).alias(begin), F.max(end).alias(end), F.count("*").alias("n")).drop("_region", "_g")
 
 
 def fallback_lookup(sites: DataFrame, clusters: DataFrame, ends: DataFrame, keys: list[str], id_col: str, pos: str, cpos: str, epos: str, width: int) -> DataFrame:

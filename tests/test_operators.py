@@ -73,6 +73,21 @@ def test_leader_differs_from_islands(spark):
     assert [r.island for r in K.islands(df, ["k"], "p", 8).orderBy("p").collect()] == [1, 1, 1, 1, 2]
 
 
+def test_folds_by_region(spark, monkeypatch):
+    """Small bins, so that a key has many regions: the same clusters and numbers as in one."""
+    rng = np.random.default_rng(7)
+    rows = [(f"k{k}", int(b), int(b + rng.integers(0, 30)), i) for k in range(3) for i, b in enumerate(rng.integers(-500, 1500, 150))]
+    df = spark.createDataFrame(rows, "k string, b long, e long, i long")
+    ops = [
+        lambda: K.islands(df, ["k"], "b", 5, "i"), lambda: K.leader_1d(df, ["k"], "b", 9, "i"), lambda: K.leader_2d(df, ["k"], "b", "e", 6, "i"),
+        lambda: I.merge_intervals(df, ["k"], "b", "e"), lambda: D.greedy_chain(df, ["k"], "b", "e", "i"), lambda: D.greedy_chain(df, ["k"], "b", "e", "i", 4),
+    ]
+    one = [sorted(map(tuple, op().collect())) for op in ops]
+    monkeypatch.setattr(K, "REGION_BIN", 16)
+    assert K.regions(df, ["k"], F.col("b"), F.col("b"), 6).select("k", "_region").distinct().count() > 20
+    assert [sorted(map(tuple, op().collect())) for op in ops] == one
+
+
 def test_components_2d(spark):
     rows = [(1, "c", 0, 0), (2, "c", 300, 400), (3, "c", 301, 900), (4, "c", 5000, 0), (5, "d", 0, 0), (6, "c", 0, 0)]
     got = {r.i: r.component for r in K.components_2d(spark.createDataFrame(rows, "i long, k string, x long, y long"), ["k"], "i", "x", "y", 500).collect()}
