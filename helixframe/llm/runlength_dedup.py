@@ -41,6 +41,8 @@ COMBINE, SPLIT = 16, 256
 #: Splits of a key; what is left then is indexed whatever its size.
 LEVELS = 16
 CHUNK_BYTES = 1 << 17
+#: Bytes of texts that a task holds before it indexes the whole keys among them.
+HELD_BYTES = 1 << 23
 #: Two independent polynomial hashes: multiplier and byte table.
 _BASES = (0x9E6C63D0876A9A47 | 1, 0xC2B2AE3D27D4EB4F | 1)
 _TABLES = (mix(np.arange(256, dtype=np.uint64), 77), mix(np.arange(256, dtype=np.uint64), 78))
@@ -305,21 +307,15 @@ def _texts(docs: DataFrame, found: DataFrame) -> DataFrame:
 def _indexed(texts: DataFrame, p: int) -> DataFrame:
     """``doc_id, lo, hi``: intervals marked by run-length indexes over chunks of whole keys."""
 
-    def run(batches):
-        rows = [b for b in batches if b.num_rows]
-        if not rows:
-            return
-        t = pa.Table.from_batches(rows).combine_chunks()
+    def chunks(t: pa.Table):
         key, doc, lo = (t.column(c).to_numpy() for c in ("key", "doc_id", "lo"))
         order = np.lexsort((lo, doc, key))
         k, d, a = key[order], doc[order], lo[order]
         order = order[np.concatenate([[True], (k[1:] != k[:-1]) | (d[1:] != d[:-1]) | (a[1:] != a[:-1])])]  # repeated rows
         body = t.column("body").take(pa.array(order)).to_pylist()
         key, doc, lo = key[order], doc[order], lo[order]
-        starts, lens = runs(key)
-        chunk, size = 0, 0
-        cuts = [0]
-        for s, m in zip(starts, lens):
+        size, cuts = 0, [0]
+        for s, m in zip(*runs(key)):
             size += sum(map(len, body[s : s + m]))
             if size >= CHUNK_BYTES:
                 cuts.append(s + m)
@@ -337,7 +333,26 @@ def _indexed(texts: DataFrame, p: int) -> DataFrame:
             if d:
                 yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(v)) for v in (d, a, e)], ["doc_id", "lo", "hi"])
 
-    return texts.where("kind = 1").select("key", "doc_id", "lo", "body").repartition(p, "key").mapInArrow(run, "doc_id long, lo long, hi long")
+    def run(batches):
+        held, size = [], 0
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held.append(b)
+            size += b.nbytes
+            if size >= HELD_BYTES:  # all but the last key, which may go on
+                t = pa.Table.from_batches(held).combine_chunks()
+                key = t.column("key").to_numpy()
+                cut = len(key) - int((key[::-1] != key[-1]).argmax()) if key[0] != key[-1] else 0
+                if cut:
+                    yield from chunks(t.slice(0, cut))
+                held = t.slice(cut).to_batches()
+                size = sum(x.nbytes for x in held)
+        if held:
+            yield from chunks(pa.Table.from_batches(held).combine_chunks())
+
+    rows = texts.where("kind = 1").select("key", "doc_id", "lo", "body").repartition(p, "key").sortWithinPartitions("key")
+    return rows.mapInArrow(run, "doc_id long, lo long, hi long")
 
 
 def _split(texts: DataFrame, level: int) -> DataFrame:

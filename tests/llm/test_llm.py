@@ -61,14 +61,18 @@ def test_dedup_every_period(spark):
 @pytest.mark.parametrize("combine, split, classes", [(0, 10**6, 10**6), (0, 1, 10**6), (0, 3, 2), (10**6, 10**6, 1)])
 def test_dedup_splits_full_keys(spark, real, monkeypatch, combine, split, classes):
     """Copies combined in the tasks, and keys split there or where they meet."""
-    for name, value in (("COMBINE", combine), ("SPLIT", split), ("INDEX_CLASSES", classes)):
+    for name, value in (("COMBINE", combine), ("SPLIT", split), ("INDEX_CLASSES", classes), ("HELD_BYTES", 1 << 10)):
         monkeypatch.setattr(runlength_dedup, name, value)
     rng = np.random.default_rng(2)
     line = "this very line of boilerplate stands in each and every one of them. "
     noise = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
     docs = real[:60] + [(10**6 + k, noise(int(rng.integers(40, 200))) + line * int(rng.integers(1, 4)) + noise(int(rng.integers(0, 150)))) for k in range(30)]
     docs += [(10**7 + k, docs[k % 7][1]) for k in range(20)]
-    got = {r.doc_id: tuple(r)[1:] for r in runlength_dedup.dedup_digests(frame(spark, docs)).collect()}
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")  # keys cross the borders of batches
+    try:
+        got = {r.doc_id: tuple(r)[1:] for r in runlength_dedup.dedup_digests(frame(spark, docs)).collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     assert got == brute.dedup(docs)
 
 
