@@ -300,8 +300,37 @@ def test_repeat_scan_windows(spark):
 
 
 def test_shift_search(spark):
-    df = spark.createDataFrame([(1, "A" * 10 + "CCCCC" + "A" * 10, "G" * 10 + "CCCCC" + "G" * 10, 5)], "id long, l string, r string, n int")
-    assert S.shift_search(df, "id", "l", "r", "n").count() == 1
+    """Both searches against plain Python: cut, score, vote."""
+    from collections import Counter
+
+    rng = np.random.default_rng(12)
+    word = lambda n: "".join("ACGT"[i] for i in rng.integers(0, 4, n))
+    rows = [(1, "A" * 10 + "CCCCC" + "A" * 10, "G" * 10 + "CCCCC" + "G" * 10, 5)]
+    for k in range(2, 8):
+        core, n = word(60), int(rng.integers(20, 60))
+        rows.append((k, word(int(rng.integers(0, n))) + core + word(50), word(int(rng.integers(0, n))) + core + word(50), n))
+    df = spark.createDataFrame(rows, "id long, l string, r string, n int")
+    grams = lambda x, k: {x[i : i + k] for i in range(len(x) - k + 1)}
+    first, second = {}, {}
+    for k, a, b, n in rows:
+        cut = lambda at: (a[at : at + n], b[at : at + n])  # noqa: B023, E731
+        scored = sorted((-S.align_score(*cut(at)), at) for at in (int(i / 10 * n) for i in range(11)))[:5]
+        votes = Counter(at for _, at in scored)
+        first[k] = min(votes, key=lambda at: (-votes[at], at))  # noqa: B023
+        won = Counter()
+        for size in range(5, 36, 2):
+            tried = {}
+            for at in {int(i / 20 * n) for i in range(1, 20)}:
+                x, y = cut(at)
+                if min(len(x), len(y)) >= size:
+                    x, y = grams(x, size), grams(y, size)
+                    tried[at] = len(x & y) / len(x | y)
+            if tried:
+                won[min(tried, key=lambda at: (-tried[at], at))] += 1  # noqa: B023
+        if won:
+            second[k] = min(won, key=lambda at: (-won[at], at))
+    assert {r.id: r.shift for r in S.shift_search(df, "id", "l", "r", "n").collect()} == first
+    assert {r.id: r.shift for r in S.shift_by_kmers(df, "id", "l", "r", "n").collect()} == second
 
 
 def test_readers_and_sinks(spark, tmp_path):
