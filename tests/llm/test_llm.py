@@ -548,3 +548,67 @@ def test_pipeline(spark, sf):
     want = brute.jaccard_components([(r.doc_id, r.text) for r in docs.collect()])
     assert sorted(r.doc_id for r in one) == sorted(d for d, (_, c) in want.items() if d == c)
     assert corpus_pipeline.run(spark, sf).count() > 100
+
+
+def test_embeddings_edges(spark):
+    schema = "vec_id long, embedding array<float>, label int, n_links string, rep int"
+    assert embed_hnsw.near_duplicates(spark.createDataFrame([], schema)).count() == 0
+    inf, nan = float("inf"), float("nan")
+    rows = [(1, [1.0, 0.0], 5), (2, [2.0, 0.0], 5), (3, [1.0, 0.0], 6), (4, [1.0, 0.0], None), (5, None, 5), (6, [], 5), (7, [0.0, 0.0], 5), (8, [inf, 0.0], 5), (9, [nan, 1.0], 5), (10, [None, 1.0], 5), (11, [1.0, 0.0, 0.0], 5), (2, [2.0, 0.0], 5)]
+    got = embed_hnsw.near_duplicates(spark.createDataFrame([(*r, "x", 1) for r in rows], schema)).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        linked = r.vec_id in (1, 2)
+        assert (r.n_links, r.component_id, r.kept) == (int(linked), 1 if linked else r.vec_id, r.vec_id != 2)
+
+
+def test_chat_long_texts_and_other_columns(spark):
+    long = "[INST] </s> <|x|> & " * 20_000
+    rows = [(1, 0, "user", long, "a", 1), (1, 1, "assistant", long + "!", "b", 2), (2, 0, "assistant", "short", None, None)]
+    turns = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string, turns string, n long")
+    got = {r.conv_id: r for r in chat_prefix.conversation_digests(chat_prefix.format_examples(turns)).collect()}
+    assert (got[1].n_turns, got[1].loss_chars, got[1].loss_sha256) == (2, len(long) + 1, brute.sha((long + "!").encode())) and got[2].loss_chars == 5
+    empty = spark.createDataFrame([], turns.schema)
+    assert chat_prefix.conversation_digests(chat_prefix.format_examples(empty)).count() == 0
+
+
+def test_packing_and_licenses_of_repeated_rows(spark):
+    docs = [(4, "one text of a few words"), (4, "one text of a few words"), (None, "no id"), (5, license_digest._MIT), (5, license_digest._MIT)]
+    pieces = concat_packing.pack(frame(spark, docs), RANKS, PATTERN).collect()
+    n = {t: len(brute.encoding().encode_ordinary(t)) + 1 for _, t in docs}
+    assert sum(p.length for p in pieces) == sum(n[t] for _, t in docs)
+    assert sorted(p.offset for p in pieces if p.sequence_id == 0)[0] == 0
+    got = license_digest.scan(frame(spark, docs)).collect()
+    assert len(got) == len(docs) and sorted(str(r.license) for r in got) == ["MIT", "MIT", "None", "None", "None"]
+
+
+def test_pipeline_edges(spark, sf):
+    """Nulls, repeated rows, long texts and columns of clashing names through every stage; an empty table too."""
+    import corpus_pipeline
+
+    good = [r.text for r in spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet").where("quality = 1"), "doc_id").limit(6).collect()]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, key string, spans string, _doc int, score double, predicted string, new string, component_id int, h1 int"
+    row = lambda d, t: (d, t, "en", None, len(t or ""), "k", "s", 1, 0.5, "p", "n", 2, 3)
+    docs = [row(k, t) for k, t in enumerate(good)] + [row(k + 100, t) for k, t in enumerate(good[:3])] + [row(0, good[0]), row(None, good[1]), row(200, None), row(201, ""), row(202, " ".join(good) * 20), row(203, good[2] + " write to some.one@example.org")]
+    for rows in (docs, []):
+        df = spark.createDataFrame(rows, schema)
+        for k, (name, stage) in enumerate(corpus_pipeline.STAGES):
+            out = stage(spark, df, sf)
+            if k < len(corpus_pipeline.STAGES) - 1:
+                assert out.columns == df.columns, name
+                if name != "quality classifier":  # texts change, the other columns do not
+                    assert all(tuple(r)[5:] == row(0, "")[5:] for r in out.collect()), name
+        if not rows:
+            assert out.count() == 0
+    df = spark.createDataFrame(docs, schema)
+    one = corpus_pipeline.keep_one_of_near(spark, df, sf).collect()
+    want = brute.jaccard_components([(r.doc_id, r.text) for r in df.collect() if r.doc_id is not None])
+    assert sorted(r.doc_id for r in one if r.doc_id is not None) == sorted(d for d, (_, c) in want.items() if d == c) and sum(r.doc_id is None for r in one) == 1
+    cut = {r.doc_id: r.text for r in corpus_pipeline.cut_repeats(spark, df.where("doc_id < 200 and doc_id > 0"), sf).collect()}
+    ids = [d for d in sorted(cut)]
+    kept = brute.dedup([(r.doc_id, r.text) for r in df.where("doc_id < 200 and doc_id > 0").collect()])
+    assert [len(cut[d].encode()) for d in ids] == [kept[d][0] - kept[d][1] for d in ids]
+    red = {r.doc_id: r.text for r in corpus_pipeline.redact_pii(spark, df, sf).collect()}
+    assert red[203].endswith("write to [EMAIL]") and red[200] is None
+    pieces = corpus_pipeline.pack(spark, df, sf)
+    assert pieces.agg({"length": "sum"}).first()[0] == sum(len(brute.encoding().encode_ordinary(r.text or "")) + 1 for r in df.collect())
