@@ -121,23 +121,6 @@ def mix(x: np.ndarray, salt: int = 0) -> np.ndarray:
         return x ^ (x >> _S31)
 
 
-def _unshift(x: np.ndarray, s: np.uint64) -> np.ndarray:
-    """Inverse of ``x ^ (x >> s)``."""
-    out, step = x, s
-    while step < 64:
-        out = out ^ (out >> step)
-        step = step * np.uint64(2)
-    return out
-
-
-def unmix(x: np.ndarray, salt: int = 0) -> np.ndarray:
-    """Inverse of :func:`mix`."""
-    with np.errstate(over="ignore"):
-        x = _unshift(x, _S31) * np.uint64(pow(int(_C), -1, 1 << 64))
-        x = _unshift(x, _S27) * np.uint64(pow(int(_B), -1, 1 << 64))
-        return _unshift(x, _S30) - np.uint64((salt * 0x9E3779B97F4A7C15 + 0x9E3779B97F4A7C15) & M64)
-
-
 def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and lengths of the runs of equal neighbours."""
     n = len(sorted_values)
@@ -147,6 +130,31 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, n))
 
 
+_BASE = 0x9E6C63D0876A9A47 | 1
+_BYTE = mix(np.arange(256, dtype=np.uint64), 31)
+_POWER = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit hashes of byte spans: a polynomial over random byte values, from prefix sums."""
+    n = len(data) + 1
+    if len(_POWER[0]) < n:
+        size = 1 << (n - 1).bit_length()
+        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _POWER[k] = np.cumprod(steps, dtype=np.uint64)
+    prefix = np.zeros(n, np.uint64)
+    np.cumsum(_BYTE[data] * _POWER[0][: n - 1], out=prefix[1:])
+    return mix((prefix[end] - prefix[start]) * _POWER[1][start] + (end - start).astype(np.uint64))
+
+
+def spans_of(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of the runs of true values."""
+    edge = np.flatnonzero(np.diff(inside.view(np.int8), prepend=0, append=0))
+    return edge[::2], edge[1::2]
+
+
 class Packer:
     """Packs fixed-width records into one blob per shuffle bucket.
 

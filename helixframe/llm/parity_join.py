@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Packer, components, key_groups, materialize, mix, parts, release, runs
+from .common import Packer, components, key_groups, materialize, mix, parts, release, runs, spans_of, word_hashes
 
 WORDS, NUM, DEN = 5, 75, 100
 #: Members of one side of a tile of sketches, and of a tile of sets: a group is copied once for each tile of a side.
@@ -44,25 +44,25 @@ _MUL = np.uint64(0xD6E8FEB86659FD93)
 _EMPTY_GROUP = np.uint64(0x51ED270B)
 
 
-class Words(dict):
-    def __missing__(self, w: bytes) -> int:
-        if len(self) > 250_000:
-            self.clear()
-        v = self[w] = xxhash.xxh3_64_intdigest(w)
-        return v
+#: Bytes as they are compared (A-Z lower case), and those that are part of words.
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_WORD = np.ones(256, bool)
+_WORD[[9, 10, 11, 12, 13, 32]] = False
 
 
-def shingle_set(text: str | None, memo: dict, k: int = WORDS) -> np.ndarray:
+def shingle_set(text: str | None, k: int = WORDS) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles (ASCII lower case, ASCII white space)."""
-    words = (text or "").encode().lower().split()
-    n = len(words)
+    data = np.frombuffer((text or "").encode(), np.uint8)
+    start, end = spans_of(_WORD[data])
+    n = len(start)
     if not n:
         return np.empty(0, np.uint64)
-    w = np.fromiter(map(memo.__getitem__, words), np.uint64, n)
+    w = word_hashes(_LOWER[data], start, end)
     m = max(1, n - k + 1)
     h = np.full(m, min(n, k), np.uint64)
     for j in range(min(n, k)):
-        h = h * _MUL + mix(w[j : j + m])
+        h = h * _MUL + w[j : j + m]
     return np.unique(mix(h))
 
 
@@ -114,11 +114,10 @@ def _sets(docs: DataFrame, make, pack) -> DataFrame:
     names = ["doc_id", "n", "h1", "h2", "sketch"] + ["set"] * bool(pack)
 
     def run(batches):
-        memo = Words()
         for b in batches:
             n, h1, h2, sk, kept = [], [], [], [], []
             for t in b.column(1).to_pylist():
-                s = make(t, memo)
+                s = make(t)
                 n.append(len(s))
                 x, y = class_hash(s)
                 h1.append(x)
@@ -158,10 +157,10 @@ def _groups(rows: DataFrame, make, codes, unpacked) -> DataFrame:
     p, hot = parts(rows.sparkSession), HOT
 
     def deal(batches):
-        memo, pack = Words(), Packer(4 * p, limit=300_000, distinct=True, split=lambda cols: _hot(cols, hot))
+        pack = Packer(4 * p, limit=300_000, distinct=True, split=lambda cols: _hot(cols, hot))
         for b in batches:
             for t in b.column(0).to_pylist():
-                s = unpacked(t) if unpacked else make(t, memo)
+                s = unpacked(t) if unpacked else make(t)
                 if len(s):
                     k = codes(s)
                     yield from pack.add(k, np.full(len(k), class_hash(s)[0], np.int64))
@@ -340,9 +339,8 @@ def _sets_of(reps: DataFrame, rows: DataFrame, make, unpacked, had: DataFrame |
     wanted = materialize(wanted if had is None else wanted.join(had.select("rep"), "rep", "left_anti"), "parity-wanted")
 
     def run(batches):
-        memo = Words()
         for t in batches:
-            sets = [(unpacked(x) if unpacked else make(x, memo)).tobytes() for x in t.column(1).to_pylist()]
+            sets = [(unpacked(x) if unpacked else make(x)).tobytes() for x in t.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([t.column(0), pa.array(sets, pa.binary())], ["rep", "set"])
 
     small = wanted.count() <= BROADCAST_ROWS
@@ -394,7 +392,7 @@ def jaccard_components(docs: DataFrame, make=shingle_set, codes=block_codes, pac
     repeated rows are copies of each other. Rows that share a doc_id are one document, which
     links wherever one of its texts does. A row without doc_id gets a null component and
     links with nothing. Columns other than ``doc_id`` and ``text`` are not read.
-    ``make(text, memo)`` builds another set (sorted distinct uint64) than word shingles; ``codes(set)``
+    ``make(text)`` builds another set (sorted distinct uint64) than word shingles; ``codes(set)``
     gives other bucket keys, of which two linked sets must share one. ``packing`` (set to bytes, bytes to
     set) keeps the sets in a table, for sets that are small beside their texts; without it texts are read again.
     """

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M64, mix, parts, unmix
+from .common import M64, mix, parts, spans_of, word_hashes
 from .parity_join import jaccard_components
 
 CHAIN = 3
@@ -36,39 +36,56 @@ ANCHORS = frozenset(
 )
 _EDGE = ".,;:!?\"'()[]{}<>*#$%&|-_=+/\\"
 _PARTITION = 0xA24BAED4963EE407
+_STEP = np.uint64(0xD6E8FEB86659FD93)
 _KEY, _ANCHOR, _CONTENT = np.uint64(~3 & ((1 << 64) - 1)), np.uint64(1), np.uint64(2)
 
 
-class Spots(dict):
-    """word -> 62 bits of hash; bit 0: anchor, bit 1: content word (neither: only signs)."""
+_SPACE, _INNER = np.zeros(256, bool), np.ones(256, bool)
+_SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
+_INNER[[*_EDGE.encode(), *np.flatnonzero(_SPACE)]] = False
 
-    def __missing__(self, word: str) -> int:
-        if len(self) > 400_000:
-            self.clear()
-        w = word.strip(_EDGE)
-        v = (xxhash.xxh3_64_intdigest(w) & ~3) | (1 if w in ANCHORS else 2 if w else 0)
-        self[word] = v
-        return v
 
+def _whole(words: list[str]) -> np.ndarray:
+    raw = [w.encode() for w in words]
+    end = np.cumsum([len(w) for w in raw])
+    return word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], end[:-1]]), end)
 
-def tokens(text: str, memo: dict) -> np.ndarray:
-    """The words of a text in order, as :class:`Spots` has them."""
-    words = text.lower().split()
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
 
+_ANCHOR_HASHES = np.sort(_whole(sorted(ANCHORS)) & _KEY)
 
-def edited_tokens(text: str, v: np.ndarray, keep: int, more: str, w: np.ndarray, cut: int, memo: dict) -> np.ndarray:
+
+def tokens(text: str) -> np.ndarray:
+    """The words of a text in order: 62 bits of hash; bit 0: anchor, bit 1: content word (neither: only signs)."""
+    text = text.lower()
+    if not text.isascii():
+        text = " ".join(text.split())  # white space beyond ASCII
+    data = np.frombuffer(text.encode(), np.uint8)
+    start, end = spans_of(~_SPACE[data])
+    if not len(start):
+        return np.empty(0, np.uint64)
+    inner = np.flatnonzero(_INNER[data])  # without signs at the edges of words
+    first, last = np.searchsorted(inner, start), np.searchsorted(inner, end) - 1
+    some = first <= last
+    a, z = start.copy(), start.copy()
+    a[some], z[some] = inner[first[some]], inner[last[some]] + 1
+    h = word_hashes(data, a, z) & _KEY
+    at = np.minimum(np.searchsorted(_ANCHOR_HASHES, h), len(_ANCHOR_HASHES) - 1)
+    anchor = some & (_ANCHOR_HASHES[at] == h)
+    return h | np.where(anchor, _ANCHOR, np.where(some, _CONTENT, np.uint64(0)))
+
+
+def edited_tokens(text: str, v: np.ndarray, keep: int, more: str, w: np.ndarray, cut: int) -> np.ndarray:
     """Words of ``text[:keep] + more[:cut]`` from those of both texts; only words at the cuts are looked up again."""
     a, b = text[:keep], more[:cut]
     left, right = a.split(), b.split()
     seam = left[-1:] + right[:1]
     if len(seam) == 2 and not a[-1].isspace() and not b[0].isspace():
         seam = ["".join(seam)]
-    edge = lambda words: tokens(" ".join(words), memo)
+    edge = lambda words: tokens(" ".join(words))
     return np.concatenate([v[: max(0, len(left) - 1)], edge(seam), w[1 : max(1, len(right) - 1)], edge(right[1:][-1:])])
 
 
-def signatures(text: str | None, memo: dict, chain: int = CHAIN, v: np.ndarray | None = None) -> np.ndarray:
+def signatures(text: str | None, chain: int = CHAIN, v: np.ndarray | None = None) -> np.ndarray:
     """Sorted distinct 32-bit signatures of a whole text (``v``: its words, if they are known).
 
     Where no common word starts a full chain, every content word is an anchor. A text
@@ -76,7 +93,7 @@ def signatures(text: str | None, memo: dict, chain: int = CHAIN, v: np.ndarray |
     texts only; the empty text too.
     """
     text = text or ""
-    v = tokens(text, memo) if v is None else v
+    v = tokens(text) if v is None else v
     at, body = np.flatnonzero(v & _ANCHOR), np.flatnonzero(v & _CONTENT)
     first = np.searchsorted(body, at)
     full = first + chain <= len(body)
@@ -85,10 +102,10 @@ def signatures(text: str | None, memo: dict, chain: int = CHAIN, v: np.ndarray |
         at, first = body[:-chain], np.arange(1, max(1, len(body) - chain + 1))
     if not len(at):
         return np.array([xxhash.xxh32_intdigest(text.encode())], np.uint32)
-    h = mix(v[at] & _KEY)
+    h = v[at] & _KEY
     for k in range(chain):
-        h = mix(h ^ (v[body[first + k]] & _KEY), k + 1)
-    return np.unique((h >> np.uint64(32)).astype(np.uint32))
+        h = h * _STEP + (v[body[first + k]] & _KEY)
+    return np.unique((mix(h) >> np.uint64(32)).astype(np.uint32))
 
 
 def to_text(s: np.ndarray) -> str:
@@ -135,20 +152,16 @@ def index_keys(s: np.ndarray) -> np.ndarray:
     return np.concatenate([mix(first + np.uint64((k + d) * _PARTITION & M64), 21) for d in (0, 1)])
 
 
-def _set(text: str | None, memo: dict) -> np.ndarray:
-    spots = getattr(memo, "spots", None)
-    if spots is None:
-        spots = memo.spots = Spots()
-    return _wide(signatures(text, spots).tobytes()) if text and text.strip() else np.empty(0, np.uint64)
+def _set(text: str | None) -> np.ndarray:
+    return signatures(text).astype(np.uint64) if text and text.strip() else np.empty(0, np.uint64)
 
 
 def _wide(raw: bytes) -> np.ndarray:
-    """Signatures as a sorted set of 64-bit values: a bijection of the 32-bit ones."""
-    return np.sort(mix(np.frombuffer(raw, np.uint32).astype(np.uint64), 9))
+    return np.frombuffer(raw, np.uint32).astype(np.uint64)
 
 
 def _narrow(s: np.ndarray) -> bytes:
-    return unmix(s, 9).astype(np.uint32).tobytes()
+    return s.astype(np.uint32).tobytes()
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
@@ -209,9 +222,8 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     """``doc_id, fingerprint, n_signatures``, one row per input row; null texts count as empty."""
 
     def run(batches):
-        memo = Spots()
         for b in batches:
-            s = [signatures(t, memo, chain) for t in b.column(1).to_pylist()]
+            s = [signatures(t, chain) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(to_text, s), pa.string()), pa.array(map(len, s), pa.int64())], ["doc_id", "fingerprint", "n_signatures"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string, n_signatures long")
@@ -233,7 +245,6 @@ def compare_with_edits(docs: DataFrame, least: float = LEAST) -> DataFrame:
     kinds = [pa.int64()] * 2 + [pa.string()] * 3 + [pa.float64()] * 2 + [pa.int64()]
 
     def run(batches):
-        memo = Spots()
         held = comp = None  # held: part, doc_id, text, words, signatures, component of the row that waits for its successor
         for b in batches:
             out = []
@@ -241,14 +252,14 @@ def compare_with_edits(docs: DataFrame, least: float = LEAST) -> DataFrame:
                 if kind == 0:
                     comp = (doc, component)
                     continue
-                v = tokens(text, memo)
-                own = signatures(text, memo, v=v)
+                v = tokens(text)
+                own = signatures(text, v=v)
                 if held is not None and held[0] == part:
                     _, h_doc, h_text, h_v, h_own, h_comp = held
                     cut = len(h_text) // 3
                     keep = len(h_text) - cut
                     edited = h_text[:keep] + text[:cut]
-                    e = signatures(edited, memo, v=edited_tokens(h_text, h_v, keep, text, v, cut, memo))
+                    e = signatures(edited, v=edited_tokens(h_text, h_v, keep, text, v, cut))
                     digest = hashlib.sha256(edited.encode()).hexdigest()
                     out.append((h_doc, len(h_text), digest, to_text(h_own), to_text(e), likeness(h_own, e, least), likeness(h_own, own, least), h_comp))
                 held = None if tail else (part, doc, text, v, own, comp[1] if comp and comp[0] == doc else None)

@@ -429,16 +429,22 @@ def test_spotsigs(spark, real):
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="aB. \n\u03a3\u0130\x85", max_size=30), st.text(alphabet="cD the \n\u03a3", max_size=30))
 def test_edited_words(text, more):
-    memo = spotsigs.Spots()
     cut = len(text) // 3
     keep = len(text) - cut
-    got = spotsigs.edited_tokens(text, spotsigs.tokens(text, memo), keep, more, spotsigs.tokens(more, memo), cut, memo)
-    assert got.tolist() == spotsigs.tokens(text[:keep] + more[:cut], memo).tolist()
-
-
-def test_signatures_widen_and_narrow():
-    s = np.unique(np.random.default_rng(0).integers(0, 2**32, 1000, dtype=np.uint64)).astype(np.uint32)
-    assert np.sort(np.frombuffer(spotsigs._narrow(spotsigs._wide(s.tobytes())), np.uint32)).tolist() == s.tolist()
+    got = spotsigs.edited_tokens(text, spotsigs.tokens(text), keep, more, spotsigs.tokens(more), cut)
+    assert got.tolist() == spotsigs.tokens(text[:keep] + more[:cut]).tolist()
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.text(alphabet="aB.,-é日 \n\t\x1c\x1f\x85\xa0\u2003\u3000\u0130", max_size=25))
+def test_words_are_those_of_split(text):
+    words = [w.strip(spotsigs._EDGE) for w in text.lower().split()]
+    got = spotsigs.tokens(text)
+    assert [bool(x & 3) for x in got.tolist()] == [bool(w) for w in words]
+    one = {w: spotsigs.tokens(w).tolist() for w in set(words) if w}
+    assert [x for x, w in zip(got.tolist(), words) if w] == [one[w][0] for w in words if w] and len({x[0] for x in one.values()}) == len(one)
+    plain = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text))
+    assert len(parity_join.shingle_set(text, 1)) == len(set(plain))
 
 
 def test_spotsigs_repeated_and_null_ids(spark):
