@@ -135,7 +135,17 @@ def shared_table(df: DataFrame) -> DataFrame:
         root = "file://" + tempfile.mkdtemp(prefix="helixframe-")  # one process does all: tests
     path = f"{root.rstrip('/')}/cluster-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._helix_path = path
+    return out
+
+
+def drop_table(df: DataFrame) -> None:
+    """Delete a table made by :func:`shared_table` that no later plan reads."""
+    spark, path = df.sparkSession, getattr(df, "_helix_path", None)
+    if path:
+        p = spark._jvm.org.apache.hadoop.fs.Path(path)
+        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
 
 
 def label_components(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:
@@ -145,15 +155,18 @@ def label_components(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame
     nothing changes; each round is written to the shared folder.
     """
     both = shared_table(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = shared_table(nodes.select(F.col(node).alias("n"), F.col(node).alias("c")).distinct())
+    table = shared_table(nodes.select(F.col(node).alias("n"), F.col(node).alias("c")).distinct())
     while True:
+        labels = table.select("n", "c")
         near = both.join(labels, both["b"] == labels["n"]).groupBy("a").agg(F.min("c").alias("m"))
         hop = labels.join(near, labels["n"] == near["a"], "left").select("n", "c", F.least("c", F.coalesce("m", "c")).alias("t"))
         of = labels.select(F.col("n").alias("t"), F.col("c").alias("tc"))
         nxt = shared_table(hop.join(of, "t", "left").select("n", F.least("t", F.coalesce("tc", "t")).alias("c"), (F.col("c") != F.least("t", F.coalesce("tc", "t"))).alias("moved")))
+        drop_table(table)
+        table = nxt
         if not nxt.where("moved").limit(1).count():
+            drop_table(both)
             return nxt.select(F.col("n").alias(node), F.col("c").alias("component"))
-        labels = nxt.select("n", "c")
 
 
 def components_2d(df: DataFrame, keys: list[str], node: str, x: str, y: str, eps: float) -> DataFrame:

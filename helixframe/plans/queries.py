@@ -527,13 +527,13 @@ _READS = """r AS (SELECT contig, CASE strand WHEN 'A' THEN 'D' WHEN 'R' THEN 'I'
   count(*) FILTER (status = 'O') AS depth FROM iv GROUP BY 1, 2)"""
 
 
-@query(f"WITH {_IV}, {_READS} SELECT contig, sig_type FROM r WHERE sure_reads <= 5 AND support <= 150 AND (sig_type NOT IN ('D', 'I') OR depth <> 0)")
+@query(f"WITH {_IV}, {_READS} SELECT contig, sig_type FROM r WHERE sure_reads <= 55 AND support <= 250 AND (sig_type NOT IN ('D', 'I') OR depth <> 0)")
 def admission_by_reads(spark, sf_dir):
     kind = F.when(C("strand") == "A", "D").when(C("strand") == "R", "I").otherwise("L")
     c = intervals(spark, sf_dir).groupBy("contig", kind.alias("sig_type")).agg(
         F.count_distinct("read").alias("support"), F.count_distinct(F.when(C("mapq") >= 45, C("read"))).alias("sure_reads"), F.count_if(C("status") == "O").alias("depth")
     )
-    return K.admitted_by_reads(c, 5, 150).select("contig", "sig_type")
+    return K.admitted_by_reads(c, 55, 250).select("contig", "sig_type")
 
 
 @query("SELECT l_orderkey, l_linenumber, least(l_partkey, l_suppkey) AS pos1, CASE WHEN l_partkey = l_suppkey THEN l_suppkey + 1 ELSE greatest(l_partkey, l_suppkey) END AS pos2 FROM lineitem")
