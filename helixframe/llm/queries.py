@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe_codec, chat_prefix, concat_packing, embed_hnsw, license_digest, parity_join, pii_bootstrap, quality_gam, runlength_dedup, spotsigs
+from . import bpe_codec, chat_prefix, concat_packing, embed_hnsw, hard_negatives, license_digest, parity_join, pii_bootstrap, quality_gam, runlength_dedup, source_mixing, spotsigs, word_runs
 from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -60,10 +60,24 @@ def op10_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spotsigs.compare_with_edits(table(spark, sf_dir, "documents"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(table(spark, sf_dir, "embeddings").withColumn("label", label), F.col("vec_id") % 100 == 0)
+
+
+def op12_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return source_mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op13_word_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return word_runs.detect(table(spark, sf_dir, "documents"), planted=True).drop("collapsed", "runs")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     ops = (
         op1_embedding_near_dedup, op2_pii_bootstrap, op3_chat_prefix, op4_byte_bpe, op5_quality_gam,
         op6_suffix_dedup, op7_ngram_jaccard, op8_concat_packing, op9_license_digest, op10_spotsigs,
+        op11_hard_negatives, op12_source_mixing, op13_word_runs,
     )
     return {f.__name__: f for f in ops}
 
@@ -123,4 +137,4 @@ SELECT s.doc_id, CAST(len(s.sh) AS BIGINT) AS n_shingles, comp.c AS component_id
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the operators that it can express over whole tables; the others are tested by brute force."""
-    return {"op1_embedding_near_dedup": _OP1, "op3_chat_prefix": _OP3, "op7_ngram_jaccard": _OP7, "op9_license_digest": license_digest.ORACLE_SQL}
+    return {"op1_embedding_near_dedup": _OP1, "op3_chat_prefix": _OP3, "op7_ngram_jaccard": _OP7, "op9_license_digest": license_digest.ORACLE_SQL, "op11_hard_negatives": hard_negatives.ORACLE_SQL, "op12_source_mixing": source_mixing.sql()}
