@@ -3,6 +3,8 @@ connected components, 64-bit mixing, and partition-wide grouping in Arrow."""
 
 from __future__ import annotations
 
+import hashlib
+import secrets
 import tempfile
 import uuid
 
@@ -130,23 +132,79 @@ def runs(sorted_values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return starts, np.diff(np.append(starts, n))
 
 
-_BASE = 0x9E6C63D0876A9A47 | 1
-_BYTE = mix(np.arange(256, dtype=np.uint64), 31)
-_POWER = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: The prime 2^61 - 1, and a base for hashes that have to be the same in every run.
+_P = (1 << 61) - 1
+FIXED_BASE = 0x9E6C63D0876A9A4 | 1
+#: Bytes of a text that are hashed at a time, and the longest span that is hashed this way.
+_BLOCK, _SPAN = 1 << 18, 1 << 18
+_LOW32, _LOW30, _LOW31, _LOW29 = (np.uint64((1 << k) - 1) for k in (32, 30, 31, 29))
+_U = {k: np.uint64(k) for k in (1, 29, 30, 31, 32, 61)}
 
 
-def word_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of byte spans: a polynomial over random byte values, from prefix sums."""
-    n = len(data) + 1
-    if len(_POWER[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        for k, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            _POWER[k] = np.cumprod(steps, dtype=np.uint64)
-    prefix = np.zeros(n, np.uint64)
-    np.cumsum(_BYTE[data] * _POWER[0][: n - 1], out=prefix[1:])
-    return mix((prefix[end] - prefix[start]) * _POWER[1][start] + (end - start).astype(np.uint64))
+def random_base() -> int:
+    """A base that texts cannot know: drawn on the driver for each run, for hashes that do not outlive it."""
+    return secrets.randbelow(_P - (1 << 32)) + (1 << 31)
+
+
+def _reduced(x: np.ndarray) -> np.ndarray:
+    x = (x & np.uint64(_P)) + (x >> _U[61])
+    return np.where(x >= np.uint64(_P), x - np.uint64(_P), x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo 2^61 - 1 of reduced numbers."""
+    a1, a0, b1, b0 = a >> _U[31], a & _LOW31, b >> _U[31], b & _LOW31
+    cross = a1 * b0 + a0 * b1
+    return _reduced(((a1 * b1) << _U[1]) + (cross >> _U[30]) + ((cross & _LOW30) << _U[31]) + a0 * b0)
+
+
+_POWERS: dict[int, list[np.ndarray]] = {}
+
+
+def _powers(base: int, size: int) -> list[np.ndarray]:
+    """Low 32 and high 29 bits of the powers of ``base``, and the powers of its inverse; the longest so far are kept."""
+    if base not in _POWERS or len(_POWERS[base][0]) < size:
+        made = []
+        for x in (base, pow(base, -1, _P)):
+            out = np.ones(1, np.uint64)
+            while len(out) < size:
+                out = np.concatenate([out, _times(out, np.full(1, pow(x, len(out), _P), np.uint64))])
+            made.append(out)
+        _POWERS.pop(base, None)
+        while len(_POWERS) > 3:  # bases of earlier runs
+            del _POWERS[next(iter(_POWERS))]
+        _POWERS[base] = [made[0] & _LOW32, made[0] >> _U[32], made[1]]
+    return _POWERS[base]
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
+    """61-bit hashes of byte spans: a polynomial modulo 2^61 - 1 at ``base``, from prefix sums.
+
+    Two different spans of n bytes or less have the same hash for less than n of all bases, whatever their
+    bytes. Spans above 256 KB get a keyed hash of their bytes. ``start`` ascends.
+    """
+    out = np.zeros(len(start), np.uint64)
+    at = 0
+    while at < len(start):
+        first = int(start[at])
+        stop = int(np.searchsorted(start, first + _BLOCK))
+        s, e = start[at:stop] - first, end[at:stop] - first
+        short = e - s <= _SPAN
+        part = data[first : first + int(e[short].max(initial=0))]
+        low, high, inverse = _powers(base, 1 << max(12, len(part).bit_length()))
+        value = part.astype(np.uint64) + _U[1]
+        sums = np.zeros((2, len(part) + 1), np.uint64)
+        np.cumsum(value * low[: len(part)], out=sums[0, 1:])
+        np.cumsum(value * high[: len(part)], out=sums[1, 1:])
+        x, y = s[short], e[short]
+        d = _reduced(sums[1, y] - sums[1, x])
+        d = _reduced((d >> _U[29]) + ((d & _LOW29) << _U[32]) + _reduced(sums[0, y] - sums[0, x]))
+        out[at:stop][short] = _times(d, inverse[x])
+        for k in np.flatnonzero(~short).tolist():
+            body = data[first + int(s[k]) : first + int(e[k])].tobytes()
+            out[at + k] = int.from_bytes(hashlib.blake2b(body, digest_size=8, key=base.to_bytes(8, "little")).digest(), "little") >> 3
+        at = stop
+    return out
 
 
 def spans_of(inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -23,13 +23,15 @@ agree by chance.
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Packer, components, key_groups, materialize, mix, parts, release, runs, spans_of, word_hashes
+from .common import FIXED_BASE, Packer, components, key_groups, materialize, mix, parts, random_base, release, runs, span_hashes
 
 WORDS, NUM, DEN = 5, 75, 100
 #: Members of one side of a tile of sketches, and of a tile of sets: a group is copied once for each tile of a side.
@@ -44,26 +46,20 @@ _MUL = np.uint64(0xD6E8FEB86659FD93)
 _EMPTY_GROUP = np.uint64(0x51ED270B)
 
 
-#: Bytes as they are compared (A-Z lower case), and those that are part of words.
-_LOWER = np.arange(256, dtype=np.uint8)
-_LOWER[65:91] += 32
-_WORD = np.ones(256, bool)
-_WORD[[9, 10, 11, 12, 13, 32]] = False
-
+def shingle_set(text: str | None, k: int = WORDS, base: int = FIXED_BASE) -> np.ndarray:
+    """Sorted distinct hashes of the word shingles (ASCII lower case, ASCII white space).
 
-def shingle_set(text: str | None, k: int = WORDS) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the word shingles (ASCII lower case, ASCII white space)."""
-    data = np.frombuffer((text or "").encode(), np.uint8)
-    start, end = spans_of(_WORD[data])
-    n = len(start)
-    if not n:
+    A shingle is hashed as a span of the words joined by one space. With a random ``base`` no text can be
+    made to have two shingles of one hash.
+    """
+    words = (text or "").encode().lower().split()
+    if not words:
         return np.empty(0, np.uint64)
-    w = word_hashes(_LOWER[data], start, end)
-    m = max(1, n - k + 1)
-    h = np.full(m, min(n, k), np.uint64)
-    for j in range(min(n, k)):
-        h = h * _MUL + w[j : j + m]
-    return np.unique(mix(h))
+    data = np.frombuffer(b" ".join(words), np.uint8)
+    gap = np.flatnonzero(data == 32)
+    start, end = np.concatenate([[0], gap + 1]), np.append(gap, len(data))
+    k = min(len(start), k)
+    return np.unique(mix(span_hashes(data, start[: len(start) - k + 1], end[k - 1 :], base)))
 
 
 def class_hash(s: np.ndarray) -> tuple[int, int]:
@@ -220,8 +216,8 @@ def may_link(na, nb, distance) -> np.ndarray:
     return (DEN * (na + nb - distance) >= NUM * union2) & (DEN * np.minimum(na, nb) >= NUM * np.maximum(na, nb))
 
 
-def near_pairs(n: np.ndarray, sketches: list[bytes], left: np.ndarray, allowed) -> list[tuple[int, np.ndarray]]:
-    """``(x, others)`` that pass the Hamming bound, x in ``left``; ``allowed(x, others)`` is a mask.
+def near_pairs(n: np.ndarray, sketches: list[bytes], allowed) -> list[tuple[int, np.ndarray]]:
+    """``(x, others)`` that pass the Hamming bound; ``allowed(x, others)`` is a mask.
 
     Linked sets differ by less than a third in size, so their sketches are of one length or
     one is twice the other, which is then folded once.
@@ -237,7 +233,7 @@ def near_pairs(n: np.ndarray, sketches: list[bytes], left: np.ndarray, allowed)
             f = _fold([sketches[i] for i in cols], int(length))
             mine = f if same else _fold([sketches[i] for i in rows], int(length))
             for k, x in enumerate(rows):
-                ok = np.flatnonzero(allowed(x, cols) & (left[x] | left[cols]) & ((cols > x) if same else True))
+                ok = np.flatnonzero(allowed(x, cols) & ((cols > x) if same else True))
                 if len(ok):
                     d = np.bitwise_count(f[ok] ^ mine[k]).sum(1).astype(np.int64)
                     ok = ok[may_link(n[cols[ok]], n[x], d)]
@@ -246,6 +242,22 @@ def near_pairs(n: np.ndarray, sketches: list[bytes], left: np.ndarray, allowed)
     return found
 
 
+def near_tops(n: np.ndarray, sketches: list[bytes], top: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """``(x, others)`` that pass the Hamming bound for every x of ``top`` with all that are not: linear in a star's length."""
+    size = np.array([len(s) for s in sketches])
+    found = []
+    for x in np.flatnonzero(top):
+        for length in (size[x] // 2, size[x], 2 * size[x]):
+            others = np.flatnonzero((size == length) & ~top & (DEN * np.minimum(n, n[x]) >= NUM * np.maximum(n, n[x])))
+            if len(others):
+                short = int(min(length, size[x]))
+                d = np.bitwise_count(_fold([sketches[i] for i in others], short) ^ _fold([sketches[x]], short)).sum(1).astype(np.int64)
+                others = others[may_link(n[others], n[x], d)]
+                if len(others):
+                    found.append((int(x), others))
+    return found
+
+
 def _tile_of(x: str, count) -> F.Column:
     return F.pmod(F.xxhash64(x), count).cast("int")
 
@@ -260,7 +272,7 @@ def _star(members: DataFrame, p: int) -> DataFrame:
         for t in key_groups(batches, ["g", "i"]):
             kind, rep, n = (t.column(c).to_numpy() for c in ("kind", "rep", "n"))
             top = kind == 0
-            found = near_pairs(n, t.column("sketch").to_pylist(), top, lambda x, o: top[x] != top[o])
+            found = near_tops(n, t.column("sketch").to_pylist(), top)
             if found:
                 x, y = np.concatenate([np.full(len(o), i) for i, o in found]), np.concatenate([o for _, o in found])
                 a, b = np.minimum(rep[x], rep[y]), np.maximum(rep[x], rep[y])
@@ -281,7 +293,7 @@ def _in_tiles(t: pa.Table) -> tuple[np.ndarray, np.ndarray, list]:
     if label.min() == label.max():
         return rep, label, []
     cross = lambda x, o: (label[o] != label[x]) & (own | (i[o] != i[x]))
-    return rep, label, near_pairs(n, t.column("sketch").to_pylist(), np.ones(len(n), bool), cross)
+    return rep, label, near_pairs(n, t.column("sketch").to_pylist(), cross)
 
 
 def _crossing(members: DataFrame, comp: DataFrame, p: int) -> DataFrame:
@@ -384,7 +396,7 @@ def reaches(a: np.ndarray, b: np.ndarray) -> bool:
     return DEN * both >= NUM * (len(a) + len(b) - both)
 
 
-def jaccard_components(docs: DataFrame, make=shingle_set, codes=block_codes, packing=None) -> DataFrame:
+def jaccard_components(docs: DataFrame, make=None, codes=block_codes, packing=None) -> DataFrame:
     """``doc_id, n_shingles, component_id`` per input row; documents link at Jaccard >= 0.75.
 
     component_id is the smallest doc_id reachable by links. Null, empty and blank texts
@@ -392,12 +404,13 @@ def jaccard_components(docs: DataFrame, make=shingle_set, codes=block_codes, pac
     repeated rows are copies of each other. Rows that share a doc_id are one document, which
     links wherever one of its texts does. A row without doc_id gets a null component and
     links with nothing. Columns other than ``doc_id`` and ``text`` are not read.
-    ``make(text)`` builds another set (sorted distinct uint64) than word shingles; ``codes(set)``
+    ``make(text)`` builds another set (sorted distinct uint64) than word shingles, which are hashed at a base of this run's own; ``codes(set)``
     gives other bucket keys, of which two linked sets must share one. ``packing`` (set to bytes, bytes to
     set) keeps the sets in a table, for sets that are small beside their texts; without it texts are read again.
     """
     p = parts(docs.sparkSession)
     pack, unpacked = packing or (None, None)
+    make = make or partial(shingle_set, base=random_base())
     sets = materialize(_sets(docs, make, pack), "parity-rows")
     texts = (sets if packing else docs).where(F.col("doc_id").isNotNull())
     texts = texts.select("doc_id", "set") if packing else texts.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))

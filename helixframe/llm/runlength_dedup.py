@@ -18,7 +18,7 @@ so all that can match meets under one key, wherever it lies.
 3. A document's marked intervals are merged and cut out of its bytes.
 
 Copies are combined in each task before the shuffle: of a content that is frequent there
-only the earliest travels by its key. Contents are told apart by 128 bits.
+only the earliest travels by its key. Contents are told apart by two polynomial hashes at bases that are drawn for each run.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Packer, fresh, materialize, mix, parts, release, runs, unpack
+from .common import Packer, fresh, materialize, mix, parts, random_base, release, runs, span_hashes, unpack
 
 LENGTH, GRAM = 100, 32
 WINDOWS = LENGTH - GRAM + 1
@@ -43,22 +43,9 @@ LEVELS = 16
 CHUNK_BYTES = 1 << 17
 #: Bytes of texts that a task holds before it indexes the whole keys among them.
 HELD_BYTES = 1 << 23
-#: Two independent polynomial hashes: multiplier and byte table.
-_BASES = (0x9E6C63D0876A9A47 | 1, 0xC2B2AE3D27D4EB4F | 1)
-_TABLES = (mix(np.arange(256, dtype=np.uint64), 77), mix(np.arange(256, dtype=np.uint64), 78))
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
-
-
-def _powers(n: int, which: int) -> tuple[np.ndarray, np.ndarray]:
-    if which not in _POWERS or len(_POWERS[which][0]) < n:
-        size = 1 << (n - 1).bit_length()
-        made = []
-        for base in (_BASES[which], pow(_BASES[which], -1, 1 << 64)):
-            steps = np.full(size, base, np.uint64)
-            steps[0] = 1
-            made.append(np.cumprod(steps, dtype=np.uint64))
-        _POWERS[which] = (made[0], made[1])
-    return _POWERS[which]
+#: The rolling hash of grams only deals segments to keys: multiplier and byte table.
+_GRAM_BASE = 0x9E6C63D0876A9A47 | 1
+_GRAM_TABLE = mix(np.arange(256, dtype=np.uint64), 77)
 
 
 def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
@@ -71,26 +58,15 @@ def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
     return op(a[:-rest], a[rest:]) if rest else a
 
 
-def span_hashes(data: bytes, start: np.ndarray, end: np.ndarray) -> list[np.ndarray]:
-    """Two independent 64-bit hashes of byte spans."""
-    raw, n, out = np.frombuffer(data, np.uint8), len(data), []
-    for which in (0, 1):
-        power, inverse = _powers(n + 1, which)
-        prefix = np.zeros(n + 1, np.uint64)
-        np.cumsum(_TABLES[which][raw] * power[:n], out=prefix[1:])
-        out.append(mix((prefix[end] - prefix[start]) * inverse[start] + (end - start).astype(np.uint64)))
-    return out
-
-
-def segments(data: bytes, level: int = 0) -> tuple[np.ndarray, ...]:
-    """key, two content hashes, start, number of windows, and whether a window may repeat inside."""
-    n = len(data)
+def segments(data: bytes, bases: tuple[int, int], level: int = 0) -> tuple[np.ndarray, ...]:
+    """key, two content hashes (at two random bases: 122 bits), start, number of windows, and whether a window may repeat inside."""
+    n, raw = len(data), np.frombuffer(data, np.uint8)
     if n < LENGTH:
         e = np.empty(0, np.uint64)
         return e, e, e, e.astype(np.int64), e.astype(np.int64), e.astype(bool)
-    h, s = _TABLES[0][np.frombuffer(data, np.uint8)], 1
+    h, s = _GRAM_TABLE[raw], 1
     while s < GRAM:
-        h = h[:-s] * np.uint64(pow(_BASES[0], s, 1 << 64)) + h[s:]
+        h = h[:-s] * np.uint64(pow(_GRAM_BASE, s, 1 << 64)) + h[s:]
         s *= 2
     h = mix(h, 5 + level)
     low = _slide(h, WINDOWS, np.minimum)
@@ -100,7 +76,7 @@ def segments(data: bytes, level: int = 0) -> tuple[np.ndarray, ...]:
     twice = np.flatnonzero((h[at[1:]] == h[at[:-1]]) & (np.diff(at) <= WINDOWS))
     again = np.zeros(len(a), bool)
     again[np.searchsorted(a, np.minimum(at[twice], len(low) - 1), side="right") - 1] = True
-    return low[a], *span_hashes(data, a, a + w + LENGTH - 1), a, w, again
+    return low[a], *(span_hashes(raw, a, a + w + LENGTH - 1, base) for base in bases), a, w, again
 
 
 class RunLengthIndex:
@@ -241,7 +217,7 @@ def _combine(cols: list[np.ndarray], often_from: int, split_from: int) -> tuple[
 _RECORD = [np.uint64, np.uint64, np.uint64, np.int64, np.uint32, np.uint32]
 
 
-def _found(docs: DataFrame, p: int) -> DataFrame:
+def _found(docs: DataFrame, p: int, bases: tuple[int, int]) -> DataFrame:
     """``doc_id, lo, hi, key, kind``: 0 covered bytes, 1 texts for the index, 2 texts of keys to be split."""
 
     bounds = COMBINE, SPLIT
@@ -250,7 +226,7 @@ def _found(docs: DataFrame, p: int) -> DataFrame:
         pack = Packer(4 * p, limit=500_000, split=lambda cols: _combine(cols, *bounds))
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                key, h1, h2, a, w, again = segments((text or "").encode())
+                key, h1, h2, a, w, again = segments((text or "").encode(), bases)
                 if len(key):
                     yield from pack.add(key, h1, h2, np.full(len(key), doc, np.int64), a.astype(np.uint32), (w.astype(np.uint32) << np.uint32(1)) | again.astype(np.uint32))
         yield from pack.flush()
@@ -355,14 +331,14 @@ def _indexed(texts: DataFrame, p: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, lo long, hi long")
 
 
-def _split(texts: DataFrame, level: int) -> DataFrame:
+def _split(texts: DataFrame, level: int, bases: tuple[int, int]) -> DataFrame:
     """``key, kind, doc_id, lo, body`` of texts segmented again by another minimizer; kinds as in :func:`_found`."""
 
     def run(batches):
         for b in batches:
             cols, bodies = [], []
             for key, doc, lo, body in zip(*(b.column(k).to_pylist() for k in range(4))):
-                k, h1, h2, a, w, again = segments(body, level)
+                k, h1, h2, a, w, again = segments(body, bases, level)
                 k = mix(k ^ mix(np.array([key], np.int64).view(np.uint64), level))
                 cols.append((k.view(np.int64), h1.view(np.int64), h2.view(np.int64), np.full(len(k), doc), a + lo, again))
                 bodies += [body[x : x + y + LENGTH - 1] for x, y in zip(a, w)]
@@ -383,7 +359,8 @@ def _split(texts: DataFrame, level: int) -> DataFrame:
 def removed_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, spans``: unmerged byte intervals to remove, only documents that have some."""
     p = parts(docs.sparkSession)
-    found = materialize(_found(docs, p), "dedup-found")
+    bases = random_base(), random_base()
+    found = materialize(_found(docs, p, bases), "dedup-found")
     texts = materialize(_texts(docs, found), "dedup-texts")
     marks, made = found.where("kind = 0").select("doc_id", "lo", "hi"), [found, texts]
     for level in range(1, LEVELS + 1):
@@ -391,7 +368,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         rest = texts.where("kind = 2")
         if not rest.limit(1).count():
             break
-        texts = _split(rest, level)
+        texts = _split(rest, level, bases)
         made.append(texts)
         marks = marks.union(texts.where("kind = 0").select("doc_id", "lo", (F.col("lo") + F.length("body")).alias("hi")))
     else:

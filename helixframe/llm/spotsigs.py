@@ -4,8 +4,7 @@ A signature is a common word (the anchor) with the chain of the next content wor
 behind it. A document's set of signatures is its fingerprint. Sets are partitioned by
 length, so that two sets of Jaccard 0.75 lie in one partition or in neighbours; in a
 partition an index over each set's first signatures gives the candidates, whose lengths
-are checked before any signature is compared. Jaccard of two fingerprints is pruned by
-their lengths in the same way.
+are checked before any signature is compared.
 """
 
 from __future__ import annotations
@@ -19,12 +18,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import M64, mix, parts, spans_of, word_hashes
+from .common import FIXED_BASE, M64, mix, parts, span_hashes, spans_of
 from .parity_join import jaccard_components
 
 CHAIN = 3
-#: Likeness below which set lengths alone decide: such pairs are not compared and count as 0.
-LEAST = 0.1
 #: Jaccard from which documents are near duplicates, as a fraction.
 NUM, DEN = 3, 4
 #: Anchors, frequent words of the corpus's languages.
@@ -45,10 +42,14 @@ _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _INNER[[*_EDGE.encode(), *np.flatnonzero(_SPACE)]] = False
 
 
+def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    return mix(span_hashes(data, start, end, FIXED_BASE))
+
+
 def _whole(words: list[str]) -> np.ndarray:
     raw = [w.encode() for w in words]
     end = np.cumsum([len(w) for w in raw])
-    return word_hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], end[:-1]]), end)
+    return _hashes(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], end[:-1]]), end)
 
 
 _ANCHOR_HASHES = np.sort(_whole(sorted(ANCHORS)) & _KEY)
@@ -68,7 +69,7 @@ def tokens(text: str) -> np.ndarray:
     some = first <= last
     a, z = start.copy(), start.copy()
     a[some], z[some] = inner[first[some]], inner[last[some]] + 1
-    h = word_hashes(data, a, z) & _KEY
+    h = _hashes(data, a, z) & _KEY
     at = np.minimum(np.searchsorted(_ANCHOR_HASHES, h), len(_ANCHOR_HASHES) - 1)
     anchor = some & (_ANCHOR_HASHES[at] == h)
     return h | np.where(anchor, _ANCHOR, np.where(some, _CONTENT, np.uint64(0)))
@@ -117,13 +118,12 @@ def from_text(fingerprint: str) -> np.ndarray:
     return np.frombuffer(bytes.fromhex(fingerprint), ">u4").astype(np.uint32)
 
 
-def likeness(a: np.ndarray, b: np.ndarray, least: float = 0.0) -> float:
-    """Jaccard of two signature sets; 0 as soon as their lengths rule ``least`` out."""
-    small, large = sorted((len(a), len(b)))
-    if not large or small < least * large:
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard of two signature sets."""
+    if not len(a) or not len(b):
         return 0.0
     both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (small + large - both)
+    return both / (len(a) + len(b) - both)
 
 
 def _edges() -> list[int]:
@@ -167,7 +167,7 @@ def _narrow(s: np.ndarray) -> bytes:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """``doc_id, n_signatures, component_id``: documents whose signature sets have Jaccard >= 0.75, linked.
 
-    Exact: candidates come from the index of each length partition, are pruned by their lengths and a bound
+    Exact for these sets of 32-bit signatures: candidates come from the index of each length partition, are pruned by their lengths and a bound
     of the symmetric difference, then the sets are compared. Blank texts link with nothing; rows are treated as
     in :func:`parity_join.jaccard_components`.
     """
@@ -229,13 +229,12 @@ def fingerprints(docs: DataFrame, chain: int = CHAIN) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "doc_id long, fingerprint string, n_signatures long")
 
 
-def compare_with_edits(docs: DataFrame, least: float = LEAST) -> DataFrame:
+def compare_with_edits(docs: DataFrame) -> DataFrame:
     """Every document's fingerprint beside that of its edited text and of the next document.
 
     The edit replaces the last third of the code points by the beginning of the next
     document (falling doc_id; after the last one comes the first). One shuffle of the
-    texts; each text is fingerprinted once as itself and once edited. A likeness that lengths
-    rule out to reach ``least`` is 0. ``component_id``: smallest doc_id that is linked by near
+    texts; each text is fingerprinted once as itself and once edited. ``component_id``: smallest doc_id that is linked by near
     duplicates (see :func:`near_duplicates`).
 
     Null texts count as empty. Rows without doc_id come last and have no component. Rows of one doc_id
@@ -261,7 +260,7 @@ def compare_with_edits(docs: DataFrame, least: float = LEAST) -> DataFrame:
                     edited = h_text[:keep] + text[:cut]
                     e = signatures(edited, v=edited_tokens(h_text, h_v, keep, text, v, cut))
                     digest = hashlib.sha256(edited.encode()).hexdigest()
-                    out.append((h_doc, len(h_text), digest, to_text(h_own), to_text(e), likeness(h_own, e, least), likeness(h_own, own, least), h_comp))
+                    out.append((h_doc, len(h_text), digest, to_text(h_own), to_text(e), likeness(h_own, e), likeness(h_own, own), h_comp))
                 held = None if tail else (part, doc, text, v, own, comp[1] if comp and comp[0] == doc else None)
             cols = list(zip(*out)) if out else [[]] * len(names)
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names)
