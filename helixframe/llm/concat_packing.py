@@ -9,6 +9,8 @@ row is shuffled. The padding is that of the last sequence only.
 
 from __future__ import annotations
 
+import json
+import re
 import zlib
 from functools import lru_cache
 
@@ -25,19 +27,44 @@ WINDOW = 1024
 END_ID = 0
 
 
+class Encoder:
+    """Ids of a text as the tokenizer file's own library gives them: added tokens (``added``: text to id) are
+    found first, leftmost, the longest of several, and what lies between them is encoded by itself."""
+
+    def __init__(self, path: str, pattern: str, added: dict[str, int]):
+        import tiktoken
+
+        enc = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
+        self.chunks = ChunkedEncoder(lambda s: np.array(enc.encode_ordinary(s), "<u4").tobytes())
+        self.added = {t: np.array([i], "<u4").tobytes() for t, i in added.items()}
+        self.cut = re.compile("(" + "|".join(map(re.escape, sorted(added, key=len, reverse=True))) + ")") if added else None
+
+    def encode(self, text: str) -> bytes:
+        if not self.cut or not any(t in text for t in self.added):
+            return self.chunks.encode(text)
+        return b"".join(self.added[x] if x in self.added else self.chunks.encode(x) for x in self.cut.split(text))
+
+
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> ChunkedEncoder:
-    import tiktoken
+def _encoder(path: str, pattern: str, added: tuple[tuple[str, int], ...]) -> Encoder:
+    return Encoder(path, pattern, dict(added))
+
 
-    enc = tiktoken.Encoding("packing", pat_str=pattern, mergeable_ranks=load_ranks(path), special_tokens={})
-    return ChunkedEncoder(lambda s: np.array(enc.encode_ordinary(s), "<u4").tobytes())
+def added_tokens(path: str) -> dict[str, int]:
+    """The added tokens of a tokenizer file; flags that change the text around a token are not known here."""
+    with open(path, encoding="utf-8") as f:
+        tokens = json.load(f)["added_tokens"]
+    if any(t["lstrip"] or t["rstrip"] or t["single_word"] for t in tokens):
+        raise ValueError("added tokens that strip or need whole words are not supported")
+    return {t["content"]: t["id"] for t in tokens}
 
 
-def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+def tokenize(docs: DataFrame, path: str, pattern: str, added: dict[str, int] | None = None) -> DataFrame:
     """``part, local, doc_id, doc_tokens, ids``: ids end with ``END_ID``; local = ids before it in its partition."""
+    extra = tuple(sorted((added or {}).items()))
 
     def run(batches):
-        enc, at, part = _encoder(path, pattern), 0, TaskContext.get().partitionId()
+        enc, at, part = _encoder(path, pattern, extra), 0, TaskContext.get().partitionId()
         tail = np.array([END_ID], "<u4").tobytes()
         for b in batches:
             for lo in range(0, b.num_rows, 1000):
@@ -52,14 +79,14 @@ def tokenize(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, "part int, local long, doc_id long, doc_tokens long, ids binary")
 
 
-def pack(docs: DataFrame, path: str, pattern: str, window: int = WINDOW) -> DataFrame:
+def pack(docs: DataFrame, path: str, pattern: str, added: dict[str, int] | None = None, window: int = WINDOW) -> DataFrame:
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, ids``.
 
     Sequences are gapless from offset 0, and only the last one can be short. A null or
-    empty text is one end id; repeated rows are packed once each; no rows, no pieces.
+    empty text is one end id; a text that holds one of the ``added`` tokens has that token's id there; repeated rows are packed once each; no rows, no pieces.
     The table of partition totals has one row per input partition.
     """
-    coded = materialize(tokenize(docs, path, pattern), "packing")
+    coded = materialize(tokenize(docs, path, pattern, added), "packing")
     totals = coded.groupBy("part").agg(F.sum("doc_tokens").alias("total"))
     base = totals.select("part", (F.sum("total").over(Window.orderBy("part")) - F.col("total")).alias("base"))
     placed = coded.join(F.broadcast(base), "part").select("doc_id", "doc_tokens", "ids", (F.col("base") + F.col("local")).alias("at"))

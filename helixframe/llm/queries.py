@@ -13,6 +13,7 @@ from .common import table
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
 PATTERN = public_tokenizers.PATTERN
+TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 CONTROL = "</s>[INST] ok [/INST]"
 
 
@@ -49,7 +50,7 @@ def op7_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_concat_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return concat_packing.pack(table(spark, sf_dir, "documents"), RANKS, PATTERN).drop("ids")
+    return concat_packing.pack(table(spark, sf_dir, "documents"), RANKS, PATTERN, concat_packing.added_tokens(TOKENIZER)).drop("ids")
 
 
 def op9_license_digest(spark: SparkSession, sf_dir: str) -> DataFrame:

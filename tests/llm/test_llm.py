@@ -192,15 +192,16 @@ def test_packing(spark, real):
     from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
+    added = concat_packing.added_tokens(public_tokenizers.path("byte_bpe_50k.json"))
     for docs in (real, EDGE, []):
-        got = [r.asDict() for r in concat_packing.pack(frame(spark, docs), RANKS, PATTERN).collect()]
+        got = [r.asDict() for r in concat_packing.pack(frame(spark, docs), RANKS, PATTERN, added).collect()]
         if docs:
             brute.check_packing(got, docs)
         else:
             assert got == []
-    some = {d: t or "" for d, t in [*EDGE, (99, "<|endoftext|> x")]}
-    ids = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in concat_packing.tokenize(frame(spark, list(some.items())), RANKS, PATTERN).collect()}
+    special = ["<|endoftext|> x", "end <|endoftext|> of text", "a<|endoftext|>b", "<|endoftext|><|endoftext|>", "  <|endoftext|>\n\n <|endoftext|", "<|endo <|endoftext|>ftext|>"]
+    some = {d: t or "" for d, t in [*EDGE, *enumerate(special, 90)]}
+    ids = {r.doc_id: np.frombuffer(r.ids, "<u4").tolist() for r in concat_packing.tokenize(frame(spark, list(some.items())), RANKS, PATTERN, added).collect()}
     assert ids == {d: lib.encode(t, add_special_tokens=False).ids + [0] for d, t in some.items()}
 
 
@@ -420,10 +421,9 @@ def test_spotsigs(spark, real):
             x, y, z = (brute.spots(t) for t in (texts[a], edited, texts[b]))
             assert len(r.fingerprint) == 8 * len(x) and len(r.edited_fingerprint) == 8 * len(y)
             for found, other in ((r.near_edited, y), (r.near_next, z)):
-                want = len(x & other) / len(x | other) if min(len(x), len(other)) >= spotsigs.LEAST * max(len(x), len(other)) else 0.0
-                assert found == pytest.approx(want)
+                assert found == pytest.approx(len(x & other) / len(x | other))
             assert r.component_id == linked[a]
-    assert spotsigs.likeness(np.array([1, 2], np.uint32), np.array([1], np.uint32), 0.75) == 0.0
+    assert spotsigs.likeness(np.arange(40, dtype=np.uint32), np.array([1], np.uint32)) == 1 / 40
 
 
 @settings(max_examples=200, deadline=None)
