@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from helixframe.llm import concat_packing, parity_join, pii_bootstrap, quality_gam, runlength_dedup
 from helixframe.llm.common import fresh, release_path, shared_root, table
-from helixframe.llm.queries import PATTERN, RANKS
+from helixframe.llm.queries import PATTERN, RANKS, TOKENIZER
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +51,7 @@ def redact_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Packs the token stream into sequences of 1024; one row per piece."""
-    return concat_packing.pack(docs, RANKS, PATTERN)
+    return concat_packing.pack(docs, RANKS, PATTERN, concat_packing.added_tokens(TOKENIZER))
 
 
 STAGES = [
