@@ -11,12 +11,31 @@ cheap to compute twice).
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BIN, FACTOR, LEVELS = 64, 16, 6
 
 
+def fresh_names(taken: list[str], *names: str) -> list[str]:
+    """``names``, lengthened until they clash with no column (Spark's names ignore case)."""
+    low, out = {c.lower() for c in taken}, []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in low:
+            n += "_"
+        low.add(n.lower())
+        out.append(n)
+    return out
+
+
 def _floor_div(x: Column, size) -> Column:
     return ((x - F.pmod(x, size)) / size).cast("bigint")
 
@@ -79,10 +98,48 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], lb: str, le
     return both.where(hit & once).drop("_level", "_bin", "_meet", "_firstl", "_firstr")
 
 
+#: Positions in a bin of the sweeps, and the lengths up to which intervals lie in bins of a level.
+SWEEP = 1 << 16
+DEPTH_SIZES = (1 << 16, 1 << 22, 1 << 40)
+#: Rows that a task counts at a time.
+DEPTH_CHUNK = 1 << 18
+
+
+def overlap_counts(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, lb: str, le: str, rb: str, re: str) -> DataFrame:
+    """``left_id, n``: how many intervals of ``right`` with equal ``keys`` overlap each of ``left`` (0 where none does).
+
+    An overlapping interval begins before the end and does not end before the begin, so n is a difference of two
+    counts along the key: running sums over sorted bounds, within bins that begin with the sums before them. No
+    pair is formed, and bounds that are equal are added up before they meet. An empty interval counts as one position; rows with a
+    null key or bound overlap nothing; ``left_id`` is unique.
+    """
+    names = fresh_names([*keys, left_id], "p", "kind", "nb", "ne", "bin", "id")
+    p, kind, nb, ne, bin_, id_ = names
+    known = lambda b, e: reduce(and_, [F.col(c).isNotNull() for c in (*keys, b, e)])
+    long = lambda x: F.lit(x).cast("bigint")
+    (b, e), (rb_, re_) = _bounds(lb, le), _bounds(rb, re)
+    ends = F.explode(F.array(F.struct(rb_.alias(p), long(1).alias(nb), long(0).alias(ne)), F.struct(re_.alias(p), long(0).alias(nb), long(1).alias(ne)))).alias(kind)
+    bounds = right.where(known(rb, re)).select(*keys, ends).select(*keys, f"{kind}.*").groupBy(*keys, p).agg(F.sum(nb).alias(nb), F.sum(ne).alias(ne))
+    asks = F.explode(F.array(F.struct(e.alias(p), F.lit(0).alias(kind)), F.struct(b.alias(p), F.lit(2).alias(kind)))).alias(nb)
+    asked = left.where(known(lb, le)).select(*keys, F.col(left_id).alias(id_), asks).select(*keys, id_, f"{nb}.*")
+    at = _floor_div(F.col(p), long(SWEEP)).alias(bin_)
+    none = F.lit(None).cast(left.schema[left_id].dataType)
+    events = bounds.select(*keys, at, p, F.lit(1).alias(kind), nb, ne, none.alias(id_)).unionByName(asked.select(*keys, at, p, kind, long(0).alias(nb), long(0).alias(ne), id_))
+    before = Window.partitionBy(*keys).orderBy(bin_).rowsBetween(Window.unboundedPreceding, -1)
+    sums = events.groupBy(*keys, bin_).agg(F.sum(nb).alias(nb), F.sum(ne).alias(ne))
+    carry = sums.select(*keys, bin_, (F.col(bin_) * SWEEP - 1).alias(p), F.lit(1).alias(kind), F.coalesce(F.sum(nb).over(before), long(0)).alias(nb), F.coalesce(F.sum(ne).over(before), long(0)).alias(ne), none.alias(id_))
+    upto = Window.partitionBy(*keys, bin_).orderBy(p, kind).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    run = events.unionByName(carry).select(kind, id_, F.sum(nb).over(upto).alias(nb), F.sum(ne).over(upto).alias(ne)).where(F.col(kind) != 1)
+    n = F.sum(F.when(F.col(kind) == 0, F.col(nb)).otherwise(-F.col(ne)))
+    counted = run.groupBy(F.col(id_).alias(left_id)).agg(n.alias("n"))
+    return counted.union(left.where(~known(lb, le)).select(left_id, long(0)))
+
+
 def matched_ids(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, lb: str, le: str, rb: str, re: str, where: Column | None = None, measure: bool = False) -> DataFrame:
-    """Distinct ``left_id`` of rows with a partner that also satisfies ``where``."""
-    pairs = overlap_join(left, right, keys, lb, le, rb, re, measure=measure)
-    return (pairs if where is None else pairs.where(where)).select(left_id).distinct()
+    """Distinct ``left_id`` of rows with a partner, that also satisfies ``where`` if it is given. ``left_id`` is unique."""
+    if where is None:
+        return overlap_counts(left, right, keys, left_id, lb, le, rb, re).where("n > 0").select(left_id)
+    return overlap_join(left, right, keys, lb, le, rb, re, measure=measure).where(where).select(left_id).distinct()
 
 
 def semi_overlap(left: DataFrame, right: DataFrame, keys, left_id, lb, le, rb, re, where=None, measure=False) -> DataFrame:
@@ -100,17 +157,115 @@ def band_join(left: DataFrame, right: DataFrame, keys: list[str], lpos: str, rpo
     return overlap_join(a, b, keys, "_b", "_e", "_p", "_q", (2 * width + 1, 1)).drop("_b", "_e", "_p", "_q")
 
 
-def stab_depth(clusters: DataFrame, alignments: DataFrame, keys: list[str], id_col: str, start: str, stop: str, a_id: str, ab: str, ae: str, pad: int = 100, fallback: str | None = None, measure: bool = False) -> DataFrame:
+def _before_and_at_most(begins: np.ndarray, ends: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:
+    """For every (p, q) the number of intervals with begin <= p and end <= q; ``begins`` ascends.
+
+    A wavelet matrix over the ranks of the ends, for all questions at once.
+    """
+    n = len(begins)
+    order = np.argsort(ends, kind="stable")
+    value = np.empty(n, np.int64)
+    value[order] = np.arange(n)
+    limit = np.searchsorted(ends[order], q, "right")
+    lo, hi, out = np.zeros(len(p), np.int64), np.searchsorted(begins, p, "right"), np.zeros(len(p), np.int64)
+    for k in range(n.bit_length() - 1, -1, -1):
+        one = (value >> k) & 1 == 1
+        zeros = np.concatenate([[0], np.cumsum(~one)])
+        below = limit >> k & 1 == 1
+        zl, zh = zeros[lo], zeros[hi]
+        out += np.where(below, zh - zl, 0)
+        lo, hi = np.where(below, zeros[-1] + lo - zl, zl), np.where(below, zeros[-1] + hi - zh, zh)
+        value = np.concatenate([value[~one], value[one]])
+    return out
+
+
+def stab_depth(clusters: DataFrame, alignments: DataFrame, keys: list[str], id_col: str, start: str, stop: str, a_id: str, ab: str, ae: str, pad: int = 100, fallback: str | None = None) -> DataFrame:
     """``id_col, depth``: alignments that cover ``start - pad`` or ``stop + pad`` (each counts once).
 
-    With ``fallback`` a depth of zero becomes that column.
+    With ``fallback`` a depth of zero becomes that column. ``id_col`` is unique; rows of one ``a_id`` are one alignment. A
+    null key, position or bound meets nothing.
+
+    Counted, not joined: what covers the first place, and the second, less what covers both. An alignment is in at most two bins of
+    its length's level; a cluster asks in the bins of its places, and counts of all levels add up. Of a bin
+    only the questions are held, alignments stream through in chunks.
     """
-    probes = clusters.select(*keys, F.col(id_col).alias("_id"), F.explode(F.array(F.col(start) - pad, F.col(stop) + pad)).alias("_p")).withColumn("_q", F.col("_p") + 1)
-    a = alignments.select(*keys, F.col(a_id).alias("_a"), F.col(ab).alias("_ab"), F.col(ae).alias("_ae"))
-    n = overlap_join(probes, a, keys, "_p", "_q", "_ab", "_ae", (1, None), measure).groupBy("_id").agg(F.count_distinct("_a").alias("depth"))
-    base = clusters.select(F.col(id_col), F.col(fallback or id_col).alias("_fb")).join(n.withColumnRenamed("_id", id_col), id_col, "left")
-    zero = F.col("_fb").cast("bigint") if fallback else F.lit(0).cast("bigint")
-    return base.select(id_col, F.coalesce("depth", zero).alias("depth"))
+    g = fresh_names([*keys, id_col], "level", "bin", "kind", "x", "y", "h", "id", "fb")
+    level, bin_, kind, x, y, h, id_, fb = g
+    long = lambda v: v.cast("bigint")
+    known = lambda *cs: reduce(and_, [F.col(c).isNotNull() for c in cs])
+    size = lambda lv: F.element_at(F.array(*[long(F.lit(n)) for n in DEPTH_SIZES]), lv + 1)
+    spare = long(F.col(fallback)) if fallback else long(F.lit(0))
+    one, two = long(F.col(start) - pad), long(F.col(stop) + pad)
+    ask = F.explode(F.flatten(F.array(*[
+        F.array(*[F.struct(F.lit(lv).alias(level), _floor_div(at, long(F.lit(n))).alias(bin_), F.lit(role).cast("bigint").alias(h)) for role, at in ((0, one), (1, two))]) for lv, n in enumerate(DEPTH_SIZES)
+    ]))).alias(kind)
+    asked = clusters.where(known(*keys, start, stop)).select(*keys, ask, one.alias(x), two.alias(y), F.col(id_col).alias(id_), spare.alias(fb))
+    asked = asked.select(*keys, f"{kind}.{level}", f"{kind}.{bin_}", F.lit(0).alias(kind), x, y, f"{kind}.{h}", id_, fb)
+    b, e = long(F.col(ab)), F.greatest(long(F.col(ae)), long(F.col(ab)) + 1)
+    own = F.when(e - b <= DEPTH_SIZES[0], 0).when(e - b <= DEPTH_SIZES[1], 1).otherwise(2)
+    covers = alignments.where(known(*keys, ab, ae)).select(*keys, own.alias(level), F.lit(1).alias(kind), b.alias(x), e.alias(y), F.xxhash64(a_id).alias(h))
+    places = F.explode(F.sequence(_floor_div(F.col(x), size(F.col(level))), _floor_div(F.col(y) - 1, size(F.col(level))))).alias(bin_)
+    covers = covers.select(*keys, level, places, kind, x, y, h, F.lit(None).cast(clusters.schema[id_col].dataType).alias(id_), F.lit(None).cast("bigint").alias(fb))
+    by = [*keys, level, bin_]
+    work = asked.unionByName(covers).repartition(*by).sortWithinPartitions(*by, kind, x, y, h)
+
+    def counted(t: pa.Table, group: np.ndarray, last: list) -> pa.RecordBatch:
+        """Counts of the questions of ``t``; ``group`` numbers its bins. A row that repeats the one before is dropped."""
+        k, a, z, i = (t.column(c).to_numpy() for c in (kind, x, y, h))
+        place = lambda v: group * np.int64(1 << 40) + np.clip(v, -(1 << 38), 1 << 39) + (1 << 38)
+        rows = k == 1
+        same = np.zeros(len(k), bool)
+        same[1:] = rows[1:] & rows[:-1] & (group[1:] == group[:-1]) & (a[1:] == a[:-1]) & (z[1:] == z[:-1]) & (i[1:] == i[:-1])
+        if len(k) and last and rows.any():
+            f = int(np.argmax(rows))
+            same[f] |= last[0] == (int(a[f]), int(z[f]), int(i[f])) and group[f] == 0
+        rows &= ~same
+        begin, end = place(a)[rows], place(z)[rows]
+        q = np.flatnonzero(k == 0)
+        p1, p2, role = place(a)[q], place(z)[q], i[q]
+        at = np.where(role == 0, p1, p2)
+        order = np.sort(end)
+        n = np.searchsorted(begin, at, "right") - np.searchsorted(order, at, "right")
+        first = role == 0
+        if len(begin) and first.any():  # less those that cover both places: begin <= p1 and end > p2
+            n[first] -= np.searchsorted(begin, p1[first], "right") - _before_and_at_most(begin, end, p1[first], p2[first])
+        take = pa.array(q)
+        return pa.RecordBatch.from_arrays([t.column(id_).combine_chunks().take(take), pa.array(n), t.column(fb).combine_chunks().take(take)], [id_, "n", fb])
+
+    def run(batches):
+        held: list[pa.Table] = []
+        rows, last = 0, []
+        for b in batches:
+            if b.num_rows:
+                held.append(pa.Table.from_batches([b]))
+                rows += b.num_rows
+            if rows >= DEPTH_CHUNK:
+                held, rows, last = yield from flush(held, last)
+        if held:
+            yield from flush(held, last)
+
+    def flush(held, last):
+        t = pa.concat_tables(held).combine_chunks()
+        new = np.zeros(t.num_rows, bool)
+        for c in by:
+            v = t.column(c).combine_chunks()
+            new[1:] |= pc.not_equal(v.slice(1), v.slice(0, len(v) - 1)).to_numpy(zero_copy_only=False)
+        group = np.cumsum(new)
+        yield counted(t, group, last)
+        # the questions of the bin that is still open stay, and its last row, of which copies may follow
+        open_ = (group == group[-1]) & (t.column(kind).to_numpy() == 0)
+        end = t.slice(t.num_rows - 1, 1)
+        last = [tuple(end.column(c)[0].as_py() for c in (x, y, h))] if end.column(kind)[0].as_py() == 1 else []
+        kept = t.filter(pa.array(open_))
+        if not kept.num_rows:  # a bin without questions: its key has to be known all the same
+            kept = end.set_column(end.column_names.index(kind), kind, pa.array([2], end.schema.field(kind).type))
+        return [kept], 0, last
+
+    schema = T.StructType([T.StructField(id_, clusters.schema[id_col].dataType), T.StructField("n", T.LongType()), T.StructField(fb, T.LongType())])
+    found = work.mapInArrow(run, schema).groupBy(F.col(id_).alias(id_col)).agg(F.sum("n").alias("n"), F.max(fb).alias(fb))
+    depth = F.when(F.col("n") == 0, F.coalesce(F.col(fb), F.lit(0))).otherwise(F.col("n")).cast("bigint")
+    rest = clusters.where(~known(*keys, start, stop)).select(id_col, F.coalesce(spare, F.lit(0)).cast("bigint").alias("depth"))
+    return found.select(id_col, depth.alias("depth")).union(rest)
 
 
 def merge_intervals(df: DataFrame, keys: list[str], begin: str, end: str, gap: int = 0) -> DataFrame:

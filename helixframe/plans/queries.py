@@ -70,15 +70,23 @@ def _as(df: DataFrame, t: str) -> DataFrame:
 @query(f"WITH {_IV} SELECT a.id, count(*) AS n FROM iv a JOIN iv b ON a.contig = b.contig AND a.b < b.e AND b.b < a.e AND a.id <> b.id GROUP BY a.id")
 def interval_overlap(spark, sf_dir):
     iv = intervals(spark, sf_dir)
-    pairs = I.overlap_join(_as(iv, "l"), _as(iv, "r"), ["contig"], "b_l", "e_l", "b_r", "e_r", measure=True)
-    return pairs.where("id_l <> id_r").groupBy(C("id_l").alias("id")).agg(F.count("*").alias("n"))
+    n = I.overlap_counts(iv, iv.select("contig", C("b").alias("ob"), C("e").alias("oe")), ["contig"], "id", "b", "e", "ob", "oe")
+    return n.where("n > 1").select("id", (C("n") - 1).alias("n"))  # without itself
+
+
+@query(f"WITH {_IV} SELECT a.strand, count(*) AS n, CAST(sum(least(a.e, b.e) - greatest(a.b, b.b)) AS BIGINT) AS shared FROM iv a JOIN iv b ON a.contig = b.contig AND a.strand = 'A' AND b.strand = 'R' AND a.b < b.e AND b.b < a.e GROUP BY 1")
+def overlap_pairs(spark, sf_dir):
+    iv = intervals(spark, sf_dir)
+    pairs = I.overlap_join(_as(iv.where("strand = 'A'"), "l"), _as(iv.where("strand = 'R'"), "r"), ["contig"], "b_l", "e_l", "b_r", "e_r")
+    shared = F.least("e_l", "e_r") - F.greatest("b_l", "b_r")
+    return pairs.groupBy(C("strand_l").alias("strand")).agg(F.count("*").alias("n"), F.sum(shared).alias("shared"))
 
 
 @query(f"""WITH {_IV} SELECT c.id, CASE WHEN count(a.id) = 0 THEN 1 ELSE count(a.id) END AS depth FROM iv c LEFT JOIN iv a ON a.contig = c.contig
   AND ((a.b <= c.b - 5 AND c.b - 5 < a.e) OR (a.b <= c.e + 5 AND c.e + 5 < a.e)) GROUP BY c.id""")
 def interval_stab_depth(spark, sf_dir):
     iv = intervals(spark, sf_dir)
-    return I.stab_depth(iv.withColumn("support", F.lit(1)), iv, ["contig"], "id", "b", "e", "id", "b", "e", 5, "support", measure=True)
+    return I.stab_depth(iv.withColumn("support", F.lit(1)), iv, ["contig"], "id", "b", "e", "id", "b", "e", 5, "support")
 
 
 @query(f"WITH {_IV} SELECT a.id, count(*) AS n FROM iv a JOIN iv b ON a.contig = b.contig AND a.strand = 'A' AND b.strand = 'R' AND abs(a.b - b.b) <= 15 GROUP BY a.id")
@@ -92,14 +100,14 @@ def band_match(spark, sf_dir):
 def anti_overlap(spark, sf_dir):
     iv = intervals(spark, sf_dir)
     other = iv.where("strand = 'R'").select("contig", C("b").alias("ob"), C("e").alias("oe"))
-    return I.anti_overlap(iv.where("strand = 'N'"), other, ["contig"], "id", "b", "e", "ob", "oe", measure=True).select("id", "contig", "b", "e")
+    return I.anti_overlap(iv.where("strand = 'N'"), other, ["contig"], "id", "b", "e", "ob", "oe").select("id", "contig", "b", "e")
 
 
 @query(f"WITH {_IV} SELECT a.id, a.contig, a.b, a.e FROM iv a WHERE a.strand = 'N' AND EXISTS (SELECT 1 FROM iv b WHERE b.strand = 'R' AND a.contig = b.contig AND a.b < b.e AND b.b < a.e)")
 def semi_overlap(spark, sf_dir):
     iv = intervals(spark, sf_dir)
     other = iv.where("strand = 'R'").select("contig", C("b").alias("ob"), C("e").alias("oe"))
-    return I.semi_overlap(iv.where("strand = 'N'"), other, ["contig"], "id", "b", "e", "ob", "oe", measure=True).select("id", "contig", "b", "e")
+    return I.semi_overlap(iv.where("strand = 'N'"), other, ["contig"], "id", "b", "e", "ob", "oe").select("id", "contig", "b", "e")
 
 
 def _sets(spark, sf_dir):
