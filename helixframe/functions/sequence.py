@@ -223,34 +223,46 @@ def descending_above(values: Column, least: int) -> Column:
     return F.reverse(F.array_sort(F.array_distinct(F.filter(values, lambda x: x > least))))
 
 
-def suffix_ranks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Suffix array and ranks of an integer array, by prefix doubling."""
+def suffix_ranks(codes: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """Suffix array of an integer array, and the ranks of its suffixes by their first 1, 2, 4, ... codes.
+
+    Prefix doubling: only suffixes whose rank another one shares are sorted again. The last ranks are all different.
+    """
     n, h = len(codes), 1
-    rank = np.unique(codes, return_inverse=True)[1].astype(np.int64)
-    while True:
-        second = np.full(n, -1, np.int64)
-        second[: max(0, n - h)] = rank[h:]
-        code = rank * (n + 2) + second + 1
-        sa = np.argsort(code, kind="stable")
-        rank = np.empty(n, np.int64)
-        rank[sa] = np.concatenate([[0], np.cumsum(np.diff(code[sa]) != 0)]) if n else []
-        if not n or rank[sa[-1]] == n - 1:
-            return sa, rank
+    values, rank, size = np.unique(codes, return_inverse=True, return_counts=True)
+    rank = (np.cumsum(size) - size)[rank]  # the number of suffixes before the class: others do not move when it splits
+    levels = [rank.astype(np.int32)]
+    live = np.flatnonzero(np.repeat(size, size)[rank] > 1) if n else np.empty(0, np.int64)
+    while len(live):
+        after = live + h
+        second = np.where(after < n, rank[np.minimum(after, n - 1)], -1)
+        order = np.lexsort((second, rank[live]))
+        at, r, t = live[order], rank[live[order]], second[order]
+        group = np.concatenate([[True], r[1:] != r[:-1]])
+        new = group.copy()
+        new[1:] |= t[1:] != t[:-1]
+        place = np.arange(len(at))
+        rank = rank.copy()
+        rank[at] = r + np.maximum.accumulate(np.where(new, place, 0)) - np.maximum.accumulate(np.where(group, place, 0))
+        levels.append(rank.astype(np.int32))
+        size = np.diff(np.append(np.flatnonzero(new), len(at)))
+        live = np.sort(at[np.repeat(size, size) > 1])
         h *= 2
+    sa = np.empty(n, np.int64)
+    sa[rank] = np.arange(n)
+    return sa, levels
 
 
-def common_prefixes(codes: np.ndarray, sa: np.ndarray) -> np.ndarray:
-    """Common prefix lengths of suffix-array neighbours (0 for the first)."""
-    n = len(sa)
-    out = np.zeros(n, np.int64)
-    live = np.arange(1, n)
-    while len(live):
-        a, b = sa[live - 1] + out[live], sa[live] + out[live]
-        ok = (a < n) & (b < n)
-        live, a, b = live[ok], a[ok], b[ok]
-        live = live[codes[a] == codes[b]]
-        out[live] += 1
-    return out
+def common_prefixes(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Common prefix lengths of pairs of different suffixes, by the ranks of the doubling: a step for each level, not for each base."""
+    n = len(levels[0])
+    x, y = a.copy(), b.copy()
+    for k in range(len(levels) - 1, -1, -1):
+        rank = levels[k]
+        same = (x < n) & (y < n)
+        same &= rank[np.minimum(x, n - 1)] == rank[np.minimum(y, n - 1)]
+        x, y = x + (same << k), y + (same << k)
+    return x - a
 
 
 def repeats_in(seq: str, min_size: int, min_dist: int) -> list[tuple[str, int, int, int]]:
@@ -267,17 +279,15 @@ def repeats_in(seq: str, min_size: int, min_dist: int) -> list[tuple[str, int, i
     codes = np.frombuffer(both.encode(), np.uint8).astype(np.int64)
     odd = (codes == ord("N")) | (codes == ord("X"))
     codes[odd] = 1000 + np.arange(int(odd.sum()))
-    sa, _ = suffix_ranks(codes)
-    lcp = common_prefixes(codes, sa)
-    out = set()
-    for k in np.flatnonzero(lcp >= min_size):
-        i, j, size = *sorted((int(sa[k - 1]), int(sa[k]))), int(lcp[k])
-        if j < n and j - i >= min_dist:
-            out.add(("dup", i, j, size))
-        elif i < n < j:
-            p = 2 * n + 1 - j - size
-            out.add(("inv", min(i, p), max(i, p), size))
-    return sorted(out)
+    sa, levels = suffix_ranks(codes)
+    size = common_prefixes(levels, sa[:-1], sa[1:])
+    i, j = np.minimum(sa[:-1], sa[1:]), np.maximum(sa[:-1], sa[1:])
+    long = size >= max(1, min_size)
+    dup, inv = long & (j < n) & (j - i >= min_dist), long & (i < n) & (j > n)
+    p = 2 * n + 1 - j - size
+    found = [("dup", *r) for r in zip(i[dup].tolist(), j[dup].tolist(), size[dup].tolist())]
+    found += [("inv", *r) for r in zip(np.minimum(i, p)[inv].tolist(), np.maximum(i, p)[inv].tolist(), size[inv].tolist())]
+    return sorted(set(found))
 
 
 def repeat_scan(seqs: DataFrame, contig: str, seq: str, window: int = 100_000, step: int = 50_000, min_size: int = 1, min_dist: int = 5) -> DataFrame:

@@ -273,9 +273,21 @@ def test_repeats(s):
         codes = np.frombuffer(s.encode(), np.uint8).astype(np.int64)
         sa, _ = S.suffix_ranks(codes)
         assert sa.tolist() == sorted(range(len(s)), key=lambda i: s[i:])
+        _, levels = S.suffix_ranks(codes)
+        same = lambda i, j: next((k for k in range(len(s)) if max(i, j) + k >= len(s) or s[i + k] != s[j + k]), 0)
+        assert S.common_prefixes(levels, sa[:-1], sa[1:]).tolist() == [same(i, j) for i, j in zip(sa[:-1], sa[1:])]
     assert comp[::-1].translate(str.maketrans("ATCG", "TAGC")) == s
 
 
+def test_repeats_of_one_base():
+    """A whole default window of equal bases: steps grow with the logarithm of the longest repeat."""
+    import time
+
+    t = time.time()
+    got = S.repeats_in("A" * 100_000, 99_000, 5)
+    assert not got and len(S.repeats_in("A" * 100_000, 1, 1)) == 99_999 and time.time() - t < 60
+
+
 def test_sequence_functions(spark):
     df = spark.createDataFrame([("ACGTN", "AACCGGTT")], "a string, b string")
     r = df.select(S.revcomp(F.col("a")).alias("r"), S.with_revcomp(F.col("a")).alias("w"), S.kmers(F.col("a"), 3).alias("k"), S.kmers(F.col("a"), 9).alias("e"), S.kmer_jaccard(F.col("a"), F.col("a"), 2).alias("j"), S.flank(F.col("b"), F.lit(-3), F.lit(2)).alias("f"), S.dominant_kmer_ratio(F.col("b"), 2).alias("d"), S.max_subarray(F.array(*map(F.lit, (1.0, -5.0, 2.0, 3.0)))).alias("m")).first()
