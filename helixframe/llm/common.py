@@ -38,7 +38,7 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
 
     A lost executor costs nothing then, and both passes of a two-pass operator
     see the same rows in the same order. The shuffle files of the write go when it ends,
-    not when the driver happens to collect its garbage.
+    not when the driver happens to collect its garbage. The table goes with :func:`release`, or when the application ends.
     """
     spark = df.sparkSession
     path = f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
@@ -48,6 +48,8 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(_CLEAN, before)
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(p)
     out = spark.read.schema(df.schema).parquet(path)
     out._helix_path = path
     return out
