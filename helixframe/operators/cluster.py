@@ -7,7 +7,7 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .intervals import band_join
@@ -125,27 +125,47 @@ def admitted_by_reads(clusters: DataFrame, max_sure: int = 150, max_reads: int =
     return clusters.where((F.col("sure_reads") <= max_sure) & (F.col("support") <= max_reads) & deep)
 
 
-def shared_table(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back."""
-    spark = df.sparkSession
+def shared_path(spark: SparkSession, label: str) -> str:
+    """A new name in the folder of ``spark.checkpoint.dir``; a temporary folder only where it is unset and one process does all (tests)."""
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if not root:
         if spark.sparkContext.master.partition("[")[0] != "local":
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="helixframe-")  # one process does all: tests
-    path = f"{root.rstrip('/')}/cluster-{uuid.uuid4().hex}"
+        root = "file://" + tempfile.mkdtemp(prefix="helixframe-")
+        spark.sparkContext.setCheckpointDir(root)
+    return f"{root.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def _file_system(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()), p
+
+
+def until_exit(spark: SparkSession, path: str) -> str:
+    """Lets what was written to ``path`` go when the application ends."""
+    system, p = _file_system(spark, path)
+    system.deleteOnExit(p)
+    return path
+
+
+def shared_table(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder and read back; the table goes with :func:`drop_table`, or when the application ends."""
+    spark = df.sparkSession
+    path = shared_path(spark, "cluster")
     df.write.parquet(path)
+    until_exit(spark, path)
     out = spark.read.schema(df.schema).parquet(path)
     out._helix_path = path
     return out
 
 
-def drop_table(df: DataFrame) -> None:
-    """Delete a table made by :func:`shared_table` that no later plan reads."""
-    spark, path = df.sparkSession, getattr(df, "_helix_path", None)
-    if path:
-        p = spark._jvm.org.apache.hadoop.fs.Path(path)
-        p.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(p, True)
+def drop_table(*tables: DataFrame) -> None:
+    """Delete tables made by :func:`shared_table` that no later plan reads."""
+    for df in tables:
+        path = getattr(df, "_helix_path", None)
+        if path:
+            system, p = _file_system(df.sparkSession, path)
+            system.delete(p, True)
 
 
 def label_components(nodes: DataFrame, edges: DataFrame, node: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -14,15 +14,50 @@ def read_fai(spark: SparkSession, path: str) -> DataFrame:
 def read_fasta(spark: SparkSession, path: str, chunk: int | None = None) -> DataFrame:
     """``contig, seq``, or ``contig, chunk, start, seq`` in pieces of ``chunk`` bases.
 
-    The contig is the whole header line.
+    The contig is the whole header line. Without ``chunk`` a contig is one row; with it no row holds more than a
+    line or a chunk: lines get their place from running sums within a block of the file, which begin with
+    the contig and the bases of the blocks before it.
     """
+    if chunk:
+        return _fasta_chunks(spark, path, chunk)
     raw = spark.read.option("lineSep", ">").text(path).where(F.length(F.trim("value")) > 0)
     head = F.regexp_extract("value", r"^([^\r\n]*)", 1)
-    seqs = raw.select(head.alias("contig"), F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "").alias("seq"))
-    if not chunk:
-        return seqs
-    n = F.greatest(F.ceil(F.length("seq") / chunk).cast("int"), F.lit(1))
-    return seqs.select("contig", "seq", F.explode(F.sequence(F.lit(0), n - 1)).alias("chunk")).select("contig", "chunk", (F.col("chunk") * chunk).cast("bigint").alias("start"), F.substring("seq", F.col("chunk") * chunk + 1, F.lit(chunk)).alias("seq"))
+    return raw.select(head.alias("contig"), F.regexp_replace(F.regexp_replace("value", r"^[^\r\n]*", ""), r"\s", "").alias("seq"))
+
+
+def _fasta_chunks(spark: SparkSession, path: str, chunk: int) -> DataFrame:
+    block = ["_f", "_o"]
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_o"), F.monotonically_increasing_id().alias("_i"), "value")
+    head = F.col("value").startswith(">")
+    contig = F.when(head, F.regexp_replace(F.substring("value", 2, F.length("value")), "[\r\n]+$", ""))
+    bases = F.when(head, "").otherwise(F.regexp_replace("value", r"\s", ""))
+    lines = lines.select(*block, "_i", contig.alias("_c"), bases.alias("_s"))
+    upto = Window.partitionBy(*block).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
+    # the last header at or before a line, and the bases of the block up to and with it
+    placed = lines.withColumn("_all", F.sum(F.length("_s")).over(upto).cast("bigint"))
+    placed = placed.withColumn("_last", F.last(F.when(F.col("_c").isNotNull(), F.struct(F.col("_c").alias("c"), F.col("_all").alias("n"))), True).over(upto))
+    # blocks: bases behind the last header, which the next ones carry on from
+    ends = placed.groupBy(*block).agg(F.max_by(F.struct("_all", "_last"), "_i").alias("_e"))
+    along = Window.partitionBy("_f").orderBy("_o")
+    own = F.col("_e._last").isNotNull()
+    ends = ends.withColumn("_group", F.sum(F.when(own, 1).otherwise(0)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    open_ = F.col("_e._all") - F.coalesce("_e._last.n", F.lit(0))
+    sums = ends.withColumn("_open", F.sum(open_).over(Window.partitionBy("_f", "_group").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)))
+    sums = sums.withColumn("_name", F.last(F.col("_e._last.c"), True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    before = along.rowsBetween(-1, -1)
+    carry = sums.select(*block, F.first("_name").over(before).alias("_pc"), F.first("_open").over(before).alias("_pn"))
+    start = F.col("_all") - F.length("_s") - F.coalesce("_last.n", F.lit(0)) + F.when(F.col("_last").isNull(), F.coalesce("_pn", F.lit(0))).otherwise(0)
+    rows = placed.join(carry, block).select(F.coalesce("_last.c", "_pc").alias("contig"), start.cast("bigint").alias("_at"), "_s").where("contig is not null")
+    first, last = (F.col("_at") / chunk).cast("bigint"), ((F.col("_at") + F.greatest(F.length("_s"), F.lit(1)) - 1) / chunk).cast("bigint")
+    rows = rows.withColumn("chunk", F.explode(F.sequence(first, last)))
+    lo = F.greatest(F.col("chunk") * chunk, F.col("_at"))
+    hi = F.least((F.col("chunk") + 1) * chunk, F.col("_at") + F.length("_s"))
+    part = F.substring("_s", (lo - F.col("_at") + 1).cast("int"), (hi - lo).cast("int"))
+    pieces = rows.select("contig", F.col("chunk").cast("int").alias("chunk"), F.struct(lo.alias("at"), F.length(part).alias("n"), part.alias("s")).alias("_p"))
+    # an empty piece (a header's) counts only where the contig has no bases
+    pieces = pieces.where((F.col("_p.n") > 0) | (F.col("_p.at") == 0))
+    seq = F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["s"]), "")
+    return pieces.groupBy("contig", "chunk").agg(seq.alias("seq")).select("contig", "chunk", (F.col("chunk") * chunk).cast("bigint").alias("start"), "seq")
 
 
 def fasta_region(chunks: DataFrame, regions: DataFrame, size: int) -> DataFrame:

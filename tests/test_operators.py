@@ -351,6 +351,7 @@ def test_readers_and_sinks(spark, tmp_path):
     chunks = readers.read_fasta(spark, str(tmp_path / "a.fa"), 4)
     reg = readers.fasta_region(chunks, spark.createDataFrame([("c1 x", 2, 6)], "contig string, begin long, end long"), 4)
     assert reg.first().seq == "GTAC"
+    assert sorted(map(tuple, chunks.collect())) == [("c1 x", 0, 0, "ACGT"), ("c1 x", 1, 4, "AC"), ("c2", 0, 0, "GG")]
     (tmp_path / "a.sam").write_text("@HD\tVN:1\nr1\t16\tc1\t11\t60\t5S10M2D3M\t*\t0\t0\tAAAAACCCCCCCCCCGGG\t*\nr2\t4\t*\t0\t0\t*\t*\t0\t0\tA\t*\n")
     (r,) = readers.read_sam(spark, str(tmp_path / "a.sam")).collect()
     assert (r.contig, r.ref_start, r.ref_end, r.q_start, r.q_end, r.q_len, r.is_reverse) == ("c1", 10, 25, 5, 18, 18, True)
@@ -365,6 +366,26 @@ def test_readers_and_sinks(spark, tmp_path):
     assert (r.contig, r.pos1, r.pos2, r.svlen, r.svtype, r.gt) == ("c", 5, 105, 100, "DEL", "1/1") and "STD_POS1=1.234;" in r.line
 
 
+@pytest.mark.parametrize("size", [16, 64, 1000, 10**6])
+def test_fasta_across_blocks(spark, tmp_path, size):
+    """Blocks of a file that begin anywhere: in a header, in a line, with no header at all."""
+    rng = np.random.default_rng(size)
+    seqs = {f"c{k} of {'x' * k}": "".join("ACGTN"[i] for i in rng.integers(0, 5, n)) for k, n in enumerate([0, 1, 59, 60, 61, 700, 0, 3, 2000])}
+    text = "".join(f">{c}\n" + "".join(f"{s[i : i + 60]}\n" for i in range(0, len(s), 60)) for c, s in seqs.items())
+    (tmp_path / "a.fa").write_text(text)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    spark.conf.set("spark.sql.files.openCostInBytes", "1")
+    try:
+        got = {}
+        for r in sorted(readers.read_fasta(spark, str(tmp_path / "a.fa"), 50).collect()):
+            assert r.start == 50 * r.chunk == len(got.get(r.contig, "")) and len(r.seq) <= 50
+            got[r.contig] = got.get(r.contig, "") + r.seq
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert got == seqs
+
+
 def test_end_to_end(spark):
     rows = []
     for k in range(12):
