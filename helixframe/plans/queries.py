@@ -150,7 +150,7 @@ def _breakpoints(spark, sf_dir):
     )
 
 
-@query("""WITH p AS (SELECT l_orderkey AS read, CAST(l_suppkey % 3 AS VARCHAR) AS contig, l_partkey * 7 % 1000 AS g, l_linenumber * 40 + CAST(l_quantity AS BIGINT) AS q, CASE WHEN l_returnflag = 'N' THEN 1 ELSE 4 END AS rl,
+_PAIRED = """p AS (SELECT l_orderkey AS read, CAST(l_suppkey % 3 AS VARCHAR) AS contig, l_partkey * 7 % 1000 AS g, l_linenumber * 40 + CAST(l_quantity AS BIGINT) AS q, CASE WHEN l_returnflag = 'N' THEN 1 ELSE 4 END AS rl,
     CAST(trunc(l_extendedprice) AS BIGINT) % 300 AS o, l_linestatus AS h, l_shipdate < TIMESTAMP '1995-06-01' AS rev FROM lineitem),
   i AS (SELECT *, row_number() OVER (PARTITION BY read ORDER BY q, contig, g, rl) AS k, bool_or(rev) OVER (PARTITION BY read) AND bool_or(NOT rev) OVER (PARTITION BY read) AS mixed FROM p),
   j AS (SELECT a.read, a.contig AS contig, b.contig AS c2, a.g AS g1, b.g AS g2, a.q AS q1, b.q AS q2, a.rl AS r1, b.rl AS r2, a.o AS o1, b.o AS o2, a.mixed AND a.h = b.h AS inv,
@@ -161,7 +161,10 @@ def _breakpoints(spark, sf_dir):
     WHEN r1 = 1 AND g1 > g2 THEN CASE WHEN dg > 100 THEN CASE WHEN rq <= 100 THEN 'DEL' ELSE 'sub-DEL' END WHEN dq > 100 THEN 'INS' END
     WHEN r1 = 1 THEN CASE WHEN dq <= 100 AND dg > 100 THEN 'DUP' WHEN abs(o1 - 300) <= 50 AND o2 <= 50 THEN 'DUP' WHEN inv THEN 'INV' END
     WHEN g1 > g2 THEN CASE WHEN dq <= 100 AND dg > 100 THEN 'DUP' WHEN abs(o2 - 300) <= 50 AND o1 <= 50 THEN 'DUP' WHEN inv THEN 'INV' END
-    ELSE CASE WHEN dg > 100 THEN CASE WHEN rq <= 100 THEN 'DEL' ELSE 'sub-INV' END WHEN dq > 100 THEN 'INS' END END AS ev FROM j)
+    ELSE CASE WHEN dg > 100 THEN CASE WHEN rq <= 100 THEN 'DEL' ELSE 'sub-INV' END WHEN dq > 100 THEN 'INS' END END AS ev FROM j)"""
+
+
+@query(f"""WITH {_PAIRED}
   SELECT contig, CASE WHEN contig <> c2 THEN c2 END AS contig2, replace(ev, 'sub-', '') AS svtype, starts_with(ev, 'sub-') AS is_sub, count(*) AS n, CAST(sum(CASE WHEN contig = c2 THEN least(g1, g2) ELSE g1 END) AS BIGINT) AS sum1,
     CAST(sum(CASE WHEN contig = c2 THEN greatest(g1, g2) ELSE g2 END) AS BIGINT) AS sum2 FROM k WHERE ev IS NOT NULL GROUP BY 1, 2, 3, 4""")
 def self_pair_classify(spark, sf_dir):
@@ -378,9 +381,12 @@ def _alignments(spark, sf_dir):
     )
 
 
-@query("""WITH a AS (SELECT l_suppkey AS contig, l_partkey AS r, CAST(floor(l_extendedprice) AS BIGINT) % 90 AS s1, CAST(floor(l_quantity) AS BIGINT) % 50 + 1000 AS m1, l_returnflag AS f, CAST(floor(l_extendedprice) AS BIGINT) % 70 + 1 AS g, CAST(floor(l_extendedprice) AS BIGINT) % 130 AS s2 FROM lineitem WHERE round(l_discount * 600) >= 10),
+_SIGNALS = """a AS (SELECT l_suppkey AS contig, l_partkey AS r, CAST(floor(l_extendedprice) AS BIGINT) % 90 AS s1, CAST(floor(l_quantity) AS BIGINT) % 50 + 1000 AS m1, l_returnflag AS f, CAST(floor(l_extendedprice) AS BIGINT) % 70 + 1 AS g, CAST(floor(l_extendedprice) AS BIGINT) % 130 AS s2 FROM lineitem WHERE round(l_discount * 600) >= 10),
   s AS (SELECT contig, 'L' AS sig_type, r - s1 AS b, r AS e, s1 AS q FROM a WHERE s1 >= 25 UNION ALL SELECT contig, CASE WHEN f = 'A' THEN 'D' ELSE 'I' END, r + m1, r + m1 + g, s1 + m1 FROM a WHERE f IN ('A', 'R') AND g >= 25
-    UNION ALL SELECT contig, 'R', r + m1 + 500 + CASE WHEN f = 'R' THEN 0 ELSE g END, r + m1 + 500 + CASE WHEN f = 'R' THEN 0 ELSE g END + s2, s1 + m1 + 500 + CASE WHEN f = 'A' THEN 0 ELSE g END FROM a WHERE s2 >= 25)
+    UNION ALL SELECT contig, 'R', r + m1 + 500 + CASE WHEN f = 'R' THEN 0 ELSE g END, r + m1 + 500 + CASE WHEN f = 'R' THEN 0 ELSE g END + s2, s1 + m1 + 500 + CASE WHEN f = 'A' THEN 0 ELSE g END FROM a WHERE s2 >= 25)"""
+
+
+@query(f"""WITH {_SIGNALS}
   SELECT CAST(contig AS VARCHAR) AS contig, sig_type, count(*) AS n, CAST(sum(b) AS BIGINT) AS b, CAST(sum(e) AS BIGINT) AS e, CAST(sum(q) AS BIGINT) AS q FROM s GROUP BY 1, 2""")
 def cigar_signals(spark, sf_dir):
     s = G.extract(G.usable(_alignments(spark, sf_dir)))
@@ -396,54 +402,6 @@ def sv_calls(spark, sf_dir):
     return found.select("sample", "contig", "pos", "stop", "svtype", "svlen", "support", "depth", "gt1", "gt2")
 
 
-def _hand_made(spark):
-    """Alignments with a deletion, an insertion and a deletion by clips (chr1), a tandem duplication (chr2) and inversions: plain
-    (chr3), with a right side that is clipped hard (chr4), and so short that its sides merge (chr5)."""
-    import re
-
-    from ..schema import ALIGNMENT
-
-    rows = []
-
-    def add(read, contig, start, cigar, reverse=False, supplementary=False):
-        ops = [("MIDNSHP=X".index(o), int(n)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
-        size = lambda kinds: sum(n for o, n in ops if o in kinds)
-        lead = ops[0][1] if ops[0][0] == 4 else 0
-        rows.append(("s", contig, start, start + size((0, 2, 3, 7, 8)), lead, lead + size((0, 1, 7, 8)), size((0, 1, 4, 5, 7, 8)), 60, reverse, supplementary, read, ops, None))
-
-    for k in range(12):
-        add(f"d{k}", "chr1", 8000 + 10 * k, f"{2000 - 10 * k}M200D3000M")
-        add(f"i{k}", "chr1", 48_000 + 10 * k, f"{2000 - 10 * k}M150I3000M")
-    for k in range(8):
-        add(f"p{k}", "chr1", 89_500, "2500M2500S")
-        add(f"p{k}", "chr1", 95_000, "2500S2500M", supplementary=True)
-        add(f"t{k}", "chr2", 8000, "3500M3000S")
-        add(f"t{k}", "chr2", 10_000, "3500S3000M", supplementary=True)
-        for contig, begin, size, tail in (("chr3", 20_000, 2000, "2000S"), ("chr4", 20_000, 2000, "2000H"), ("chr5", 30_000, 120, "2000S")):
-            add(f"{contig}-{k}", contig, begin - 2000, f"2000M{size + 2000}S")
-            add(f"{contig}-{k}", contig, begin, f"2000S{size}M{tail}", True, True)
-            add(f"{contig}-{k}", contig, begin + size, f"{size + 2000}S2000M", False, True)
-        add(f"whole{k}", "chr1", 1000, "30S5000M30S")
-    return spark.createDataFrame(rows, ALIGNMENT)
-
-
-@query("""SELECT * FROM (VALUES ('chr1', 10000, 10200, 'DEL', 200, 12), ('chr1', 92000, 95000, 'DEL', 3000, 8), ('chr1', 50000, 50001, 'INS', 150, 12), ('chr2', 10000, 11500, 'DUP', 1500, 8),
-  ('chr3', 20000, 22000, 'INV', 2000, 8), ('chr4', 20000, 22000, 'INV', 2000, 8), ('chr5', 30000, 30120, 'INV', 120, 8)) t(contig, pos, stop, svtype, svlen, support)""")
-def hand_made_calls(spark, sf_dir):
-    """The callers with their own settings over hand-made alignments; the tables are not read."""
-    from .caller import call
-
-    cols = [C(c).cast("int").alias(c) for c in ("pos", "stop", "svlen", "support")]
-    return call(_hand_made(spark)).calls.select("contig", cols[0], cols[1], "svtype", cols[2], cols[3])
-
-
-@query()
-def repeat_scan(spark, sf_dir):
-    bases = F.translate(F.lower("text"), "abcdefghijklmnopqrstuvwxyz", "ACGTACGTACGTACGTACGTACGTAC")
-    t = read(spark, sf_dir, "benchmark").select(C("item_id").cast("string").alias("contig"), bases.alias("seq"))
-    return S.repeat_scan(t, "contig", "seq", 2000, 1000, 4)
-
-
 @query()
 def alignment_score(spark, sf_dir):
     t = read(spark, sf_dir, "benchmark").select("item_id", "text")
@@ -451,10 +409,12 @@ def alignment_score(spark, sf_dir):
 
 
 @query(f"""WITH {_IV}, g AS (SELECT contig, strand, count(*) AS n, avg(e - b) AS m, var_samp(e - b) AS v FROM iv WHERE strand IN ('A', 'R') GROUP BY 1, 2), p AS (SELECT a.contig, a.n + b.n - 2 AS df, a.m - b.m AS d, ((a.n - 1) * coalesce(a.v, 0) + (b.n - 1) * coalesce(b.v, 0)) / (a.n + b.n - 2) * (1.0 / a.n + 1.0 / b.n) AS q
-    FROM g a JOIN g b ON a.contig = b.contig AND a.strand = 'A' AND b.strand = 'R' WHERE a.n + b.n > 2) SELECT contig, round(d / sqrt(q), 6) AS t, CAST(df AS DOUBLE) AS df FROM p WHERE q > 0""")
+    FROM g a JOIN g b ON a.contig = b.contig AND a.strand = 'A' AND b.strand = 'R' WHERE a.n + b.n > 2), t AS (SELECT contig, d / sqrt(q) AS t, CAST(df AS DOUBLE) AS df, abs(d / sqrt(q)) / 2000 AS h FROM p WHERE q > 0)
+  SELECT contig, round(t, 6) AS t, df, round(1 - 2 * exp(lgamma((df + 1) / 2) - lgamma(df / 2)) / sqrt(pi() * df) * h / 3 *
+    list_sum(list_transform(range(0, 2001), lambda i: CASE WHEN i IN (0, 2000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END * pow(1 + pow(i * h, 2) / df, -(df + 1) / 2))), 6) AS p FROM t""")
 def mean_difference(spark, sf_dir):
     iv = intervals(spark, sf_dir).where("strand in ('A', 'R')").withColumn("size", C("e") - C("b"))
-    return A.mean_difference(iv, ["contig"], "size", "strand", ("A", "R")).where("t is not null").select("contig", F.round("t", 6).alias("t"), "df")
+    return A.mean_difference(iv, ["contig"], "size", "strand", ("A", "R")).where("t is not null").select("contig", F.round("t", 6).alias("t"), "df", F.round("p", 6).alias("p"))
 
 
 _CUT = lambda k: f"""u AS (SELECT *, sum(c) OVER w AS n, sum(s) OVER w AS t, sum(c) OVER (PARTITION BY {k}) AS nn, sum(s) OVER (PARTITION BY {k}) AS tt FROM v WINDOW w AS (PARTITION BY {k} ORDER BY size)),
@@ -603,3 +563,6 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = I.overlap_join(_as(kept, "l"), _as(iv, "r"), ["contig"], "b_l", "e_l", "b_r", "e_r").where("strand_l = strand_r").groupBy(C("id_l").alias("id")).agg(F.count_distinct("read_r").alias("n"))
     out = kept.drop("support").join(near, "id").join(depth, "id")
     return out.select("id", "contig", "b", "e", "strand", C("n").alias("support"), "depth", A.genotype_product(C("n"), C("depth")).alias("gt1"), A.genotype_binomial(C("n"), C("depth")).alias("gt2"))
+
+
+from . import io_queries as _io  # noqa: E402, F401  registers the queries of sources and sinks

@@ -2,6 +2,7 @@
 
 import itertools
 import math
+import re
 
 import numpy as np
 import pytest
@@ -462,3 +463,33 @@ def test_streams(spark, sf):
         q.processAllAvailable()
         q.stop()
     assert spark.table("w3").count() == spark.read.parquet(f"{sf}/events.parquet").count()
+
+
+def test_hand_made_calls(spark):
+    """The callers with their own settings: one contig for each way to a call."""
+    rows = []
+
+    def add(read, contig, start, cigar, reverse=False, supplementary=False):
+        ops = [("MIDNSHP=X".index(o), int(n)) for n, o in re.findall(r"(\d+)([MIDNSHP=X])", cigar)]
+        size = lambda kinds: sum(n for o, n in ops if o in kinds)
+        lead = ops[0][1] if ops[0][0] == 4 else 0
+        rows.append(("s", contig, start, start + size((0, 2, 3, 7, 8)), lead, lead + size((0, 1, 7, 8)), size((0, 1, 4, 5, 7, 8)), 60, reverse, supplementary, read, ops, None))
+
+    for k in range(12):
+        add(f"d{k}", "chr1", 8000 + 10 * k, f"{2000 - 10 * k}M200D3000M")
+        add(f"i{k}", "chr1", 48_000 + 10 * k, f"{2000 - 10 * k}M150I3000M")
+    for k in range(8):
+        add(f"p{k}", "chr1", 89_500, "2500M2500S")
+        add(f"p{k}", "chr1", 95_000, "2500S2500M", supplementary=True)
+        add(f"t{k}", "chr2", 8000, "3500M3000S")
+        add(f"t{k}", "chr2", 10_000, "3500S3000M", supplementary=True)
+        for contig, begin, size, tail in (("chr3", 20_000, 2000, "2000S"), ("chr4", 20_000, 2000, "2000H"), ("chr5", 30_000, 120, "2000S")):
+            add(f"{contig}-{k}", contig, begin - 2000, f"2000M{size + 2000}S")
+            add(f"{contig}-{k}", contig, begin, f"2000S{size}M{tail}", True, True)
+            add(f"{contig}-{k}", contig, begin + size, f"{size + 2000}S2000M", False, True)
+        add(f"whole{k}", "chr1", 1000, "30S5000M30S")
+    got = caller.call(spark.createDataFrame(rows, ALIGNMENT)).calls
+    assert {tuple(r) for r in got.select("contig", "pos", "stop", "svtype", "svlen", "support").collect()} == {
+        ("chr1", 10000, 10200, "DEL", 200, 12), ("chr1", 92000, 95000, "DEL", 3000, 8), ("chr1", 50000, 50001, "INS", 150, 12), ("chr2", 10000, 11500, "DUP", 1500, 8),
+        ("chr3", 20000, 22000, "INV", 2000, 8), ("chr4", 20000, 22000, "INV", 2000, 8), ("chr5", 30000, 30120, "INV", 120, 8),
+    }
