@@ -7,84 +7,122 @@ import uuid
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .intervals import band_join
+from .intervals import _floor_div, band_join, fresh_names
 
 
 #: Positions in a bin of :func:`regions`.
 REGION_BIN = 1 << 16
 
 
-def regions(df: DataFrame, keys: list[str], lo: Column, hi: Column, reach: int, size: int | None = None) -> DataFrame:
-    """Adds ``_region``: rows of a later region of a key begin ``reach`` or more behind all before.
+def regions(df: DataFrame, keys: list[str], lo: Column, hi: Column, reach: int, size: int | None = None) -> tuple[DataFrame, str]:
+    """``df`` with a region, and that column's name: rows of a later region of a key begin ``reach`` or more behind all before.
 
     No chain or cluster that needs nearer neighbours crosses a region, so each is folded by itself and no
-    task has to hold a whole key. Cuts are looked for at the borders of bins, from one row for each bin.
+    task has to hold a whole key. Cuts are looked for at the borders of bins, from one row for each bin; these are written first, so
+    that Spark knows their size, and rows look them up without a shuffle while they are few. Rows with a null key or position are in no region.
     """
-    at = lo.cast("bigint")
-    n = F.lit(size or REGION_BIN).cast("bigint")
-    rows = df.withColumn("_bin", ((at - F.pmod(at, n)) / n).cast("bigint"))
-    bins = rows.groupBy(*keys, "_bin").agg(F.min(lo).alias("_a"), F.max(hi).alias("_z"))
-    w = Window.partitionBy(*keys).orderBy("_bin")
-    far = F.max("_z").over(w.rowsBetween(Window.unboundedPreceding, -1))
-    bins = bins.withColumn("_cut", F.when(F.col("_a") - far < reach, 0).otherwise(1))
-    bins = bins.withColumn("_region", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint"))
-    return rows.join(bins.select(*keys, "_bin", "_region"), [*keys, "_bin"]).drop("_bin")
+    region, bin_, first, far, cut = fresh_names(df.columns, "region", "bin", "first", "far", "cut")
+    rows = df.withColumn(bin_, _floor_div(lo.cast("bigint"), F.lit(size or REGION_BIN).cast("bigint")))
+    bins = rows.groupBy(*keys, bin_).agg(F.min(lo).alias(first), F.max(hi).alias(far)).where(F.col(bin_).isNotNull())
+    w = Window.partitionBy(*keys).orderBy(bin_)
+    before = F.max(far).over(w.rowsBetween(Window.unboundedPreceding, -1))
+    bins = bins.withColumn(cut, F.when(F.col(first) - before < reach, 0).otherwise(1))
+    bins = bins.select(*keys, bin_, F.sum(cut).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint").alias(region))
+    return rows.join(shared_table(bins), [*keys, bin_]).drop(bin_), region
 
 
-def _numbered(rows: DataFrame, keys: list[str], name: str) -> DataFrame:
-    """Numbers that begin at 1 in each region become numbers along the key."""
-    most = rows.groupBy(*keys, "_region").agg(F.max(name).alias("_most"))
-    w = Window.partitionBy(*keys).orderBy("_region").rowsBetween(Window.unboundedPreceding, -1)
-    before = most.select(*keys, "_region", F.coalesce(F.sum("_most").over(w), F.lit(0)).cast("bigint").alias("_before"))
-    return rows.join(before, [*keys, "_region"]).withColumn(name, F.col(name) + F.col("_before")).drop("_region", "_before")
+def _numbered(rows: DataFrame, keys: list[str], region: str, name: str) -> DataFrame:
+    """Numbers that begin at 1 in each region become numbers along the key.
+
+    The rows are written, so that they are made once; there are no more regions than bins, so their sums are a small table.
+    """
+    most, before = fresh_names(rows.columns, "most", "before")
+    done = shared_table(rows)
+    w = Window.partitionBy(*keys).orderBy(region).rowsBetween(Window.unboundedPreceding, -1)
+    sums = done.groupBy(*keys, region).agg(F.max(name).alias(most))
+    sums = shared_table(sums.select(*keys, region, F.coalesce(F.sum(most).over(w), F.lit(0)).cast("bigint").alias(before)))
+    return done.join(sums, [*keys, region]).withColumn(name, F.col(name) + F.col(before)).drop(region, before)
 
 
 def islands(df: DataFrame, keys: list[str], pos: str, eps: int, order: str | None = None) -> DataFrame:
     """1-D density clusters with two members at least enough: adds ``island``, numbered from 1 along each key."""
-    w = Window.partitionBy(*keys, "_region").orderBy(pos, *([order] if order else []))
-    new = F.when(F.col(pos) - F.lag(pos).over(w) <= eps, 0).otherwise(1)
-    rows = regions(df, keys, F.col(pos), F.col(pos), eps + 1).withColumn("_new", new)
-    rows = rows.withColumn("island", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop("_new")
-    return _numbered(rows, keys, "island").select(*df.columns, "island")
+    rows, region = regions(df, keys, F.col(pos), F.col(pos), eps + 1)
+    (new,) = fresh_names(rows.columns, "new")
+    w = Window.partitionBy(*keys, region).orderBy(pos, *([order] if order else []))
+    rows = rows.withColumn(new, F.when(F.col(pos) - F.lag(pos).over(w) <= eps, 0).otherwise(1))
+    rows = rows.withColumn("island", F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)).cast("bigint")).drop(new)
+    return _numbered(rows, keys, region, "island").select(*df.columns, "island")
 
 
-def _fold(df: DataFrame, keys: list[str], order: list[str], member, reads: list[str]) -> DataFrame:
-    """Numbers rows of every ``_region`` by a sequential rule: ``member(*head, *row)`` says, from the columns
-    ``reads``, whether a row joins the open cluster.
+def _fold(rows: DataFrame, by: list[str], order: list[str], heads, reads: list[str]) -> DataFrame:
+    """Numbers the clusters of every region: ``heads(arrays, head)`` gives, from the columns ``reads`` of sorted rows and the head
+    of the open cluster (or none), the places where a cluster opens.
 
     Rows of a region are sorted on the executors and streamed through one task in batches,
     so only the open cluster's head is held, whatever the size of a region.
     """
-    cols, by = df.columns, [*keys, "_region"]
+    cols = rows.columns
 
     def run(batches):
         key, head, number = None, None, 0
         for b in batches:
-            at = list(zip(*(b.column(k).to_pylist() for k in by)))
-            rows = zip(*(b.column(k).to_pylist() for k in reads))
-            out = np.empty(len(at), np.int64)
-            for i, r in enumerate(rows):
-                if at[i] != key:
-                    key, head, number = at[i], None, 0
-                if head is None or not member(*head, *r):
-                    head, number = r, number + 1
-                out[i] = number
+            n = b.num_rows
+            if not n:
+                continue
+            new = np.zeros(n, bool)
+            for k in by:
+                c = b.column(k)
+                new[1:] |= pc.not_equal(c.slice(1), c.slice(0, n - 1)).to_numpy(zero_copy_only=False)
+            starts = np.concatenate([[0], np.flatnonzero(new)])
+            values = [b.column(k).to_numpy(zero_copy_only=False) for k in reads]
+            out = np.zeros(n, np.int64)
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), n]):
+                if s or tuple(b.column(k)[0].as_py() for k in by) != key:
+                    head, number = None, 0
+                part = [v[s:e] for v in values]
+                opened = heads(part, head)
+                out[s + np.array(opened, np.int64)] = 1
+                out[s] += number
+                out[s:e] = np.cumsum(out[s:e])
+                number = int(out[e - 1])
+                if opened:
+                    head = tuple(v[opened[-1]].item() for v in part)
+            key = tuple(b.column(k)[n - 1].as_py() for k in by)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out)], [*cols, "cluster"])
 
-    from pyspark.sql import types as T
-
-    schema = T.StructType([*df.schema.fields, T.StructField("cluster", T.LongType())])
-    return df.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
+    schema = T.StructType([*rows.schema.fields, T.StructField("cluster", T.LongType())])
+    return rows.repartition(*by).sortWithinPartitions(*by, *order).mapInArrow(run, schema)
 
 
 def leader_1d(df: DataFrame, keys: list[str], pos: str, distance: int, order: str) -> DataFrame:
     """Leader clustering: a row joins while it is less than ``distance`` from the head of the open cluster."""
-    rows = regions(df, keys, F.col(pos), F.col(pos), distance)
-    folded = _fold(rows, keys, [pos, order], lambda h, r: abs(r - h) < distance, [pos])
-    return _numbered(folded, keys, "cluster").select(*df.columns, "cluster")
+
+    def heads(arrays: list[np.ndarray], head: tuple | None) -> list[int]:
+        p = arrays[0]
+        following = np.searchsorted(p, p + distance).tolist()  # where the next cluster opens, if one opens here
+        at, out = 0 if head is None else int(np.searchsorted(p, head[0] + distance)), []
+        while at < len(p):
+            out.append(at)
+            at = max(at + 1, following[at])
+        return out
+
+    rows, region = regions(df, keys, F.col(pos), F.col(pos), distance)
+    return _numbered(_fold(rows, [*keys, region], [pos, order], heads, [pos]), keys, region, "cluster").select(*df.columns, "cluster")
+
+
+def _joins(a, b, c, d, distance: int):
+    """Whether intervals [c, d) join the cluster of the head [a, b); scalars or arrays."""
+    la, lb = abs(b - a), abs(d - c)
+    apart = abs((a + b) / 2 - (c + d) / 2)
+    shared = np.minimum(b, d) - np.maximum(a, c)
+    mean = (la + lb) / 2
+    alike = abs(la - lb) / 2 / np.where(mean == 0, 1, mean) < 0.3
+    return ((apart != 0) & (shared > 0.5 * np.maximum(la, lb))) | ((apart < distance) & alike & (abs(a - c) < np.minimum(la, lb)))
 
 
 def leader_2d(df: DataFrame, keys: list[str], start: str, stop: str, distance: int, order: str) -> DataFrame:
@@ -95,17 +133,34 @@ def leader_2d(df: DataFrame, keys: list[str], start: str, stop: str, distance: i
     below 0.3 and the starts are closer than the shorter one. So it overlaps the head.
     """
 
-    def member(a, b, c, d):
-        la, lb = abs(b - a), abs(d - c)
-        dist = abs((a + b) / 2 - (c + d) / 2)
-        overlap = min(b, d) - max(a, c)
-        mean = (la + lb) / 2
-        cv = abs(la - lb) / 2 / mean if mean else 0.0
-        return (dist != 0 and overlap > 0.5 * max(la, lb)) or (dist < distance and cv < 0.3 and abs(a - c) < min(la, lb))
-
-    rows = regions(df, keys, F.least(start, stop), F.greatest(start, stop) + F.abs(F.col(stop) - F.col(start)), 1)
-    folded = _fold(rows, keys, [start, stop, order], member, [start, stop])
-    return _numbered(folded, keys, "cluster").select(*df.columns, "cluster")
+    def heads(arrays: list[np.ndarray], head: tuple | None) -> list[int]:
+        x, y = (v.astype(np.float64) for v in arrays)
+        n, at, out = len(x), 0, []
+        # whether each row joins its neighbour's cluster decides most heads at once; longer clusters are searched in growing blocks
+        follows = _joins(x[:-1], y[:-1], x[1:], y[1:], distance).tolist() if n > 1 else []
+        a, b = (float(head[0]), float(head[1])) if head is not None else (0.0, 0.0)
+        if head is None:
+            out.append(0)
+            a, b, at = x[0], y[0], 1
+        while at < n:
+            if out and out[-1] == at - 1 and not follows[at - 1]:
+                found = at
+            else:
+                found, size = n, 16
+                while at < n:
+                    no = np.flatnonzero(~_joins(a, b, x[at : at + size], y[at : at + size], distance))
+                    if len(no):
+                        found = at + int(no[0])
+                        break
+                    at, size = at + size, min(4096, 2 * size)
+            if found >= n:
+                break
+            out.append(found)
+            a, b, at = x[found], y[found], found + 1
+        return out
+
+    rows, region = regions(df, keys, F.least(start, stop), F.greatest(start, stop) + F.abs(F.col(stop) - F.col(start)), 1)
+    return _numbered(_fold(rows, [*keys, region], [start, stop, order], heads, [start, stop]), keys, region, "cluster").select(*df.columns, "cluster")
 
 
 def emission_gate(clusters: DataFrame, limit: float, n: str = "n") -> DataFrame:

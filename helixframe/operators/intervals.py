@@ -272,12 +272,13 @@ def merge_intervals(df: DataFrame, keys: list[str], begin: str, end: str, gap: i
     """Maximal chains of intervals at most ``gap`` apart: ``keys, begin, end, n``."""
     from .cluster import regions
 
-    rows = regions(df.select(*keys, begin, end), keys, F.col(begin), F.col(end), gap + 1)
-    w = Window.partitionBy(*keys, "_region").orderBy(begin, end)
+    rows, region = regions(df.select(*keys, begin, end), keys, F.col(begin), F.col(end), gap + 1)
+    new, chain = fresh_names(rows.columns, "new", "chain")
+    w = Window.partitionBy(*keys, region).orderBy(begin, end)
     far = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    marked = rows.withColumn("_new", F.when(F.col(begin) <= far + gap, 0).otherwise(1))
-    grouped = marked.withColumn("_g", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return grouped.groupBy(*keys, "_region", "_g").agg(F.min(begin).alias(begin), F.max(end).alias(end), F.count("*").alias("n")).drop("_region", "_g")
+    marked = rows.withColumn(new, F.when(F.col(begin) <= far + gap, 0).otherwise(1))
+    grouped = marked.withColumn(chain, F.sum(new).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return grouped.groupBy(*keys, region, chain).agg(F.min(begin).alias(begin), F.max(end).alias(end), F.count("*").alias("n")).drop(region, chain)
 
 
 def fallback_lookup(sites: DataFrame, clusters: DataFrame, ends: DataFrame, keys: list[str], id_col: str, pos: str, cpos: str, epos: str, width: int) -> DataFrame:

@@ -85,10 +85,52 @@ def test_folds_by_region(spark, monkeypatch):
     ]
     one = [sorted(map(tuple, op().collect())) for op in ops]
     monkeypatch.setattr(K, "REGION_BIN", 16)
-    assert K.regions(df, ["k"], F.col("b"), F.col("b"), 6).select("k", "_region").distinct().count() > 20
+    cut, region = K.regions(df, ["k"], F.col("b"), F.col("b"), 6)
+    assert cut.select("k", region).distinct().count() > 20
     assert [sorted(map(tuple, op().collect())) for op in ops] == one
 
 
+def plain_leaders(rows, joins):
+    """Clusters by one loop over sorted rows."""
+    out, head, number = [], None, 0
+    for r in rows:
+        if head is None or not joins(head, r):
+            head, number = r, number + 1
+        out.append(number)
+    return out
+
+
+def joins_2d(h, r, distance):
+    (a, b), (c, d) = h, r
+    la, lb = abs(b - a), abs(d - c)
+    apart, mean = abs((a + b) / 2 - (c + d) / 2), (la + lb) / 2
+    cv = abs(la - lb) / 2 / mean if mean else 0.0
+    return (apart != 0 and min(b, d) - max(a, c) > 0.5 * max(la, lb)) or (apart < distance and cv < 0.3 and abs(a - c) < min(la, lb))
+
+
+@pytest.mark.parametrize("batch, bins", [(10_000, 1 << 16), (7, 16), (50, 300)])
+def test_leaders_like_a_loop(spark, monkeypatch, batch, bins):
+    """Dense piles and long clusters, over batches and regions; column names that the operators use themselves."""
+    monkeypatch.setattr(K, "REGION_BIN", bins)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+    rng = np.random.default_rng(batch)
+    rows = [("k", int(b), int(b + rng.integers(0, 90)), i) for i, b in enumerate(rng.integers(0, 3000, 500))]
+    rows += [("k", 5000 + i // 9, 5600 + i // 7, 1000 + i) for i in range(400)] + [("m", 10, 10, 1), ("m", 10, 10, 2), ("m", 11, 5, 3), ("m", -7, 40, 4)]
+    df = spark.createDataFrame(rows, "_bin string, _region long, _new long, _chain long")
+    try:
+        one = {(r[0], r[3]): r.cluster for r in K.leader_1d(df, ["_bin"], "_region", 20, "_chain").collect()}
+        two = {(r[0], r[3]): r.cluster for r in K.leader_2d(df, ["_bin"], "_region", "_new", 30, "_chain").collect()}
+        assert K.islands(df, ["_bin"], "_region", 3, "_chain").count() == I.merge_intervals(df, ["_bin"], "_region", "_new").agg({"n": "sum"}).first()[0] == len(rows)
+        assert D.greedy_chain(df, ["_bin"], "_region", "_new", "_chain").count() > 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    for k in ("k", "m"):
+        first = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[3]))
+        assert [one[k, r[3]] for r in first] == plain_leaders([r[1] for r in first], lambda h, r: abs(r - h) < 20)
+        second = sorted((r for r in rows if r[0] == k), key=lambda r: (r[1], r[2], r[3]))
+        assert [two[k, r[3]] for r in second] == plain_leaders([r[1:3] for r in second], lambda h, r: joins_2d(h, r, 30))
+
+
 def test_components_2d(spark):
     rows = [(1, "c", 0, 0), (2, "c", 300, 400), (3, "c", 301, 900), (4, "c", 5000, 0), (5, "d", 0, 0), (6, "c", 0, 0)]
     got = {r.i: r.component for r in K.components_2d(spark.createDataFrame(rows, "i long, k string, x long, y long"), ["k"], "i", "x", "y", 500).collect()}
