@@ -211,3 +211,16 @@ def repeat_scan(spark, sf_dir):
     seqs = read(spark, sf_dir, "documents").select(C("doc_id").cast("string").alias("contig"), bases(C("text")).alias("seq"))
     found = scan(seqs, "contig", "seq", 2000, 1000, 20, 1)
     return found.select("contig", F.explode(F.array("pos1", "pos2")).alias("pos")).distinct().groupBy("contig").agg(F.count("*").alias("n"), F.sum("pos").alias("total"))
+
+
+@query(f"""WITH {_SEQ}, two AS (SELECT doc_id, 0 AS side, s AS x FROM seqs UNION ALL SELECT doc_id, 1, reverse(translate(s, 'ACGT', 'TGCA')) FROM seqs),
+  k AS (SELECT doc_id, side, i, substring(x, i + 1, 30) AS k FROM (SELECT *, unnest(range(0, length(x) - 29)) AS i FROM two WHERE length(x) >= 30)),
+  n AS (SELECT doc_id, k FROM k GROUP BY 1, 2 HAVING count(*) > 1), hit AS (SELECT DISTINCT k.doc_id, k.i AS pos FROM k JOIN n USING (doc_id, k) WHERE side = 0)
+  SELECT CAST(doc_id AS VARCHAR) AS contig, count(*) AS n, CAST(sum(pos) AS BIGINT) AS total FROM hit GROUP BY 1""")
+def contig_repeats(spark, sf_dir):
+    """Positions of every document at which 30 bases or more repeat, on either strand, however far apart."""
+    from ..operators.repeats import contig_repeats as whole
+
+    seqs = read(spark, sf_dir, "documents").select(C("doc_id").cast("string").alias("contig"), bases(C("text")).alias("seq"))
+    found = whole(seqs, 30, 1)
+    return found.select("contig", F.explode(F.array("pos1", "pos2")).alias("pos")).distinct().groupBy("contig").agg(F.count("*").alias("n"), F.sum("pos").alias("total"))
