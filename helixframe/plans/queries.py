@@ -565,4 +565,4 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("id", "contig", "b", "e", "strand", C("n").alias("support"), "depth", A.genotype_product(C("n"), C("depth")).alias("gt1"), A.genotype_binomial(C("n"), C("depth")).alias("gt2"))
 
 
-from . import io_queries as _io  # noqa: E402, F401  registers the queries of sources and sinks
+from . import call_queries as _calls, io_queries as _io  # noqa: E402, F401  these register their queries
