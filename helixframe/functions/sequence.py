@@ -131,8 +131,56 @@ def affine_score(a: str, b: str, match: float = 1.0, mismatch: float = -1.0, ope
     return float(m[-1])
 
 
+#: Cells of the rows that a batch of alignments holds at a time.
+CELLS = 1 << 18
+
+
+def align_scores(a: list[str], b: list[str], match: float = 1.0, mismatch: float = -1.0, gap: float = 1.5, free_ends: bool = False) -> np.ndarray:
+    """:func:`align_score` of many pairs at once: pairs of similar lengths share the rows of one table.
+
+    Behind a pair's own end a row holds what cannot reach back, and a pair's score is read off when its last row is done.
+    """
+    if free_ends:
+        a, b = zip(*[(y, x) if len(x) > len(y) else (x, y) for x, y in zip(a, b)]) if a else ((), ())
+    la, lb = np.array([len(x) for x in a], np.int64), np.array([len(x) for x in b], np.int64)
+    out = np.zeros(len(la))
+    order = np.lexsort((la, lb))
+    at = 0
+    while at < len(order):
+        width = 1
+        stop = at
+        while stop < len(order) and (stop == at or max(width, lb[order[stop]] + 1) * (stop + 1 - at) <= CELLS):
+            width = max(width, int(lb[order[stop]]) + 1)
+            stop += 1
+        own = order[at:stop]
+        own = own[np.argsort(-la[own], kind="stable")]  # the longest first, so that pairs that are done lie behind
+        codes = lambda texts, size, fill: np.array([list(t) + [fill] * (size - len(t)) for t in (np.frombuffer(x.encode("utf-32-le"), np.uint32).tolist() for x in texts)], np.int64).reshape(len(texts), size)
+        steps = int(la[own].max(initial=0))
+        x, y = codes([a[k] for k in own], steps, -1), codes([b[k] for k in own], width - 1, -2)
+        cost = gap * np.arange(width)
+        row = np.zeros((len(own), width)) if free_ends else np.tile(-cost, (len(own), 1))
+        inside = np.arange(width) <= lb[own][:, None]
+        read = lambda done, rows: np.where(inside[done], rows, -np.inf).max(1) if free_ends else rows[np.arange(len(rows)), lb[own][done]]
+        live = len(own)
+        for i in range(steps + 1):
+            if i:
+                best = np.empty_like(row)
+                best[:, 0] = -gap * i
+                best[:, 1:] = np.maximum(row[:, :-1] + np.where(y[:live] == x[:live, i - 1 : i], match, mismatch), row[:, 1:] - gap)
+                row = np.maximum.accumulate(best + cost, axis=1) - cost
+            still = int(np.searchsorted(-la[own], -i, "left"))  # pairs with more rows than these
+            if still < live:
+                out[own[still:live]] = read(slice(still, live), row[still:])
+                row, live = row[:still], still
+        at = stop
+    return out
+
+
 def _scores(a: pd.Series, b: pd.Series, free_ends: bool) -> pd.Series:
-    return pd.Series([None if x is None or y is None else align_score(x, y, free_ends=free_ends) for x, y in zip(a, b)], dtype="float64")
+    both = (a.notna() & b.notna()).to_numpy()
+    out = np.full(len(a), np.nan)
+    out[both] = align_scores(a[both].tolist(), b[both].tolist(), free_ends=free_ends)
+    return pd.Series(out).where(both, None)
 
 
 def _global(a: pd.Series, b: pd.Series) -> pd.Series:

@@ -305,6 +305,17 @@ def test_alignment(a, b):
     assert S.align_score(a, b, free_ends=True) >= S.align_score(a, b) - 1e-9
 
 
+@settings(max_examples=100, deadline=None)
+@given(st.lists(st.tuples(st.text("ACGé", max_size=12), st.text("ACGé", max_size=15)), max_size=8), st.booleans(), st.sampled_from([1, 20, 1 << 18]))
+def test_alignments_at_once(pairs, free, cells):
+    before, S.CELLS = S.CELLS, cells
+    try:
+        got = S.align_scores([a for a, _ in pairs], [b for _, b in pairs], free_ends=free)
+    finally:
+        S.CELLS = before
+    assert got.tolist() == pytest.approx([S.align_score(a, b, free_ends=free) for a, b in pairs])
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.text("ACGTN", max_size=40))
 def test_repeats(s):
