@@ -65,7 +65,10 @@ def test_split_in_two(spark):
 
 
 def test_student_p():
-    assert A.student_p(2.228, 10) == pytest.approx(0.05, abs=2e-4) and A.student_p(0, 5) == pytest.approx(1) and A.student_p(12.706, 1) == pytest.approx(0.05, abs=1e-4)
+    t = np.array([2.228, 0, 12.706, -12.706, 1.96, 60.0, 1e-9])
+    assert A.student_p(t, np.array([10, 5, 1, 1, 1e6, 30, 4])) == pytest.approx([0.05, 1, 0.05, 0.05, 0.05, 0, 1], abs=2e-4)
+    assert A.student_p(np.array([1.0] * 3), np.array([1.0, 2.0, 4.0])) == pytest.approx([0.5, 1 - 1 / math.sqrt(3), 0.3739009663000589], abs=1e-12)
+    assert A._log_gamma(np.array([0.5, 1, 2.5, 30.5, 500.0])) == pytest.approx([math.lgamma(x) for x in (0.5, 1, 2.5, 30.5, 500.0)], rel=1e-13, abs=1e-13)
 
 
 def test_leader_differs_from_islands(spark):
