@@ -66,20 +66,37 @@ def _bounds(begin: str, end: str) -> tuple[Column, Column]:
     return b, F.greatest(F.col(end).cast("bigint"), b + 1)
 
 
-def _binned(df: DataFrame, begin: str, end: str, tag: str, used: Column, kinds: tuple[int, int]) -> DataFrame:
-    """Rows exploded to bins. ``used``: levels of the other side; ``kinds``: the kind of meeting with
-    shorter intervals of the other side on the own level, and with longer ones on theirs."""
+def _binned(df: DataFrame, begin: str, end: str, names: tuple[str, str, str, str], used: Column, kinds: tuple[int, int]) -> DataFrame:
+    """Rows exploded to bins, with the columns level, bin, first bin and kind of meeting under ``names``.
+    ``used``: levels of the other side; ``kinds``: the kind of meeting with shorter intervals of the other side on the own level, and with longer ones on theirs."""
+    level, bin_, first, meet = names
+    bits, flags, x = fresh_names([*df.columns, *names], "used", "has", "x")
     b, e = _bounds(begin, end)
     own = _level(b, e)
-    has = lambda lv: F.get(F.col("_has"), lv)
+    has = lambda lv: F.get(F.col(flags), lv)
     shorter = F.exists(F.sequence(F.lit(0), own), lambda lv: (lv < own) & has(lv))
     at_home = F.filter(F.array(F.when(has(own), 0), F.when(shorter, kinds[0])), lambda k: k.isNotNull())
     meets = lambda lv: F.when(lv == own, at_home).otherwise(F.when(has(lv), F.array(F.lit(kinds[1]))).otherwise(F.array().cast("array<int>")))
     bins = lambda lv: F.sequence(_floor_div(b, _size(lv)), _floor_div(e - 1, _size(lv)))
-    at = lambda lv: F.flatten(F.transform(meets(lv), lambda k: F.transform(bins(lv), lambda x: F.struct(lv.alias("level"), x.alias("bin"), _floor_div(b, _size(lv)).alias("first"), k.alias("kind")))))
-    rows = df.withColumn("_used", used).withColumn("_has", F.array(*[F.col("_used").bitwiseAND(F.lit(1 << k)) != 0 for k in range(LEVELS)]))
-    rows = rows.withColumn("_x", F.explode(F.flatten(F.transform(F.sequence(own, F.lit(LEVELS - 1)), at))))
-    return rows.select(*df.columns, F.col("_x.level").alias("_level"), F.col("_x.bin").alias("_bin"), F.col("_x.first").alias(f"_first{tag}"), F.col("_x.kind").alias("_meet"))
+    at = lambda lv: F.flatten(F.transform(meets(lv), lambda k: F.transform(bins(lv), lambda y: F.struct(lv.alias("level"), y.alias("bin"), _floor_div(b, _size(lv)).alias("first"), k.alias("kind")))))
+    rows = df.withColumn(bits, used).withColumn(flags, F.array(*[F.col(bits).bitwiseAND(F.lit(1 << k)) != 0 for k in range(LEVELS)]))
+    rows = rows.withColumn(x, F.explode(F.flatten(F.transform(F.sequence(own, F.lit(LEVELS - 1)), at))))
+    return rows.select(*df.columns, F.col(f"{x}.level").alias(level), F.col(f"{x}.bin").alias(bin_), F.col(f"{x}.first").alias(first), F.col(f"{x}.kind").alias(meet))
+
+
+def _sides(left: DataFrame, right: DataFrame, lb: str, le: str, rb: str, re: str, lengths: tuple[int | None, int | None], measure: bool) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Both sides in bins, the right one's level, bin and kind under names of their own; and the seven names."""
+    names = fresh_names([*left.columns, *right.columns], "level", "bin", "meet", "firstl", "firstr", "level_r", "bin_r", "meet_r")
+    level, bin_, meet, first_l, first_r, level_r, bin_r, meet_r = names
+    # kinds of meeting: 0 both on their own level, 1 only the left one, 2 only the right one
+    a = _binned(left, lb, le, (level, bin_, first_l, meet), _used(right, rb, re, lengths[1], measure), (1, 2))
+    b = _binned(right, rb, re, (level_r, bin_r, first_r, meet_r), _used(left, lb, le, lengths[0], measure), (2, 1))
+    return a, b, names
+
+
+def _overlap(lb: str, le: str, rb: str, re: str) -> Column:
+    le_, re_ = F.greatest(F.col(le), F.col(lb) + 1), F.greatest(F.col(re), F.col(rb) + 1)
+    return (F.col(lb) < re_) & (F.col(rb) < le_)
 
 
 def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], lb: str, le: str, rb: str, re: str, lengths: tuple[int | None, int | None] = (None, None), measure: bool = False) -> DataFrame:
@@ -88,14 +105,11 @@ def overlap_join(left: DataFrame, right: DataFrame, keys: list[str], lb: str, le
     An empty interval counts as one position. Rows with a null key or bound do not join. ``lengths``: the
     one length of all intervals of a side, if it is known; ``measure``: look up the used levels of the others.
     """
-    # kinds of meeting: 0 both on their own level, 1 only the left one, 2 only the right one
-    a = _binned(left, lb, le, "l", _used(right, rb, re, lengths[1], measure), (1, 2))
-    b = _binned(right, rb, re, "r", _used(left, lb, le, lengths[0], measure), (2, 1))
-    both = a.join(b, [*keys, "_level", "_bin", "_meet"])
-    le_, re_ = F.greatest(F.col(le), F.col(lb) + 1), F.greatest(F.col(re), F.col(rb) + 1)
-    hit = (F.col(lb) < re_) & (F.col(rb) < le_)
-    once = F.col("_bin") == F.greatest("_firstl", "_firstr")
-    return both.where(hit & once).drop("_level", "_bin", "_meet", "_firstl", "_firstr")
+    a, b, names = _sides(left, right, lb, le, rb, re, lengths, measure)
+    level, bin_, meet, first_l, first_r, level_r, bin_r, meet_r = names
+    both = a.join(b.withColumnsRenamed({level_r: level, bin_r: bin_, meet_r: meet}), [*keys, level, bin_, meet])
+    once = F.col(bin_) == F.greatest(first_l, first_r)
+    return both.where(_overlap(lb, le, rb, re) & once).drop(*names)
 
 
 #: Positions in a bin of the sweeps, and the lengths up to which intervals lie in bins of a level.
@@ -135,11 +149,18 @@ def overlap_counts(left: DataFrame, right: DataFrame, keys: list[str], left_id:
     return counted.union(left.where(~known(lb, le)).select(left_id, long(0)))
 
 
-def matched_ids(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, lb: str, le: str, rb: str, re: str, where: Column | None = None, measure: bool = False) -> DataFrame:
-    """Distinct ``left_id`` of rows with a partner, that also satisfies ``where`` if it is given. ``left_id`` is unique."""
+def matched_ids(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, lb: str, le: str, rb: str, re: str, where: Column | None = None, measure: bool = False, lengths: tuple[int | None, int | None] = (None, None)) -> DataFrame:
+    """Distinct ``left_id`` of rows with a partner, that also satisfies ``where`` if it is given. ``left_id`` is unique.
+
+    A semi join within the bins stops at a row's first partner, so no pairs are written. ``where`` names no key.
+    """
     if where is None:
         return overlap_counts(left, right, keys, left_id, lb, le, rb, re).where("n > 0").select(left_id)
-    return overlap_join(left, right, keys, lb, le, rb, re, measure=measure).where(where).select(left_id).distinct()
+    a, b, names = _sides(left, right, lb, le, rb, re, lengths, measure)
+    others = fresh_names([*a.columns, *b.columns], *keys)
+    b = b.withColumnsRenamed(dict(zip(keys, others)))
+    same = [F.col(x) == F.col(y) for x, y in [*zip(keys, others), *zip(names[:3], names[5:])]]
+    return a.join(b, reduce(and_, same) & _overlap(lb, le, rb, re) & where, "left_semi").select(left_id).distinct()
 
 
 def semi_overlap(left: DataFrame, right: DataFrame, keys, left_id, lb, le, rb, re, where=None, measure=False) -> DataFrame:
@@ -150,11 +171,23 @@ def anti_overlap(left: DataFrame, right: DataFrame, keys, left_id, lb, le, rb, r
     return left.join(matched_ids(left, right, keys, left_id, lb, le, rb, re, where, measure), left_id, "left_anti")
 
 
+def _banded(left: DataFrame, right: DataFrame, lpos: str, rpos: str, width: int) -> tuple[DataFrame, DataFrame, list[str]]:
+    names = fresh_names([*left.columns, *right.columns], "b", "e", "p", "q")
+    lo, hi, at, end = names
+    a = left.withColumn(lo, F.col(lpos) - width).withColumn(hi, F.col(lpos) + width + 1)
+    return a, right.withColumn(at, F.col(rpos)).withColumn(end, F.col(rpos) + 1), names
+
+
 def band_join(left: DataFrame, right: DataFrame, keys: list[str], lpos: str, rpos: str, width: int) -> DataFrame:
     """Pairs of points with equal keys at most ``width`` apart."""
-    a = left.withColumn("_b", F.col(lpos) - width).withColumn("_e", F.col(lpos) + width + 1)
-    b = right.withColumn("_p", F.col(rpos)).withColumn("_q", F.col(rpos) + 1)
-    return overlap_join(a, b, keys, "_b", "_e", "_p", "_q", (2 * width + 1, 1)).drop("_b", "_e", "_p", "_q")
+    a, b, names = _banded(left, right, lpos, rpos, width)
+    return overlap_join(a, b, keys, *names, (2 * width + 1, 1)).drop(*names)
+
+
+def near_ids(left: DataFrame, right: DataFrame, keys: list[str], left_id: str, lpos: str, rpos: str, width: int, where: Column) -> DataFrame:
+    """Distinct ``left_id`` of points with a partner at most ``width`` away that satisfies ``where``; no pairs are written."""
+    a, b, names = _banded(left, right, lpos, rpos, width)
+    return matched_ids(a, b, keys, left_id, *names, where, lengths=(2 * width + 1, 1))
 
 
 def _before_and_at_most(begins: np.ndarray, ends: np.ndarray, p: np.ndarray, q: np.ndarray) -> np.ndarray:

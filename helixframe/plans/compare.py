@@ -7,7 +7,7 @@ import argparse
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.intervals import band_join
+from ..operators.intervals import near_ids
 
 
 def match_ids(a: DataFrame, b: DataFrame, tolerance: int = 1000, ratio: float = 0.7) -> DataFrame:
@@ -19,8 +19,8 @@ def match_ids(a: DataFrame, b: DataFrame, tolerance: int = 1000, ratio: float =
     keys = ["contig", "svtype"]
     cols = lambda df, t: df.select(*keys, *[F.col(c).alias(f"{c}_{t}") for c in ("id", "pos1", "pos2", "svlen")])
     close = F.least("svlen_a", "svlen_b") >= ratio * F.greatest("svlen_a", "svlen_b")
-    near = [band_join(cols(a, "a"), cols(b, "b"), keys, f"{p}_a", f"{p}_b", tolerance).where(close).select(F.col("id_a").alias("id")) for p in ("pos1", "pos2")]
-    return near[0].union(near[1]).distinct()
+    near = [near_ids(cols(a, "a"), cols(b, "b"), keys, "id_a", f"{p}_a", f"{p}_b", tolerance, close) for p in ("pos1", "pos2")]
+    return near[0].union(near[1]).distinct().withColumnRenamed("id_a", "id")
 
 
 def compare(base: DataFrame, calls: DataFrame, tolerance: int = 1000, ratio: float = 0.7, strict_contigs: bool = False) -> DataFrame:
