@@ -18,19 +18,21 @@ so all that can match meets under one key, wherever it lies.
 3. A document's marked intervals are merged and cut out of its bytes.
 
 Copies are combined in each task before the shuffle: of a content that is frequent there
-only the earliest travels by its key. Contents are told apart by two polynomial hashes at bases that are drawn for each run.
+only the earliest travels by its key. Contents are told apart by 128 bits of a hash whose seed is drawn for each run.
 """
 
 from __future__ import annotations
 
 import hashlib
+import secrets
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Packer, fresh, materialize, mix, parts, random_base, release, runs, span_hashes, unpack
+from .common import Packer, fresh, materialize, mix, parts, release, runs, unpack
 
 LENGTH, GRAM = 100, 32
 WINDOWS = LENGTH - GRAM + 1
@@ -58,13 +60,13 @@ def _slide(a: np.ndarray, width: int, op) -> np.ndarray:
     return op(a[:-rest], a[rest:]) if rest else a
 
 
-def segments(data: bytes, bases: tuple[int, int], level: int = 0) -> tuple[np.ndarray, ...]:
-    """key, two content hashes (at two random bases: 122 bits), start, number of windows, and whether a window may repeat inside."""
-    n, raw = len(data), np.frombuffer(data, np.uint8)
+def segments(data: bytes, seed: int, level: int = 0) -> tuple[np.ndarray, ...]:
+    """key, 128 bits of the content's hash, start, number of windows, and whether a window may repeat inside."""
+    n = len(data)
     if n < LENGTH:
         e = np.empty(0, np.uint64)
         return e, e, e, e.astype(np.int64), e.astype(np.int64), e.astype(bool)
-    h, s = _GRAM_TABLE[raw], 1
+    h, s = _GRAM_TABLE[np.frombuffer(data, np.uint8)], 1
     while s < GRAM:
         h = h[:-s] * np.uint64(pow(_GRAM_BASE, s, 1 << 64)) + h[s:]
         s *= 2
@@ -76,7 +78,9 @@ def segments(data: bytes, bases: tuple[int, int], level: int = 0) -> tuple[np.nd
     twice = np.flatnonzero((h[at[1:]] == h[at[:-1]]) & (np.diff(at) <= WINDOWS))
     again = np.zeros(len(a), bool)
     again[np.searchsorted(a, np.minimum(at[twice], len(low) - 1), side="right") - 1] = True
-    return low[a], *(span_hashes(raw, a, a + w + LENGTH - 1, base) for base in bases), a, w, again
+    digest = xxhash.xxh3_128_digest
+    content = np.frombuffer(b"".join([digest(data[i:j], seed) for i, j in zip(a.tolist(), (a + w + LENGTH - 1).tolist())]), np.uint64)
+    return low[a], content[::2], content[1::2], a, w, again
 
 
 class RunLengthIndex:
@@ -217,7 +221,7 @@ def _combine(cols: list[np.ndarray], often_from: int, split_from: int) -> tuple[
 _RECORD = [np.uint64, np.uint64, np.uint64, np.int64, np.uint32, np.uint32]
 
 
-def _found(docs: DataFrame, p: int, bases: tuple[int, int]) -> DataFrame:
+def _found(docs: DataFrame, p: int, seed: int) -> DataFrame:
     """``doc_id, lo, hi, key, kind``: 0 covered bytes, 1 texts for the index, 2 texts of keys to be split."""
 
     bounds = COMBINE, SPLIT
@@ -226,7 +230,7 @@ def _found(docs: DataFrame, p: int, bases: tuple[int, int]) -> DataFrame:
         pack = Packer(4 * p, limit=500_000, split=lambda cols: _combine(cols, *bounds))
         for b in batches:
             for doc, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                key, h1, h2, a, w, again = segments((text or "").encode(), bases)
+                key, h1, h2, a, w, again = segments((text or "").encode(), seed)
                 if len(key):
                     yield from pack.add(key, h1, h2, np.full(len(key), doc, np.int64), a.astype(np.uint32), (w.astype(np.uint32) << np.uint32(1)) | again.astype(np.uint32))
         yield from pack.flush()
@@ -331,14 +335,14 @@ def _indexed(texts: DataFrame, p: int) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, lo long, hi long")
 
 
-def _split(texts: DataFrame, level: int, bases: tuple[int, int]) -> DataFrame:
+def _split(texts: DataFrame, level: int, seed: int) -> DataFrame:
     """``key, kind, doc_id, lo, body`` of texts segmented again by another minimizer; kinds as in :func:`_found`."""
 
     def run(batches):
         for b in batches:
             cols, bodies = [], []
             for key, doc, lo, body in zip(*(b.column(k).to_pylist() for k in range(4))):
-                k, h1, h2, a, w, again = segments(body, bases, level)
+                k, h1, h2, a, w, again = segments(body, seed, level)
                 k = mix(k ^ mix(np.array([key], np.int64).view(np.uint64), level))
                 cols.append((k.view(np.int64), h1.view(np.int64), h2.view(np.int64), np.full(len(k), doc), a + lo, again))
                 bodies += [body[x : x + y + LENGTH - 1] for x, y in zip(a, w)]
@@ -359,8 +363,8 @@ def _split(texts: DataFrame, level: int, bases: tuple[int, int]) -> DataFrame:
 def removed_spans(docs: DataFrame) -> DataFrame:
     """``doc_id, spans``: unmerged byte intervals to remove, only documents that have some."""
     p = parts(docs.sparkSession)
-    bases = random_base(), random_base()
-    found = materialize(_found(docs, p, bases), "dedup-found")
+    seed = secrets.randbits(64)
+    found = materialize(_found(docs, p, seed), "dedup-found")
     texts = materialize(_texts(docs, found), "dedup-texts")
     marks, made = found.where("kind = 0").select("doc_id", "lo", "hi"), [found, texts]
     for level in range(1, LEVELS + 1):
@@ -368,7 +372,7 @@ def removed_spans(docs: DataFrame) -> DataFrame:
         rest = texts.where("kind = 2")
         if not rest.limit(1).count():
             break
-        texts = _split(rest, level, bases)
+        texts = _split(rest, level, seed)
         made.append(texts)
         marks = marks.union(texts.where("kind = 0").select("doc_id", "lo", (F.col("lo") + F.length("body")).alias("hi")))
     else:
