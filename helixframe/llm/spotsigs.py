@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import FIXED_BASE, M64, mix, parts, span_hashes, spans_of
+from .common import M64, mix, parts, spans_of
 from .parity_join import jaccard_components
 
 CHAIN = 3
@@ -42,8 +42,21 @@ _SPACE[[9, 10, 11, 12, 13, 28, 29, 30, 31, 32]] = True
 _INNER[[*_EDGE.encode(), *np.flatnonzero(_SPACE)]] = False
 
 
+#: The bytes of a number that a word of 0 to 8 bytes fills.
+_FILLED = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
 def _hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return mix(span_hashes(data, start, end, FIXED_BASE))
+    """64-bit hashes of words: one of up to 8 bytes is a number itself, mixed with its length; longer ones are hashed by xxh3."""
+    size = end - start
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    numbers = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))  # the 8 bytes from every place on
+    h = mix((numbers[start] & _FILLED[np.minimum(size, 8)]) + size.astype(np.uint64) * _STEP)
+    long = np.flatnonzero(size > 8)
+    if len(long):
+        raw, digest = data.tobytes(), xxhash.xxh3_64_intdigest
+        h[long] = np.array([digest(raw[i:j]) for i, j in zip(start[long].tolist(), end[long].tolist())], np.uint64)
+    return h
 
 
 def _whole(words: list[str]) -> np.ndarray:
