@@ -200,6 +200,14 @@ def test_candidates(spark):
     assert sorted((r.svtype, r.pos1, r.pos2, r.support, r.rl1, r.contig2) for r in got) == sorted([("BND", 5, 6, 1, 4, "d"), ("DEL", 250, 1100, 2, None, None), ("DEL", 9000, 9900, 1, None, None)], key=str) or len(got) == 3
 
 
+def test_candidates_at_equal_places(spark, monkeypatch):
+    """Only equal places are gathered, and none meets another."""
+    monkeypatch.setattr(B, "components_2d", None)
+    ev = [("s", "c", "d", 5, 6, "BND", False, 4, 1), ("s", "c", "d", 5, 6, "BND", False, 1, 1), ("s", "c", "d", 5, 6, "BND", False, 4, 4), ("s", "c", "d", 5, 7, "BND", False, 4, 1), ("s", "c", None, 5, 6, "DEL", True, 1, 4), ("s", None, None, 5, 6, "DEL", False, 1, 4)]
+    got = B.candidates(spark.createDataFrame(ev, "sample string, contig string, contig2 string, pos1 long, pos2 long, svtype string, is_sub boolean, rl1 int, rl2 int"), 0)
+    assert sorted((r.pos1, r.pos2, r.support, r.rl1, r.rl2) for r in got.collect()) == [(5, 6, 3, 4, 1), (5, 7, 1, 4, 1)]
+
+
 def test_inversion_rules(spark):
     t = "array<struct<b:bigint,e:bigint,len:bigint,sup:bigint>>"
     rows = [
