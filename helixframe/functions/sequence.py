@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -313,23 +315,91 @@ def common_prefixes(levels: list[np.ndarray], a: np.ndarray, b: np.ndarray) -> n
     return x - a
 
 
+_CODE = np.full(256, 4, np.uint64)
+_CODE[[*b"ACGTacgt"]] = [0, 1, 2, 3] * 2
+#: Bases that fit one key of :func:`repeated_places`.
+_KEY = 32
+
+
+def repeated_places(seq: str, size: int) -> np.ndarray:
+    """Places of a sequence, its separator and its reverse complement at which bases begin that another place has too: ``size`` of them, or
+    the first 32. No suffix is sorted.
+
+    Keys of any length come from doubling and one overlapping step, two bits a base; a key with another letter counts for nothing.
+    """
+    k = max(1, min(size, _KEY))
+    codes = _CODE[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)]
+    n = len(codes)
+    if n < k:
+        return np.empty(0, np.int64)
+    odd = codes == 4
+
+    def keys(x: np.ndarray) -> np.ndarray:
+        key, h = x, 1
+        while 2 * h <= k:
+            key, h = (key[: len(key) - h] << np.uint64(2 * h)) | key[h:], 2 * h
+        if h < k:  # the last h bases overlap those before
+            key = (key[: len(key) - (k - h)] << np.uint64(2 * (k - h))) | (key[k - h :] & np.uint64((1 << 2 * (k - h)) - 1))
+        return key
+
+    codes[odd] = 0
+    every, place = [keys(codes), keys(np.uint64(3) - codes[::-1])], [np.arange(n - k + 1), np.arange(n + 1, 2 * n - k + 2)]
+    if odd.any():
+        seen = np.concatenate([[0], np.cumsum(odd)])
+        clean = seen[k:] == seen[:-k]
+        every, place = [every[0][clean], every[1][clean[::-1]]], [place[0][clean], place[1][clean[::-1]]]
+    both = np.concatenate(every)
+    ranked = np.sort(both)
+    twice = ranked[1:][ranked[1:] == ranked[:-1]]
+    if not len(twice):
+        return np.empty(0, np.int64)
+    return np.concatenate(place)[np.isin(both, twice)]
+
+
+#: Places that are sorted by their own next codes, and how many of these, before all suffixes are.
+_PLACES, _AHEAD = 512, 512
+
+
+def _neighbours(codes: np.ndarray, live: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray] | None:
+    """Neighbours in suffix order among the places ``live``, and their common lengths; nothing where the next codes do not decide."""
+    if len(live) > _PLACES or len(codes) >= 1 << 24:
+        return None
+    data = codes.astype(">u4").tobytes()
+    ahead = {i: data[4 * i : 4 * (i + _AHEAD)] for i in live.tolist()}
+    order = sorted(ahead, key=ahead.__getitem__)
+    size = []
+    for i, j in zip(order, order[1:]):
+        m = min(len(ahead[i]), len(ahead[j])) // 4
+        differ = codes[i : i + m] != codes[j : j + m]
+        at = int(differ.argmax()) if m else 0
+        if m == _AHEAD and not differ[at]:
+            return None
+        size.append(at if m and differ[at] else m)
+    at = np.array(order, np.int64)
+    return at[:-1], at[1:], np.array(size, np.int64)
+
+
 def repeats_in(seq: str, min_size: int, min_dist: int) -> list[tuple[str, int, int, int]]:
     """(kind, start1, start2, length) of repeats between suffix-array neighbours of a sequence with its reverse complement.
 
     'dup': both on the forward strand and at least ``min_dist`` apart; 'inv': one on each
     strand, positions on the forward strand. Separators and N never match.
     """
-    seq = "".join(c if c in "ACGT" else "N" for c in seq.upper())
+    seq = re.sub("[^ACGT]", "N", seq.upper())
     n = len(seq)
-    if not n:
+    live = repeated_places(seq, max(1, min_size))
+    if not len(live):  # most sequences, where the repeats are long
         return []
     both = seq + "X" + seq[::-1].translate(str.maketrans("ATCG", "TAGC"))
     codes = np.frombuffer(both.encode(), np.uint8).astype(np.int64)
     odd = (codes == ord("N")) | (codes == ord("X"))
     codes[odd] = 1000 + np.arange(int(odd.sum()))
-    sa, levels = suffix_ranks(codes)
-    size = common_prefixes(levels, sa[:-1], sa[1:])
-    i, j = np.minimum(sa[:-1], sa[1:]), np.maximum(sa[:-1], sa[1:])
+    # places with equal first bases are together in the order of all suffixes, so these alone are enough
+    near = _neighbours(codes, live)
+    if near is None:
+        sa, levels = suffix_ranks(codes)
+        near = sa[:-1], sa[1:], common_prefixes(levels, sa[:-1], sa[1:])
+    i, j, size = np.minimum(near[0], near[1]), np.maximum(near[0], near[1]), near[2]
     long = size >= max(1, min_size)
     dup, inv = long & (j < n) & (j - i >= min_dist), long & (i < n) & (j > n)
     p = 2 * n + 1 - j - size
@@ -340,14 +410,21 @@ def repeats_in(seq: str, min_size: int, min_dist: int) -> list[tuple[str, int, i
 
 def repeat_scan(seqs: DataFrame, contig: str, seq: str, window: int = 100_000, step: int = 50_000, min_size: int = 1, min_dist: int = 5) -> DataFrame:
     """Repeats of every sliding window: ``contig, kind, pos1, pos2, size`` in contig coordinates, distinct."""
-    # blocks of many windows first, so that no substring walks a long sequence for each window
+    # blocks of many windows first, so that no substring walks a long sequence for each window; only blocks are shuffled
     block = 64 * step
     starts = F.explode(F.sequence(F.lit(0), F.greatest(F.length(seq) - 1, F.lit(0)), F.lit(block))).alias("base")
     rows = seqs.where(F.col(seq).isNotNull()).select(F.col(contig).cast("string").alias("contig"), F.col(seq).alias("_s"), starts)
     rows = rows.select("contig", "base", F.substring("_s", F.col("base") + 1, F.lit(block + window - 1)).alias("_s"))
+    rows = rows.repartition("contig", "base")
     inside = F.explode(F.sequence(F.lit(0), F.greatest(F.least(F.length("_s"), F.lit(block)) - 1, F.lit(0)), F.lit(step))).alias("at")
     cut = rows.select("contig", "base", "_s", inside).select("contig", (F.col("base") + F.col("at")).alias("at"), F.substring("_s", F.col("at") + 1, F.lit(window)).alias("win"))
 
+    return repeats_of(cut, min_size, min_dist).distinct()
+
+
+def repeats_of(rows: DataFrame, min_size: int, min_dist: int) -> DataFrame:
+    """``contig, kind, pos1, pos2, size`` of the repeats within each row of ``contig, at, seq``, of which ``at`` is the position."""
+
     def run(batches):
         for b in batches:
             for c, a, w in zip(*(b.column(k).to_pylist() for k in range(3))):
@@ -355,8 +432,7 @@ def repeat_scan(seqs: DataFrame, contig: str, seq: str, window: int = 100_000, s
                 if r:
                     yield pa.RecordBatch.from_pydict({"contig": [c] * len(r), "kind": [x[0] for x in r], "pos1": [a + x[1] for x in r], "pos2": [a + x[2] for x in r], "size": [x[3] for x in r]})
 
-    parts = cut.repartition("contig", "at").mapInArrow(run, "contig string, kind string, pos1 bigint, pos2 bigint, size bigint")
-    return parts.distinct()
+    return rows.mapInArrow(run, "contig string, kind string, pos1 bigint, pos2 bigint, size bigint")
 
 
 def merged_repeats(repeats: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -5,6 +5,8 @@ by ranks twice as far at a time: a place that shares its rank with others looks
 and the class splits by it. Places whose rank is theirs alone are settled and leave the rounds. Neighbours in the final order
 get their common length from the ranks of the rounds, the longest first. No task holds a contig; a repeat may be
 as long and as far apart as the contig allows.
+
+Contigs of at most ``SMALL`` bases need no rounds: each lies in one task, which sorts its suffixes only if bases repeat in it.
 """
 
 from __future__ import annotations
@@ -14,10 +16,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.sequence import repeats_of
 from .cluster import drop_table, shared_table
 
 #: Bases whose digits fit one number.
 WIDEST = 21
+#: Bases up to which a contig is searched in one task.
+SMALL = 1 << 18
 #: Bases of a piece in which places are made.
 PIECE = 1 << 14
 _DIGIT = np.full(256, 5, np.int64)
@@ -91,9 +96,25 @@ def contig_repeats(seqs: DataFrame, min_size: int = 1, min_dist: int = 5) -> Dat
     positions. N and other letters match nothing. Null sequences count as empty, and an empty one has no repeats;
     pieces of a contig are gapless and hold ``WIDEST`` bases or more each, but for the last.
     """
-    k = max(1, min(WIDEST, min_size))
     whole = seqs.where(F.col("seq").isNotNull() & F.col("contig").isNotNull())
-    if "start" not in seqs.columns:
+    if "start" in seqs.columns:
+        length = whole.groupBy("contig").agg(F.sum(F.length("seq")).alias("_n"))
+        few = whole.join(length.where(F.col("_n") <= SMALL), "contig").groupBy("contig")
+        small = few.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("start", "seq"))), lambda x: x["seq"]), "").alias("seq"))
+        large = whole.join(length.where(F.col("_n") > SMALL).select("contig"), "contig", "left_semi")
+    else:
+        small, large = whole.where(F.length("seq") <= SMALL), whole.where(F.length("seq") > SMALL)
+    small = small.select(F.col("contig").cast("string").alias("contig"), F.lit(0).cast("bigint").alias("at"), "seq")
+    found = repeats_of(small.repartition("contig"), min_size, min_dist)
+    if not large.isEmpty():
+        found = found.union(_of_large(large, min_size, min_dist))
+    return shared_table(found)
+
+
+def _of_large(whole: DataFrame, min_size: int, min_dist: int) -> DataFrame:
+    """The repeats of contigs that no task may hold, by prefix doubling."""
+    k = max(1, min(WIDEST, min_size))
+    if "start" not in whole.columns:
         cut = F.explode(F.sequence(F.lit(0), F.greatest(F.length("seq") - 1, F.lit(0)), F.lit(PIECE))).alias("start")
         whole = whole.select(F.col("contig").cast("string").alias("contig"), cut, "seq").select("contig", "start", F.substring("seq", F.col("start") + 1, F.lit(PIECE)).alias("seq"))
     size = whole.groupBy("contig").agg(F.sum(F.length("seq")).cast("bigint").alias("length"))
