@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import math
 import re
+from collections import Counter
 
 import numpy as np
 import pandas as pd
@@ -65,15 +67,27 @@ def kmer_jaccard(a: Column, b: Column, k: int) -> Column:
 
 
 def kmer_profile_similarity(df: DataFrame, id_col: str, a: str, b: str, k: int) -> DataFrame:
-    """``id_col, similarity``: sum of the smaller relative frequency of every shared k-mer; 0 without any."""
+    """``id_col, similarity``: sum of the smaller relative frequency of every shared k-mer; 0 without any.
 
-    def shares(c: str, name: str) -> DataFrame:
-        grams = kmers(F.col(c), k)
-        rows = df.select(id_col, F.explode(grams).alias("kmer")).groupBy(id_col, "kmer").agg(F.count("*").alias("n"))
-        return rows.join(df.select(id_col, F.greatest(F.length(c) - k + 1, F.lit(0)).alias("total")), id_col).select(id_col, "kmer", (F.col("n") / F.col("total")).alias(name))
+    Both sequences lie in one row, so their k-mers are counted there and none is shuffled.
+    """
+
+    def counts(s: str) -> Counter:
+        return Counter([s[i : i + k] for i in range(len(s) - k + 1)])
+
+    def similar(x: str | None, y: str | None) -> float:
+        p, q = counts(x or ""), counts(y or "")
+        if not p or not q:
+            return 0.0
+        n, m = len(x) - k + 1, len(y) - k + 1
+        if len(q) < len(p):
+            p, q, n, m = q, p, m, n
+        return math.fsum(min(c / n, q[g] / m) for g, c in p.items() if g in q)
+
+    def run(x: pd.Series, y: pd.Series) -> pd.Series:
+        return pd.Series([similar(s, t) for s, t in zip(x, y)], dtype="float64")
 
-    both = shares(a, "fa").join(shares(b, "fb"), [id_col, "kmer"]).groupBy(id_col).agg(F.sum(F.least("fa", "fb")).alias("similarity"))
-    return df.select(id_col).join(both, id_col, "left").select(id_col, F.coalesce("similarity", F.lit(0.0)).alias("similarity"))
+    return df.select(id_col, F.pandas_udf(run, "double")(F.col(a), F.col(b)).alias("similarity"))
 
 
 def dominant_kmer_ratio(s: Column, k: int = 17) -> Column:
