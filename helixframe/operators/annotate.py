@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .intervals import matched_ids, overlap_join
@@ -38,7 +38,7 @@ def depth_by_names(sites: DataFrame, alignments: DataFrame, keys: list[str], id_
     """``id_col, depth``: distinct reads over a site, 0 where there is none."""
     s = sites.select(*keys, id_col, C(begin).alias("_b"), C(end).alias("_e"))
     a = alignments.select(*keys, C(read).alias("_read"), C(ab).alias("_ab"), C(ae).alias("_ae"))
-    n = overlap_join(s, a, keys, "_b", "_e", "_ab", "_ae").groupBy(id_col).agg(F.count_distinct("_read").alias("depth"))
+    n = overlap_join(s, a, keys, "_b", "_e", "_ab", "_ae", measure=True).groupBy(id_col).agg(F.count_distinct("_read").alias("depth"))
     return sites.select(id_col).join(n, id_col, "left").select(id_col, F.coalesce("depth", F.lit(0).cast("bigint")).alias("depth"))
 
 
@@ -47,11 +47,13 @@ def indel_lengths(sites: DataFrame, signals: DataFrame, keys: list[str], id_col:
     lie within ``near`` of them, and the distinct reads."""
     di = signals.where(C("sig_type").isin("D", "I")).select(*keys, C("sig_type").alias("_t"), C("start").alias("_sb"), C("stop").alias("_se"), "read")
     s = sites.select(*keys, id_col, C(begin).alias("_b"), C(end).alias("_e"))
-    hit = overlap_join(s, di, keys, "_b", "_e", "_sb", "_se").withColumn("_n", C("_se") - C("_sb"))
-    top = hit.groupBy(id_col).agg(*[F.max(F.when(C("_t") == t, C("_n"))).alias(f"max_{t.lower()}") for t in "ID"], F.count_distinct("read").alias("reads"))
-    both = hit.join(top, id_col)
-    close = both.groupBy(id_col).agg(*[F.count_if((C("_t") == t) & (C("_n") >= C(f"max_{t.lower()}") - near)).alias(f"near_{t.lower()}") for t in "ID"])
-    return top.join(close, id_col)
+    hit = overlap_join(s, di, keys, "_b", "_e", "_sb", "_se", measure=True).select(id_col, "_t", (C("_se") - C("_sb")).alias("_n"), "read")
+    # the pairs are made once: the largest lengths lie beside the rows of a site, which then are counted where they are
+    over = Window.partitionBy(id_col)
+    tops = {f"max_{t.lower()}": F.max(F.when(C("_t") == t, C("_n"))).over(over) for t in "ID"}
+    close = [F.count_if((C("_t") == t) & (C("_n") >= C(f"max_{t.lower()}") - near)).alias(f"near_{t.lower()}") for t in "ID"]
+    got = hit.where(C(id_col).isNotNull()).withColumns(tops).groupBy(id_col).agg(*[F.max(c).alias(c) for c in tops], F.count_distinct("read").alias("reads"), *close)
+    return got.select(id_col, *tops, "reads", "near_i", "near_d")
 
 
 def spanning_guard(pairs: DataFrame, alignments: DataFrame, keys: list[str], id_col: str, begin: str, end: str, read: str, ab: str, ae: str, ratio: float = 1.5, least: int = 4, slack: int = 10) -> DataFrame:
@@ -62,7 +64,7 @@ def spanning_guard(pairs: DataFrame, alignments: DataFrame, keys: list[str], id_
     """
     p = pairs.select(*keys, id_col, C(begin).alias("_b"), C(end).alias("_e"))
     a = alignments.select(*keys, C(read).alias("_read"), C(ab).alias("_ab"), C(ae).alias("_ae"))
-    hit = overlap_join(p, a, keys, "_b", "_e", "_ab", "_ae").where(C("_ae") - C("_ab") > ratio * (C("_e") - C("_b")))
+    hit = overlap_join(p, a, keys, "_b", "_e", "_ab", "_ae", measure=True).where(C("_ae") - C("_ab") > ratio * (C("_e") - C("_b")))
     n = hit.groupBy(id_col).agg(F.count_distinct("_read").alias("_n"), F.count_if((C("_ab") < C("_b") - slack) | (C("_ae") > C("_e") + slack)).alias("_out"))
     return pairs.join(n.where((C("_n") >= least) & (C("_out") == 0)).select(id_col), id_col, "left_anti")
 
