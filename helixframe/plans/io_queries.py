@@ -73,9 +73,11 @@ def fai_lengths(spark, sf_dir):
 def signal_table(spark, sf_dir):
     """Signals sorted by position, written as a partitioned table over an older one, fetched by regions of it."""
     path = f"{folder(spark)}/signals"
-    rows = G.sorted_by_position(G.extract(G.usable(_alignments(spark, sf_dir))))
-    W.write_table(rows.limit(10), path)
-    W.write_table(rows, path, mode="overwrite")
+    signals = G.extract(G.usable(_alignments(spark, sf_dir)))
+    rows = G.sorted_by_position(signals)
+    # suppliers are too many contigs for a folder each; the files are sorted by contig, so their statistics serve a fetch as well
+    W.write_table(G.sorted_by_position(signals.limit(10)), path, ("sample",))
+    W.write_table(rows, path, ("sample",), "overwrite")
     table = spark.read.schema(rows.schema).parquet(path)
     found = None
     for k in range(10):
