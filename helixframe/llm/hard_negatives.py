@@ -28,6 +28,8 @@ LOW, HIGH = 30, 90
 SCALE = 256
 #: Vectors in a piece, in a leaf, cells at most, vectors that the top tree is fitted on at most.
 PIECE, LEAF, CELLS, SAMPLE = 4096, 128, 256, 16_384
+#: Questions that a task holds before they leave it.
+ROWS = 8192
 #: Questions that meet a piece in one task.
 CHUNK = 4096
 #: Larger components count as this, so that scores of up to 512 components fit a long.
@@ -277,6 +279,11 @@ def _asked(index: Index, anchors: DataFrame, windows: DataFrame, same: bool, fir
     """``cell, slot, aid, label, x, ws``: the slots where an anchor can find something; ``first``: of the best cell only, else of all others."""
     cells = index.cells
 
+    def made(rows: list[tuple], ws: pa.DataType) -> pa.RecordBatch:
+        cols = list(zip(*rows)) if rows else [[]] * 5
+        types = (pa.int32(), pa.int64(), pa.string(), pa.binary(), ws)
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["cell", "aid", "label", "x", "ws"])
+
     def run(batches):
         for b in batches:
             rows = []
@@ -287,9 +294,10 @@ def _asked(index: Index, anchors: DataFrame, windows: DataFrame, same: bool, fir
                     fit = [w for w in ws if high[c] >= w["lo"] and low[c] <= w["hi"]]
                     if fit:
                         rows.append((c, aid, label, x, fit))
-            cols = list(zip(*rows)) if rows else [[]] * 5
-            types = (pa.int32(), pa.int64(), pa.string(), pa.binary(), b.column(3).type)
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types)], ["cell", "aid", "label", "x", "ws"])
+                if len(rows) >= ROWS:  # an anchor can ask every cell, so a batch of anchors is no bound
+                    yield made(rows, b.column(3).type)
+                    rows = []
+            yield made(rows, b.column(3).type)
 
     each = windows.groupBy("aid").agg(F.collect_list(F.struct("w", "lo", "hi")).alias("ws"))  # POSITIVES windows at most
     wide = anchors.join(each, "aid").select("aid", "label", "x", "ws").mapInArrow(run, "cell int, aid long, label string, x binary, ws array<struct<w:long,lo:long,hi:long>>")
