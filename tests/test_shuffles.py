@@ -107,3 +107,21 @@ def test_questions_leave_a_task_in_small_batches(spark, monkeypatch):
     batch = pa.RecordBatch.from_arrays([pa.array(range(20)), pa.array(["a"] * 20), pa.array([np.ones(2, "<i4").tobytes()] * 20), pa.array([[{"w": 0, "lo": 0, "hi": 1}]] * 20, ws)], ["aid", "label", "x", "ws"])
     out = list(asked.run([batch]))
     assert sum(b.num_rows for b in out) == 20 * 49 and max(b.num_rows for b in out) < 150
+
+
+def test_batches_for_python_are_small(spark):
+    """40 texts of a megabyte reach a Python worker a few at a time, where they came in one batch."""
+    import pyarrow as pa
+    from helixframe.llm.common import materialize, release
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    rows = spark.range(40).repartition(1).selectExpr("repeat('x', 1000000) AS text")
+    before = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")
+    got = materialize(rows.mapInArrow(sizes, "n long"), "sizes")
+    found = [r.n for r in got.collect()]
+    release(got)
+    assert max(found) < 8_000_000 and sum(found) >= 40_000_000
+    assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
