@@ -51,7 +51,7 @@ def _fasta(spark: SparkSession, sf_dir: str) -> str:
 @query(f"WITH {_SEQ} SELECT 'doc' || doc_id AS contig, CAST(greatest(1, ceil(length(s) / 1000)) AS BIGINT) AS n_chunks, length(s) AS n_bases, md5(left(s, 1000)) AS first FROM seqs")
 def fasta_bases(spark, sf_dir):
     chunks = R.read_fasta(spark, _fasta(spark, sf_dir), 1000)
-    return chunks.groupBy("contig").agg(F.count("*").alias("n_chunks"), F.sum(F.length("seq")).alias("n_bases"), F.md5(F.max(F.when(C("chunk") == 0, C("seq")))).alias("first"))
+    return chunks.groupBy("contig").agg(F.count("*").alias("n_chunks"), F.sum(F.length("seq")).alias("n_bases"), F.max(F.when(C("chunk") == 0, F.md5("seq"))).alias("first"))
 
 
 @query(f"WITH {_SEQ} SELECT 'doc' || doc_id AS contig, doc_id % 500 AS \"begin\", doc_id % 500 + 150 AS \"end\", substring(s, doc_id % 500 + 1, 150) AS seq FROM seqs WHERE length(s) >= 700")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -15,8 +18,9 @@ def read_fasta(spark: SparkSession, path: str, chunk: int | None = None) -> Data
     """``contig, seq``, or ``contig, chunk, start, seq`` in pieces of ``chunk`` bases.
 
     The contig is the whole header line. Without ``chunk`` a contig is one row; with it no row holds more than a
-    line or a chunk: lines get their place from running sums within a block of the file, which begin with
-    the contig and the bases of the blocks before it.
+    line or a chunk: blocks of the file are streamed in order, each from the contig and the bases of the blocks before it, so
+    that lines are neither sorted nor shuffled; only chunks that a block's border cuts are put together by a shuffle. The names
+    of the records have to differ.
     """
     if chunk:
         return _fasta_chunks(spark, path, chunk)
@@ -26,38 +30,99 @@ def read_fasta(spark: SparkSession, path: str, chunk: int | None = None) -> Data
 
 
 def _fasta_chunks(spark: SparkSession, path: str, chunk: int) -> DataFrame:
+    from ..operators.cluster import shared_table
+
     block = ["_f", "_o"]
-    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_o"), F.monotonically_increasing_id().alias("_i"), "value")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_f"), F.col("_metadata.file_block_start").alias("_o"), "value")
     head = F.col("value").startswith(">")
     contig = F.when(head, F.regexp_replace(F.substring("value", 2, F.length("value")), "[\r\n]+$", ""))
     bases = F.when(head, "").otherwise(F.regexp_replace("value", r"\s", ""))
-    lines = lines.select(*block, "_i", contig.alias("_c"), bases.alias("_s"))
-    upto = Window.partitionBy(*block).orderBy("_i").rowsBetween(Window.unboundedPreceding, 0)
-    # the last header at or before a line, and the bases of the block up to and with it
-    placed = lines.withColumn("_all", F.sum(F.length("_s")).over(upto).cast("bigint"))
-    placed = placed.withColumn("_last", F.last(F.when(F.col("_c").isNotNull(), F.struct(F.col("_c").alias("c"), F.col("_all").alias("n"))), True).over(upto))
-    # blocks: bases behind the last header, which the next ones carry on from
-    ends = placed.groupBy(*block).agg(F.max_by(F.struct("_all", "_last"), "_i").alias("_e"))
+    lines = lines.select(*block, contig.alias("_c"), bases.alias("_s"))
+
+    def runs(batches):
+        """Stretches of a batch that lie in one block, with the block's key."""
+        for b in batches:
+            n = b.num_rows
+            new = np.ones(n, bool)
+            if n > 1:
+                new[1:] = np.logical_or.reduce([pc.not_equal(b.column(k).slice(1), b.column(k).slice(0, n - 1)).to_numpy(zero_copy_only=False) for k in block])
+            at = [*np.flatnonzero(new).tolist(), n]
+            for x, y in zip(at[:-1], at[1:]):
+                yield tuple(b.column(k)[x].as_py() for k in block), b.slice(x, y - x)
+
+    def last(batches):
+        """Of every block the last header, and the bases behind it (or all)."""
+        key, name, n = None, None, 0
+        for own, b in runs(batches):
+            if own != key:
+                if key is not None:
+                    yield pa.RecordBatch.from_pylist([{"_f": key[0], "_o": key[1], "_c": name, "_n": n}], schema=kinds)
+                key, name, n = own, None, 0
+            size = pc.utf8_length(b.column("_s")).to_numpy().astype(np.int64)
+            heads = np.flatnonzero(b.column("_c").is_valid().to_numpy(zero_copy_only=False))
+            if len(heads):
+                name, n, size = b.column("_c")[int(heads[-1])].as_py(), 0, size[heads[-1] :]
+            n += int(size.sum())
+        if key is not None:
+            yield pa.RecordBatch.from_pylist([{"_f": key[0], "_o": key[1], "_c": name, "_n": n}], schema=kinds)
+
+    kinds = pa.schema([("_f", pa.string()), ("_o", pa.int64()), ("_c", pa.string()), ("_n", pa.int64())])
+    ends = lines.mapInArrow(last, "_f string, _o bigint, _c string, _n bigint")
     along = Window.partitionBy("_f").orderBy("_o")
-    own = F.col("_e._last").isNotNull()
-    ends = ends.withColumn("_group", F.sum(F.when(own, 1).otherwise(0)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    open_ = F.col("_e._all") - F.coalesce("_e._last.n", F.lit(0))
-    sums = ends.withColumn("_open", F.sum(open_).over(Window.partitionBy("_f", "_group").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)))
-    sums = sums.withColumn("_name", F.last(F.col("_e._last.c"), True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    ends = ends.withColumn("_group", F.sum(F.when(F.col("_c").isNotNull(), 1).otherwise(0)).over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    sums = ends.withColumn("_open", F.sum("_n").over(Window.partitionBy("_f", "_group").orderBy("_o").rowsBetween(Window.unboundedPreceding, 0)))
+    sums = sums.withColumn("_name", F.last("_c", True).over(along.rowsBetween(Window.unboundedPreceding, 0)))
     before = along.rowsBetween(-1, -1)
-    carry = sums.select(*block, F.first("_name").over(before).alias("_pc"), F.first("_open").over(before).alias("_pn"))
-    start = F.col("_all") - F.length("_s") - F.coalesce("_last.n", F.lit(0)) + F.when(F.col("_last").isNull(), F.coalesce("_pn", F.lit(0))).otherwise(0)
-    rows = placed.join(carry, block).select(F.coalesce("_last.c", "_pc").alias("contig"), start.cast("bigint").alias("_at"), "_s").where("contig is not null")
-    first, last = (F.col("_at") / chunk).cast("bigint"), ((F.col("_at") + F.greatest(F.length("_s"), F.lit(1)) - 1) / chunk).cast("bigint")
-    rows = rows.withColumn("chunk", F.explode(F.sequence(first, last)))
-    lo = F.greatest(F.col("chunk") * chunk, F.col("_at"))
-    hi = F.least((F.col("chunk") + 1) * chunk, F.col("_at") + F.length("_s"))
-    part = F.substring("_s", (lo - F.col("_at") + 1).cast("int"), (hi - lo).cast("int"))
-    pieces = rows.select("contig", F.col("chunk").cast("int").alias("chunk"), F.struct(lo.alias("at"), F.length(part).alias("n"), part.alias("s")).alias("_p"))
-    # an empty piece (a header's) counts only where the contig has no bases
-    pieces = pieces.where((F.col("_p.n") > 0) | (F.col("_p.at") == 0))
-    seq = F.array_join(F.transform(F.array_sort(F.collect_list("_p")), lambda x: x["s"]), "")
-    return pieces.groupBy("contig", "chunk").agg(seq.alias("seq")).select("contig", "chunk", (F.col("chunk") * chunk).cast("bigint").alias("start"), "seq")
+    carry = sums.select(*block, F.first("_name").over(before).alias("_pc"), F.coalesce(F.first("_open").over(before), F.lit(0)).alias("_pn"))
+
+    def cut(batches):
+        """Pieces of chunks, streamed: only the open chunk is held."""
+        key, name, at, held, carried = None, None, 0, "", False
+        out: list[tuple] = []
+        # a contig whose header ends the block before has an empty piece there, so its first chunk is put together
+        apart = lambda: at % chunk == 0 and not (carried and at == 0)
+
+        def leave(ended: bool):
+            # the open piece; a header's is empty, and counts only where the contig has no bases
+            if name is not None and (held or not at):
+                out.append((name, at // chunk, at, held, ended and apart()))
+
+        def sent():
+            cols = list(zip(*out)) if out else [[]] * 5
+            out.clear()
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, (pa.string(), pa.int32(), pa.int64(), pa.string(), pa.bool_()))], ["contig", "chunk", "at", "s", "whole"])
+
+        for own, b in runs(batches):
+            if own != key:
+                leave(False)
+                key, name, at, held, carried = own, b.column("_pc")[0].as_py(), b.column("_pn")[0].as_py(), "", True
+            heads = np.flatnonzero(b.column("_c").is_valid().to_numpy(zero_copy_only=False)).tolist()
+            lines_ = b.column("_s").to_pylist()
+            for x, y in zip([None, *heads], [*heads, len(lines_)]):
+                if x is not None:
+                    leave(True)
+                    name, at, held, carried = b.column("_c")[x].as_py(), 0, "", False
+                if name is None:
+                    continue
+                held += "".join(lines_[x or 0 : y])
+                start = 0
+                while len(held) - start >= chunk - at % chunk:
+                    n = chunk - at % chunk
+                    out.append((name, at // chunk, at, held[start : start + n], apart()))
+                    start, at = start + n, at + n
+                held = held[start:]
+            if len(out) >= 1000:
+                yield sent()
+        leave(False)
+        yield sent()
+
+    # one row for each block of the files, so the lines keep their order
+    placed = lines.join(F.broadcast(carry), block)
+    pieces = shared_table(placed.mapInArrow(cut, "contig string, chunk int, at bigint, s string, whole boolean"))
+    seq = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("at", F.length("s").alias("n"), "s"))), lambda x: x["s"]), "")
+    rest = pieces.where("not whole").groupBy("contig", "chunk").agg(seq.alias("seq"))
+    rows = pieces.where("whole").select("contig", "chunk", F.col("s").alias("seq")).union(rest)
+    return rows.select("contig", "chunk", (F.col("chunk") * chunk).cast("bigint").alias("start"), "seq")
 
 
 def fasta_region(chunks: DataFrame, regions: DataFrame, size: int) -> DataFrame:

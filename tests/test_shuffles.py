@@ -125,3 +125,13 @@ def test_batches_for_python_are_small(spark):
     release(got)
     assert max(found) < 8_000_000 and sum(found) >= 40_000_000
     assert spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == before
+
+
+def test_fasta_lines_are_not_sorted(spark, tmp_path):
+    """Lines of a FASTA file are streamed block by block: nothing but chunks that a border cuts is grouped."""
+    from helixframe.sources.readers import read_fasta
+
+    (tmp_path / "a.fa").write_text("".join(f">c{k}\n" + "ACGTACGTAC\n" * 5 for k in range(40)))
+    got = read_fasta(spark, str(tmp_path / "a.fa"), 8)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and {(r.contig, len(r.seq)) for r in got.collect()} == {(f"c{k}", n) for k in range(40) for n in (8, 2)}
