@@ -25,8 +25,8 @@ def vcf_lines(calls: DataFrame) -> DataFrame:
     return calls.repartitionByRange("contig", "pos").sortWithinPartitions("contig", "pos", "stop").select(line.alias("value"))
 
 
-def write_vcf(calls: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    vcf_lines(calls).write.mode(mode).text(path)
+def write_vcf(calls: DataFrame, path: str, mode: str = "errorifexists", compression: str = "none") -> None:
+    vcf_lines(calls).write.mode(mode).option("compression", compression).text(path)
 
 
 def write_table(df: DataFrame, path: str, by: tuple[str, ...] = ("sample", "contig"), mode: str = "errorifexists") -> None:

@@ -135,3 +135,10 @@ def test_fasta_lines_are_not_sorted(spark, tmp_path):
     got = read_fasta(spark, str(tmp_path / "a.fa"), 8)
     plan = got._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and {(r.contig, len(r.seq)) for r in got.collect()} == {(f"c{k}", n) for k in range(40) for n in (8, 2)}
+
+
+def test_vcf_is_written_compressed(spark, sf, tmp_path, monkeypatch):
+    monkeypatch.setattr(Q, "folder", lambda spark: str(tmp_path))
+    assert Q.vcf_roundtrip(spark, sf).count() > 0
+    parts = [x for x in os.listdir(tmp_path / "vcf") if x.startswith("part-")]
+    assert parts and all(x.endswith(".gz") for x in parts)
