@@ -557,3 +557,29 @@ def test_hand_made_calls(spark):
         ("chr1", 10000, 10200, "DEL", 200, 12), ("chr1", 92000, 95000, "DEL", 3000, 8), ("chr1", 50000, 50001, "INS", 150, 12), ("chr2", 10000, 11500, "DUP", 1500, 8),
         ("chr3", 20000, 22000, "INV", 2000, 8), ("chr4", 20000, 22000, "INV", 2000, 8), ("chr5", 30000, 30120, "INV", 120, 8),
     }
+
+
+def test_labels_of_a_chain_need_few_rounds(spark, monkeypatch):
+    """A chain of 200 nodes in random order: whole trees are hooked, so rounds do not grow with the distance."""
+    names = [int(x) for x in np.random.default_rng(5).permutation(200)]
+    written = []
+    monkeypatch.setattr(K, "shared_table", lambda df, real=K.shared_table: written.append(1) or real(df))
+    nodes = spark.createDataFrame([(x,) for x in [*names, 900, 901, 902]], "v long")
+    edges = spark.createDataFrame([*zip(names, names[1:]), (902, 901)], "a long, b long")
+    got = {r.v: r.component for r in K.label_components(nodes, edges, "v").collect()}
+    assert got == dict.fromkeys(names, 0) | {900: 900, 901: 901, 902: 901}
+    assert len(written) <= 2 + 12
+
+
+def test_callers_pair_one_contig_only(spark, monkeypatch):
+    """Pairs of two contigs are made when all candidates are asked for, not for the callers."""
+    rows = [alignment(r, c, 5000 + k, cigar) for k, r in enumerate(("r1", "r2")) for c, cigar in (("c1", "1000M600S"), ("c2", "600S1000M"), ("c1", "900S700M"))]
+    seen = []
+    monkeypatch.setattr(B, "candidates", lambda ev, *a, real=B.candidates: seen.append({r.svtype for r in ev.collect()}) or real(ev, *a))
+    out = caller.call(spark.createDataFrame(rows, ALIGNMENT))
+    assert len(seen) == 1 and "BND" not in seen[0]
+    every = [tuple(r) for r in out.candidates.collect()]
+    assert len(seen) == 2 and seen[1] == {"BND"}
+    events = B.pair_events(caller.breakpoint_points(spark.createDataFrame(rows, ALIGNMENT)), ["sample", "read"])
+    assert sorted(map(str, every)) == sorted(str(tuple(r)) for r in B.candidates(events).collect())
+    assert caller.bnd_candidates(out.candidates).count() > 0
