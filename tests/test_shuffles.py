@@ -8,6 +8,7 @@ from helixframe.functions import sequence as S
 from helixframe.operators import annotate as N
 from helixframe.operators import cluster as K
 from helixframe.operators import dominance as D
+from helixframe.operators import intervals as I
 from helixframe.plans import io_queries as Q
 
 
@@ -142,3 +143,15 @@ def test_vcf_is_written_compressed(spark, sf, tmp_path, monkeypatch):
     assert Q.vcf_roundtrip(spark, sf).count() > 0
     parts = [x for x in os.listdir(tmp_path / "vcf") if x.startswith("part-")]
     assert parts and all(x.endswith(".gz") for x in parts)
+
+
+def test_regions_are_dealt_by_rows(spark, monkeypatch):
+    """More rows than the partitions may hold make more partitions, and a region stays in one."""
+    monkeypatch.setattr(K, "REGION_ROWS", 50)
+    df = spark.createDataFrame([(k % 40, 10 * k, 10 * k + 5) for k in range(2000)], "k int, b long, e long")
+    rows, region = K.regions(df, ["k"], F.col("b"), F.col("e"), 1)
+    got = rows.withColumn("p", F.spark_partition_id())
+    assert rows.rdd.getNumPartitions() == 40 and got.count() == 2000
+    assert got.groupBy("k", region).agg(F.count_distinct("p").alias("n")).where("n > 1").count() == 0
+    assert I.merge_intervals(df, ["k"], "b", "e").agg({"n": "sum"}).first()[0] == 2000
+    assert K.leader_1d(df, ["k"], "b", 500, "e").groupBy("k").agg(F.max("cluster").alias("n")).agg(F.min("n"), F.max("n")).first()[:] == (25, 25)
