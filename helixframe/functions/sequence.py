@@ -11,6 +11,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def ascii_upper(s: Column) -> Column:
@@ -234,17 +235,78 @@ def shift_search(df: DataFrame, id_col: str, left: str, right: str, span: str, r
 
 
 def shift_by_kmers(df: DataFrame, id_col: str, left: str, right: str, span: str, ratios: int = 19, sizes: tuple[int, ...] = tuple(range(5, 36, 2))) -> DataFrame:
-    """``id_col, shift``: as :func:`shift_search`, but flanks are compared by their k-mers of several sizes."""
-    at = F.explode(F.transform(F.sequence(F.lit(1), F.lit(ratios)), lambda i: i / (ratios + 1))).alias("ratio")
-    tried = df.select(id_col, left, right, span, at).withColumn("shift", (F.col("ratio") * F.col(span)).cast("bigint"))
-    cut = lambda c: flank(F.col(c), F.col("shift").cast("int"), (F.col("shift") + F.col(span)).cast("int"))
-    tried = tried.select(id_col, "shift", cut(left).alias("a"), cut(right).alias("b"), F.explode(F.array(*map(F.lit, sizes))).alias("k"))
-    grams = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - F.col("k") + 1, F.lit(1))), lambda i: F.substring(c, i, F.col("k")))
-    per = tried.where(F.least(F.length("a"), F.length("b")) >= F.col("k")).groupBy(id_col, "k", "shift").agg(F.max(jaccard(grams(F.col("a")), grams(F.col("b")))).alias("s"))
-    votes = per.groupBy(id_col, "k").agg(F.min_by("shift", F.struct(-F.col("s"), "shift")).alias("shift"))
+    """``id_col, shift``: as :func:`shift_search`, but flanks are compared by their k-mers of several sizes.
+
+    A row's flanks are compared where the row is: it leaves with the best shift of each size, and one shuffle by ``id_col`` brings
+    rows of one identifier together.
+    """
+    sizes = tuple(dict.fromkeys(sizes))
+    shifts = F.transform(F.sequence(F.lit(1), F.lit(ratios)), lambda i: ((i / (ratios + 1)) * F.col(span)).cast("bigint"))
+    begins, ends = F.transform("_at", lambda x: x.cast("int")), F.transform("_at", lambda x: (x + F.col(span)).cast("int"))
+    rows = df.where(F.col(left).isNotNull() & F.col(right).isNotNull()).withColumn("_at", shifts).select(id_col, left, right, "_at", begins.alias("_b"), ends.alias("_e"))
+    needed = lambda c: F.substring(c, F.lit(1), F.greatest(F.coalesce(F.array_max("_e"), F.length(c)), F.lit(0)))
+    rows = rows.select(id_col, needed(left).alias("_l"), needed(right).alias("_r"), "_at", "_b", "_e")
+
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            column = lambda c, none: np.array([[none if x is None else x for x in v] for v in b.column(c).to_pylist()], np.int64)  # noqa: B023, E731
+            best, at = _best_shifts(b.column(1).to_pylist(), b.column(2).to_pylist(), column(3, 0), column(4, 0), column(5, 1 << 40), sizes)
+            chosen = pa.array([v[k] for v, ks in zip(b.column(3).to_pylist(), at.tolist()) for k in ks], pa.int64())
+            none = pa.array((best < 0).ravel())
+            votes = pa.StructArray.from_arrays([pa.array(best.ravel()), chosen], ["s", "shift"], mask=none)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(np.arange(b.num_rows + 1, dtype=np.int32) * len(sizes)), votes)], [id_col, "votes"])
+
+    schema = T.StructType([T.StructField(id_col, df.schema[id_col].dataType), T.StructField("votes", T.ArrayType(T.StructType([T.StructField("s", T.DoubleType()), T.StructField("shift", T.LongType())])))])
+    per = rows.mapInArrow(run, schema).repartition(id_col).select(id_col, F.posexplode("votes").alias("k", "v")).where("v is not null")
+    votes = per.groupBy(id_col, "k").agg(F.min_by("v.shift", F.struct(-F.col("v.s"), "v.shift")).alias("shift"))
     return votes.groupBy(id_col, "shift").agg(F.count("*").alias("n")).groupBy(id_col).agg(F.min_by("shift", F.struct(-F.col("n"), "shift")).alias("shift"))
 
 
+def _best_shifts(a: list[str], b: list[str], shifts: np.ndarray, begins: np.ndarray, ends: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """For every pair of texts and size of k-mers the highest Jaccard of the texts' windows [begin, end) (below 0 where none holds a k-mer),
+    and the number of its window, of equal ones that with the smallest shift. All windows of a part of the pairs are compared at once."""
+    n, tries = shifts.shape
+    best, at = np.full((n, len(sizes)), -1.0), np.zeros((n, len(sizes)), np.int64)
+    widest = max([1, *map(len, a), *map(len, b)])
+    step = max(1, CELLS // (tries * widest))
+    for s in range(0, n, step):
+        x, y = a[s : s + step], b[s : s + step]
+        codes = np.frombuffer("".join([*x, *y]).encode("utf-32-le"), np.uint32)
+        size = np.array([len(t) for t in [*x, *y]], np.int64)
+        first = np.cumsum(size) - size
+        own, place = slice(s, s + len(x)), np.arange(len(x))
+        lo = np.maximum(begins[own], 0)
+        spans = [(first[place + k][:, None] + lo, np.minimum(ends[own], size[place + k][:, None]) - lo) for k in (0, len(x))]
+        names, length = np.unique(codes, return_inverse=True)[1].astype(np.int64), 1
+        for j, k in sorted(enumerate(sizes), key=lambda z: z[1]):
+            while length < k:  # a k-mer is two shorter ones that cover it
+                ahead = min(length, k - length)
+                names = np.unique(names * (len(codes) + 1) + np.append(names[ahead:], np.full(min(ahead, len(names)), len(codes))), return_inverse=True)[1].astype(np.int64)
+                length += ahead
+            some = np.flatnonzero(np.minimum(spans[0][1], spans[1][1]) >= k)
+            if not len(some):
+                break
+            grams = []
+            for begin, width in spans:
+                many = width.ravel()[some][:, None] - k + 1
+                i = np.arange(many.max())
+                here = begin.ravel()[some][:, None] + i
+                grams.append(np.where(i < many, names[np.minimum(here, len(names) - 1)], len(codes)).astype(np.int32))
+            count = []
+            for g in (*grams, np.concatenate(grams, axis=1)):
+                g = np.sort(g, axis=1)
+                count.append(1 + (g[:, 1:] != g[:, :-1]).sum(1) - (g[:, -1] == len(codes)))
+            both = count[0] + count[1] - count[2]
+            score = np.full(lo.shape, -1.0)
+            score.ravel()[some] = both / (count[0] + count[1] - both)
+            top = score.max(1)
+            best[own, j] = top
+            at[own, j] = np.where(score == top[:, None], shifts[own], np.iinfo(np.int64).max).argmin(1)
+    return best, at
+
+
 def cluster_similarity(members: DataFrame, keys: list[str], id_col: str, seq: str, k: int = 5, least_cv: float = 0.1, target: str | None = None) -> DataFrame:
     """``keys, similarity, n, cv``: k-mer profile similarities of the pairs of a cluster's sequences, summed, over the number of sequences.
 
