@@ -95,8 +95,8 @@ def edited_tokens(text: str, v: np.ndarray, keep: int, more: str, w: np.ndarray,
     seam = left[-1:] + right[:1]
     if len(seam) == 2 and not a[-1].isspace() and not b[0].isspace():
         seam = ["".join(seam)]
-    edge = lambda words: tokens(" ".join(words))
-    return np.concatenate([v[: max(0, len(left) - 1)], edge(seam), w[1 : max(1, len(right) - 1)], edge(right[1:][-1:])])
+    edges = tokens(" ".join([*seam, *right[1:][-1:]]))  # a token for each word
+    return np.concatenate([v[: max(0, len(left) - 1)], edges[: len(seam)], w[1 : max(1, len(right) - 1)], edges[len(seam) :]])
 
 
 def signatures(text: str | None, chain: int = CHAIN, v: np.ndarray | None = None) -> np.ndarray:

@@ -618,3 +618,20 @@ def test_pipeline_edges(spark, sf):
     assert red[203].endswith("write to [EMAIL]") and red[200] is None
     pieces = corpus_pipeline.pack(spark, df, sf)
     assert pieces.agg({"length": "sum"}).first()[0] == sum(len(brute.encoding().encode_ordinary(r.text or "")) + 1 for r in df.collect())
+
+
+def test_edited_words_are_looked_up_once(monkeypatch):
+    """The words at both cuts take one pass, and the edited text's words are those of the whole text."""
+    from helixframe.llm import spotsigs as S
+
+    texts = ["", " ", "one", "a b c d e f g", " the end of it ", "é x y the zz", "word,word \x1c the\n of and", "x" * 50 + " of the " + "y" * 9]
+    for a in texts:
+        for b in texts:
+            cut = len(a) // 3
+            keep, calls = len(a) - cut, []
+            v, w = S.tokens(a), S.tokens(b)
+            want = S.tokens(a[:keep] + b[:cut]).tolist()
+            with monkeypatch.context() as m:
+                m.setattr(S, "tokens", lambda t, real=S.tokens: calls.append(t) or real(t))
+                assert S.edited_tokens(a, v, keep, b, w, cut).tolist() == want
+            assert len(calls) == 1
