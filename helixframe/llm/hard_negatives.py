@@ -30,8 +30,8 @@ SCALE = 256
 PIECE, LEAF, CELLS, SAMPLE = 4096, 128, 256, 16_384
 #: Questions that a task holds before they leave it.
 ROWS = 8192
-#: Questions that meet a piece in one task.
-CHUNK = 4096
+#: Questions that meet a piece in one task, pieces that a question meets in one task.
+CHUNK, GROUP = 4096, 8
 #: Larger components count as this, so that scores of up to 512 components fit a long.
 LIMIT = 1 << 27
 _FAR = 1 << 62
@@ -111,6 +111,8 @@ class Piece:
     def search(self, q: np.ndarray, own: int, label: str, same: bool, windows: list[tuple[int, int, int]], k: int) -> list[tuple[int, np.ndarray, np.ndarray]]:
         """``(window, scores, ids)``: the first ``k`` by score, then id, in every window ``(window, lowest, highest)``."""
         mine = self.code.get(label, -1)
+        if (mine < 0) if same else (self.names == [label]):
+            return []
         q2 = float((q * q).sum())
         seen = _distances(q, self.vantage, self.most)
         give = 1e-6 * np.sqrt(q2 + self.most + 1)
@@ -234,7 +236,7 @@ def _matrix(xs: list[bytes]) -> np.ndarray:
 
 
 class Index:
-    """Pieces of all vectors in the shared folder: ``trees`` (cell, slot, piece), ``labels`` (cell, slot, label), and the top tree."""
+    """Pieces of all vectors in the shared folder: ``trees`` (cell, part, piece), ``sizes`` (cell, parts), ``labels`` (cell, label), and the top tree; a part is about :data:`GROUP` pieces."""
 
     def __init__(self, classes: DataFrame):
         spark = classes.sparkSession
@@ -268,15 +270,16 @@ class Index:
 
         key = ["cell", "slot"]
         trees = dealt.repartition(4 * parts(spark), *key).sortWithinPartitions(*key).mapInArrow(build, "cell int, slot long, names array<string>, piece binary")
-        self.trees = materialize(trees, "mine-trees")
-        self.labels = self.trees.select("cell", "slot", F.explode("names").alias("of"))
-        # for the search of other labels: the one label of a slot, if there is but one
-        self.slots = self.trees.select("cell", "slot", F.when(F.size("names") == 1, F.col("names")[0]).alias("only"))
+        made = materialize(trees, "mine-trees")
+        self.sizes = made.groupBy("cell").agg(F.ceil(F.count("*") / GROUP).cast("int").alias("parts"))  # at most CELLS rows
+        self.trees = made.join(F.broadcast(self.sizes), "cell").select("cell", F.pmod(F.xxhash64("slot"), F.col("parts")).cast("int").alias("part"), "piece")
+        self.labels = made.select("cell", F.explode("names").alias("label")).distinct()
+        self.made = made
         release(routed)
 
 
 def _asked(index: Index, anchors: DataFrame, windows: DataFrame, same: bool, first: bool) -> DataFrame:
-    """``cell, slot, aid, label, x, ws``: the slots where an anchor can find something; ``first``: of the best cell only, else of all others."""
+    """``cell, aid, label, x, ws``: the cells where an anchor can find something; ``first``: the best cell only, else all others."""
     cells = index.cells
 
     def made(rows: list[tuple], ws: pa.DataType) -> pa.RecordBatch:
@@ -301,38 +304,56 @@ def _asked(index: Index, anchors: DataFrame, windows: DataFrame, same: bool, fir
 
     each = windows.groupBy("aid").agg(F.collect_list(F.struct("w", "lo", "hi")).alias("ws"))  # POSITIVES windows at most
     wide = anchors.join(each, "aid").select("aid", "label", "x", "ws").mapInArrow(run, "cell int, aid long, label string, x binary, ws array<struct<w:long,lo:long,hi:long>>")
-    if same:
-        met = wide.join(index.labels, (wide["cell"] == index.labels["cell"]) & (wide["label"] == index.labels["of"]))
-        return met.select(wide["cell"], "slot", "aid", "label", "x", "ws")
-    met = wide.join(index.slots, (wide["cell"] == index.slots["cell"]) & ~F.coalesce(F.col("only") == F.col("label"), F.lit(False)))
-    return met.select(wide["cell"], "slot", "aid", "label", "x", "ws")
+    return wide.join(index.labels, ["cell", "label"], "left_semi") if same else wide
 
 
 def _found(index: Index, asked: DataFrame, same: bool, k: int) -> DataFrame:
-    """``aid, w, vid, score`` of the pieces that are asked; a piece travels once for ``CHUNK`` anchors."""
+    """``aid, w, vid, score``: the first ``k`` of every window in each part of the cells that are asked.
+
+    A task holds ``CHUNK`` questions, and the pieces of a part stream through it, so an anchor goes to a part once however
+    many pieces that has, and what it has found in one piece is the bound for the next.
+    """
     asked = materialize(asked, "mine-asked")
-    chunks = F.ceil(F.col("n") / CHUNK).cast("int")
-    n = asked.groupBy("cell", "slot").agg(F.count("*").alias("n"))
-    key = ["cell", "slot", "chunk"]
-    held = index.trees.join(n, ["cell", "slot"]).select("cell", "slot", F.explode(F.sequence(F.lit(0), chunks - 1)).alias("chunk"), F.lit(0).alias("kind"), "piece")
-    put = asked.join(n, ["cell", "slot"]).select("cell", "slot", F.pmod(F.xxhash64("aid"), chunks).cast("int").alias("chunk"), F.lit(1).alias("kind"), "aid", "label", "x", "ws")
-    work = held.unionByName(put, allowMissingColumns=True).repartition(4 * parts(asked.sparkSession), *key).sortWithinPartitions(*key, "kind")
+    n = asked.groupBy("cell").agg(F.ceil(F.count("*") / CHUNK).cast("int").alias("chunks"))
+    dealt = F.broadcast(index.sizes.join(n, "cell"))  # at most CELLS rows
+    upto = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    key = ["cell", "part", "chunk"]
+    held = index.trees.join(dealt, "cell").select("cell", "part", upto("chunks").alias("chunk"), F.lit(1).alias("kind"), "piece")
+    put = asked.join(dealt, "cell").select("cell", upto("parts").alias("part"), F.pmod(F.xxhash64("aid"), F.col("chunks")).cast("int").alias("chunk"), F.lit(0).alias("kind"), "aid", "label", "x", "ws")
+    work = put.unionByName(held, allowMissingColumns=True).repartition(4 * parts(asked.sparkSession), *key).sortWithinPartitions(*key, "kind")
+
+    def result(questions: list[dict]):
+        out = [(np.full(len(ids), q["aid"]), np.full(len(ids), w), ids, scores) for q in questions for w, (scores, ids) in q["got"].items()]
+        for lo in range(0, len(out), ROWS):
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out[lo : lo + ROWS])], ["aid", "w", "vid", "score"])
+
+    def ask(piece: Piece, q: dict) -> None:
+        for w, scores, ids in piece.search(q["x"], q["aid"], q["label"], same, [tuple(e) for e in q["ws"].values()], k):
+            if w in q["got"]:
+                scores, ids = (np.concatenate(c) for c in zip(q["got"][w], (scores, ids)))
+                best = np.lexsort([ids, -scores])[:k]
+                scores, ids = scores[best], ids[best]
+            q["got"][w] = scores, ids
+            if len(scores) == k:
+                q["ws"][w][1] = max(q["ws"][w][1], int(scores[-1]))
 
     def run(batches):
-        piece = None
+        now, questions = None, []
         for b in batches:
-            out: list[tuple[np.ndarray, ...]] = []
             for lo in range(0, b.num_rows, 256):
                 for r in b.slice(lo, 256).to_pylist():
+                    if (at := tuple(r[c] for c in key)) != now:
+                        yield from result(questions)
+                        now, questions = at, []
                     if r["kind"] == 0:
-                        piece = pickle.loads(r["piece"])
-                        piece.ready()
+                        ws = {e["w"]: [e["w"], e["lo"], e["hi"]] for e in r["ws"]}
+                        questions.append({"x": np.frombuffer(r["x"], "<i4").astype(np.float64), "aid": r["aid"], "label": r["label"], "ws": ws, "got": {}})
                         continue
-                    q = np.frombuffer(r["x"], "<i4").astype(np.float64)
-                    for w, scores, ids in piece.search(q, r["aid"], r["label"], same, [(e["w"], e["lo"], e["hi"]) for e in r["ws"]], k):
-                        out.append((np.full(len(ids), r["aid"]), np.full(len(ids), w), ids, scores))
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c).astype(np.int64)) for c in zip(*out)], ["aid", "w", "vid", "score"])
+                    piece = pickle.loads(r["piece"])
+                    piece.ready()
+                    for q in questions:
+                        ask(piece, q)
+        yield from result(questions)
 
     found = materialize(work.mapInArrow(run, "aid long, w long, vid long, score long"), "mine-found")
     release(asked)
@@ -392,7 +413,7 @@ def mine(vectors: DataFrame, anchor: Column, positives: int = POSITIVES, negativ
         best["aid"].alias("anchor_id"), "positive_id", F.col("rank").cast("int").alias("rank"), F.col("vid").alias("negative_id"), F.col("ps").alias("positive_score"), F.col("score").alias("negative_score")
     )
     out = materialize(out, "mine-result")
-    release(index.trees, anchors, best)
+    release(index.made, anchors, best)
     return out
 
 
